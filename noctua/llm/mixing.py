@@ -88,7 +88,7 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int
         pdf["shards"] = np.maximum(1, np.ceil(np.maximum(size / shard_words, pdf.n / shard_docs))).astype(np.int64)
         return pdf[["source", "source_size", "target", "quota", "shards"]]
 
-    sources = written(totals.groupBy(F.lit(0)).applyInPandas(targets, "source string, source_size long, target double, quota long, shards long"), "mix-sources")
+    sources = written(totals.groupBy().applyInPandas(targets, "source string, source_size long, target double, quota long, shards long"), "mix-sources")
     placed = rows.join(sources.withColumnRenamed("source", "_name"), F.col("source").eqNullSafe(F.col("_name"))).select(
         "doc_id", "source", "size", "draw", "source_size", "target", "quota", F.pmod(F.xxhash64(F.lit("shard"), "draw"), F.col("shards")).alias("shard")
     )
