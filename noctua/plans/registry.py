@@ -1,4 +1,4 @@
 """Every registered query of the library's own operators, with SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from noctua.plans import statistics  # noqa: F401
+from noctua.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
