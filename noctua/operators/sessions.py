@@ -53,7 +53,7 @@ def status_counts(df: DataFrame, status: str, names: list[str]) -> DataFrame:
 
 def filter_matrix(df: DataFrame, key: str, name: str, order: list[str] = FILTER_ORDER) -> DataFrame:
     """Frames of each user as rows and filters as columns, with a total."""
-    got = df.groupBy(key).pivot(name, order).agg(F.count("*")).na.fill(0, order)
+    got = df.groupBy(key).pivot(name, order).agg(F.count(F.lit(1))).na.fill(0, order)
     return got.withColumn("total", sum((F.col(f"`{c}`") for c in order), F.lit(0)))
 
 
