@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noctua.llm.common import written
@@ -54,9 +54,9 @@ def apportion(votes: np.ndarray, seats: int, most: np.ndarray) -> np.ndarray:
     return held
 
 
-def sizes(docs: DataFrame, text: str = "text") -> DataFrame:
+def word_count(text: Column) -> Column:
     """Number of words between ASCII white space; 0 for a null text."""
-    return docs.withColumn("size", F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"))
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, block: int = 64, shard_words: int = 1 << 18, shard_docs: int = 1 << 13, seed: int = 0) -> DataFrame:
@@ -65,9 +65,9 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int
 
     Sources in order of code point, null last, weigh `weights` in turn and share the words of the whole table; a target
     stops at `most` times its source, and the excess goes to the others.  Whole blocks of `block` words are apportioned
-    to sources and then to the source's shards by Sainte-Laguë; a shard gives all its blocks once for every full pass
-    in its quota and the rest by seeded rank, so no document is taken more than `most` times.  The last block of a shard
-    may be short.  The plan depends on rows and seed only, not on partitions; equal rows share one draw order.
+    to sources and then to the source's shards by Sainte-Laguë; a shard gives all its words once for every full pass
+    that its quota of words holds and the rest in blocks by seeded rank, so no document is taken more than `most` times.
+    The last block of a shard may be short.  The plan depends on rows and seed only, not on partitions; equal rows share one draw order.
     Documents without words take part with size 0 and taken 0; an empty table gives an empty plan.
 
     The number of shards grows with words and rows of the source, which bounds what a task holds, a hot source included.
@@ -75,7 +75,7 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int
     """
     spark = docs.sparkSession
     rows = written(
-        sizes(docs).select("doc_id", "source", "size", F.xxhash64(F.lit(seed), "doc_id", "size", F.xxhash64("text")).alias("draw")), "mix-sizes"
+        docs.withColumn("size", word_count(F.col("text"))).select("doc_id", "source", "size", F.xxhash64(F.lit(seed), "doc_id", "size", F.xxhash64("text")).alias("draw")), "mix-sizes"
     )
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
 
@@ -107,7 +107,8 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int
         end = np.cumsum(size)
         n = int(-(-end[-1] // block))
         quota, name = int(pdf.blocks[0]), f"{seed}/{pdf.source[0]}/{pdf.shard[0]}"
-        passes, rest = divmod(quota, n) if n else (0, 0)
+        passes = min(quota * block // int(end[-1]), most) if n else 0
+        rest = min(n, round((quota * block - passes * int(end[-1])) / block)) if n and passes < most else 0
         chosen = np.zeros(n, bool)
         chosen[np.random.default_rng(zlib.crc32(name.encode())).permutation(n)[:rest]] = True
         edges = np.minimum(np.arange(n + 1) * block, end[-1]) if n else np.zeros(1, np.int64)
@@ -135,7 +136,8 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     is such a column, is set to the new length.  Documents of which nothing is taken are left out."""
     plan = mix_plan(docs, **options).where("taken > 0").groupBy("draw").agg(F.collect_list("pieces").alias("_lists"))
     plan = plan.select(F.col("draw").alias("_plan"), F.posexplode("_lists").alias("_at", "_pieces"))
-    rows = sizes(docs).withColumn("_draw", F.xxhash64(F.lit(options.get("seed", 0)), "doc_id", "size", F.xxhash64("text"))).drop("size")
+    draw = F.xxhash64(F.lit(options.get("seed", 0)), F.col("doc_id"), word_count(F.col("text")), F.xxhash64("text"))
+    rows = docs.withColumn("_draw", draw)
     rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_draw").orderBy(F.lit(0))))  # of equal rows
     got = rows.join(plan, F.col("_draw") == F.col("_plan")).where(F.col("_nth") == F.col("_at") + 1)
     got = got.withColumn("_pass", F.explode(F.array_distinct(F.transform("_pieces", lambda p: p["copy"]))))
