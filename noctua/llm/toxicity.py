@@ -64,20 +64,16 @@ class BlockMaxIndex:
 
 
 def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A rising step function through (x, y) by pooling adjacent violators, each pool smoothed by one of each label."""
+    """Points of a rising curve through (x, y): adjacent violators are pooled, each pool is level from its first x to its
+    last and smoothed by half a row of each label; between pools the curve is straight."""
     pools: list[list[float]] = []
     for v, label in sorted(zip(x.tolist(), y.tolist(), strict=True)):
-        if pools and pools[-1][0] == v:
-            pools[-1][1] += label
-            pools[-1][2] += 1
-        else:
-            pools.append([v, label, 1])
-        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
-            v2, a, n = pools.pop()
-            pools[-1][1] += a
-            pools[-1][2] += n
-            pools[-1][0] = v2
-    return np.array([p[0] for p in pools]), np.array([(p[1] + 0.5) / (p[2] + 1) for p in pools])
+        pools.append([v, v, label, 1])
+        while len(pools) > 1 and (pools[-2][1] == pools[-1][0] or pools[-2][2] * pools[-1][3] >= pools[-1][2] * pools[-2][3]):
+            _, hi, a, n = pools.pop()
+            pools[-1][1:] = [hi, pools[-1][2] + a, pools[-1][3] + n]
+    value = [(a + 0.5) / (n + 1) for _, _, a, n in pools]
+    return np.array([e for p in pools for e in p[:2]]), np.array([v for v in value for _ in range(2)])
 
 
 class Model:
@@ -111,8 +107,7 @@ class Model:
         if not len(places) or not len(self.steps):
             return self.silent, []
         v, at = self.vote(*self.vector(places, counts))
-        step = min(int(np.searchsorted(self.steps, v)), len(self.values) - 1)
-        return float(self.values[step]), self.index.ids[at[:3]].tolist()
+        return float(np.interp(v, self.steps, self.values)), self.index.ids[at[:3]].tolist()
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
