@@ -92,8 +92,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
     Words are runs of digits, letters and characters beyond ASCII, A-Z lower-cased.  Base: places where a phrase's
     words stand in a row.  Method: every k-gram of the document that a template holds votes for the diagonal (document
     position minus template position); diagonals at most `slack` apart are merged, as a few words more or less shift
-    the rest of a passage.  A merged diagonal is verified if it covers at least `least` of the template's k-grams and
-    spans at most twice the template's words.  score: 1 with a base phrase, else the best cover.  A null text is empty;
+    the rest of a passage.  A merged diagonal is verified if its k-grams cover at least `least` of the template's words and
+    it spans at most twice as many.  score: 1 with a base phrase, else the best cover.  A null text is empty;
     texts without words have no labels and score 0; repeated rows give repeated results.
 
     Documents are scanned once, into a table of counts and hits; only hits are joined and grouped, by document and
@@ -115,9 +115,10 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
     runs = votes.withColumn("new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(by) > slack).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(by))
     passages = (
         runs.groupBy("key", "template", "label", "grams", "run")
-        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("covered"), F.min("lo").alias("lo"), (F.max("hi") + k).alias("hi"))
-        .withColumn("cover", F.col("covered") / F.col("grams"))
-        .withColumn("good", (F.col("cover") >= least) & (F.col("hi") - F.col("lo") <= 2 * (F.col("grams") + k)))
+        .agg(F.flatten(F.collect_list("places")).alias("places"), F.min("lo").alias("lo"), (F.max("hi") + k).alias("hi"))
+        .withColumn("covered", F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + k - 1))))))
+        .withColumn("cover", F.col("covered") / (F.col("grams") + k - 1))
+        .withColumn("good", (F.col("cover") >= least) & (F.col("hi") - F.col("lo") <= 2 * (F.col("grams") + k - 1)))
     )
     judged = passages.groupBy("key").agg(
         F.collect_list(F.when(F.col("good"), F.struct("label", F.col("lo").cast("long").alias("first_word"), F.col("hi").cast("long").alias("end_word"), "cover"))).alias("found"), F.max("cover").alias("best")
