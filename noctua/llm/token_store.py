@@ -309,7 +309,7 @@ def _unpack(batches: Iterator[pa.RecordBatch], code: Code) -> Iterator[pa.Record
             cut = np.concatenate(([0], np.cumsum(r["sizes"]))).astype(np.int32)
             n = len(r["sizes"])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(r["doc_ids"], pa.int64()), pa.array([r["file"]] * n, pa.int32()), pa.array(cut[:-1] + np.int64(r["before"])), pa.array(np.diff(cut).astype(np.int64)), pa.ListArray.from_arrays(cut, pa.array(ids))],
+                [pa.array(r["doc_ids"], pa.int64()), pa.array([r["file"]] * n, pa.int32()), pa.array(cut[:-1] + np.int64(r["before"])), pa.array(np.diff(cut).astype(np.int64)), pa.ListArray.from_arrays(cut, pa.array(ids.astype(np.int32)))],
                 ["doc_id", "file", "place", "n_tokens", "ids"],
             )
 
@@ -349,7 +349,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     blocks = spark.read.schema(BLOCK).parquet(f"{path}/blocks")
     ends = blocks.groupBy("file").agg(F.sum("n_ids").alias("n"))  # a row per file
     starts = ends.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("offset"))
-    docs = blocks.mapInArrow(lambda b: _unpack(b, code.value), "doc_id long, file int, place long, n_tokens long, ids array<long>")
+    docs = blocks.mapInArrow(lambda b: _unpack(b, code.value), "doc_id long, file int, place long, n_tokens long, ids array<int>")
     return docs.join(F.broadcast(starts), "file").select("doc_id", (F.col("offset") + F.col("place")).alias("start"), "n_tokens", "ids")
 
 
