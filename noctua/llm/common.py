@@ -6,8 +6,6 @@ depend on its number of rows.  A single very long text is one chunk of its own.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from noctua.session import shared_dir, written  # noqa: F401
+
 CHUNK_BYTES = 4 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -35,28 +35,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a fresh one of our own only where it is unset."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if kept.isDefined():
-            return kept.get()
-        place = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(place)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return place
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it again: its lineage ends there, so lost executors
-    cost no recomputation beyond the table."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit integers (the splitmix64 finisher)."""
     x = x.astype(np.uint64, copy=True)
