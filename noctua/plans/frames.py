@@ -457,7 +457,7 @@ def _(t: Tables):
 
 
 @query("j21_choose_convention", f"""WITH {POINTS}, d AS (SELECT f, unnest(['a', 'b']) AS c, unnest([x % 7, y % 5]) AS d FROM p), m AS (SELECT f, c, median(d) AS m FROM d GROUP BY 1, 2)
-SELECT CAST(f AS INTEGER) AS f, arg_min(c, (m, c)) AS convention, min(m) AS median_distance FROM m GROUP BY f""")
+SELECT CAST(f AS INTEGER) AS f, arg_min(c, (m, c)) AS convention, CAST(min(m) AS DOUBLE) AS median_distance FROM m GROUP BY f""")
 def _(t: Tables):
     p, _q = _points(t)
     d = p.select("f", F.explode(F.array(F.struct(F.lit("a").alias("convention"), (F.col("x") % 7).alias("d")), F.struct(F.lit("b").alias("convention"), (F.col("y") % 5).alias("d")))).alias("s")).select("f", "s.*")

@@ -78,7 +78,7 @@ def _(t: Tables):
 
 @query("g13_histogram", """
 WITH h AS (SELECT l_returnflag, CAST(least(floor(l_quantity / 5), 9) AS INTEGER) AS bin FROM lineitem WHERE l_quantity BETWEEN 0 AND 50)
-SELECT l_returnflag, bin, count(*) AS count, bin * 5.0 AS "left", round(log10(count(*)), 9) AS log10_count, round(count(*) / sum(count(*)) OVER (PARTITION BY l_returnflag) / 5, 9) AS density FROM h GROUP BY 1, 2
+SELECT l_returnflag, bin, count(*) AS count, bin * 5.0::DOUBLE AS "left", round(log10(count(*)), 9) AS log10_count, round(count(*) / sum(count(*)) OVER (PARTITION BY l_returnflag) / 5, 9) AS density FROM h GROUP BY 1, 2
 """)
 def _(t: Tables):
     return rounded(stats.histogram(t.lineitem, ["l_returnflag"], "l_quantity", 0.0, 50.0, 10, density=True), 9)
