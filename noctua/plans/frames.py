@@ -118,8 +118,8 @@ SELECT s_suppkey, round(s_acctbal / 100, 5) AS deg FROM supplier
 """)
 def _(t: Tables):
     x = F.col("s_acctbal") / 100
-    a = F.abs(x)
-    text = F.concat(F.when(x < 0, "-").otherwise("+"), F.format_string("%02d %02d %.6f", F.floor(a), F.floor((a - F.floor(a)) * 60), (a * 60 - F.floor(a * 60)) * 60))
+    s = F.round(F.abs(x) * 36000).cast("long")  # tenths of seconds
+    text = F.concat(F.when(x < 0, "-").otherwise("+"), F.format_string("%02d %02d %.1f", F.floor(s / 36000), F.floor(s % 36000 / 600), s % 600 / 10))
     return t.supplier.select("s_suppkey", r(S.sexagesimal(text), 5).alias("deg"))
 
 
@@ -237,11 +237,11 @@ def _(t: Tables):
 
 @query("g4_month_by_kind", """
 WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderstatus AS k, o_totalprice AS s FROM orders), u AS (SELECT * FROM m UNION ALL SELECT 'TOTAL', k, s FROM m)
-SELECT month, round(coalesce(sum(s) FILTER (k = 'F'), 0) / 3600, 4) AS "F", round(coalesce(sum(s) FILTER (k = 'O'), 0) / 3600, 4) AS "O", round(coalesce(sum(s) FILTER (k = 'P'), 0) / 3600, 4) AS "P" FROM u GROUP BY 1
+SELECT month, round(coalesce(sum(s) FILTER (k = 'F'), 0) / 3600, 2) AS "F", round(coalesce(sum(s) FILTER (k = 'O'), 0) / 3600, 2) AS "O", round(coalesce(sum(s) FILTER (k = 'P'), 0) / 3600, 2) AS "P" FROM u GROUP BY 1
 """)
 def _(t: Tables):
     x = t.orders.withColumn("month", S.month_key(F.col("o_orderdate")))
-    return rounded(sessions.month_by_kind(x, "month", "o_orderstatus", "o_totalprice", ["F", "O", "P"]), 4)
+    return rounded(sessions.month_by_kind(x, "month", "o_orderstatus", "o_totalprice", ["F", "O", "P"]), 2)
 
 
 @query("g5_user_formats", "SELECT o_orderpriority, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS fits, count(*) FILTER (o_orderstatus <> 'F') AS xisf, CAST(grouping(o_orderpriority) AS INTEGER) AS is_total FROM orders GROUP BY ROLLUP (o_orderpriority)")
