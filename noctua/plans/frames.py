@@ -114,13 +114,13 @@ def _(t: Tables):
 
 
 @query("p16_sexagesimal", """
-SELECT s_suppkey, round(s_acctbal / 100, 5) AS deg FROM supplier
+SELECT s_suppkey, round(s_acctbal / 100, 4) AS deg FROM supplier
 """)
 def _(t: Tables):
     x = F.col("s_acctbal") / 100
     s = F.round(F.abs(x) * 36000).cast("long")  # tenths of seconds
     text = F.concat(F.when(x < 0, "-").otherwise("+"), F.format_string("%02d %02d %.1f", F.floor(s / 36000), F.floor(s % 36000 / 600), s % 600 / 10))
-    return t.supplier.select("s_suppkey", r(S.sexagesimal(text), 5).alias("deg"))
+    return t.supplier.select("s_suppkey", r(S.sexagesimal(text), 4).alias("deg"))
 
 
 @query("p17_pointing_error", "SELECT l_orderkey, l_linenumber, round(sqrt(pow(l_tax / 24 * 360 * 3600, 2) + pow(l_discount * 3600, 2)), 6) AS arcsec FROM lineitem")
