@@ -144,7 +144,7 @@ class Tokenizer:
     each distinct piece is encoded by the library once and remembered by its hash, up to `keep` pieces; a text with
     characters that this might treat differently, with special tokens, or not in NFC, goes to the library whole."""
 
-    def __init__(self, path: str, keep: int = 1_000_000, table_bits: int = 22):
+    def __init__(self, path: str, keep: int = 500_000, table_bits: int = 21):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer as Library
 
@@ -255,7 +255,7 @@ def _tokenize(batches: Iterator[pa.RecordBatch], path: str, end: int, spool: Cod
     counts = np.zeros(max(tok.size, end + 1), np.int64)
     kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
     names = ["doc_id", "n", "bits", "marks", "counts"]
-    for batch in chunks(batches):
+    for batch in chunks(batches, size=1 << 21):
         ids = [np.append(x, np.uint32(end)) for x in tok.encode(batch.column("text").to_pylist())]
         counts += np.bincount(np.concatenate(ids), minlength=len(counts))
         coded = [spool.encode(x) for x in ids]
