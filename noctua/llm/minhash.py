@@ -14,6 +14,8 @@ from noctua.llm.common import WORDY, Words, chunks, mix, run_hashes, written
 #: Lowest rank cell is [0, FLOOR), each next one as wide as all before it.
 FLOOR = 0.125
 MAP_BITS = 23
+#: Members and shingles of a block of bucket members, two of which one task holds.
+BLOCK_MEMBERS, BLOCK_ELEMENTS = 512, 1 << 18
 
 
 def _poisson_table(area: float) -> np.ndarray:
@@ -135,6 +137,80 @@ def _elements(batches: Iterator[pa.RecordBatch], n: int, wanted: np.ndarray) ->
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(cut, pa.array(h.view(np.int64)))], ["doc_id", "elements"])
 
 
+def _common(elements: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Number of elements in common of each two of n sets, given as (element, owner) rows; an element that stands in one
+    set only counts nowhere."""
+    order = np.argsort(elements, kind="stable")
+    elements, owner = elements[order], owner[order]
+    first = np.flatnonzero(np.concatenate(([True], elements[1:] != elements[:-1])))
+    df = np.diff(np.append(first, len(elements)))
+    out = np.zeros((n, n), np.float32)
+    usual = np.flatnonzero(df > max(1, n // 16))
+    step = max(1, (1 << 20) // n)
+    for at in range(0, len(usual), step):  # elements of many sets as columns
+        u = usual[at : at + step]
+        k = df[u]
+        dense = np.zeros((n, len(u)), np.float32)
+        column = np.repeat(np.arange(len(u)), k)
+        dense[owner[np.repeat(first[u], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)], column] = 1
+        out += dense @ dense.T
+    rare = np.flatnonzero((df > 1) & (df <= max(1, n // 16)))
+    ends = np.cumsum(df[rare] ** 2)
+    at = 0
+    while at < len(rare):  # elements of few sets as pairs
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 19), side="right")))
+        u = rare[at:to]
+        k = df[u]
+        nth = np.arange((k * k).sum()) - np.repeat(np.cumsum(k * k) - k * k, k * k)
+        k, base = np.repeat(k, k * k), np.repeat(first[u], k * k)
+        out += np.bincount(owner[base + nth // k] * n + owner[base + nth % k], minlength=n * n).reshape(n, n)
+        at = to
+    return out
+
+
+def _linked(node: np.ndarray, named: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that join all that is linked among members of different classes of one or two blocks."""
+    if len(np.unique(named)) < 2:
+        return []
+    size = np.array([len(x) for x in sets])
+    same = _common(np.concatenate(sets), np.repeat(np.arange(len(sets)), size), len(sets)).astype(float)
+    linked = (same / (size[:, None] + size[None, :] - same) >= similarity) & (named[:, None] != named[None, :])
+    out, fresh = [], linked.any(1)
+    while fresh.any():  # a spanning forest
+        stack = [int(np.argmax(fresh))]
+        fresh[stack[0]] = False
+        while stack:
+            a = stack.pop()
+            to = np.flatnonzero(linked[a] & fresh)
+            fresh[to] = False
+            stack += to.tolist()
+            out += [(int(node[a]), b) for b in node[to].tolist()]
+    return out
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links of the members of each two blocks; rows come in the order of band, key, lo, hi."""
+    last, held = None, []
+
+    def give():
+        node, named, sets = zip(*held, strict=True)
+        links = _linked(np.array(node), np.array(named), list(sets), similarity)
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    for batch in batches:
+        elements = batch.column("elements")
+        cut, flat = elements.offsets.to_numpy(), elements.values.to_numpy()
+        rows = zip(*(batch.column(c).to_pylist() for c in ("band", "key", "lo", "hi", "node", "class")), strict=True)
+        for i, (*group, node, named) in enumerate(rows):
+            if group != last:
+                if held:
+                    yield give()
+                last, held = group, []
+            held.append((node, named, flat[cut[i] : cut[i + 1]].copy()))
+    if held:
+        yield give()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): node, root (the smallest node of its component).
 
@@ -169,9 +245,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     coordinates meet in `bands` joins (a pair at 0.8 is missed by all bands with probability 3e-5).  Inside a bucket all
     members are compared with a pivot, the member that meets most others, which is an original rather than one of its copies;
     at first one pivot for each member over all its buckets, then those whose classes
-    still differ; members outside the pivot's class go on to the next round with new pivots, more in each, until none is
-    left, so n near copies cost n comparisons and not n * n.  What joins a pivot's class leaves the bucket; a pair that
-    different pivots part in all their common buckets is the one kind of link that can be missed.
+    still differ; members outside the pivot's class go on to the next round with new pivots, more in each, as long as a
+    round halves them, so n near copies cost n comparisons and not n * n.  What joins a pivot's class leaves the bucket for
+    these rounds only: at the end, all members of a bucket that are of different classes are compared with each other, in
+    blocks of bounded size, so that every link between two members of a bucket is found.
     Verification is exact, on the shingles of documents that share a bucket; a bitmap of fixed size keeps other texts
     from being shingled and shuffled again.
     """
@@ -211,7 +288,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         return df.join(names.select(F.col("node").alias("_n"), F.col("root").alias("_r")), F.col(column) == F.col("_n"), "left").withColumn(root, F.coalesce("_r", column)).drop("_n", "_r")
 
     links = roots = None
-    step = 0
+    step, before = 0, held.count()
     while True:
         # each member first meets one pivot; where it is linked it takes over the pivot's name, four times on
         pairs = written(held.select("node", "pivot").distinct(), "pairs")
@@ -230,8 +307,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         # members of no pivot's class go on, with new pivots among themselves; pivots have met all others
         left = named(named(held, roots, "node", "cn"), roots, "pivot", "cp").groupBy("band", "key", "node").agg(F.max(((F.col("cn") == F.col("cp")) | F.col("also")).cast("int")).alias("done")).where("done = 0")
         left = written(left.select("band", "key", "node"), "residue")
-        if left.isEmpty():
+        rest = left.count()
+        if not rest or 2 * rest > before:  # more pivots would save little
             break
+        before = rest
         step, pivots = step + 1, min(64, pivots * 8)
         slots = F.pmod(F.xxhash64(F.lit(step), "band", "key", "node"), F.lit(pivots))
         chosen = left.groupBy("band", "key", slots.alias("slot")).agg(F.min(F.struct(F.xxhash64(F.lit(step), "node"), "node")).alias("p")).select("band", "key", F.col("p.node").alias("pivot"))
@@ -241,6 +320,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         held = written(held.join(is_pivot, ["band", "key", "node"], "left").where("also is null or node > pivot").select("band", "key", "node", "pivot", F.coalesce("also", F.lit(False)).alias("also")), "buckets")
         if held.isEmpty():
             break
+
+    # pairs that no pivot joined: members of different classes of one bucket (in buckets of two they have met), in blocks.
+    # The members of a bucket's largest class meet the others only; all others meet each other too.
+    at = named(shared.where("n > 2").select("band", "key", "node"), roots, "node", "class")
+    by = at.join(sets.select(F.col("doc_id").alias("node"), F.size("elements").alias("size")), "node").groupBy("band", "key", "class").agg(F.count("*").alias("m"), F.sum("size").alias("size"))
+    most = by.groupBy("band", "key").agg(F.count("*").alias("classes"), F.max(F.struct("m", "size", "class")).alias("home"), F.sum("m").alias("m"), F.sum("size").alias("size")).where("classes > 1")
+    blocks = lambda m, size: F.greatest(F.ceil(m / BLOCK_MEMBERS), F.ceil(size / BLOCK_ELEMENTS)).cast("int")
+    most = written(most.select("band", "key", F.col("home.class").alias("home"), blocks(F.col("home.m"), F.col("home.size")).alias("homes"), blocks(F.col("m") - F.col("home.m"), F.col("size") - F.col("home.size")).alias("others")), "mixed")
+    if not most.isEmpty():
+        at_home, spread = F.col("class") == F.col("home"), F.xxhash64("node", "band")
+        met = at.join(most, ["band", "key"]).withColumn("block", F.when(at_home, F.col("others") + F.pmod(spread, "homes")).otherwise(F.pmod(spread, "others")).cast("int"))
+        met = met.select("band", "key", "node", "class", "block", F.when(at_home, F.col("others") - 1).otherwise(F.col("others") + F.col("homes") - 1).alias("last"))
+        met = met.join(sets.withColumnRenamed("doc_id", "node"), "node").withColumn("with", F.explode(F.sequence(F.lit(0), "last"))).drop("last")
+        met = met.select("band", "key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "node", "class", "elements")
+        met = met.repartition("band", "key", "lo", "hi").sortWithinPartitions("band", "key", "lo", "hi")
+        links = links.union(written(met.mapInArrow(lambda b: _blocks(b, similarity), "a long, b long"), "links"))
+        roots = written(components(links), "classes")
     rowed = signed.select("doc_id", "hi", "lo").join(copies.select("hi", "lo", "node"), ["hi", "lo"])
     return rowed.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("class_id"))
 

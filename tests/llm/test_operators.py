@@ -230,6 +230,34 @@ def test_components_of_a_long_path(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+def test_near_duplicates_of_copies_of_copies_with_mixed_edits(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    made = []
+    for g in range(10):  # 81 shingles, 101 (0.802 to these), and a family of 102 and more (0.794 to them), which the pivot is of
+        w = [f"g{g}w{i}" for i in range(106)]
+        made += [w[:85], w[:105], w, *([*w, f"u{g}n{k}"] for k in range(8))]
+    for _ in range(60):  # edits of all strengths
+        w = list(made[int(rng.integers(0, len(made)))])
+        for at in rng.integers(0, len(w), int(rng.integers(1, 9))):
+            w[at] = f"n{rng.integers(0, 10**6)}"
+        made.append(w)
+    rows = [(i, " ".join(w)) for i, w in enumerate(made)]
+    want = _classes(rows)
+    assert 10 < len(set(want.values())) < len(rows)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(d).collect()} == want
+    monkeypatch.setattr(minhash, "BLOCK_MEMBERS", 8)
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(d).collect()} == want
+
+
+def test_numbers_of_common_elements():
+    rng = np.random.default_rng(5)
+    for n, most in ((1, 50), (3, 40), (80, 60), (80, 3000)):
+        sets = [np.unique(rng.integers(0, most, 40)).astype(np.int64) for _ in range(n)]
+        got = minhash._common(np.concatenate(sets), np.repeat(np.arange(n), [len(x) for x in sets]), n)
+        assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(n) for j in range(i))
+
+
 # --- 5 --------------------------------------------------------------------------------------------------------------------
 
 
