@@ -11,7 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from noctua.session import shared_dir, written  # noqa: F401
 
@@ -35,6 +36,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """The doc_id, and for rows without one a hash of the text from 2^62 up, so that different texts are told apart."""
+    hashed = F.xxhash64(F.col(text).cast("string")).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    return F.coalesce(F.col(doc_id).cast("long"), hashed)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit integers (the splitmix64 finisher)."""
     x = x.astype(np.uint64, copy=True)

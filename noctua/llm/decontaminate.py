@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noctua.llm.common import WORDY, Lookup, Words, chunks, run_hashes, written
+from noctua.llm.common import WORDY, Lookup, Words, chunks, row_key, run_hashes, written
 
 SCHEMA = "doc_id long, item_id long, distance int, budget int, first_word long, end_word long, item_words int"
 
@@ -128,8 +128,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, min_wor
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the documents that hold a benchmark item.  Rows without a doc_id are kept only if no such row leaks.
+    """docs without the documents that hold a benchmark item.  Of the rows without a doc_id,
+    those go whose text leaks.
 
-    The leaking ids are written first; they are few next to the documents."""
-    leaks = written(find_leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
-    return docs.join(leaks, docs["doc_id"].cast("long").eqNullSafe(leaks["_leak"]), "left_anti")
+    The leaking keys are written first; they are few next to the documents."""
+    keyed = docs.withColumn("_key", row_key())
+    leaks = written(find_leaks(keyed.select(F.col("_key").alias("doc_id"), "text"), benchmark, **options).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
+    return keyed.join(leaks, keyed["_key"] == leaks["_leak"], "left_anti").drop("_key")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noctua.llm.common import WORDY, Words, chunks, mix, run_hashes, written
+from noctua.llm.common import WORDY, Words, chunks, mix, row_key, run_hashes, written
 
 #: Lowest rank cell is [0, FLOOR), each next one as wide as all before it.
 FLOOR = 0.125
@@ -115,8 +115,8 @@ def _sign(batches: Iterator[pa.RecordBatch], n: int, bands: int, rows: int) -> I
         hi = run_hashes(words.hash, words.first[:-1], words.first[1:])
         lo = run_hashes(mix(words.hash ^ np.uint64(0x5BD1E995)), words.first[:-1], words.first[1:])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.ListArray.from_arrays(cut, pa.array(keys[some].ravel().view(np.int64)))],
-            ["doc_id", "hi", "lo", "bands"],
+            [batch.column("doc_id"), batch.column("no_id"), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.ListArray.from_arrays(cut, pa.array(keys[some].ravel().view(np.int64)))],
+            ["doc_id", "no_id", "hi", "lo", "bands"],
         )
 
 
@@ -233,30 +233,13 @@ def components(edges: DataFrame) -> DataFrame:
     return names.join(names.groupBy("at").agg(F.min("node").alias("root")), "at").select("node", "root")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 26, rows: int = 5, pivots: int = 1) -> DataFrame:
-    """For each row of docs: doc_id, class_id, the smallest doc_id of its class.
-
-    Documents with the same words (runs of letters and digits, lower-cased) in the same order are copies.  Two different
-    texts are linked if the weighted Jaccard similarity of their `shingle`-word shingles, weighted by count, is at least
-    `similarity`, and classes are the connected components.  Texts without words are copies of each other; so are rows
-    that share a doc_id.  A row with a null doc_id takes the class of its copies, else null.
-
-    Copies are folded first, so one text is signed and compared once however often it stands.  Band keys of `rows`
-    coordinates meet in `bands` joins (a pair at 0.8 is missed by all bands with probability 3e-5).  Inside a bucket all
-    members are compared with a pivot, the member that meets most others, which is an original rather than one of its copies;
-    at first one pivot for each member over all its buckets, then those whose classes
-    still differ; members outside the pivot's class go on to the next round with new pivots, more in each, as long as a
-    round halves them, so n near copies cost n comparisons and not n * n.  What joins a pivot's class leaves the bucket for
-    these rounds only: at the end, all members of a bucket that are of different classes are compared with each other, in
-    blocks of bounded size, so that every link between two members of a bucket is found.
-    Verification is exact, on the shingles of documents that share a bucket; a bitmap of fixed size keeps other texts
-    from being shingled and shuffled again.
-    """
+def _keyed_classes(docs: DataFrame, shingle: int, similarity: float, bands: int, rows: int, pivots: int) -> DataFrame:
+    """near_duplicates with the keys of rows in place of doc_id and class_id, and whether a row has no doc_id."""
     spark = docs.sparkSession
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = written(source.mapInArrow(lambda b: _sign(b, shingle, bands, rows), "doc_id long, hi long, lo long, bands array<long>"), "signed")
+    source = docs.select(row_key().alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").isNull().alias("no_id"))
+    signed = written(source.mapInArrow(lambda b: _sign(b, shingle, bands, rows), "doc_id long, no_id boolean, hi long, lo long, bands array<long>"), "signed")
     copies = written(signed.groupBy("hi", "lo").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "copies")
-    own = signed.where("doc_id is not null").join(copies.select("hi", "lo", "node"), ["hi", "lo"]).where("doc_id = node").dropDuplicates(["hi", "lo", "node"])
+    own = signed.join(copies.select("hi", "lo", "node"), ["hi", "lo"]).where("doc_id = node").dropDuplicates(["hi", "lo", "node"])
     banded = own.select("node", F.posexplode("bands").alias("band", "key"))
     full = banded.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     shared = written(banded.join(full, ["band", "key"]).select("band", "key", "node", "n"), "buckets")
@@ -272,7 +255,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     bitmap[cells.cell.to_numpy(np.int64)] = cells.bits.to_numpy(np.int64).view(np.uint64)
     wanted = np.unpackbits(bitmap.view(np.uint8), bitorder="little").astype(bool)
     sent = spark.sparkContext.broadcast(wanted)
-    texts = source.where("doc_id is not null").withColumn("bit", bit("doc_id"))
+    texts = source.withColumn("bit", bit("doc_id"))
     sets = texts.mapInArrow(lambda b: _elements(b, shingle, sent.value), "doc_id long, elements array<long>")
     sets = written(sets.join(some, sets["doc_id"] == some["node"], "left_semi").dropDuplicates(["doc_id"]), "shingles")
 
@@ -337,13 +320,40 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         met = met.repartition("band", "key", "lo", "hi").sortWithinPartitions("band", "key", "lo", "hi")
         links = links.union(written(met.mapInArrow(lambda b: _blocks(b, similarity), "a long, b long"), "links"))
         roots = written(components(links), "classes")
-    rowed = signed.select("doc_id", "hi", "lo").join(copies.select("hi", "lo", "node"), ["hi", "lo"])
-    return rowed.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("class_id"))
+    rowed = signed.select("doc_id", "no_id", "hi", "lo").join(copies.select("hi", "lo", "node"), ["hi", "lo"])
+    return rowed.join(roots, "node", "left").select("doc_id", "no_id", F.coalesce("root", "node").alias("class_id"))
 
 
-def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each class, the one with the smallest doc_id.  Rows without a doc_id stay only if no
-    other row has their text; the kept ids are written first."""
-    classes = near_duplicates(docs, **options)
-    kept = written(classes.where("doc_id = class_id or class_id is null").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id"])
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 26, rows: int = 5, pivots: int = 1) -> DataFrame:
+    """For each row of docs: doc_id, class_id, the smallest doc_id of its class.
+
+    Documents with the same words (runs of letters and digits, lower-cased) in the same order are copies.  Two different
+    texts are linked if the weighted Jaccard similarity of their `shingle`-word shingles, weighted by count, is at least
+    `similarity`, and classes are the connected components.  Texts without words are copies of each other; so are rows
+    that share a doc_id.  A row with a null doc_id is compared like others and takes the class of its copies and near copies,
+    or null if none of these has a doc_id.
+
+    Copies are folded first, so one text is signed and compared once however often it stands.  Band keys of `rows`
+    coordinates meet in `bands` joins (a pair at 0.8 is missed by all bands with probability 3e-5).  Inside a bucket all
+    members are compared with a pivot, the member that meets most others, which is an original rather than one of its copies;
+    at first one pivot for each member over all its buckets, then those whose classes
+    still differ; members outside the pivot's class go on to the next round with new pivots, more in each, as long as a
+    round halves them, so n near copies cost n comparisons and not n * n.  What joins a pivot's class leaves the bucket for
+    these rounds only: at the end, all members of a bucket that are of different classes are compared with each other, in
+    blocks of bounded size, so that every link between two members of a bucket is found.
+    Verification is exact, on the shingles of documents that share a bucket; a bitmap of fixed size keeps other texts
+    from being shingled and shuffled again.
+    """
+    got = written(_keyed_classes(docs, shingle, similarity, bands, rows, pivots), "keyed")
+    unnamed = got.where("no_id").select(F.col("doc_id").alias("_key")).distinct()
+    got = got.join(unnamed, got["class_id"] == unnamed["_key"], "left")
+    return got.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), F.when(F.col("_key").isNull(), F.col("class_id")).alias("class_id"))
+
+
+def without_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 26, rows: int = 5, pivots: int = 1) -> DataFrame:
+    """docs with one document of each class, the one with the smallest doc_id.  Rows without a doc_id stay, one for each
+    class, where no row of their class has one; the kept keys are written first."""
+    classes = _keyed_classes(docs, shingle, similarity, bands, rows, pivots)
+    kept = written(classes.where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
+    keyed = docs.withColumn("_key", row_key())
+    return keyed.join(kept, keyed["_key"] == kept["_kept"], "left_semi").dropDuplicates(["_key"]).drop("_key")

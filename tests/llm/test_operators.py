@@ -250,6 +250,17 @@ def test_near_duplicates_of_copies_of_copies_with_mixed_edits(spark, monkeypatch
     assert {r.doc_id: r.class_id for r in minhash.near_duplicates(d).collect()} == want
 
 
+def test_rows_without_an_id_are_told_apart(spark):
+    one, two, leak = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    d = spark.createDataFrame([(None, one), (None, two), (None, one), (None, one + " more"), (None, leak), (1, two)], "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in minhash.without_near_duplicates(d).collect()]
+    assert len(kept) == 3 and (1, two) in kept and (None, leak) in kept and ((None, one) in kept) != ((None, one + " more") in kept)
+    got = Counter((r.doc_id, r.class_id) for r in minhash.near_duplicates(d).collect())
+    assert got == {(None, None): 4, (None, 1): 1, (1, 1): 1}
+    clean = decontaminate.without_leaks(d, spark.createDataFrame([(7, leak)], "item_id long, text string"))
+    assert clean.columns == d.columns and sorted(r.text for r in clean.collect()) == sorted([one, two, one, one + " more", two])
+
+
 def test_numbers_of_common_elements():
     rng = np.random.default_rng(5)
     for n, most in ((1, 50), (3, 40), (80, 60), (80, 3000)):
