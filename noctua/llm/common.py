@@ -1,7 +1,7 @@
 """Helpers that the corpus operators share: reading tables, cutting lineage, and splitting texts into hashed words.
 
-Words are handled as 64-bit hashes in NumPy arrays, a few megabytes of text at a time, so that a task's memory does not
-depend on its number of rows.  A single very long text is one chunk of its own.
+Words are handled as 64-bit hashes in NumPy arrays, a megabyte of text at a time, so that a task's memory does not depend
+on its number of rows.  A single very long text is one chunk of its own, of which a task holds about twelve bytes a byte.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from noctua.session import shared_dir, written  # noqa: F401
 
-CHUNK_BYTES = 4 << 20
+#: Text and rows of a slice, which bound what a task holds at once.
+CHUNK_BYTES, CHUNK_ROWS = 1 << 20, 4096
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -29,7 +30,9 @@ WORDY[48:58] = WORDY[65:91] = WORDY[97:123] = WORDY[128:] = True
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_POWERS: list[np.ndarray] = []
+#: Codes of which one step of hashing makes running sums.
+BLOCK = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,30 +57,47 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+_LOWER_CODE = _BYTE_CODE[_LOWER]
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(12, int(n).bit_length())
-    if size not in _POWERS:
-        if len(_POWERS) > 4:
-            _POWERS.clear()
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, for two blocks; made once a process."""
+    if not _POWERS:
         with np.errstate(over="ignore"):
-            up, down = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
-            up[0] = down[0] = 1
-            _POWERS[size] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-    return _POWERS[size]
-
-
-def run_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each slice codes[start:end], from one pass of running sums; equal slices hash alike."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(len(codes) + 1)
-    sums = np.empty(len(codes) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(codes * up[: len(codes)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(np.uint64))
+            for base in (_BASE, _INVERSE):
+                table = np.full(2 * BLOCK + 1, base, np.uint64)
+                table[0] = 1
+                _POWERS.append(np.multiply.accumulate(table))
+    return _POWERS[0], _POWERS[1]
+
+
+def run_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each slice codes[start:end] (or table[codes[start:end]]); equal slices hash alike.  starts rise.
+
+    Running sums go over blocks of a fixed size, so that memory beyond the arguments does not follow their length; a
+    slice that leaves its block goes on from block to block."""
+    up, down = _powers()
+    out = np.zeros(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        lo = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(starts, lo + BLOCK)))
+        top = min(int(ends[at:to].max()), lo + 2 * BLOCK)
+        sums = _sums(codes[lo:top], table, up)
+        s = starts[at:to] - lo
+        out[at:to] = (sums[np.minimum(ends[at:to], top) - lo] - sums[s]) * down[s]
+        for i in at + np.flatnonzero(ends[at:to] > top):
+            for more in range(top, int(ends[i]), BLOCK):
+                rest = _sums(codes[more : min(more + BLOCK, int(ends[i]))], table, up)[-1:]
+                out[i : i + 1] += rest * np.uint64(pow(int(_BASE), more - int(starts[i]), 1 << 64))
+        at = to
+    return mix(out + (ends - starts).astype(np.uint64))
+
+
+def _sums(codes: np.ndarray, table: np.ndarray | None, up: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum((codes if table is None else table[codes]) * up[: len(codes)], out=sums[1:])
+    return sums
 
 
 class Words:
@@ -94,15 +114,21 @@ class Words:
         raw = texts.buffers()[2] if len(texts) else None
         data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
         self.offsets = offsets - offsets[0]
-        self.data = _LOWER[data] if lower else data
-        inside = kind[self.data]
-        edge = np.zeros(len(data) + 1, bool)
-        edge[self.offsets] = True
-        before = np.concatenate(([False], inside[:-1])) & ~edge[:-1]
-        after = np.concatenate((inside[1:], [False])) & ~edge[1:]
-        self.start = np.flatnonzero(inside & ~before)
-        self.end = np.flatnonzero(inside & ~after) + 1
-        self.hash = run_hashes(_BYTE_CODE[self.data], self.start, self.end)
+        self.data = data
+        starts, ends = [], []
+        for lo in range(0, len(data), BLOCK):  # flags of a byte each, for a block and a byte on either side
+            hi = min(lo + BLOCK, len(data))
+            inside = np.zeros(hi - lo + 2, bool)
+            a, b = max(lo - 1, 0), min(hi + 1, len(data))
+            inside[a - lo + 1 : b - lo + 1] = kind[data[a:b]]
+            edge = np.zeros(hi - lo + 1, bool)
+            own = self.offsets[np.searchsorted(self.offsets, lo) : np.searchsorted(self.offsets, hi, side="right")]
+            edge[own - lo] = True
+            here = inside[1:-1]
+            starts.append(lo + np.flatnonzero(here & (~inside[:-2] | edge[:-1])))
+            ends.append(lo + 1 + np.flatnonzero(here & (~inside[2:] | edge[1:])))
+        self.start, self.end = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, ends))
+        self.hash = run_hashes(self.data, self.start, self.end, _LOWER_CODE if lower else _BYTE_CODE)
         self.first = np.searchsorted(self.start, self.offsets)
 
     def __len__(self) -> int:
@@ -124,8 +150,9 @@ def word_hash(word: str) -> int:
     return int(run_hashes(code, np.array([0]), np.array([len(code)]))[0])
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of at most `size` bytes of text, or of one row."""
+def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = CHUNK_BYTES, rows: int = CHUNK_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of at most `rows` rows and `size` bytes of text, or of one row.  What Arrow holds back goes
+    to the system at the end, since a worker lives on for other stages."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -134,9 +161,10 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
         at = 0
         while at < batch.num_rows:
             base = total[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(total, base + size, side="right")))
+            to = max(at + 1, min(at + rows, int(np.searchsorted(total, base + size, side="right"))))
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()
 
 
 class Lookup:

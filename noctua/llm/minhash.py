@@ -9,12 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noctua.llm.common import WORDY, Words, chunks, mix, row_key, run_hashes, written
+from noctua.llm.common import WORDY, Words, chunks, mix, run_hashes, written
 
 #: Lowest rank cell is [0, FLOOR), each next one as wide as all before it.
 FLOOR = 0.125
-MAP_BITS = 23
-#: Members and shingles of a block of bucket members, two of which one task holds.
+#: Documents that are signed at once (each throws about 900 darts), and elements whose darts are thrown at once.
+SIGN_ROWS, STEP = 512, 1 << 16
+#: Most bits of the bitmap of texts to be shingled; beyond an eighth of as many texts it lets more others through.
+MAP_BITS = 27
+#: Members and shingles of a block of group members, two of which one task holds.
 BLOCK_MEMBERS, BLOCK_ELEMENTS = 512, 1 << 18
 
 
@@ -31,6 +34,39 @@ def _uniform(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(11)).astype(float) * 2.0**-53
 
 
+def _throw(best: np.ndarray, d: np.ndarray, e: np.ndarray, w: np.ndarray, r: np.ndarray, k: int, seed: int) -> None:
+    """Throw the darts of elements e of documents d up to weights w and ranks r; best keeps the earliest of each slot."""
+    low_w, width, nu = 0.0, 1.0, 0
+    while len(d):
+        low_r, height, rho = 0.0, FLOOR, 0
+        dd, ee, ww, rr = d, e, w, r
+        while len(dd):
+            area = width * height
+            cell = mix(ee + np.uint64(((seed * 64 + nu) * 64 + rho + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+            if area not in _TABLES:
+                _TABLES[area] = _poisson_table(area)
+            count = np.searchsorted(_TABLES[area], _uniform(cell), side="right")
+            has = np.flatnonzero(count)
+            n = count[has]
+            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            src = np.repeat(has, n)
+            dart = mix(cell[src] + (nth.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+            at_r = low_r + height * _uniform(mix(dart ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
+            at_w = low_w + width * _uniform(dart)
+            ok = (at_w < ww[src]) & (at_r < rr[src])
+            dart, at_r, owner = dart[ok], at_r[ok], dd[src[ok]]
+            slot = (mix(dart + np.uint64(7)) >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)
+            # rank in the high half (in single precision, whose bits order like the numbers), dart in the low half
+            packed = (at_r.astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32)) | (dart & np.uint64(0xFFFFFFFF))
+            np.minimum.at(best, owner * k + slot.astype(np.int64), packed)
+            low_r, height, rho = low_r + height, (height if rho == 0 else height * 2), rho + 1
+            further = rr > low_r
+            dd, ee, ww, rr = dd[further], ee[further], ww[further], rr[further]
+        low_w, width, nu = low_w + width, (width if nu == 0 else width * 2), nu + 1
+        more = w > low_w
+        d, e, w, r = d[more], e[more], w[more], r[more]
+
+
 def dart_signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs: int, k: int, seed: int = 0) -> np.ndarray:
     """Signatures (n_docs x k) of weighted sets given as (doc, element hash, weight) rows; two sets agree in a
     coordinate with the probability of their weighted Jaccard similarity.
@@ -50,36 +86,8 @@ def dart_signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_
         d, e, w = doc[mine], element[mine], weight[mine]
         r = reach[d]
         best = np.full(n_docs * k, np.uint64(0xFFFFFFFFFFFFFFFF))
-        low_w, width = 0.0, 1.0
-        nu = 0
-        while len(d):
-            low_r, height, rho = 0.0, FLOOR, 0
-            dd, ee, ww, rr = d, e, w, r
-            while len(dd):
-                area = width * height
-                cell = mix(ee + np.uint64(((seed * 64 + nu) * 64 + rho + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-                if area not in _TABLES:
-                    _TABLES[area] = _poisson_table(area)
-                count = np.searchsorted(_TABLES[area], _uniform(cell), side="right")
-                has = np.flatnonzero(count)
-                n = count[has]
-                nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                src = np.repeat(has, n)
-                dart = mix(cell[src] + (nth.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
-                at_r = low_r + height * _uniform(mix(dart ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
-                at_w = low_w + width * _uniform(dart)
-                ok = (at_w < ww[src]) & (at_r < rr[src])
-                dart, at_r, owner = dart[ok], at_r[ok], dd[src[ok]]
-                slot = (mix(dart + np.uint64(7)) >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)
-                # rank in the high half (in single precision, whose bits order like the numbers), dart in the low half
-                packed = (at_r.astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32)) | (dart & np.uint64(0xFFFFFFFF))
-                np.minimum.at(best, owner * k + slot.astype(np.int64), packed)
-                low_r, height, rho = low_r + height, (height if rho == 0 else height * 2), rho + 1
-                further = rr > low_r
-                dd, ee, ww, rr = dd[further], ee[further], ww[further], rr[further]
-            low_w, width, nu = low_w + width, (width if nu == 0 else width * 2), nu + 1
-            more = w > low_w
-            d, e, w, r = d[more], e[more], w[more], r[more]
+        for at in range(0, len(d), STEP):
+            _throw(best, d[at : at + STEP], e[at : at + STEP], w[at : at + STEP], r[at : at + STEP], k, seed)
         best = best.reshape(n_docs, k)
         full = todo & (best != np.uint64(0xFFFFFFFFFFFFFFFF)).all(1)
         out[full] = best[full]
@@ -89,52 +97,65 @@ def dart_signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_
 
 
 def _shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, shingle) of each n words in a row; a text of fewer words is one shingle."""
+    """(document, shingle) of each n words in a row, by document and shingle; a text of fewer words is one shingle."""
     at, h = words.grams(n)
     doc = words.text_of_word()[at] if len(at) else np.zeros(0, np.int64)
     sizes = np.diff(words.first)
     short = np.flatnonzero((sizes > 0) & (sizes < n))
-    return np.concatenate((doc, short)), np.concatenate((h, run_hashes(words.hash, words.first[short], words.first[short + 1])))
+    doc, h = np.concatenate((doc, short)), np.concatenate((h, run_hashes(words.hash, words.first[short], words.first[short + 1])))
+    order = np.lexsort((h, doc))
+    return doc[order], h[order]
+
+
+def _firsts(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])))) if len(doc) else np.zeros(0, np.int64)
+
+
+def _nodes(words: Words) -> np.ndarray:
+    """The hash of each text's words, its name among texts."""
+    return run_hashes(words.hash, words.first[:-1], words.first[1:]).view(np.int64)
 
 
 def _sign(batches: Iterator[pa.RecordBatch], n: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches):
+    for batch in chunks(batches, rows=SIGN_ROWS):
         words = Words(batch.column("text"), WORDY, "unicode")
         doc, h = _shingles(words, n)
-        order = np.lexsort((h, doc))
-        doc, h = doc[order], h[order]
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
-        first = np.flatnonzero(new)
-        weight = np.diff(np.concatenate((first, [len(doc)]))).astype(float)
+        first = _firsts(doc, h)
+        weight = np.diff(np.append(first, len(doc))).astype(float)
         sig = dart_signatures(doc[first], h[first], weight, len(words), bands * rows)
-        keys = [run_hashes(mix(sig[:, b * rows : (b + 1) * rows]).ravel() + np.uint64(b), np.arange(len(sig)) * rows, (np.arange(len(sig)) + 1) * rows) for b in range(bands)]
-        keys = np.stack(keys, 1) if len(sig) else np.zeros((0, bands), np.uint64)
+        at = np.arange(len(sig)) * rows
+        keys = np.stack([run_hashes(mix(sig[:, b * rows : (b + 1) * rows]).ravel() + np.uint64(b), at, at + rows) for b in range(bands)], 1)
         some = words.first[1:] > words.first[:-1]
         cut = np.concatenate(([0], np.cumsum(np.where(some, bands, 0)))).astype(np.int32)
-        hi = run_hashes(words.hash, words.first[:-1], words.first[1:])
-        lo = run_hashes(mix(words.hash ^ np.uint64(0x5BD1E995)), words.first[:-1], words.first[1:])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("no_id"), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.ListArray.from_arrays(cut, pa.array(keys[some].ravel().view(np.int64)))],
-            ["doc_id", "no_id", "hi", "lo", "bands"],
+            [batch.column("doc_id"), batch.column("text_hash"), pa.array(_nodes(words)), pa.ListArray.from_arrays(cut, pa.array(keys[some].ravel().view(np.int64)))],
+            ["doc_id", "text_hash", "node", "bands"],
         )
 
 
-def _elements(batches: Iterator[pa.RecordBatch], n: int, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Shingles of the documents whose bit is set; the c-th copy of a shingle is an element of its own, so that sets of
-    elements have the weighted Jaccard similarity of the shingles."""
-    for batch in chunks(b.filter(pa.array(wanted[b.column("bit").to_numpy()])) for b in batches if b.num_rows):
+def _elements(batches: Iterator[pa.RecordBatch], n: int, wanted: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """Shingles of the texts whose bit is set, one text once a task; the c-th copy of a shingle is an element of its own,
+    so that sets of elements have the weighted Jaccard similarity of the shingles."""
+    given: set[int] = set()
+
+    def fresh() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column("text_hash").to_numpy()
+            at = h & ((1 << bits) - 1)
+            asked = np.flatnonzero(wanted[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            _, first = np.unique(h[asked], return_index=True)
+            here = [i for i in np.sort(asked[first]).tolist() if int(h[i]) not in given]
+            given.update(h[here].tolist())
+            yield batch.take(pa.array(here, pa.int64()))
+
+    for batch in chunks(fresh()):
         words = Words(batch.column("text"), WORDY, "unicode")
         doc, h = _shingles(words, n)
-        order = np.lexsort((h, doc))
-        doc, h = doc[order], h[order]
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
-        first = np.flatnonzero(new)
-        copy = np.arange(len(doc)) - np.repeat(first, np.diff(np.concatenate((first, [len(doc)]))))
+        first = _firsts(doc, h)
+        copy = np.arange(len(doc)) - np.repeat(first, np.diff(np.append(first, len(doc))))
         h = np.where(copy > 0, mix(h + copy.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), h)
         cut = np.searchsorted(doc, np.arange(len(words) + 1)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(cut, pa.array(h.view(np.int64)))], ["doc_id", "elements"])
+        yield pa.RecordBatch.from_arrays([pa.array(_nodes(words)), pa.ListArray.from_arrays(cut, pa.array(h.view(np.int64)))], ["node", "elements"])
 
 
 def _common(elements: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -189,7 +210,7 @@ def _linked(node: np.ndarray, named: np.ndarray, sets: list[np.ndarray], similar
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Links of the members of each two blocks; rows come in the order of band, key, lo, hi."""
+    """Links of the members of each two blocks; rows come in the order of host, lo, hi."""
     last, held = None, []
 
     def give():
@@ -200,7 +221,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
     for batch in batches:
         elements = batch.column("elements")
         cut, flat = elements.offsets.to_numpy(), elements.values.to_numpy()
-        rows = zip(*(batch.column(c).to_pylist() for c in ("band", "key", "lo", "hi", "node", "class")), strict=True)
+        rows = zip(*(batch.column(c).to_pylist() for c in ("host", "lo", "hi", "node", "class")), strict=True)
         for i, (*group, node, named) in enumerate(rows):
             if group != last:
                 if held:
@@ -233,127 +254,100 @@ def components(edges: DataFrame) -> DataFrame:
     return names.join(names.groupBy("at").agg(F.min("node").alias("root")), "at").select("node", "root")
 
 
-def _keyed_classes(docs: DataFrame, shingle: int, similarity: float, bands: int, rows: int, pivots: int) -> DataFrame:
-    """near_duplicates with the keys of rows in place of doc_id and class_id, and whether a row has no doc_id."""
+def _bitmap(hashes: DataFrame) -> tuple[np.ndarray, int]:
+    """A bitmap of these 64-bit hashes by their low bits, of at most 2 ** MAP_BITS bits, and its number of bits."""
+    bits = min(MAP_BITS, max(16, (8 * hashes.count()).bit_length()))
+    low = hashes.select(F.col(hashes.columns[0]).bitwiseAND(F.lit((1 << bits) - 1)).alias("bit"))
+    cells = low.groupBy(F.shiftright("bit", 6).alias("cell")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[cells["cell"].to_numpy()] = cells["bits"].to_numpy().view(np.uint64)
+    return out.view(np.uint8), bits
+
+
+def _classes(docs: DataFrame, shingle: int, similarity: float, bands: int, rows: int) -> DataFrame:
+    """doc_id, text_hash (xxhash64 of the text), class and the smallest doc_id of the class, for each row of docs."""
     spark = docs.sparkSession
-    source = docs.select(row_key().alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").isNull().alias("no_id"))
-    signed = written(source.mapInArrow(lambda b: _sign(b, shingle, bands, rows), "doc_id long, no_id boolean, hi long, lo long, bands array<long>"), "signed")
-    copies = written(signed.groupBy("hi", "lo").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "copies")
-    own = signed.join(copies.select("hi", "lo", "node"), ["hi", "lo"]).where("doc_id = node").dropDuplicates(["hi", "lo", "node"])
-    banded = own.select("node", F.posexplode("bands").alias("band", "key"))
-    full = banded.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(banded.join(full, ["band", "key"]).select("band", "key", "node", "n"), "buckets")
-    # the member that meets most others over all its buckets comes first: an original rather than one of its copies
-    weight = written(shared.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
-    first = shared.join(weight, "node").groupBy("band", "key").agg(F.min(F.struct(-F.col("weight"), F.xxhash64("node"), "node")).alias("p")).select("band", "key", F.col("p.node").alias("pivot"))
-    held = written(shared.join(first, ["band", "key"]).where("node <> pivot").select("band", "key", "node", "pivot", F.lit(False).alias("also")), "buckets")
-
-    some = held.select("node").union(held.select(F.col("pivot").alias("node"))).distinct()
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << MAP_BITS))
-    cells = some.select(bit("node").alias("bit")).groupBy(F.shiftright("bit", 6).alias("cell")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(bit, 64) as int)))").alias("bits")).toPandas()
-    bitmap = np.zeros(1 << (MAP_BITS - 6), np.uint64)
-    bitmap[cells.cell.to_numpy(np.int64)] = cells.bits.to_numpy(np.int64).view(np.uint64)
-    wanted = np.unpackbits(bitmap.view(np.uint8), bitorder="little").astype(bool)
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
+    signed = written(source.mapInArrow(lambda b: _sign(b, shingle, bands, rows), "doc_id long, text_hash long, node long, bands array<long>"), "signed")
+    copies = written(signed.groupBy("node").agg(F.min("doc_id").alias("id"), F.min("text_hash").alias("text_hash"), F.any_value("bands").alias("bands")), "copies")
+    banded = copies.select("node", F.explode("bands").alias("key"))
+    full = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(banded.join(full, "key").select("key", "node", "n"), "buckets")
+
+    # the member that meets most others over all its buckets, an original rather than one of its copies, is their home
+    weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    heavy = shared.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", F.xxhash64("node").alias("o"), "node")).alias("p"))
+    homes = written(shared.join(heavy, "key").groupBy("node").agg(F.max("p")["node"].alias("home")), "homes")
+
+    wanted, bits = _bitmap(copies.join(homes, "node", "left_semi").select("text_hash"))
     sent = spark.sparkContext.broadcast(wanted)
-    texts = source.withColumn("bit", bit("doc_id"))
-    sets = texts.mapInArrow(lambda b: _elements(b, shingle, sent.value), "doc_id long, elements array<long>")
-    sets = written(sets.join(some, sets["doc_id"] == some["node"], "left_semi").dropDuplicates(["doc_id"]), "shingles")
+    sets = source.select("text_hash", "text").mapInArrow(lambda b: _elements(b, shingle, sent.value, bits), "node long, elements array<long>")
+    sets = written(sets.join(homes, "node", "left_semi").dropDuplicates(["node"]), "shingles")
 
+    # each text first meets its home
     same = F.size(F.array_intersect("ea", "eb"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        got = pairs.select("node", "pivot").join(sets.select(F.col("doc_id").alias("node"), F.col("elements").alias("ea")), "node")
-        got = got.join(sets.select(F.col("doc_id").alias("pivot"), F.col("elements").alias("eb")), "pivot")
-        return got.where(same / (F.size("ea") + F.size("eb") - same) >= similarity).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-
-    def named(df: DataFrame, names: DataFrame, column: str, root: str) -> DataFrame:
-        """df with the present class of a node; a node without links is its own class."""
-        return df.join(names.select(F.col("node").alias("_n"), F.col("root").alias("_r")), F.col(column) == F.col("_n"), "left").withColumn(root, F.coalesce("_r", column)).drop("_n", "_r")
-
-    links = roots = None
-    step, before = 0, held.count()
-    while True:
-        # each member first meets one pivot; where it is linked it takes over the pivot's name, four times on
-        pairs = written(held.select("node", "pivot").distinct(), "pairs")
-        first = pairs.join(weight.withColumnRenamed("node", "pivot"), "pivot").groupBy("node").agg(F.min(F.struct(-F.col("weight"), F.xxhash64("pivot"), "pivot"))["pivot"].alias("pivot"))
-        found = written(verified(first), "links")
-        up = found.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        soon = up
-        for _ in range(3):
-            soon = named(soon.withColumnRenamed("root", "_at"), up, "_at", "root").drop("_at")
-        soon = written(soon, "names")
-        # pairs whose ends have one name by then need no test
-        more = named(named(pairs, soon, "node", "cn"), soon, "pivot", "cp").where("cn <> cp")
-        found = found.union(written(verified(more), "links"))
-        links = found if links is None else links.union(found)
-        roots = written(components(links), "classes")
-        # members of no pivot's class go on, with new pivots among themselves; pivots have met all others
-        left = named(named(held, roots, "node", "cn"), roots, "pivot", "cp").groupBy("band", "key", "node").agg(F.max(((F.col("cn") == F.col("cp")) | F.col("also")).cast("int")).alias("done")).where("done = 0")
-        left = written(left.select("band", "key", "node"), "residue")
-        rest = left.count()
-        if not rest or 2 * rest > before:  # more pivots would save little
-            break
-        before = rest
-        step, pivots = step + 1, min(64, pivots * 8)
-        slots = F.pmod(F.xxhash64(F.lit(step), "band", "key", "node"), F.lit(pivots))
-        chosen = left.groupBy("band", "key", slots.alias("slot")).agg(F.min(F.struct(F.xxhash64(F.lit(step), "node"), "node")).alias("p")).select("band", "key", F.col("p.node").alias("pivot"))
-        # a pivot meets the members and those pivots that come after it
-        held = left.join(chosen, ["band", "key"]).where("node <> pivot")
-        is_pivot = chosen.select("band", "key", F.col("pivot").alias("node"), F.lit(True).alias("also"))
-        held = written(held.join(is_pivot, ["band", "key", "node"], "left").where("also is null or node > pivot").select("band", "key", "node", "pivot", F.coalesce("also", F.lit(False)).alias("also")), "buckets")
-        if held.isEmpty():
-            break
-
-    # pairs that no pivot joined: members of different classes of one bucket (in buckets of two they have met), in blocks.
-    # The members of a bucket's largest class meet the others only; all others meet each other too.
-    at = named(shared.where("n > 2").select("band", "key", "node"), roots, "node", "class")
-    by = at.join(sets.select(F.col("doc_id").alias("node"), F.size("elements").alias("size")), "node").groupBy("band", "key", "class").agg(F.count("*").alias("m"), F.sum("size").alias("size"))
-    most = by.groupBy("band", "key").agg(F.count("*").alias("classes"), F.max(F.struct("m", "size", "class")).alias("home"), F.sum("m").alias("m"), F.sum("size").alias("size")).where("classes > 1")
+    pairs = homes.where("node <> home").join(sets.select("node", F.col("elements").alias("ea")), "node")
+    pairs = pairs.join(sets.select(F.col("node").alias("home"), F.col("elements").alias("eb")), "home")
+    links = written(pairs.where(same / (F.size("ea") + F.size("eb") - same) >= similarity).select(F.col("node").alias("a"), F.col("home").alias("b")), "links")
+    roots = written(components(links), "classes")
+
+    # texts of different classes that share a bucket meet in a group: those with the bucket's usual home at that home,
+    # where the others of the bucket come for a visit; and these others among themselves
+    named = homes.join(roots, "node", "left").select("node", "home", F.coalesce("root", "node").alias("class"))
+    named = written(named.join(sets.select("node", F.size("elements").alias("size")), "node"), "named")
+    at = shared.select("key", "node").join(named, "node")
+    mixed = at.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("key")
+    at = written(at.join(mixed, "key"), "mixed")
+    usual = at.groupBy("key", "home").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", F.xxhash64("home").alias("o"), "home"))["home"].alias("main"))
+    at = written(at.join(usual, "key"), "mixed")
+    hosts = at.select(F.col("main").alias("home")).distinct()
+    away = at.where("home <> main")
+    member = named.join(hosts, "home", "left_semi").select(F.col("home").alias("host"), "node", "class", "size")
+    member = member.union(away.select("main", "node", "class", "size")).union(away.select("key", "node", "class", "size")).distinct()
+    # the members of a group's largest class meet the others only, which meet each other too, in blocks
+    by = member.groupBy("host", "class").agg(F.count("*").alias("m"), F.sum("size").alias("size"))
+    most = by.groupBy("host").agg(F.count("*").alias("classes"), F.max(F.struct("m", "size", "class")).alias("most"), F.sum("m").alias("m"), F.sum("size").alias("size")).where("classes > 1")
     blocks = lambda m, size: F.greatest(F.ceil(m / BLOCK_MEMBERS), F.ceil(size / BLOCK_ELEMENTS)).cast("int")
-    most = written(most.select("band", "key", F.col("home.class").alias("home"), blocks(F.col("home.m"), F.col("home.size")).alias("homes"), blocks(F.col("m") - F.col("home.m"), F.col("size") - F.col("home.size")).alias("others")), "mixed")
-    if not most.isEmpty():
-        at_home, spread = F.col("class") == F.col("home"), F.xxhash64("node", "band")
-        met = at.join(most, ["band", "key"]).withColumn("block", F.when(at_home, F.col("others") + F.pmod(spread, "homes")).otherwise(F.pmod(spread, "others")).cast("int"))
-        met = met.select("band", "key", "node", "class", "block", F.when(at_home, F.col("others") - 1).otherwise(F.col("others") + F.col("homes") - 1).alias("last"))
-        met = met.join(sets.withColumnRenamed("doc_id", "node"), "node").withColumn("with", F.explode(F.sequence(F.lit(0), "last"))).drop("last")
-        met = met.select("band", "key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "node", "class", "elements")
-        met = met.repartition("band", "key", "lo", "hi").sortWithinPartitions("band", "key", "lo", "hi")
-        links = links.union(written(met.mapInArrow(lambda b: _blocks(b, similarity), "a long, b long"), "links"))
-        roots = written(components(links), "classes")
-    rowed = signed.select("doc_id", "no_id", "hi", "lo").join(copies.select("hi", "lo", "node"), ["hi", "lo"])
-    return rowed.join(roots, "node", "left").select("doc_id", "no_id", F.coalesce("root", "node").alias("class_id"))
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 26, rows: int = 5, pivots: int = 1) -> DataFrame:
-    """For each row of docs: doc_id, class_id, the smallest doc_id of its class.
+    most = most.select("host", F.col("most.class").alias("largest"), blocks(F.col("most.m"), F.col("most.size")).alias("homes"), blocks(F.col("m") - F.col("most.m"), F.col("size") - F.col("most.size")).alias("others"))
+    at_home, spread = F.col("class") == F.col("largest"), F.xxhash64("node")
+    met = member.join(most, "host").withColumn("block", F.when(at_home, F.col("others") + F.pmod(spread, "homes")).otherwise(F.pmod(spread, "others")).cast("int"))
+    met = met.select("host", "node", "class", "block", F.when(at_home, F.col("others") - 1).otherwise(F.col("others") + F.col("homes") - 1).alias("last"))
+    met = met.withColumn("with", F.explode(F.sequence(F.lit(0), "last"))).select("host", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "node", "class")
+    met = met.join(sets, "node").repartition("host", "lo", "hi").sortWithinPartitions("host", "lo", "hi")
+    links = links.union(written(met.mapInArrow(lambda b: _blocks(b, similarity), "a long, b long"), "links"))
+
+    named = copies.select("node", "id").join(written(components(links), "classes"), "node", "left").select("node", "id", F.coalesce("root", "node").alias("class"))
+    least = named.groupBy("class").agg(F.min("id").alias("class_id"))
+    return signed.select("doc_id", "text_hash", "node").join(named.join(least, "class").select("node", "class", "class_id"), "node").drop("node")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 26, rows: int = 5) -> DataFrame:
+    """For each row of docs: doc_id, class_id, the smallest doc_id of its class (null if no row of it has one).
 
     Documents with the same words (runs of letters and digits, lower-cased) in the same order are copies.  Two different
     texts are linked if the weighted Jaccard similarity of their `shingle`-word shingles, weighted by count, is at least
-    `similarity`, and classes are the connected components.  Texts without words are copies of each other; so are rows
-    that share a doc_id.  A row with a null doc_id is compared like others and takes the class of its copies and near copies,
-    or null if none of these has a doc_id.
+    `similarity`, and classes are the connected components.  Texts without words are copies of each other.  Rows are
+    told apart by their words alone, so rows that share a doc_id, or have none, are compared like all others.  Texts are
+    named by a 64-bit hash of their words, of which two among n are the same by chance with a probability of n^2 / 2^65.
 
     Copies are folded first, so one text is signed and compared once however often it stands.  Band keys of `rows`
-    coordinates meet in `bands` joins (a pair at 0.8 is missed by all bands with probability 3e-5).  Inside a bucket all
-    members are compared with a pivot, the member that meets most others, which is an original rather than one of its copies;
-    at first one pivot for each member over all its buckets, then those whose classes
-    still differ; members outside the pivot's class go on to the next round with new pivots, more in each, as long as a
-    round halves them, so n near copies cost n comparisons and not n * n.  What joins a pivot's class leaves the bucket for
-    these rounds only: at the end, all members of a bucket that are of different classes are compared with each other, in
-    blocks of bounded size, so that every link between two members of a bucket is found.
-    Verification is exact, on the shingles of documents that share a bucket; a bitmap of fixed size keeps other texts
-    from being shingled and shuffled again.
+    coordinates meet in `bands` buckets (a pair at 0.8 is missed by all bands with probability 3e-5; this is the only
+    miss).  Each text is compared with its home, which is the same over all its buckets, so n near copies of one text cost n
+    comparisons.  Then all texts of different classes that share a bucket meet, once for all their buckets: a row for each
+    text at its home and two at most for each bucket in which most others have another home.  Groups are compared in blocks
+    of bounded size, the members of a group's largest class with the others only.  What stays is one row for each block
+    that a text not linked to its home has to meet, since nothing else proves that it has no link.
+    Verification is exact, on the shingles of texts that share a bucket; a bitmap keeps other texts from being shingled again.
     """
-    got = written(_keyed_classes(docs, shingle, similarity, bands, rows, pivots), "keyed")
-    unnamed = got.where("no_id").select(F.col("doc_id").alias("_key")).distinct()
-    got = got.join(unnamed, got["class_id"] == unnamed["_key"], "left")
-    return got.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), F.when(F.col("_key").isNull(), F.col("class_id")).alias("class_id"))
-
-
-def without_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 26, rows: int = 5, pivots: int = 1) -> DataFrame:
-    """docs with one document of each class, the one with the smallest doc_id.  Rows without a doc_id stay, one for each
-    class, where no row of their class has one; the kept keys are written first."""
-    classes = _keyed_classes(docs, shingle, similarity, bands, rows, pivots)
-    kept = written(classes.where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
-    keyed = docs.withColumn("_key", row_key())
-    return keyed.join(kept, keyed["_key"] == kept["_kept"], "left_semi").dropDuplicates(["_key"]).drop("_key")
+    return _classes(docs, shingle, similarity, bands, rows).select("doc_id", "class_id")
+
+
+def without_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 26, rows: int = 5) -> DataFrame:
+    """docs with one row of each class: that with the smallest doc_id, rows without one last, then by a hash of the text.
+    Of rows that are equal in both, any one stays."""
+    classes = _classes(docs, shingle, similarity, bands, rows)
+    best = classes.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("text_hash").alias("_hash"))).alias("k"))
+    kept = written(best.select("k.*"), "kept")
+    keyed = docs.withColumns({"_null": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_hash": F.xxhash64(F.col("text").cast("string"))})
+    keys = ["_null", "_id", "_hash"]
+    return keyed.join(kept, keys, "left_semi").dropDuplicates(keys).drop(*keys)
