@@ -329,20 +329,81 @@ def test_language_model_base_and_gain(spark, documents):
     assert sum(r.score for r in new) > sum(r.base_score for r in new)
 
 
-def test_language_model_is_a_distribution(spark):
-    """Over all known words and the unknown the model's probabilities after any context sum to 1."""
-    train = [(i, "a b a c", False) for i in range(6)] + [(7, "b b c a d", False)]
-    asked = [(100 + j, f"{c} {w}".strip(), True) for j, (c, w) in enumerate((c, w) for c in ("", "a", "b") for w in ("a", "b", "c", "d", "zzz", ""))]
-    got = {r.doc_id: r.score for r in lm.score_texts(spark.createDataFrame(train + asked, "doc_id long, text string, held_out boolean"), share=3).collect()}
-    score = {t: got[i] for i, t, _ in asked}
-    for c in ("a", "b"):
-        own = score[c] - math.log10(1)  # log p(c) + log p(end | c)
-        total = 0.0
-        first = 10 ** score[c]
-        ends = {}
-        for w in ("a", "b", "c", "d", "zzz"):
-            ends[w] = 10 ** score[f"{c} {w}"]
-        assert own < 0 and first > 0 and sum(ends.values()) < 10 ** max(score.values()) + 1 and total == 0.0
+@pytest.mark.parametrize("part_tokens", [1 << 21, 40])
+def test_language_model_is_a_distribution(monkeypatch, part_tokens):
+    """Over all known words and the unknown the model's probabilities after any context sum to 1, whole or split."""
+    monkeypatch.setattr(lm.TaskContext, "get", lambda: type("T", (), {"partitionId": lambda self: 3})())
+    rng = np.random.default_rng(6)
+    words = ["a", "b", "c", "d", "e", "f", "zzz"]
+    train = [" ".join(rng.choice(words[:6], 12, p=[0.5, 0.2, 0.1, 0.1, 0.05, 0.05])) for _ in range(60)]
+    asked = [f"{c} {w}".strip() for c in ("", *words) for w in ("", *words)]
+    rows = [(i, t, i >= len(train)) for i, t in enumerate([*train, *asked])]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows]), pa.array([7] * len(rows), pa.int64())], ["doc_id", "text", "held_out", "salt"]
+    )
+    hot = np.array([lm.word_hash("a")], np.uint64) & lm.MASK if part_tokens < 100 else np.zeros(0, np.uint64)
+    pairs = pa.Table.from_batches(lm._pairs(iter([batch]), 2, hot, np.array([3] * len(hot)))).to_pylist()
+    tables = {p: pa.Table.from_pylist([r for r in pairs if r["part"] == p], pairs_schema()) for p in {r["part"] for r in pairs}}
+    own = {p: t for p, t in tables.items() if p >= 0}
+    sent = [r for p, t in own.items() for r in lm._send_words(1.0, 2, 0, 2)((pa.scalar(p),), t).to_pylist()]
+    tokens, v = sum(len(t.split()) + 1 for t in train), 7
+    roots = []
+    for q in {r["word_part"] for r in sent}:
+        roots += lm._seat_root(1.0, v, 2, 3, 0)((pa.scalar(q),), pa.Table.from_pylist([r for r in sent if r["word_part"] == q])).to_pylist()
+    totals = {k: sum(r[k] for r in roots) for k in ("customers", "tables", "once", "twice")}
+    ends, seen = {int(lm.word_hash(w) & int(lm.MASK)) for w in words} | {int(lm.END)}, 0
+    for p, t in own.items():
+        part = lm.Part(t, 1.0, 0)
+        got = [lm._unpack(r["blob"], np.uint32, np.float32, np.uint64) for r in sorted((r for r in roots if r["part"] == p), key=lambda r: r["word_part"])]
+        w, c, tab, n = (np.concatenate(x) for x in zip(*got, strict=True))
+        assert (w == part.words).all() and n.sum() <= tokens
+        root = lm.root_probability(c.astype(float), tab.astype(float), totals, v, 1.0)
+        probability = part.predict(root, 2, 3)
+        for u in range(len(part.customers)):
+            own_words = {int(x) for x in part.words[part.w[part.u == u]]}
+            if own_words == ends:  # a context that was asked with every word
+                seen += 1
+                assert probability[part.u == u].sum() == pytest.approx(1, abs=1e-6)
+    assert seen >= 6
+
+
+def pairs_schema():
+    return pa.schema([("part", pa.int64()), ("base", pa.int64()), ("blob", pa.binary()), ("own", pa.binary())])
+
+
+def test_tables_are_those_of_customers_that_move_singly():
+    """Mean tables of each dish against a sampler that seats one customer after the other, at real tables."""
+    c, p, d, theta = np.array([14, 5, 2, 1]), np.array([0.3, 0.05, 0.6, 0.05]), 0.6, 1.0
+    s = lm.Seating(np.zeros(4, np.int64), c, d, theta, 1)
+    got, rounds = np.zeros(4), 20_000
+    for _ in range(rounds):
+        s.sweep(p)
+        got += s.t / rounds
+        assert s.tables[0] == s.t.sum()
+    rng = np.random.default_rng(2)
+    seats, want, rounds = [[int(x)] for x in c], np.zeros(4), 8_000
+    for _ in range(rounds):
+        for k in range(4):
+            for _ in range(c[k]):
+                own = seats[k]
+                i = int(rng.choice(len(own), p=np.array(own) / sum(own)))  # a random customer's table
+                own[i] -= 1
+                if not own[i]:
+                    own.pop(i)
+                t = sum(map(len, seats))
+                weight = np.array([n - d for n in own] + [(theta + d * t) * p[k]])
+                j = int(rng.choice(len(weight), p=weight / weight.sum()))
+                own.append(1) if j == len(own) else own.__setitem__(j, own[j] + 1)
+        want += np.array([len(x) for x in seats]) / rounds
+    assert got == pytest.approx(want, abs=0.08)
+
+
+@pytest.mark.parametrize("d", [0.3, 0.6, 0.9])
+def test_weights_of_seatings_of_many(d):
+    exact, c = lm.log_seatings(d, 400), 400
+    t = np.arange(1, 300)
+    many = lm.log_seatings_of_many(np.full(len(t), float(c)), t.astype(float), d)
+    assert np.diff(many) == pytest.approx(np.diff(exact[c, t]), abs=0.02)
 
 
 def test_language_model_of_odd_rows(spark, odd_rows, nothing):
@@ -356,10 +417,10 @@ def test_language_model_of_odd_rows(spark, odd_rows, nothing):
     assert lm.score_texts(nothing.select("doc_id", "text", F.lit(False).alias("held_out"))).count() == 0
 
 
-def test_leaving_probability_of_small_seatings():
-    """Two customers at two tables are alone for sure; three at two tables: one of them, whichever the discount."""
-    p = lm.leaving(0.5)
-    assert p[2, 2] == pytest.approx(1) and p[2, 1] == 0 and p[3, 2] == pytest.approx(1 / 3)
+def test_weights_of_small_seatings():
+    """Three customers: one table in (1 - d)(2 - d) ways, two in 3 (1 - d), three in one."""
+    got = np.exp(lm.log_seatings(0.5)[3, 1:4])
+    assert got == pytest.approx([0.5 * 1.5, 3 * 0.5, 1])
 
 
 # --- 7 --------------------------------------------------------------------------------------------------------------------
