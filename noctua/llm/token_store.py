@@ -302,21 +302,21 @@ def _pack(batches: Iterator[pa.RecordBatch], spool: Code, code: Code, block_ids:
 
 
 def _unpack(batches: Iterator[pa.RecordBatch], code: Code) -> Iterator[pa.RecordBatch]:
-    """doc_id, file, place (of the first id in the file) and ids of every document."""
+    """doc_id, start and ids of every document."""
     for batch in batches:
         for r in batch.to_pylist():
             ids = code.decode([r["bits"]], [np.frombuffer(r["marks"], np.int64)], [r["n_ids"]])
             cut = np.concatenate(([0], np.cumsum(r["sizes"]))).astype(np.int32)
-            n = len(r["sizes"])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(r["doc_ids"], pa.int64()), pa.array([r["file"]] * n, pa.int32()), pa.array(cut[:-1] + np.int64(r["before"])), pa.array(np.diff(cut).astype(np.int64)), pa.ListArray.from_arrays(cut, pa.array(ids.astype(np.int32)))],
-                ["doc_id", "file", "place", "n_tokens", "ids"],
+                [pa.array(r["doc_ids"], pa.int64()), pa.array(cut[:-1] + np.int64(r["start"] + r["before"])), pa.array(np.diff(cut).astype(np.int64)), pa.ListArray.from_arrays(cut, pa.array(ids.astype(np.int32)))],
+                ["doc_id", "start", "n_tokens", "ids"],
             )
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end: int = 1, file_ids: int = 1 << 23, block_ids: int = BLOCK_IDS, spool_docs: int = 512) -> str:
     """Encode every whole text (null: empty), append `end`, and write the ids under `path` in ascending doc_id order
-    (nulls first; rows that share a doc_id in order of their ids' code).
+    (nulls first; rows that share a doc_id in order of their number of ids and a hash of these).  Rows of one
+    doc_id, or without one, are dealt over files like others.
 
     Texts are tokenized once.  Ids wait in a spool in a provisional code, made from `spool_docs` documents with every id
     counted once more, which keeps the spool and its one shuffle as small as the result; the final code comes from
@@ -338,35 +338,36 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end: int = 1,
     code = spark.sparkContext.broadcast(Code(lengths))
     spark.createDataFrame([(lengths.tobytes(),)], "lengths binary").write.parquet(f"{path}/codebook")
     files = max(1, -(-int(total.sum()) // file_ids))
-    ordered = tokens.where("counts is null").drop("counts").repartitionByRange(files, F.asc("doc_id")).sortWithinPartitions("doc_id", "n", "bits")
+    keyed = tokens.where("counts is null").drop("counts").withColumns({"tie": F.xxhash64("bits"), "row": F.monotonically_increasing_id()})
+    ordered = keyed.repartitionByRange(files, "doc_id", "n", "tie", "row").sortWithinPartitions("doc_id", "n", "tie").drop("tie", "row")
     ordered.mapInArrow(lambda b: _pack(b, spool.value, code.value, block_ids), BLOCK).write.parquet(f"{path}/blocks")
+    ends = spark.read.schema(BLOCK).parquet(f"{path}/blocks").groupBy("file").agg(F.sum("n_ids").alias("n"))  # a row per file
+    ends.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("start")).write.parquet(f"{path}/files")
     return path
 
 
+def _placed(spark: SparkSession, path: str) -> DataFrame:
+    """Blocks with the number of ids in all files before theirs."""
+    return spark.read.schema(BLOCK).parquet(f"{path}/blocks").join(spark.read.schema("file int, start long").parquet(f"{path}/files"), "file")
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids of every document of a file set."""
     code = spark.sparkContext.broadcast(Code(np.frombuffer(spark.read.parquet(f"{path}/codebook").first()[0], np.uint8)))
-    blocks = spark.read.schema(BLOCK).parquet(f"{path}/blocks")
-    ends = blocks.groupBy("file").agg(F.sum("n_ids").alias("n"))  # a row per file
-    starts = ends.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("offset"))
-    docs = blocks.mapInArrow(lambda b: _unpack(b, code.value), "doc_id long, file int, place long, n_tokens long, ids array<int>")
-    return docs.join(F.broadcast(starts), "file").select("doc_id", (F.col("offset") + F.col("place")).alias("start"), "n_tokens", "ids")
+    return _placed(spark, path).mapInArrow(lambda b: _unpack(b, code.value), "doc_id long, start long, n_tokens long, ids array<int>")
 
 
 def token_digests(spark: SparkSession, path: str) -> DataFrame:
     """As read_tokens, with a CRC-32 of the ids as little-endian 32-bit integers instead of the ids."""
     code = spark.sparkContext.broadcast(Code(np.frombuffer(spark.read.parquet(f"{path}/codebook").first()[0], np.uint8)))
-    blocks = spark.read.schema(BLOCK).parquet(f"{path}/blocks")
-    starts = blocks.groupBy("file").agg(F.sum("n_ids").alias("n")).select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("offset"))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _unpack(batches, code.value):
             cut, ids = b.column("ids").offsets.to_numpy(), b.column("ids").values.to_numpy().astype("<u4").tobytes()
             crc = [zlib.crc32(ids[4 * x : 4 * y]) for x, y in zip(cut, cut[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "file", "place", "n_tokens")), pa.array(crc, pa.int64())], ["doc_id", "file", "place", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    docs = blocks.mapInArrow(digest, "doc_id long, file int, place long, n_tokens long, ids_crc32 long")
-    return docs.join(F.broadcast(starts), "file").select("doc_id", (F.col("offset") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
+    return _placed(spark, path).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def fresh_path(spark: SparkSession) -> str:
