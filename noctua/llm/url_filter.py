@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Copies of each verdict, and so tasks that share the pages of one URL.
+SALTS = 16
 RULES = T.StructType([T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("action", T.StringType())])
 
 
@@ -28,7 +30,8 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, url: str = "url", default:
 
     Each distinct URL is expanded into (host suffix, path prefix) expressions; prefixes are taken only at the lengths
     that rule paths have.  Expressions and rules meet on the first `prefix_hex` hex digits of a SHA-256, whose whole
-    value then has to agree.  Distinct URLs are judged once, so a URL that fills a third of the table costs one row.
+    value then has to agree.  Distinct URLs are judged once; their verdicts go back to the pages in SALTS copies, so that
+    the pages of one URL, or without one, are dealt over as many tasks.
     """
     host, path = url_parts(F.col("_url"))
     key = lambda h, p: F.sha2(F.concat_ws("\n", h, p), 256)
@@ -54,9 +57,11 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, url: str = "url", default:
         .groupBy("_url").agg(F.min(F.struct(-F.length("_rule"), F.col("_rule"), F.col("_action").alias("_verdict"))).alias("_best"))
         .select("_url", F.col("_best._rule").alias("_won"), F.col("_best._verdict").alias("_verdict"))
     )
+    best = best.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).repartition("_url", "_copy")
+    salted = pages.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
     host, path = url_parts(F.col(url))
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     return (
-        pages.join(best, pages[url] == best["_url"], "left")
-        .select(*[pages[c] for c in kept], host.alias("host"), path.alias("path"), F.col("_won").alias("rule"), F.coalesce("_verdict", F.lit(default)).alias("verdict"))
+        salted.join(best, (salted[url] == best["_url"]) & (salted["_salt"] == best["_copy"]), "left")
+        .select(*[salted[c] for c in kept], host.alias("host"), path.alias("path"), F.col("_won").alias("rule"), F.coalesce("_verdict", F.lit(default)).alias("verdict"))
     )
