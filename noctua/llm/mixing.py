@@ -59,24 +59,31 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def _draw(docs: DataFrame, seed: int) -> Column:
+    """A hash of all columns of a row (maps, which have no hash, apart) that places it in the mix's order."""
+    return F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+
+
 def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, block: int = 64, shard_words: int = 1 << 18, shard_docs: int = 1 << 13, seed: int = 0) -> DataFrame:
-    """What a mix takes of each document: doc_id, source, size, source_size, target, taken, and its pieces
-    (array of {copy, from, to}: word ranges of the document taken in each pass over the source).
+    """What a mix takes of each document: doc_id, source, size, row and nth (which name it), source_size, target,
+    taken, and its pieces (array of {copy, from, to}: word ranges of the document taken in each pass over the source).
 
     Sources in order of code point, null last, weigh `weights` in turn and share the words of the whole table; a target
     stops at `most` times its source, and the excess goes to the others.  Whole blocks of `block` words are apportioned
     to sources and then to the source's shards by Sainte-Laguë; a shard gives all its words once for every full pass
     that its quota of words holds and the rest in blocks by seeded rank, so no document is taken more than `most` times.
-    The last block of a shard may be short.  The plan depends on rows and seed only, not on partitions; equal rows share one draw order.
+    The last block of a shard may be short.  The plan depends on rows and seed only, not on partitions; a row is known by
+    all its columns, and the n-th of equal rows by its number.
     Documents without words take part with size 0 and taken 0; an empty table gives an empty plan.
 
     The number of shards grows with words and rows of the source, which bounds what a task holds, a hot source included.
-    One task sees a row per source, and one row per shard of a source.
+    One task sees a row per source, and a row for each of about sqrt(shards) groups or shards.
     """
-    spark = docs.sparkSession
-    rows = written(
-        docs.withColumn("size", word_count(F.col("text"))).select("doc_id", "source", "size", F.xxhash64(F.lit(seed), "doc_id", "size", F.xxhash64("text")).alias("draw")), "mix-sizes"
-    )
+    # equal rows are one row with a count until they are dealt to shards, each by its number
+    keyed = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _draw(docs, seed).alias("row"))
+    counted = keyed.groupBy("doc_id", "source", "size", "row").agg(F.count("*").alias("n"))
+    rows = counted.select("doc_id", "source", "size", "row", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("nth"))
+    rows = written(rows.withColumn("draw", F.xxhash64("row", "nth")), "mix-sizes")
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
 
     def targets(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -90,19 +97,27 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int
 
     sources = written(totals.groupBy().applyInPandas(targets, "source string, source_size long, target double, quota long, shards long"), "mix-sources")
     placed = rows.join(sources.withColumnRenamed("source", "_name"), F.col("source").eqNullSafe(F.col("_name"))).select(
-        "doc_id", "source", "size", "draw", "source_size", "target", "quota", F.pmod(F.xxhash64(F.lit("shard"), "draw"), F.col("shards")).alias("shard")
-    )
+        "doc_id", "source", "size", "row", "nth", "draw", "source_size", "target", "quota", F.pmod(F.xxhash64(F.lit("shard"), "draw"), F.col("shards")).alias("shard"),
+        F.ceil(F.sqrt("shards")).alias("groups"),
+    )
 
     def shares(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("shard").reset_index(drop=True)
-        words = pdf.words.to_numpy(float)
-        pdf["blocks"] = apportion(words, int(pdf.quota[0]), most * np.ceil(words / block).astype(np.int64))
-        return pdf[["source", "shard", "blocks"]].rename(columns={"source": "_s", "shard": "_h"})
-
-    quotas = placed.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("quota").alias("quota")).groupBy("source").applyInPandas(shares, "_s string, _h long, blocks long")
+        pdf = pdf.sort_values("party").reset_index(drop=True)
+        pdf["blocks"] = apportion(pdf.words.to_numpy(float), int(pdf.quota[0]), pdf.limit.to_numpy(np.int64))
+        return pdf[["source", "party", "blocks"]]
+
+    # a source's blocks go to about sqrt(shards) groups of shards, and each group's to its shards
+    shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("quota").alias("quota"), F.first("groups").alias("groups"))
+    shards = shards.withColumns({"group": F.pmod("shard", F.col("groups")), "limit": most * F.ceil(F.col("words") / block)})
+    above = shards.groupBy("source", "group").agg(F.sum("words").alias("words"), F.sum("limit").alias("limit"), F.first("quota").alias("quota"))
+    above = above.withColumnRenamed("group", "party").groupBy("source").applyInPandas(shares, "source string, party long, blocks long")
+    above = above.select(F.col("source").alias("_s"), F.col("party").alias("_g"), "blocks")
+    inside = shards.drop("quota").join(above, F.col("_s").eqNullSafe(F.col("source")) & (F.col("_g") == F.col("group")))
+    inside = inside.select("source", "group", F.col("shard").alias("party"), "words", "limit", F.col("blocks").alias("quota"))
+    quotas = inside.groupBy("source", "group").applyInPandas(shares, "source string, party long, blocks long").select(F.col("source").alias("_s"), F.col("party").alias("_h"), "blocks")
 
     def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["draw", "doc_id"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["draw", "row", "nth"], kind="stable").reset_index(drop=True)
         size = pdf["size"].to_numpy(np.int64)
         end = np.cumsum(size)
         n = int(-(-end[-1] // block))
@@ -123,10 +138,10 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int
             got += [(passes, int(max(run_from[j], a) - a), int(min(run_to[j], b) - a)) for j in range(lo[i], hi[i]) if size[i]]
             taken.append(sum(t - f for _, f, t in got))
             pieces.append([{"copy": c, "from": f, "to": t} for c, f, t in got])
-        return pdf.assign(taken=taken, pieces=pieces)[["doc_id", "source", "size", "draw", "source_size", "target", "taken", "pieces"]]
+        return pdf.assign(taken=taken, pieces=pieces)[["doc_id", "source", "size", "row", "nth", "source_size", "target", "taken", "pieces"]]
 
     dealt = placed.join(quotas, F.col("_s").eqNullSafe(F.col("source")) & (F.col("_h") == F.col("shard"))).drop("_s", "_h")
-    return dealt.groupBy("source", "shard").applyInPandas(take, "doc_id long, source string, size long, draw long, source_size long, target double, taken long, pieces array<struct<copy:int,from:long,to:long>>")
+    return dealt.groupBy("source", "shard").applyInPandas(take, "doc_id long, source string, size long, row long, nth long, source_size long, target double, taken long, pieces array<struct<copy:int,from:long,to:long>>")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
@@ -134,12 +149,10 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
     A row that is taken in part keeps the taken words with what stands between them in the text; n_chars, where there
     is such a column, is set to the new length.  Documents of which nothing is taken are left out."""
-    plan = mix_plan(docs, **options).where("taken > 0").groupBy("draw").agg(F.collect_list("pieces").alias("_lists"))
-    plan = plan.select(F.col("draw").alias("_plan"), F.posexplode("_lists").alias("_at", "_pieces"))
-    draw = F.xxhash64(F.lit(options.get("seed", 0)), F.col("doc_id"), word_count(F.col("text")), F.xxhash64("text"))
-    rows = docs.withColumn("_draw", draw)
-    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_draw").orderBy(F.lit(0))))  # of equal rows
-    got = rows.join(plan, F.col("_draw") == F.col("_plan")).where(F.col("_nth") == F.col("_at") + 1)
+    plan = mix_plan(docs, **options).where("taken > 0").select(F.col("row").alias("_plan"), F.col("nth").alias("_at"), F.col("pieces").alias("_pieces"))
+    rows = docs.withColumn("_row", _draw(docs, options.get("seed", 0)))
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(0))))  # of equal rows
+    got = rows.join(plan, (F.col("_row") == F.col("_plan")) & (F.col("_nth") == F.col("_at")))
     got = got.withColumn("_pass", F.explode(F.array_distinct(F.transform("_pieces", lambda p: p["copy"]))))
     mine = F.filter("_pieces", lambda p: p["copy"] == F.col("_pass"))
     words = F.regexp_extract_all(F.col("text"), F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
