@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from noctua.llm.common import WORDY, Lookup, Words, chunks, written
 
 BLOCK = 64
+#: Answers that a worker remembers.
+KNOWN = 1 << 14
 
 
 class BlockMaxIndex:
@@ -79,7 +81,7 @@ def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """Terms with their IDF, the index, and the calibration of its votes."""
 
-    def __init__(self, terms: np.ndarray, idf: np.ndarray, rows: list[tuple[int, int, np.ndarray, np.ndarray]], examples: int, k: int):
+    def __init__(self, terms: np.ndarray, idf: np.ndarray, rows: list[tuple[int, int, np.ndarray, np.ndarray]], k: int):
         """rows: (doc_id, label, places of its terms, their counts), in the order in which they are used."""
         self.lookup, self.idf, self.k = Lookup(terms), idf, k
         labels = np.array([r[1] for r in rows], float)
@@ -87,12 +89,12 @@ class Model:
         some = [r for r in rows if len(r[2])]
         none = np.array([r[1] for r in rows if not len(r[2])], float)
         self.silent = float((none.sum() + self.prior) / (len(none) + 1))
-        # every other labelled row calibrates, up to as many as the index holds; all rows are examples if they are few
-        held, tried = (some[::2], some[1::2]) if len(some) >= 64 else (some, some)
-        held, tried = held[:examples], tried[:examples]
+        # every third labelled row calibrates, the others are examples; all rows are both if they are few
+        held, tried = ([r for i, r in enumerate(some) if i % 3], some[::3]) if len(some) >= 64 else (some, some)
         self.index = BlockMaxIndex([self.vector(r[2], r[3]) for r in held], len(self.idf), [r[0] for r in held], [r[1] for r in held])
         votes = np.array([self.vote(*self.vector(r[2], r[3]), but=r[0])[0] for r in tried])
         self.steps, self.values = _isotonic(votes, np.array([r[1] for r in tried], float))
+        self.known: dict[bytes, tuple[float, list[int]]] = {}
 
     def vector(self, places: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(counts)) * self.idf[places]
@@ -106,8 +108,13 @@ class Model:
     def score(self, places: np.ndarray, counts: np.ndarray) -> tuple[float, list[int]]:
         if not len(places) or not len(self.steps):
             return self.silent, []
-        v, at = self.vote(*self.vector(places, counts))
-        return float(np.interp(v, self.steps, self.values)), self.index.ids[at[:3]].tolist()
+        key = places.tobytes() + counts.tobytes()
+        if key not in self.known:  # texts with few of the terms are often alike
+            if len(self.known) >= KNOWN:
+                self.known.clear()
+            v, at = self.vote(*self.vector(places, counts))
+            self.known[key] = float(np.interp(v, self.steps, self.values)), self.index.ids[at[:3]].tolist()
+        return self.known[key]
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,6 +132,18 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), terms], ["doc_id", "toxic", "terms"])
 
 
+def _holders(batches: Iterator[pa.RecordBatch], lookup: Lookup) -> Iterator[pa.RecordBatch]:
+    """The task's number of texts that hold each term; place -1: of all texts."""
+    total, n = np.zeros(len(lookup.keys), np.int64), 0
+    for batch in chunks(batches):
+        words = Words(batch.column("text"), WORDY, "unicode")
+        at, place = lookup.find(words.hash)
+        pairs = np.unique(words.text_of_word()[at] * max(len(total), 1) + place)
+        total += np.bincount(pairs % max(len(total), 1), minlength=len(total))
+        n += len(words)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(total)), pa.int32()), pa.array(np.append(n, total))], ["place", "n"])
+
+
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
         words = Words(batch.column("text"), WORDY, "unicode")
@@ -140,14 +159,14 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(near, pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled: int = 20_000, max_terms: int = 2_048, examples: int = 4_000, k: int = 15, chi2: float = 25.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled: int = 12_000, max_terms: int = 2_048, k: int = 15, chi2: float = 25.0) -> Model:
     """Learn from labelled documents: docs (doc_id, text), labels (doc_id, label 0 or 1; null and others are ignored, a
     doc_id that is labelled both ways counts as 1).
 
     Fitting uses a sample of at most `max_labelled` labelled rows, those first in order of a hash of doc_id.  The terms are
     the words, at most `max_terms`, whose document counts under the two labels differ by a chi-squared of `chi2` or
-    more (about 1 in 2 million by chance); cosine is exact over them, with tf 1 + ln(count) and idf of the sample.  At
-    most `examples` rows go into the index and as many calibrate, so what is collected and broadcast is bounded."""
+    more (about 1 in 2 million by chance); cosine is exact over them, with tf 1 + ln(count) and idf of all docs.  Two thirds
+    of the sample go into the index and one third calibrates, so what is collected and broadcast is bounded."""
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("toxic")).where("_id is not null and toxic in (0, 1)")
     known = known.groupBy("_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -161,9 +180,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled:
     picked = counted.where((df >= 3) & (df < n)).withColumn("stat", stat).where(F.col("stat") >= chi2) if 0 < pos < n else counted.where("false").withColumn("stat", F.lit(0.0))
     best = picked.orderBy(F.desc("stat"), "term").limit(max_terms).toPandas()
     terms = best.term.to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(terms)
-    idf = np.log((1 + n) / (1 + best.df.to_numpy(float)[order])) + 1
     lookup = Lookup(terms)
+    counts = {r.place: r.n for r in source.select("text").mapInArrow(lambda b: _holders(b, lookup), "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()}
+    idf = np.log((1 + counts.get(-1, 0)) / (1 + np.array([counts.get(i, 0) for i in range(len(terms))], float))) + 1
     chosen = F.filter("terms", lambda t: t["term"].isin(best.term.tolist())) if len(best) else F.filter("terms", lambda t: F.lit(False))
     got = []
     for doc_id, toxic, own in rows.select("doc_id", "toxic", chosen).orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").toLocalIterator():
@@ -171,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled:
         _, place = lookup.find(h)
         at = np.argsort(place)
         got.append((doc_id, toxic, place[at], np.array([t[1] for t in own], float)[at]))
-    return Model(terms, idf, got, examples, k)
+    return Model(terms, idf, got, k)
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:

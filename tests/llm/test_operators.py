@@ -585,3 +585,59 @@ def test_token_files_round_trip(spark, odd, documents, options):
 
 def test_token_files_of_nothing(spark, nothing):
     assert _stored(spark, nothing) == ([], [])
+
+
+def test_votes_are_those_of_all_examples():
+    """A score against cosines with every example, weighted by distance, without the index."""
+    rng = np.random.default_rng(8)
+    terms = np.sort(rng.integers(1, 2**62, 20).astype(np.uint64))
+    idf = rng.random(20) + 0.5
+    rows = []
+    for i in range(300):
+        at = np.flatnonzero(rng.random(20) < 0.2)
+        rows.append((i, int(rng.random() < (0.8 if 3 in at else 0.1)), at, rng.integers(1, 4, len(at)).astype(float)))
+    model = toxicity.Model(terms, idf, rows, 7)
+    some = [r for r in rows if len(r[2])]
+    held = [r for i, r in enumerate(some) if i % 3]
+
+    def dense(at, n):
+        v = np.zeros(20)
+        v[at] = (1 + np.log(n)) * idf[at]
+        return v / np.linalg.norm(v)
+
+    x, y = np.array([dense(r[2], r[3]) for r in held]), np.array([r[1] for r in held], float)
+    prior = np.mean([r[1] for r in rows])
+    for _, _, at, n in some[:60]:
+        s = x @ dense(at, n)
+        best = np.sort(s)[::-1][:7]
+        clear = best[best > 0]
+        if len(np.unique(np.round(s[s >= clear[-1] - 1e-9], 9))) != (s >= clear[-1] - 1e-9).sum():
+            continue  # ties among the nearest may be any of them
+        order = np.argsort(-s)[: len(clear)]
+        w = 1 / (1e-3 + np.sqrt(np.maximum(0, 2 - 2 * s[order])))
+        want = (w @ y[order] + 0.1 * prior) / (w.sum() + 0.1)
+        assert model.vote(*model.vector(at, n))[0] == pytest.approx(want)
+        assert model.score(at, n)[0] == model.score(at, n)[0] == pytest.approx(float(np.interp(want, model.steps, model.values)))
+
+
+def test_equal_text_in_two_sources_and_repeated_rows_are_mixed_apart(spark):
+    rows = [(1, "a b c d " * 60, "s1"), (1, "a b c d " * 60, "s2")] + [(2, "e f g h " * 50, "s3")] * 5
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.mix_plan(d).collect()
+    assert len(plan) == len(rows) and len({(r.row, r.nth) for r in plan}) == len(rows)
+    out = Counter()
+    for r in mixing.mixed(d).collect():
+        out[r.source] += len(SPACED.findall(r.text))
+    assert out == Counter({s: sum(r.taken for r in plan if r.source == s) for s in ("s1", "s2", "s3")})
+
+
+def test_quotas_of_shards_add_up(spark, documents):
+    """Every source's blocks are dealt to its shards without rest, in the shares of their words."""
+    small = {"shard_words": 2000, "shard_docs": 20}
+    rows = mixing.mix_plan(documents, **small).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r.source].append(r)
+    for g in by.values():
+        assert abs(sum(r.taken for r in g) - g[0].target) <= 64 * 2 + 64 * len(g) / 20
+        assert all(r.taken <= 3 * r["size"] for r in g)
