@@ -6,7 +6,9 @@ on its number of rows.  A single very long text is one chunk of its own, of whic
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -150,9 +152,26 @@ def word_hash(word: str) -> int:
     return int(run_hashes(code, np.array([0]), np.array([len(code)]))[0])
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = CHUNK_BYTES, rows: int = CHUNK_ROWS) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of at most `rows` rows and `size` bytes of text, or of one row.  What Arrow holds back goes
-    to the system at the end, since a worker lives on for other stages."""
+#: How to let go of what the last operator of this worker keeps for its next task.
+_KEPT: list[Callable[[], None]] = []
+
+
+def _let_go() -> None:
+    """Give free memory back to the system, since a worker lives on for other stages."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = CHUNK_BYTES, rows: int = CHUNK_ROWS, forget: Callable[[], None] | None = None) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of at most `rows` rows and `size` bytes of text, or of one row.
+
+    forget: frees what the caller keeps in the worker; it is called when another operator comes."""
+    if _KEPT and _KEPT[0] != forget:
+        _KEPT.pop()()
+        _let_go()
+    if forget and not _KEPT:
+        _KEPT.append(forget)
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -164,7 +183,8 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             to = max(at + 1, min(at + rows, int(np.searchsorted(total, base + size, side="right"))))
             yield batch.slice(at, to - at)
             at = to
-    pa.default_memory_pool().release_unused()
+    batch = None
+    _let_go()
 
 
 class Lookup:

@@ -255,7 +255,7 @@ def _tokenize(batches: Iterator[pa.RecordBatch], path: str, end: int, spool: Cod
     counts = np.zeros(max(tok.size, end + 1), np.int64)
     kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
     names = ["doc_id", "n", "bits", "marks", "counts"]
-    for batch in chunks(batches, size=1 << 21):
+    for batch in chunks(batches, size=1 << 21, forget=tokenizer.cache_clear):
         ids = [np.append(x, np.uint32(end)) for x in tok.encode(batch.column("text").to_pylist())]
         counts += np.bincount(np.concatenate(ids), minlength=len(counts))
         coded = [spool.encode(x) for x in ids]
