@@ -222,10 +222,11 @@ def illumination(elongation: Column) -> Column:
     return 50 * (1 - F.cos(elongation))
 
 
-def hours_to_flip(ra: Column, lst: Column, pier_west: Column) -> Column:
-    """Hours until the target crosses the meridian (pier west: before it), in [0, 24); past it on the east side: 0."""
-    ahead = F.pmod(ra - lst + 12, F.lit(24.0)) - 12
-    return F.when(pier_west, F.when(ahead < 0, ahead + 24).otherwise(ahead)).otherwise(F.greatest(ahead, F.lit(0.0)))
+def hours_to_flip(ra: Column, lst: Column, pier_east: Column, flip_angle: float = 0.0) -> Column:
+    """Hours until the mount has to flip, which it does at an hour angle of flip_angle hours; with the pier on the
+    east it has just flipped and has 12 hours more.  Hour angles above 12 count as those before the meridian."""
+    ha = F.when(lst - ra > 12, lst - ra - 24).otherwise(lst - ra)
+    return F.when(pier_east, 12 + flip_angle - ha).otherwise(F.greatest(flip_angle - ha, F.lit(0.0)))
 
 
 # --- gates (P10, P11, P33) and rounding (P12) -----------------------------------------------------------------------------
@@ -288,7 +289,7 @@ def signed_power(x: Column, p: Column) -> Column:
 
 
 def stellar_quality(stars: Column, flux: Column, background: Column, noise: Column) -> Column:
-    return F.when(noise > 0, F.pow(F.greatest(stars, F.lit(0.0)), F.lit(0.75)) * signed_power(flux, F.lit(0.75)) / (F.sqrt(noise) * F.pow(F.greatest(background, F.lit(EPS)), F.lit(0.25))))
+    return F.when((stars > 0) & (noise > 0), F.pow(stars, F.lit(0.75)) * signed_power(flux, F.lit(0.75)) / (F.sqrt(noise) * F.pow(F.greatest(background, F.lit(EPS)), F.lit(0.25))))
 
 
 # --- pixels (P25, P26, P35, P36) -----------------------------------------------------------------------------------------
@@ -317,8 +318,8 @@ def chromaticity(r: Column, g: Column, b: Column) -> tuple[Column, Column, Colum
 
 
 def log_stretch(x: Column, low: Column, high: Column) -> Column:
-    """Logarithm of the value above the least one, as a share of its range."""
-    return F.when(high > low, F.log1p(x - low) / F.log1p(high - low)).otherwise(0.0)
+    """Logarithm of 1 + 1000 times the value above the least one, as a share of its range."""
+    return F.when(high > low, F.log1p(1000 * (x - low)) / F.log1p(1000 * (high - low))).otherwise(0.0)
 
 
 def clip_mask(x: Column, low: float = 0.01, high: float = 0.1) -> Column:

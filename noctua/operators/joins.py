@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from noctua.functions.scalar import canonical_filter
 
 
-def with_measurements(report: DataFrame, measurements: DataFrame, path: str = "path") -> DataFrame:
-    """Report rows with their measurements, by path; a path measured twice takes the last row by its own order."""
-    return report.join(measurements, path, "left")
+def with_measurements(report: DataFrame, measurements: DataFrame, path: str, order: list[str]) -> DataFrame:
+    """Report rows with their measurements, by path; a path measured twice takes the last row in `order`."""
+    rest = [c for c in measurements.columns if c != path]
+    last = measurements.groupBy(path).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_last")).select(path, "_last.*")
+    return report.join(last, path, "left")
 
 
 def captures_at(lines: DataFrame, file: str, line: str, start: str, elapsed: str) -> DataFrame:

@@ -71,14 +71,15 @@ def choose_reference(frames: DataFrame, keys: list[str], index: str, usable: Col
 
 
 def grid_nodes(images: DataFrame, width: str, height: str, step: int) -> DataFrame:
-    """L4: nodes gy, gx with their pixel (y, x), `step` apart; the last one of each row and column lies on the edge."""
-    n = lambda c: F.ceil((F.col(c) - 1) / step).cast("int")
+    """L4: nodes gy, gx with their pixel (y, x), `step` apart from 0 on, floor((width - 1) / step) + 1 in a row."""
+    n = lambda c: F.floor((F.col(c) - 1) / step).cast("int")
     x = images.withColumn("gy", F.explode(F.sequence(F.lit(0), n(height)))).withColumn("gx", F.explode(F.sequence(F.lit(0), n(width))))
-    return x.withColumn("y", F.least(F.col("gy") * step, F.col(height) - 1)).withColumn("x", F.least(F.col("gx") * step, F.col(width) - 1))
+    return x.withColumn("y", F.col("gy") * step).withColumn("x", F.col("gx") * step)
 
 
-def paired_samples(reference: DataFrame, target: DataFrame, pairs: DataFrame, step: int, window: int, stride: int = 1) -> DataFrame:
-    """For each node the reference pixels of its window with the target's value at the same place of the sky.
+def paired_samples(reference: DataFrame, target: DataFrame, pairs: DataFrame, step: int, window: int, shape: tuple[int, int], stride: int = 1) -> DataFrame:
+    """For each node the reference pixels of its window, a disc of diameter `window`, with the target's value at the
+    same place of the sky.  shape: height and width of the reference, which bound the nodes.
 
     reference, target: frame_id, y, x, v (NULL: masked); pairs: pair_id, reference_id, target_id, m (reference to target).
     Reference pixels (each `stride`-th) go to the nodes whose window holds them; the target is read by bilinear
@@ -94,14 +95,18 @@ def paired_samples(reference: DataFrame, target: DataFrame, pairs: DataFrame, st
     c = c.withColumn("_py", F.col("_iy") + F.col("c.j")).withColumn("_px", F.col("_ix") + F.col("c.i"))
     t = target.select(F.col("frame_id").alias("target_id"), F.col("y").alias("_py"), F.col("x").alias("_px"), F.col("v").alias("_tv")).where("_tv is not null")
     s = c.join(t, ["target_id", "_py", "_px"]).groupBy("pair_id", "y", "x").agg(F.first("v").alias("ref"), F.sum(F.col("_w") * F.col("_tv")).alias("target"), F.sum("_w").alias("_w")).where("_w > 1 - 1e-6")
-    near = lambda v: F.sequence(F.greatest(F.lit(0), F.ceil((F.col(v) - half) / step).cast("int")), F.floor((F.col(v) + half) / step).cast("int"))
-    return s.drop("_w").withColumn("gy", F.explode(near("y"))).withColumn("gx", F.explode(near("x")))
+    near = lambda v, size: F.filter(
+        F.sequence(F.ceil((F.col(v) - half) / step).cast("int"), F.floor((F.col(v) + half) / step).cast("int")), lambda i: (i >= 0) & (i <= (size - 1) // step)
+    )
+    s = s.drop("_w").withColumn("gy", F.explode(near("y", shape[0]))).withColumn("gx", F.explode(near("x", shape[1])))
+    dy, dx = F.col("y") - F.col("gy") * step, F.col("x") - F.col("gx") * step
+    return s.where(dy * dy + dx * dx <= half * half)
 
 
-def fit_nodes(samples: DataFrame, model: str = "affine", estimator: str = "median", gain: float = 1.0, trim: float = 0.10, low: float = 0.5, high: float = 2.0, least: int = 16) -> DataFrame:
+def fit_nodes(samples: DataFrame, model: str = "affine", estimator: str = "median", gain: float = 1.0, trim: float = 0.10, low: float = 0.5, high: float = 2.0, least: int = 16, min_samples: int = 2000) -> DataFrame:
     """The fit of every node from samples (pair_id, gy, gx, y, x, ref, target).  model: affine or additive
     (given gain); estimator of the backgrounds: median or mean."""
-    fit = trimmed_affine(samples, ["pair_id", "gy", "gx"], "ref", "target", ["y", "x"], trim, low, high, least, estimator)
+    fit = trimmed_affine(samples, ["pair_id", "gy", "gx"], "ref", "target", ["y", "x"], trim, low, high, least, estimator, min_samples)
     return additive_offset(fit, gain) if model == "additive" else fit
 
 

@@ -164,11 +164,11 @@ def clipped_line_fit_grouped(df: DataFrame, keys: list[str], x: str, y: str, sig
     return rows.groupBy(*keys).applyInPandas(fit, f"{kinds}, slope double, intercept double, std double, n long")
 
 
-def parabola_fit(df: DataFrame, keys: list[str], x: str, y: str, order: list[str]) -> DataFrame:
+def parabola_fit(df: DataFrame, keys: list[str], x: str, y: str, order: list[str], lowest: float | None = None, highest: float | None = None) -> DataFrame:
     """y = a d^2 + b d + c with d = x - mean(x): vertex, a, r2, monotonic, best.
 
-    best is the vertex of an upward parabola inside the measured range, else the x of the least y (first in order); a
-    series that only rises or only falls has no trustworthy vertex either."""
+    best is the vertex of an upward parabola, clamped to [lowest, highest] where given, else the x of the least y (first
+    in order); monotonic tells a series that only rises or only falls."""
     p, v = finite(F.col(x)), finite(F.col(y))
     rows = df.withColumn("_p", p).withColumn("_v", v).where("_p is not null and _v is not null")
     step = F.col("_v") - F.lag("_v").over(Window.partitionBy(*keys).orderBy("_p", *order))
@@ -194,8 +194,11 @@ def parabola_fit(df: DataFrame, keys: list[str], x: str, y: str, order: list[str
     total = c("ww") - c("t0") * c("t0") / n
     s = s.withColumn("vertex", F.when(c("qa") != 0, c("_m") - c("_s") * c("qb") / (2 * c("qa")))).withColumn("r2", F.when(total > 0, 1 - F.greatest(left, F.lit(0.0)) / total))
     s = s.withColumn("monotonic", F.coalesce(c("up") | c("down"), F.lit(True)))
-    good = (c("qa") > 0) & c("vertex").between(c("lo"), c("hi")) & ~c("monotonic")
-    return s.select(*keys, "n", (c("qa") / (c("_s") * c("_s"))).alias("a"), "vertex", "r2", "monotonic", F.when(F.coalesce(good, F.lit(False)), c("vertex")).otherwise(c("argmin")).alias("best"))
+    inside = c("vertex")
+    inside = F.greatest(inside, F.lit(float(lowest))) if lowest is not None else inside
+    inside = F.least(inside, F.lit(float(highest))) if highest is not None else inside
+    good = (c("qa") > 0) & c("vertex").isNotNull()
+    return s.select(*keys, "n", (c("qa") / (c("_s") * c("_s"))).alias("a"), "vertex", "r2", "monotonic", F.when(F.coalesce(good, F.lit(False)), inside).otherwise(c("argmin")).alias("best"))
 
 
 def power_law_fit(df: DataFrame, keys: list[str], x: str, y: str, exponents: list[float]) -> DataFrame:
@@ -255,11 +258,11 @@ def clipped_ratio(df: DataFrame, keys: list[str], a: str, b: str, sigma: float =
     return _join(centre, spread, keys).where(F.col("used") >= least).select(*keys, F.exp("_m").alias("ratio"), "mad", (MAD_SIGMA * F.col("mad")).alias("log_sigma"), "used")
 
 
-def trimmed_affine(df: DataFrame, keys: list[str], ref: str, target: str, tie: list[str], trim: float = 0.10, low: float = 0.5, high: float = 2.0, least: int = 16, background: str = "median") -> DataFrame:
+def trimmed_affine(df: DataFrame, keys: list[str], ref: str, target: str, tie: list[str], trim: float = 0.10, low: float = 0.5, high: float = 2.0, least: int = 16, background: str = "median", min_samples: int = 2000) -> DataFrame:
     """reference = scale * target + offset for each group: scale, offset, ref_bg, target_bg, used, clamped.
 
-    Rows are ranked by target (ties by `tie`), floor(trim n) go at each end, and at least max(least, n / 2) have to be left,
-    else the group is left out.  A scale outside [low, high] gives scale 1 and the difference of the backgrounds.  Sums are
+    A group needs `min_samples` rows.  Rows are ranked by target (ties by `tie`), floor(trim n) go at each end, and at
+    least max(least, min_samples // 2) have to be left, else the group is left out.  A scale outside [low, high] gives scale 1 and the difference of the backgrounds.  Sums are
     taken about the group's means by one aggregate over the ranked rows."""
     rows = df.withColumn("_r", finite(F.col(ref))).withColumn("_t", finite(F.col(target))).where("_r is not null and _t is not null")
     rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("_t", *tie)))
@@ -267,7 +270,7 @@ def trimmed_affine(df: DataFrame, keys: list[str], ref: str, target: str, tie: l
     kept = rows.where((F.col("_k") > cut) & (F.col("_k") <= F.col("_n") - cut))
     level = F.median if background == "median" else F.avg
     fit = kept.groupBy(*keys).agg(F.count("*").alias("used"), F.first("_n").alias("_n"), F.regr_slope("_r", "_t").alias("_s"), F.regr_intercept("_r", "_t").alias("_o"), level("_r").alias("ref_bg"), level("_t").alias("target_bg"))
-    fit = fit.where(F.col("used") >= F.greatest(F.lit(least), F.col("_n") / 2))
+    fit = fit.where((F.col("_n") >= min_samples) & (F.col("used") >= max(least, min_samples // 2)))
     good = F.coalesce(F.col("_s").between(low, high), F.lit(False))
     return fit.select(*keys, F.when(good, F.col("_s")).otherwise(1.0).alias("scale"), F.when(good, F.col("_o")).otherwise(F.col("ref_bg") - F.col("target_bg")).alias("offset"), "ref_bg", "target_bg", "used", (~good).alias("clamped"))
 

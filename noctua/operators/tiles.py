@@ -116,15 +116,25 @@ def star_pixels(tiles: DataFrame, stars: DataFrame, tile: int, radius: float) ->
 
 def aperture_photometry(tiles: DataFrame, stars: DataFrame, tile: int, height: int, width: int, aperture: float, inner: float, outer: float, saturation: float) -> DataFrame:
     """For each star flux (background taken off), background (median of the annulus), peak, snr (sample deviation of
-    the annulus) and flags: edge, empty_annulus, nonfinite, saturated.  A flagged star has no flux if it has no background."""
+    the annulus; without noise infinite for a flux above 0, else 0) and flags.
+
+    A star whose annulus leaves the image is flagged edge and has no numbers.  Then empty_aperture and empty_annulus; without
+    these nonfinite_pixel, in either; without that saturated, in either.  A star with any flag has a peak only."""
     p = star_pixels(tiles, stars, tile, outer)
     near, ring = F.col("d") <= aperture, (F.col("d") >= inner) & (F.col("d") <= outer)
-    s = p.groupBy("frame_id", "star_id").agg(F.median(F.when(ring, F.col("v"))).alias("background"), F.stddev_samp(F.when(ring, F.col("v"))).alias("_sd"), F.sum(F.when(near, F.col("v"))).alias("_sum"), F.count(F.when(near, F.col("v"))).alias("_n"), F.count_if(near & F.col("v").isNull()).alias("_bad"), F.max(F.when(near, F.col("v"))).alias("peak"))
-    s = stars.join(s, ["frame_id", "star_id"], "left")
-    edge = (F.col("x") - outer < 0) | (F.col("y") - outer < 0) | (F.col("x") + outer > width - 1) | (F.col("y") + outer > height - 1)
-    flags = F.array_compact(F.array(F.when(edge, "edge"), F.when(F.col("background").isNull(), "empty_annulus"), F.when(F.coalesce(F.col("_bad"), F.lit(0)) > 0, "nonfinite"), F.when(F.col("peak") >= saturation, "saturated")))
-    flux = F.col("_sum") - F.col("_n") * F.col("background")
-    return s.withColumn("flux", flux).withColumn("snr", F.try_divide(flux, F.col("_sd") * F.sqrt(F.col("_n")))).withColumn("flags", flags).drop("_sd", "_sum", "_n", "_bad")
+    v = F.col("v")
+    s = p.groupBy("frame_id", "star_id").agg(
+        F.median(F.when(ring, v)).alias("background"), F.stddev_samp(F.when(ring, v)).alias("_sd"), F.sum(F.when(near, v)).alias("_sum"), F.count_if(near).alias("_n"), F.count_if(ring).alias("_m"),
+        F.count_if((near | ring) & v.isNull()).alias("_bad"), F.max(F.when(near, v)).alias("peak"), F.max(F.when(near | ring, v)).alias("_top"),
+    )
+    s = stars.join(s, ["frame_id", "star_id"], "left").fillna(0, ["_n", "_m", "_bad"])
+    edge = (F.floor(F.col("x") - outer) < 0) | (F.floor(F.col("y") - outer) < 0) | (F.ceil(F.col("x") + outer) >= width) | (F.ceil(F.col("y") + outer) >= height)
+    empty = F.array_compact(F.array(F.when(F.col("_n") == 0, "empty_aperture"), F.when(F.col("_m") == 0, "empty_annulus")))
+    flags = F.when(edge, F.array(F.lit("edge"))).when(F.size(empty) > 0, empty).when(F.col("_bad") > 0, F.array(F.lit("nonfinite_pixel"))).when(F.col("_top") >= saturation, F.array(F.lit("saturated"))).otherwise(F.array().cast("array<string>"))
+    good, flux = F.size("flags") == 0, F.col("_sum") - F.col("_n") * F.col("background")
+    snr = F.when(F.col("_sd") > 0, flux / (F.col("_sd") * F.sqrt(F.col("_n")))).when(flux > 0, float("inf")).otherwise(0.0)
+    s = s.withColumn("flags", flags).withColumns({"flux": F.when(good, flux), "snr": F.when(good, snr), "peak": F.when(~F.array_contains("flags", "edge"), F.col("peak"))})
+    return s.withColumn("background", F.when(good, F.col("background"))).drop("_sd", "_sum", "_n", "_m", "_bad", "_top")
 
 
 def mean_star_flux(tiles: DataFrame, stars: DataFrame, tile: int, height: int, background: str, scale: float = 1.5) -> DataFrame:
@@ -163,20 +173,27 @@ def mean_stack(px: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
 
 
 def rejection_stack(px: DataFrame, keys: list[str], value: str = "v", low: float = 3.0, high: float = 3.0, rounds: int = 1, weight: str | None = None, winsorize: bool = False) -> DataFrame:
-    """Each pixel over frames: positive values; median and population std; values outside median - low std ..
-    median + high std are rejected (or moved to the bound), `rounds` times; then the (weighted) mean: value, kept, rejected."""
+    """Each pixel over frames: positive values; median and sample deviation; only values strictly between
+    median - low deviations and median + high deviations stay (or those outside move to the bound), `rounds` times; then the
+    (weighted) mean: value (null where none stays, as where all are equal), kept, rejected."""
     x = px.select(*keys, finite(F.col(value)).alias("_v"), (F.col(weight) if weight else F.lit(1.0)).alias("_w")).where("_v > 0").withColumn("_on", F.lit(True))
     for _ in range(rounds):
         on = F.when(F.col("_on"), F.col("_v"))
-        x = _join(x, x.groupBy(*keys).agg(F.median(on).alias("_m"), F.stddev_pop(on).alias("_s")), keys)
+        x = _join(x, x.groupBy(*keys).agg(F.median(on).alias("_m"), F.coalesce(F.stddev_samp(on), F.lit(0.0)).alias("_s")), keys)
         lo, hi = F.col("_m") - low * F.col("_s"), F.col("_m") + high * F.col("_s")
-        x = x.withColumn("_v", F.least(F.greatest(F.col("_v"), lo), hi)) if winsorize else x.withColumn("_on", F.col("_on") & F.col("_v").between(lo, hi))
+        x = x.withColumn("_v", F.least(F.greatest(F.col("_v"), lo), hi)) if winsorize else x.withColumn("_on", F.col("_on") & (F.col("_v") > lo) & (F.col("_v") < hi))
         x = x.drop("_m", "_s")
         x = written(x, "stack-round") if rounds > 1 else x
     on, w = F.when(F.col("_on"), F.col("_v")), F.when(F.col("_on"), F.col("_w"))
     return x.groupBy(*keys).agg(F.try_divide(F.sum(on * w), F.sum(w)).alias("value"), F.count(on).alias("kept"), (F.count("*") - F.count(on)).alias("rejected"))
 
 
+def stretched_range(stack: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """The values of each image (keys) from its least to its largest one as 0 to 1; null where they are equal."""
+    ends = stack.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    return _join(stack, ends, keys).withColumn(value, F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo"))).drop("_lo", "_hi")
+
+
 def frame_normalization(px: DataFrame, frame: str, reference: str, value: str = "v", mode: str = "mul") -> DataFrame:
     """Scale and offset that bring each frame's median (and, for addscale, MAD) to the reference frame's."""
     x = px.select(F.col(frame).alias("_f"), finite(F.col(value)).alias("_v")).where("_v is not null")
@@ -194,15 +211,19 @@ def best_share(frames: DataFrame, keys: list[str], value: str, share: float = 0.
     return frames.withColumn("_p", F.percent_rank().over(Window.partitionBy(*keys).orderBy(value))).where(F.col("_p") <= share).drop("_p")
 
 
-def exposure_fusion(px: DataFrame, keys: list[str], value: str, exposure: str, mask: Column) -> DataFrame:
-    """sum(w raw / t) / sum(w), w the inverse of the flux's variance times the mask."""
-    w = mask * F.col(exposure)
-    return px.groupBy(*keys).agg(F.try_divide(F.sum(w * F.col(value) / F.col(exposure)), F.sum(w)).alias("value"))
+def exposure_fusion(px: DataFrame, keys: list[str], value: str, exposure: str, mask: Column, read_noise: float) -> DataFrame:
+    """sum(w raw / t) / sum(w), w the mask over the flux's variance (raw + read_noise^2) / t^2."""
+    t, raw = F.col(exposure), F.col(value)
+    w = F.try_divide(mask * t * t, raw + read_noise * read_noise)
+    return px.groupBy(*keys).agg(F.try_divide(F.sum(w * raw / t), F.sum(w)).alias("value"))
 
 
 def calibrate(light: DataFrame, dark: DataFrame, flat: DataFrame, flat_median: float | None = None) -> DataFrame:
     """(light - dark) / (flat / its median), tile by tile; a flat of 0 gives NULL.  dark and flat: one master's tiles."""
-    level = F.lit(flat_median) if flat_median else F.lit(1.0)
+    if flat_median is None:
+        flat = flat.crossJoin(F.broadcast(flat.select(F.explode("px").alias("_v")).agg(F.median(finite(F.col("_v"))).alias("_level"))))  # one row
+        flat = flat.withColumn("px", F.transform("px", lambda v: v / F.col("_level"))).drop("_level")
+    level = F.lit(1.0 if flat_median is None else flat_median)
     joined = light.join(dark.select("ty", "tx", F.col("px").alias("_d")), ["ty", "tx"], "left").join(flat.select("ty", "tx", F.col("px").alias("_f")), ["ty", "tx"], "left")
     less = F.when(F.col("_d").isNull(), F.col("px")).otherwise(F.zip_with("px", "_d", lambda a, b: a - b))
     done = F.when(F.col("_f").isNull(), less).otherwise(F.zip_with(less, "_f", lambda a, b: F.when(b != 0, a * level / b)))

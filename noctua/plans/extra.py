@@ -36,9 +36,9 @@ def _(t: Tables):
     return t.conversations.withColumn("embeds", F.array(embed)).select("conv_id", "turn", S.message_text(F.col("role"), F.col("embeds")).alias("text"))
 
 
-@query("p32_hours_to_flip", "SELECT l_orderkey, l_linenumber, round(CASE WHEN l_linestatus = 'F' THEN CASE WHEN a < 0 THEN a + 24 ELSE a END ELSE greatest(a, 0) END, 6) AS hours FROM (SELECT *, ((l_quantity / 2.1 - l_linenumber * 3.3 + 12) % 24 + 24) % 24 - 12 AS a FROM lineitem)")
+@query("p32_hours_to_flip", "SELECT l_orderkey, l_linenumber, round(CASE WHEN l_linestatus = 'F' THEN 12 + 0.25 - ha ELSE greatest(0, 0.25 - ha) END, 6) AS hours FROM (SELECT *, CASE WHEN h > 12 THEN h - 24 ELSE h END AS ha FROM (SELECT *, l_linenumber * 3.3 - l_quantity / 2.1 AS h FROM lineitem))")
 def _(t: Tables):
-    return t.lineitem.select("l_orderkey", "l_linenumber", r(S.hours_to_flip(F.col("l_quantity") / 2.1, F.col("l_linenumber") * 3.3, F.col("l_linestatus") == "F")).alias("hours"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", r(S.hours_to_flip(F.col("l_quantity") / 2.1, F.col("l_linenumber") * 3.3, F.col("l_linestatus") == "F", 0.25)).alias("hours"))
 
 
 @query("p38_unquoted_values", "SELECT c_custkey, c_name || '''s' AS name FROM customer")
@@ -98,19 +98,19 @@ def _(t: Tables):
 
 
 @query("g24_aperture_photometry", f"""
-WITH {PX}, d AS (SELECT vec_id, v, sqrt(pow(y - 3, 2) + pow(x - 4, 2)) AS d FROM px), a AS (SELECT vec_id, median(v) FILTER (d BETWEEN 2 AND 3) AS bg, sum(v) FILTER (d <= 1) AS s, count(*) FILTER (d <= 1) AS n, max(v) FILTER (d <= 1) AS peak FROM d WHERE d <= 3 GROUP BY 1)
-SELECT CAST(vec_id AS VARCHAR) AS frame_id, round(s - n * bg, 5) AS flux, round(bg, 6) AS background, round(peak, 6) AS peak, CASE WHEN peak >= 0.2 THEN 'saturated' ELSE '' END AS flags FROM a
+WITH {PX}, d AS (SELECT vec_id, v, sqrt(pow(y - 3, 2) + pow(x - 4, 2)) AS d FROM px), a AS (SELECT vec_id, median(v) FILTER (d BETWEEN 2 AND 3) AS bg, stddev_samp(v) FILTER (d BETWEEN 2 AND 3) AS sd, sum(v) FILTER (d <= 1) AS s, count(*) FILTER (d <= 1) AS n, max(v) FILTER (d <= 1) AS peak, max(v) FILTER (d <= 1 OR d >= 2) >= 0.25 AS sat FROM d WHERE d <= 3 GROUP BY 1)
+SELECT CAST(vec_id AS VARCHAR) AS frame_id, CASE WHEN NOT sat THEN round(s - n * bg, 5) END AS flux, CASE WHEN NOT sat THEN round(bg, 6) END AS background, round(peak, 6) AS peak, CASE WHEN NOT sat THEN round((s - n * bg) / (sd * sqrt(n)), 5) END AS snr, CASE WHEN sat THEN 'saturated' ELSE '' END AS flags FROM a
 """)
 def _(t: Tables):
     stars = t.embeddings.select(F.col("vec_id").cast("string").alias("frame_id"), F.lit(1).alias("star_id"), F.lit(4.0).alias("x"), F.lit(3.0).alias("y"))
-    got = tiles.aperture_photometry(_tiles(t), stars, 4, 8, 8, 1.0, 2.0, 3.0, 0.2)
-    return got.select("frame_id", r("flux", 5).alias("flux"), r("background").alias("background"), r("peak").alias("peak"), F.array_join("flags", ",").alias("flags"))
+    got = tiles.aperture_photometry(_tiles(t), stars, 4, 8, 8, 1.0, 2.0, 3.0, 0.25)
+    return got.select("frame_id", r("flux", 5).alias("flux"), r("snr", 5).alias("snr"), r("background").alias("background"), r("peak").alias("peak"), F.array_join("flags", ",").alias("flags"))
 
 
-@query("g29_flag_totals", f"WITH {PX}, a AS (SELECT vec_id, max(v) AS peak FROM px WHERE sqrt(pow(y - 3, 2) + pow(x - 4, 2)) <= 1 GROUP BY 1) SELECT 'saturated' AS flag, count(*) AS n FROM a WHERE peak >= 0.2")
+@query("g29_flag_totals", f"WITH {PX}, a AS (SELECT vec_id, max(v) AS top FROM (SELECT *, sqrt(pow(y - 3, 2) + pow(x - 4, 2)) AS d FROM px) WHERE d <= 1 OR d BETWEEN 2 AND 3 GROUP BY 1) SELECT 'saturated' AS flag, count(*) AS n FROM a WHERE top >= 0.25")
 def _(t: Tables):
     stars = t.embeddings.select(F.col("vec_id").cast("string").alias("frame_id"), F.lit(1).alias("star_id"), F.lit(4.0).alias("x"), F.lit(3.0).alias("y"))
-    return tiles.flag_totals(tiles.aperture_photometry(_tiles(t), stars, 4, 8, 8, 1.0, 2.0, 3.0, 0.2))
+    return tiles.flag_totals(tiles.aperture_photometry(_tiles(t), stars, 4, 8, 8, 1.0, 2.0, 3.0, 0.25))
 
 
 @query("g25_g26_frame_features", f"""
@@ -129,7 +129,7 @@ WITH {NODES}, g AS (SELECT vec_id, gy, gx, s FROM n), w AS (SELECT a.vec_id, a.g
 SELECT CAST(vec_id AS VARCHAR) AS pair_id, gy, gx, round(scale, 6) AS scale FROM w
 """)
 def _(t: Tables):
-    p = _px(t).where("vec_id < 10")
+    p = _px(t)
     g = p.select(F.col("vec_id").cast("string").alias("pair_id"), F.col("y").alias("gy"), F.col("x").alias("gx"), (1 + F.col("v")).alias("scale"), *[F.lit(0.0).alias(c) for c in ("offset", "ref_bg", "target_bg")], F.lit(True).alias("valid"))
     return lnc.fill_and_smooth(g, 1).select("pair_id", "gy", "gx", r("scale").alias("scale"))
 
@@ -148,7 +148,7 @@ def _(t: Tables):
     return work.groupBy("o_custkey").agg(F.sum("remaining").cast("long").alias("remaining"))
 
 
-@query("x1_registered_metric", "SELECT p_partkey AS id, round(p_retailprice / p_size, 6) AS star_yield FROM part WHERE p_size > 0")
+@query("x1_registered_metric", "SELECT p_partkey AS id, round(p_retailprice / p_size, 6) AS star_yield FROM part")
 def _(t: Tables):
-    x = t.part.where("p_size > 0").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("s"), F.lit(1.0).alias("f"), F.lit(1.0).alias("b"), F.col("p_size").cast("double").alias("n"))
+    x = t.part.select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("s"), F.lit(1.0).alias("f"), F.lit(1.0).alias("b"), F.col("p_size").cast("double").alias("n"))
     return rounded(quality.metric_scores(x, "s", "f", "b", "n", ["star_yield"]).select("id", "star_yield"))

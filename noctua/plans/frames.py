@@ -185,7 +185,7 @@ def _(t: Tables):
 
 
 @query("p36_stretch_and_mask", """
-WITH m AS (SELECT min(value) AS lo, max(value) AS hi FROM events) SELECT event_id, round(ln(1 + value - lo) / ln(1 + hi - lo), 6) AS stretched, round(greatest(0, least(1, ((value - lo) / (hi - lo)) / 0.01, (1 - (value - lo) / (hi - lo)) / 0.1)), 6) AS mask FROM events, m
+WITH m AS (SELECT min(value) AS lo, max(value) AS hi FROM events) SELECT event_id, round(ln(1 + 1000 * (value - lo)) / ln(1 + 1000 * (hi - lo)), 6) AS stretched, round(greatest(0, least(1, ((value - lo) / (hi - lo)) / 0.01, (1 - (value - lo) / (hi - lo)) / 0.1)), 6) AS mask FROM events, m
 """)
 def _(t: Tables):
     m = t.events.agg(F.min("value").alias("lo"), F.max("value").alias("hi"))  # one row
@@ -309,9 +309,9 @@ def _(t: Tables):
 # --- joins and set operations -------------------------------------------------------------------------------------------------
 
 
-@query("j1_with_measurements", "SELECT d.doc_id, toxic, quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+@query("j1_with_measurements", "SELECT d.doc_id, toxic, quality FROM documents d LEFT JOIN (SELECT * FROM labels QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY quality DESC, toxic DESC) = 1) l ON l.doc_id = d.doc_id")
 def _(t: Tables):
-    return joins.with_measurements(t.documents.select("doc_id"), t.labels, "doc_id").select("doc_id", "toxic", "quality")
+    return joins.with_measurements(t.documents.select("doc_id"), t.labels, "doc_id", ["quality", "toxic"]).select("doc_id", "toxic", "quality")
 
 
 @query("j2_captures_at", """
@@ -487,12 +487,11 @@ def _(t: Tables):
     return joins.latest(t.events, ["user_id"], "ts", "event_id", 3).select("user_id", "event_id")
 
 
-@query("o7_filter_order", "SELECT s_suppkey, CAST(row_number() OVER (ORDER BY lower(s_name), CASE s_suppkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 4 ELSE 99 END, s_suppkey) AS INTEGER) AS place FROM supplier ORDER BY place LIMIT 50")
+@query("o7_filter_order", "SELECT s_suppkey, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY lower(s_name), CASE s_suppkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 4 ELSE 99 END, s_suppkey) AS INTEGER) AS place FROM supplier")
 def _(t: Tables):
     names = F.element_at(F.array(F.lit("L"), F.lit("H"), F.lit("X")), (F.col("s_suppkey") % 3 + 1).cast("int"))
     order = [F.lower("s_name"), S.filter_rank(names), F.col("s_suppkey")]
-    first = t.supplier.orderBy(*order).limit(50)
-    return first.withColumn("place", F.row_number().over(Window.orderBy(*order))).select("s_suppkey", "place")
+    return t.supplier.withColumn("place", F.row_number().over(Window.partitionBy("s_nationkey").orderBy(*order))).select("s_suppkey", "place")
 
 
 @query("o9_cull_list", "SELECT p_partkey FROM part WHERE p_size < 5 OR p_retailprice > 1500")

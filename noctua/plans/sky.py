@@ -24,10 +24,10 @@ def _(t: Tables):
 
 
 @query("w9_time_grid", """
-WITH g AS (SELECT o_orderkey, unnest(generate_series(o_orderdate - INTERVAL 60 MINUTE, o_orderdate + INTERVAL 120 MINUTE, INTERVAL 30 MINUTE)) AS t FROM orders WHERE o_orderkey % 7 = 0) SELECT o_orderkey, epoch_us(t) AS t FROM g
+WITH g AS (SELECT o_orderkey, unnest(generate_series(o_orderdate - INTERVAL 60 MINUTE, o_orderdate + INTERVAL 120 MINUTE, INTERVAL 30 MINUTE)) AS t FROM orders) SELECT o_orderkey, epoch_us(t) AS t FROM g
 """)
 def _(t: Tables):
-    x = t.orders.where("o_orderkey % 7 = 0").withColumn("end", F.col("o_orderdate") + F.make_dt_interval(hours=F.lit(1)))
+    x = t.orders.withColumn("end", F.col("o_orderdate") + F.make_dt_interval(hours=F.lit(1)))
     return planning.time_grid(x, "o_orderdate", "end", 30).select("o_orderkey", F.unix_micros("t").alias("t"))
 
 
@@ -154,15 +154,16 @@ def _(t: Tables):
 
 
 @query("g33_rejection_stack", f"""
-WITH {PX}, p AS (SELECT * FROM px WHERE v > 0), m AS (SELECT label, y, x, median(v) AS m, stddev_pop(v) AS s FROM p GROUP BY 1, 2, 3)
-SELECT label, y, x, round(avg(v) FILTER (v BETWEEN m - 1.5 * s AND m + 1.5 * s), 6) AS value, count(*) FILTER (v BETWEEN m - 1.5 * s AND m + 1.5 * s) AS kept, count(*) FILTER (NOT v BETWEEN m - 1.5 * s AND m + 1.5 * s) AS rejected FROM p JOIN m USING (label, y, x) GROUP BY 1, 2, 3
+WITH {PX}, p AS (SELECT * FROM px WHERE v > 0), m AS (SELECT label, y, x, median(v) AS m, coalesce(stddev_samp(v), 0) AS s FROM p GROUP BY 1, 2, 3),
+k AS (SELECT label, y, x, avg(v) FILTER (v > m - 1.5 * s AND v < m + 1.5 * s) AS value, count(*) FILTER (v > m - 1.5 * s AND v < m + 1.5 * s) AS kept, count(*) FILTER (NOT (v > m - 1.5 * s AND v < m + 1.5 * s)) AS rejected FROM p JOIN m USING (label, y, x) GROUP BY 1, 2, 3)
+SELECT label, y, x, round((value - min(value) OVER w) / nullif(max(value) OVER w - min(value) OVER w, 0), 6) AS value, kept, rejected FROM k WINDOW w AS (PARTITION BY label)
 """)
 def _(t: Tables):
-    return rounded(tiles.rejection_stack(_px(t), ["label", "y", "x"], low=1.5, high=1.5))
+    return rounded(tiles.stretched_range(tiles.rejection_stack(_px(t), ["label", "y", "x"], low=1.5, high=1.5), ["label"]))
 
 
 @query("g34_winsorized_weighted_stack", f"""
-WITH {PX}, p AS (SELECT *, 1.0 + vec_id % 3 AS w FROM px WHERE v > 0), m AS (SELECT label, y, x, median(v) AS m, stddev_pop(v) AS s FROM p GROUP BY 1, 2, 3)
+WITH {PX}, p AS (SELECT *, 1.0 + vec_id % 3 AS w FROM px WHERE v > 0), m AS (SELECT label, y, x, median(v) AS m, coalesce(stddev_samp(v), 0) AS s FROM p GROUP BY 1, 2, 3)
 SELECT label, y, x, round(sum(w * least(greatest(v, m - 2 * s), m + 2 * s)) / sum(w), 6) AS value, count(*) AS kept, 0::BIGINT AS rejected FROM p JOIN m USING (label, y, x) GROUP BY 1, 2, 3
 """)
 def _(t: Tables):
@@ -183,13 +184,14 @@ def _(t: Tables):
     return rounded(tiles.mean_stack(_px(t), ["label", "y", "x"]))
 
 
-@query("g36_exposure_fusion", f"WITH {PX}, p AS (SELECT *, 1.0 + vec_id % 4 AS t, CASE WHEN abs(v) < 0.2 THEN 1 ELSE 0.5 END AS mask FROM px) SELECT label, y, x, round(sum(mask * t * v / t) / sum(mask * t), 6) AS value FROM p GROUP BY 1, 2, 3")
+@query("g36_exposure_fusion", f"WITH {PX}, p AS (SELECT label, y, x, v + 1 AS raw, 1.0 + vec_id % 4 AS t, CASE WHEN abs(v) < 0.2 THEN 1 ELSE 0.5 END AS mask FROM px), w AS (SELECT *, mask / (raw / (t * t) + 0.3 * 0.3 / (t * t)) AS w FROM p) SELECT label, y, x, round(sum(w * raw / t) / sum(w), 6) AS value FROM w GROUP BY 1, 2, 3")
 def _(t: Tables):
     x = _px(t).withColumn("t", 1.0 + F.col("vec_id") % 4)
-    return rounded(tiles.exposure_fusion(x, ["label", "y", "x"], "v", "t", F.when(F.abs("v") < 0.2, 1.0).otherwise(0.5)))
+    x = x.withColumn("mask", F.when(F.abs("v") < 0.2, 1.0).otherwise(0.5)).withColumn("v", F.col("v") + 1)
+    return rounded(tiles.exposure_fusion(x, ["label", "y", "x"], "v", "t", F.col("mask"), 0.3))
 
 
-@query("g37_calibration", "SELECT CAST(e.vec_id AS VARCHAR) AS frame_id, round(list_sum(list_transform(list_zip(e.embedding, d.embedding, f.embedding), lambda z: (CAST(z[1] AS DOUBLE) - z[2]) / (2 + z[3]))), 3) AS total FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 1) d, (SELECT embedding FROM embeddings WHERE vec_id = 2) f")
+@query("g37_calibration", "SELECT CAST(e.vec_id AS VARCHAR) AS frame_id, round(list_sum(list_transform(list_zip(e.embedding, d.embedding, f.embedding), lambda z: (CAST(z[1] AS DOUBLE) - z[2]) / ((2 + CAST(z[3] AS DOUBLE)) / m))), 3) AS total FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 1) d, (SELECT embedding, 2 + list_median(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS m FROM embeddings WHERE vec_id = 2) f")
 def _(t: Tables):
     x = t.embeddings.select(F.col("vec_id").cast("string").alias("frame_id"), F.lit(0).alias("ty"), F.lit(0).alias("tx"), F.transform("embedding", lambda v: v.cast("double")).alias("px"))
     dark, flat = x.where("frame_id = '1'"), x.where("frame_id = '2'").withColumn("px", F.transform("px", lambda v: v + 2))
@@ -243,12 +245,12 @@ def _(t: Tables):
 
 # --- grids --------------------------------------------------------------------------------------------------------------------
 
-NODES = "n AS (SELECT CAST(label AS VARCHAR) AS pair_id, CAST((i - 1) // 8 AS INTEGER) AS gy, CAST((i - 1) % 8 AS INTEGER) AS gx, 1 + CAST(embedding[i] AS DOUBLE) AS s, vec_id FROM embeddings, (SELECT unnest(generate_series(1, 64)) AS i) WHERE vec_id < 10)"
+NODES = "n AS (SELECT CAST(label AS VARCHAR) AS pair_id, CAST((i - 1) // 8 AS INTEGER) AS gy, CAST((i - 1) % 8 AS INTEGER) AS gx, 1 + CAST(embedding[i] AS DOUBLE) AS s, vec_id FROM embeddings, (SELECT unnest(generate_series(1, 64)) AS i))"
 
 
 @query("l4_grid_nodes", """
-SELECT p_partkey, CAST(gy AS INTEGER) AS gy, CAST(gx AS INTEGER) AS gx, CAST(least(gy * 16, p_size * 2 - 1) AS INTEGER) AS y, CAST(least(gx * 16, p_size * 3 - 1) AS INTEGER) AS x
-FROM (SELECT p_partkey, p_size, gy, unnest(generate_series(0, CAST(ceil((p_size * 3 - 1) / 16) AS BIGINT))) AS gx FROM (SELECT p_partkey, p_size, unnest(generate_series(0, CAST(ceil((p_size * 2 - 1) / 16) AS BIGINT))) AS gy FROM part))
+SELECT p_partkey, CAST(gy AS INTEGER) AS gy, CAST(gx AS INTEGER) AS gx, CAST(gy * 16 AS INTEGER) AS y, CAST(gx * 16 AS INTEGER) AS x
+FROM (SELECT p_partkey, p_size, gy, unnest(generate_series(0, (p_size * 3 - 1) // 16)) AS gx FROM (SELECT p_partkey, p_size, unnest(generate_series(0, (p_size * 2 - 1) // 16)) AS gy FROM part))
 """)
 def _(t: Tables):
     x = t.part.select("p_partkey", (F.col("p_size") * 3).alias("w"), (F.col("p_size") * 2).alias("h"))

@@ -197,7 +197,7 @@ f AS (SELECT g, count(*) AS used, any_value(n) AS n, regr_slope(r, t) AS s, regr
 
 
 @query("g30_trimmed_affine", TRIMMED + """
-SELECT g AS l_returnflag, round(CASE WHEN s BETWEEN 100 AND 5000 THEN s ELSE 1 END, 4) AS scale, round(CASE WHEN s BETWEEN 100 AND 5000 THEN o ELSE ref_bg - target_bg END, 3) AS "offset", round(ref_bg, 4) AS ref_bg, round(target_bg, 4) AS target_bg, used, NOT s BETWEEN 100 AND 5000 AS clamped FROM f WHERE used >= greatest(16, n / 2)
+SELECT g AS l_returnflag, round(CASE WHEN s BETWEEN 100 AND 5000 THEN s ELSE 1 END, 4) AS scale, round(CASE WHEN s BETWEEN 100 AND 5000 THEN o ELSE ref_bg - target_bg END, 3) AS "offset", round(ref_bg, 4) AS ref_bg, round(target_bg, 4) AS target_bg, used, NOT s BETWEEN 100 AND 5000 AS clamped FROM f WHERE n >= 2000 AND used >= 1000
 """)
 def _(t: Tables):
     got = stats.trimmed_affine(t.lineitem, ["l_returnflag"], "l_extendedprice", "l_quantity", ["l_orderkey", "l_linenumber"], low=100, high=5000)
@@ -205,7 +205,7 @@ def _(t: Tables):
 
 
 @query("g30_clamped_affine", TRIMMED + """
-SELECT g AS l_returnflag, 1.0::DOUBLE AS scale, round(ref_bg - target_bg, 4) AS "offset", used, true AS clamped FROM f
+SELECT g AS l_returnflag, 1.0::DOUBLE AS scale, round(ref_bg - target_bg, 4) AS "offset", used, true AS clamped FROM f WHERE n >= 2000 AND used >= 1000
 """)
 def _(t: Tables):
     got = stats.trimmed_affine(t.lineitem, ["l_returnflag"], "l_extendedprice", "l_quantity", ["l_orderkey", "l_linenumber"])
@@ -213,7 +213,7 @@ def _(t: Tables):
 
 
 @query("g31_additive_offset", TRIMMED + """
-SELECT g AS l_returnflag, 1.5::DOUBLE AS scale, round(ref_bg - 1.5 * target_bg, 4) AS "offset", used FROM f
+SELECT g AS l_returnflag, 1.5::DOUBLE AS scale, round(ref_bg - 1.5 * target_bg, 4) AS "offset", used FROM f WHERE n >= 2000 AND used >= 1000
 """)
 def _(t: Tables):
     fit = stats.trimmed_affine(t.lineitem, ["l_returnflag"], "l_extendedprice", "l_quantity", ["l_orderkey", "l_linenumber"])

@@ -62,20 +62,22 @@ def _unit(s: pd.Series) -> float:
 
 
 def drift_alerts(events: DataFrame, key: str, t: str, value: str, threshold: float, timeout: float, tie: str) -> DataFrame:
-    """T2 over stored events: key, alert_at.  Islands above the threshold come from a window; only they are folded, one
-    island in a task, since each alert restarts the clock at its own sample."""
-    from noctua.operators.planning import islands
-
-    runs = islands(events.select(key, t, value, tie), [key], [t, tie], F.col(value) > threshold)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([t, tie], kind="stable")
-        clock = DriftClock(threshold, timeout)
-        hits = [clock.add(a, b) for a, b in zip(_numbers(pdf, t), pdf[value], strict=True)]
-        return pdf.loc[hits, [key, t]].rename(columns={t: "alert_at"})
+    """T2 over stored events: key, alert_at.  Each alert restarts the clock at its own sample, so a key's rows are folded in
+    order; they stream through a task, which holds one clock and one batch whatever the key's number of rows."""
+    rows = events.select(key, t, value, tie).repartition(key).sortWithinPartitions(key, t, tie).drop(tie)
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, clock = object(), DriftClock(threshold, timeout)
+        for pdf in frames:
+            hits = []
+            for k, a, b in zip(pdf[key].tolist(), _numbers(pdf, t), pdf[value].tolist(), strict=True):
+                if k != last:
+                    last, clock = k, DriftClock(threshold, timeout)
+                hits.append(clock.add(a, b))
+            yield pdf.loc[hits, [key, t]].rename(columns={t: "alert_at"})
 
     kind = dict(events.dtypes)
-    return runs.groupBy(key, "island").applyInPandas(fold, f"{key} {kind[key]}, alert_at {kind[t]}")
+    return rows.mapInPandas(fold, f"{key} {kind[key]}, alert_at {kind[t]}")
 
 
 def drift_stream(events: DataFrame, key: str, t: str, value: str, threshold: float, timeout: float, delay: str = "30 seconds") -> DataFrame:

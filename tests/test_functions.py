@@ -160,9 +160,9 @@ def test_normalization_recovers_scale_and_offset(spark):
     kinds = "frame_id string, y int, x int, v double"
     ref, tgt = spark.createDataFrame(ref, kinds), spark.createDataFrame(tgt, kinds)
     pairs = spark.createDataFrame([("p", "r", "t", [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0])], "pair_id string, reference_id string, target_id string, m array<double>")
-    samples = lnc.paired_samples(ref, tgt, pairs, 16, 24)
+    samples = lnc.paired_samples(ref, tgt, pairs, 16, 24, (n, n))
     nodes = lnc.grid_nodes(spark.createDataFrame([("p", n, n)], "pair_id string, w int, h int"), "w", "h", 16)
-    grid = lnc.fill_and_smooth(lnc.complete_grid(nodes, lnc.fit_nodes(samples)))
+    grid = lnc.fill_and_smooth(lnc.complete_grid(nodes, lnc.fit_nodes(samples, min_samples=100)))
     assert lnc.validity(grid).first().passes
     image = spark.createDataFrame([("p", "t", 0, 0, 0, 0, n, n, [r.v for r in tgt.orderBy("y", "x").collect()])], "pair_id string, frame_id string, ty int, tx int, y0 int, x0 int, h int, w int, px array<float>")
     fixed = lnc.correct_tiles(image, grid, 16).first().px
@@ -198,7 +198,28 @@ def test_aperture_photometry_flags_and_flux(spark):
     t = spark.createDataFrame([("f", 0, 0, 0, 0, 20, 20, px)], tiles.TILE)
     stars = spark.createDataFrame([("f", 1, 10.0, 10.0), ("f", 2, 0.0, 0.0)], "frame_id string, star_id int, x double, y double")
     got = {r.star_id: r for r in tiles.aperture_photometry(t, stars, 20, 20, 20, 2.0, 4.0, 6.0, 100.0).collect()}
-    assert got[1].flux == 100.0 and got[1].flags == ["saturated"] and "edge" in got[2].flags
+    assert got[1].flux is None and got[1].peak == 110 and got[1].flags == ["saturated"]
+    assert got[2].flags == ["edge"] and got[2].peak is None and got[2].background is None
+    got = {r.star_id: r for r in tiles.aperture_photometry(t, stars, 20, 20, 20, 2.0, 4.0, 6.0, 1000.0).collect()}
+    assert got[1].flux == 100.0 and got[1].background == 10 and got[1].snr == float("inf") and got[1].flags == []
+
+
+def test_hours_to_the_flip(spark):
+    """The pier on the east: 12 hours and the angle less the hour angle; else what is left to the angle, 0 beyond it."""
+    got = one(spark, **{f"h{i}": S.hours_to_flip(F.lit(float(ra)), F.lit(float(lst)), F.lit(east), 0.5) for i, (ra, lst, east) in enumerate([(5, 3, False), (5, 7, False), (5, 7, True), (1, 23, False), (1, 23, True)])})
+    assert [got[f"h{i}"] for i in range(5)] == [2.5, 0.0, 10.5, 2.5, 14.5]
+
+
+def test_stretch_of_the_log_and_stars_without_a_score(spark):
+    got = one(spark, a=S.log_stretch(F.lit(0.001), F.lit(0.0), F.lit(1.0)), b=S.stellar_quality(F.lit(0.0), F.lit(1.0), F.lit(1.0), F.lit(1.0)))
+    assert abs(got.a - 0.1003) < 1e-4 and got.b is None
+
+
+def test_thin_nodes_are_left_out(spark):
+    d = spark.range(1500).select(F.lit(1).alias("k"), F.col("id").cast("double").alias("t"), (2 * F.col("id") + 1.0).alias("r"), "id")
+    assert stats.trimmed_affine(d, ["k"], "r", "t", ["id"]).count() == 0
+    got = stats.trimmed_affine(d, ["k"], "r", "t", ["id"], min_samples=1500).first()
+    assert abs(got.scale - 2) < 1e-9 and got.used == 1200 and not got.clamped
 
 
 def test_sun_and_moon_at_known_times(spark):

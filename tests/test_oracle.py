@@ -31,7 +31,12 @@ def plain(df):
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_gives_the_rows_of_its_sql(spark, duck, name):
-    got, want = plain(QUERIES[name](spark, DATA).toPandas()), plain(duck.sql(ORACLE_SQL[name]).df())
+    rows = duck.sql(ORACLE_SQL[name])
+    want = rows.df()
+    for c, kind in zip(rows.columns, rows.types, strict=True):
+        if str(kind) == "DATE":  # which df() turns into timestamps
+            want[c] = want[c].map(lambda v: None if v != v else v.date())
+    got, want = plain(QUERIES[name](spark, DATA).toPandas()), plain(want)
     assert list(got.columns) == list(want.columns)
     assert len(got) == len(want)
     for c in got.columns:
