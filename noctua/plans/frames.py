@@ -355,10 +355,9 @@ def _(t: Tables):
     return quality.role_pairs(t.part, ["p_brand"], "p_partkey", F.col("p_partkey") % 50 == 0)
 
 
-@query("j8_folder_markers", "WITH m AS (SELECT p_brand, arg_min(v, p_name || '/' || p_partkey) AS marker_filter FROM (SELECT *, " + KEY.format(x=RAW) + f" AS kk FROM part) JOIN {ALIASES} ON al.k = kk GROUP BY 1) SELECT p_partkey, marker_filter FROM part LEFT JOIN m USING (p_brand)")
+@query("j8_folder_markers", "WITH m AS (SELECT p_brand, arg_min(v, " + RAW + ") AS marker_filter FROM (SELECT *, " + KEY.format(x=RAW) + f" AS kk FROM part) JOIN {ALIASES} ON al.k = kk GROUP BY 1) SELECT p_partkey, marker_filter FROM part LEFT JOIN m USING (p_brand)")
 def _(t: Tables):
-    x = t.part.withColumn("raw", _raw()).withColumn("name", F.concat("p_name", F.lit("/"), F.col("p_partkey").cast("string")))
-    m = x.withColumn("_f", S.canonical_filter(F.col("raw"), others=False)).where("_f is not null").groupBy("p_brand").agg(F.min_by("_f", "name").alias("marker_filter"))
+    m = joins.folder_markers(t.part.select("p_brand", _raw().alias("raw")), "p_brand", "raw")
     return t.part.join(m, "p_brand", "left").select("p_partkey", "marker_filter")
 
 
@@ -404,14 +403,16 @@ def _(t: Tables):
     return joins.unfinished(t.orders.select(F.col("o_orderkey").alias("path"), F.lit(1.0000000001).alias("mtime")), done, "path", "mtime").select(F.col("path").alias("o_orderkey"))
 
 
-@query("j13_labels_with_scores", "SELECT d.doc_id, quality, toxic, n_chars FROM labels l JOIN documents d USING (doc_id)")
+@query("j13_labels_with_scores", "SELECT l_orderkey AS left_path, l_partkey AS right_path, a.n AS left_score, b.n AS right_score FROM lineitem LEFT JOIN (SELECT doc_id, n_chars::DOUBLE AS n FROM documents) a ON a.doc_id = l_orderkey LEFT JOIN (SELECT doc_id, n_chars::DOUBLE AS n FROM documents) b ON b.doc_id = l_partkey")
 def _(t: Tables):
-    return t.labels.join(t.documents.select("doc_id", "n_chars"), "doc_id").select("doc_id", "quality", "toxic", "n_chars")
+    labels = t.lineitem.select(F.col("l_orderkey").alias("left_path"), F.col("l_partkey").alias("right_path"))
+    return quality.with_scores(labels, t.documents, "doc_id", "n_chars")
 
 
-@query("j14_models_side_by_side", "SELECT l_partkey, min(l_extendedprice) FILTER (l_linestatus = 'F') AS \"F\", min(l_extendedprice) FILTER (l_linestatus = 'O') AS \"O\" FROM lineitem GROUP BY 1")
+@query("j14_models_side_by_side", "WITH s AS (SELECT l_partkey, min(l_extendedprice) FILTER (l_linestatus = 'F') AS f, min(l_extendedprice) FILTER (l_linestatus = 'O') AS o FROM lineitem GROUP BY 1) SELECT count(*) AS pairs, count(*) FILTER (f < o) AS \"wins_F\", count(*) FILTER (o < f) AS \"wins_O\", round(median(f), 6) AS \"median_F\", round(median(o), 6) AS \"median_O\" FROM s WHERE f IS NOT NULL AND o IS NOT NULL")
 def _(t: Tables):
-    return t.lineitem.groupBy("l_partkey").pivot("l_linestatus", ["F", "O"]).agg(F.min("l_extendedprice"))
+    runs = t.lineitem.groupBy("l_partkey", "l_linestatus").agg(F.min("l_extendedprice").alias("v"))
+    return rounded(quality.ab_summary(runs, ["l_partkey"], "l_linestatus", "v", ["F", "O"]))
 
 
 @query("j15_before_after", """

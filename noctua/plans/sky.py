@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from noctua.operators import lnc, logs, planning, tiles
 from noctua.plans.base import Tables, query, r, rounded
+from noctua.sources.files import event_log
 from noctua.streaming import telemetry
 
 # --- planning -------------------------------------------------------------------------------------------------------------
@@ -399,5 +400,6 @@ def _(t: Tables):
 
 @query("s17_event_properties", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
 def _(t: Tables):
-    v = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
-    return t.events.select("event_id", v.alias("k")).where("k is not null")
+    line = F.concat(F.lit('{"event": "'), F.col("event_id").cast("string"), F.lit('", "props": '), F.coalesce("props", F.lit("null")), F.lit("}"))
+    got = event_log(t.events.select(line.alias("value")))
+    return got.select(F.col("event").cast("long").alias("event_id"), F.try_variant_get("data", "$.props.k", "bigint").alias("k")).where("k is not null")
