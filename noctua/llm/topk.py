@@ -4,7 +4,6 @@ that a vector of it would need."""
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,7 +12,9 @@ from pyspark.sql import functions as F
 
 from noctua.llm.common import written
 
-SCHEMA = "query_id long, vec_id long, score long"
+SCHEMA = "query_id long, mark long, vec_id long, score long"
+#: Queries that are answered at once.
+QUERIES = 1024
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -26,7 +27,7 @@ def _products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return (q.astype(float) @ v.T.astype(float)).astype(np.int64) if most < 2**53 else q @ v.T
 
 
-def _bucket(qid, q, q_len, floor, vid, v, v_len, k, coordinates):
+def _bucket(qid, q, q_len, floor, vid, v, v_len, coordinates):
     """Candidates (query row, vector row, score) of one bucket that may be among the best k, by local pruning.
 
     floor: for each query a score that its k-th best reaches at least.  A vector p scores |q||p|cos, so it needs
@@ -77,84 +78,94 @@ def _best(qid, vid, score, k):
     return qid[keep], vid[keep], score[keep]
 
 
-def _scan(parts: Iterator[pd.DataFrame], block: dict, k: int, bucket: int, coordinates: int) -> Iterator[pd.DataFrame]:
-    """A task's vectors against one block of queries, bucket by bucket from the longest vectors down."""
-    held: dict[int, list[pd.DataFrame]] = {}
-    for pdf in parts:
-        for d, own in pdf.groupby("dims"):
-            held.setdefault(int(d), []).append(own[["vec_id", "v"]])
-        if sum(len(x) for xs in held.values() for x in xs) >= 16 * bucket:
-            yield from _scan_held(held, block, k, bucket, coordinates)
-            held = {}
-    yield from _scan_held(held, block, k, bucket, coordinates)
-
-
-def _scan_held(held, block, k, bucket, coordinates):
-    for d, frames in held.items():
-        if d not in block or not frames:
-            continue
-        qid, q, floor = block[d]
-        q_len = np.sqrt((q.astype(float) ** 2).sum(1))
-        floor = floor.copy()
-        vid = np.concatenate([x.vec_id.to_numpy(np.int64) for x in frames])
-        v = np.concatenate([_matrix(x.v) for x in frames])
-        v_len = np.sqrt((v.astype(float) ** 2).sum(1))
-        order = np.argsort(-v_len, kind="stable")
-        got = (np.zeros(0, np.int64),) * 3
-        for at in range(0, len(order), bucket):
-            rows = order[at : at + bucket]
-            for lo in range(0, len(qid), 1024):
-                part = slice(lo, lo + 1024)
-                r, c, s = _bucket(qid[part], q[part], q_len[part], floor[part], vid[rows], v[rows], v_len[rows], k, coordinates)
-                got = tuple(np.concatenate(x) for x in zip(got, (qid[part][r], vid[rows][c], s), strict=True))
-            got = _best(*got, k)
-            ids, counts = np.unique(got[0], return_counts=True)
-            ends = np.cumsum(counts) - 1
-            full = counts >= k  # a query with k results needs no lower score from here on
-            where = np.searchsorted(qid, ids[full])
-            floor[where] = np.maximum(floor[where], got[2][ends[full]])
-        if len(got[0]):
-            yield pd.DataFrame({"query_id": got[0], "vec_id": got[1], "score": got[2]})
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, seeds: int = 1024, block: int = 1 << 15, bucket: int = 1024, coordinates: int = 5) -> DataFrame:
+def _answers(queries: pd.DataFrame, vectors: tuple, k: int, bucket: int, coordinates: int) -> pd.DataFrame:
+    """The best k candidates of each query among one slice's vectors of its number of components, bucket by bucket from
+    the longest vectors down."""
+    vid, v, v_len = vectors
+    qid, q, floor = queries.vec_id.to_numpy(np.int64), _matrix(queries.v), queries.floor.to_numpy(float).copy()
+    q_len = np.sqrt((q.astype(float) ** 2).sum(1))
+    got = (np.zeros(0, np.int64),) * 3
+    for at in range(0, len(vid), bucket):
+        rows = slice(at, at + bucket)
+        r, c, s = _bucket(qid, q, q_len, floor, vid[rows], v[rows], v_len[rows], coordinates)
+        got = _best(*(np.concatenate(x) for x in zip(got, (r, vid[rows][c], s), strict=True)), k)
+        which, counts = np.unique(got[0], return_counts=True)
+        full = counts >= k  # a query with k results needs no lower score from here on
+        floor[which[full]] = np.maximum(floor[which[full]], got[2][np.cumsum(counts)[full] - 1])
+    return pd.DataFrame({"query_id": qid[got[0]], "mark": queries.mark.to_numpy(np.int64)[got[0]], "vec_id": got[1], "score": got[2]})
+
+
+def _scan(frames: Iterator[pd.DataFrame], k: int, bucket: int, coordinates: int) -> Iterator[pd.DataFrame]:
+    """Slice after slice: first its vectors, which are held, then the queries that come to it, a few at a time."""
+    last, held, ready, waiting = None, [], {}, []
+
+    def answer() -> Iterator[pd.DataFrame]:
+        if held:
+            for d, own in pd.concat(held).groupby("dims"):
+                v = _matrix(own.v)
+                v_len = np.sqrt((v.astype(float) ** 2).sum(1))
+                order = np.argsort(-v_len, kind="stable")
+                ready[d] = own.vec_id.to_numpy(np.int64)[order], v[order], v_len[order]
+            held.clear()
+        for d, own in pd.concat(waiting).groupby("dims"):
+            if d in ready:
+                for at in range(0, len(own), QUERIES):
+                    yield _answers(own.iloc[at : at + QUERIES], ready[d], k, bucket, coordinates)
+        waiting.clear()
+
+    for pdf in frames:
+        for (place, kind), own in pdf.groupby(["slice", "kind"], sort=True):
+            if place != last:
+                if waiting:
+                    yield from answer()
+                last, ready = place, {}
+                held.clear()
+            (waiting if kind else held).append(own)
+            if kind and sum(map(len, waiting)) >= QUERIES:
+                yield from answer()
+    if waiting:
+        yield from answer()
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, seeds: int = 1024, slice_rows: int = 1 << 16, bucket: int = 1024, coordinates: int = 5) -> DataFrame:
     """For each query the k vectors with the highest integer inner product: query_id, rank, vec_id, score; ties to the
     smaller vec_id.  vectors and queries: vec_id long, v array<long>; a query's own vec_id is no candidate, null ids
-    and null vectors take no part, and vectors of another number of components are not compared.
+    and null vectors take no part, and vectors of another number of components are not compared.  A query row that is
+    given twice is answered once; rows of one id with different vectors are queries of their own, each ranked from 1.
 
-    A first pass over the `seeds` longest vectors gives each query a score that its k-th best reaches at least.  The
-    vectors are then range-partitioned by length, so tasks hold vectors of like length; each task prunes its buckets of
-    `bucket` vectors with those floors and sends on at most k rows a query.  Queries go out in blocks of `block`, whose
-    size is fixed; there is one pass over the vectors for each block.
+    The `seeds` longest vectors give each query a score that its k-th best reaches at least.  Vectors are range-partitioned by
+    length into slices of at most about `slice_rows`.  A query goes to the slices whose longest vector can reach its
+    score; a task holds one slice, prunes its buckets of `bucket` vectors by local cosine thresholds, and sends on at
+    most k rows a query.  Queries pass through no driver; what is broadcast is the seeds and a row for each slice.
     """
-    spark = vectors.sparkSession
-    table = written(
-        vectors.where("vec_id is not null and v is not null")
-        .select("vec_id", "v", F.size("v").alias("dims"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")).alias("norm"))
-        .repartitionByRange(F.desc("norm"), "vec_id"), "topk-vectors",
-    )
-    asked = written(queries.where("vec_id is not null and v is not null").select("vec_id", "v", F.size("v").alias("dims")), "topk-queries")
-    blocks = -(-asked.count() // block)
-    head = table.orderBy(F.desc("norm"), "vec_id").limit(seeds).toPandas()
-    parts = []
-    for b in range(blocks):
-        mine = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toPandas()
-        held = {}
-        for d, own in mine.groupby("dims"):
-            own = own.sort_values("vec_id", kind="stable").drop_duplicates("vec_id")
-            qid, q = own.vec_id.to_numpy(np.int64), _matrix(own.v)
-            floor = np.full(len(qid), np.iinfo(np.int64).min, np.int64).astype(float)
-            seed = head[head.dims == d]
-            if len(seed) > k:
-                vid, v = seed.vec_id.to_numpy(np.int64), _matrix(seed.v)
-                for lo in range(0, len(qid), 2048):
-                    s = _products(q[lo : lo + 2048], v).astype(float)
-                    s[qid[lo : lo + 2048][:, None] == vid[None, :]] = -np.inf
-                    floor[lo : lo + 2048] = np.partition(s, -k, axis=1)[:, -k]
-            held[int(d)] = (qid, q, floor)
-        sent = spark.sparkContext.broadcast(held)
-        parts.append(table.select("vec_id", "v", "dims").mapInPandas(lambda frames, sent=sent: _scan(frames, sent.value, k, bucket, coordinates), SCHEMA))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return reduce(DataFrame.unionAll, parts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    whole = lambda df: df.where("vec_id is not null and v is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<long>").alias("v"), F.size("v").alias("dims"), norm.alias("norm"))
+    spark, rows = vectors.sparkSession, whole(vectors)
+    n = rows.count()
+    slices = max(-(-n // slice_rows), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // 1024)), 1)
+    table = written(rows.repartitionByRange(slices, F.desc("norm"), "vec_id").withColumn("slice", F.spark_partition_id()), "topk-vectors")
+    head = table.orderBy(F.desc("norm"), "vec_id").limit(seeds).select("vec_id", "v", "dims").toPandas()
+    sent = spark.sparkContext.broadcast({int(d): (own.vec_id.to_numpy(np.int64), _matrix(own.v)) for d, own in head.groupby("dims")})
+
+    def floors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            pdf["floor"] = -np.inf
+            for d, own in pdf.groupby("dims"):
+                vid, v = sent.value.get(int(d), (np.zeros(0, np.int64), None))
+                for at in range(0, len(own) if len(vid) > k else 0, QUERIES):
+                    part = own.iloc[at : at + QUERIES]
+                    s = _products(_matrix(part.v), v).astype(float)
+                    s[part.vec_id.to_numpy()[:, None] == vid[None, :]] = -np.inf
+                    pdf.loc[part.index, "floor"] = np.partition(s, -k, axis=1)[:, -k]
+            yield pdf
+
+    asked = whole(queries).dropDuplicates(["vec_id", "v"]).withColumn("mark", F.xxhash64("v")).mapInPandas(floors, "vec_id long, v array<long>, dims int, norm double, mark long, floor double")
+    tops = table.groupBy("slice").agg(F.max("norm").alias("top")).agg(F.collect_list(F.struct("slice", "top")).alias("tops"))  # one row
+    reach = F.filter("tops", lambda t: (F.col("floor") <= 0) | (F.sqrt(F.col("norm")) * F.sqrt(t["top"]) * (1 + 1e-9) >= F.col("floor")))
+    visits = asked.crossJoin(F.broadcast(tops)).withColumn("slice", F.explode(F.transform(reach, lambda t: t["slice"])))
+    columns = ["slice", "kind", "vec_id", "v", "dims", "norm", "mark", "floor"]
+    both = table.withColumns({"kind": F.lit(0), "mark": F.lit(0).cast("long"), "floor": F.lit(0.0)}).select(columns).union(visits.withColumn("kind", F.lit(1)).select(columns))
+    dealt = both.repartition(slices, "slice").sortWithinPartitions("slice", "kind").drop("norm")
+    found = dealt.mapInPandas(lambda frames: _scan(frames, k, bucket, coordinates), SCHEMA)
+    order = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -97,7 +97,7 @@ def test_edited_passages_are_found_and_blocks_change_nothing(spark, odd):
 # --- 2 --------------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("options", [{}, {"seeds": 30, "block": 4, "bucket": 16}])
+@pytest.mark.parametrize("options", [{}, {"seeds": 30, "slice_rows": 40, "bucket": 16}])
 def test_top_k_is_that_of_all_products(spark, options):
     rng = np.random.default_rng(1)
     v = np.concatenate([rng.integers(-20, 20, (80, 6)), np.tile([[9, 9, 9, 9, 9, 9]], (40, 1)), rng.integers(-200, 200, (10, 6)), np.zeros((3, 6), int)])
@@ -111,6 +111,10 @@ def test_top_k_is_that_of_all_products(spark, options):
         want += [(q, n, i, -s) for n, (s, i) in enumerate(order, 1)]
     assert got == want
     assert topk.top_k(d.where("false"), d.where("false")).count() == 0
+    two = spark.createDataFrame([(0, v[0].tolist()), (0, v[0].tolist()), (0, (-v[0]).tolist())], "vec_id long, v array<long>")
+    got = Counter((r["rank"], r.score) for r in topk.top_k(d, two, 3, **options).collect())
+    best = lambda q: sorted((-int(q @ v[i]), i) for i in range(1, len(v)))[:3]
+    assert got == Counter((n, -s) for q in (v[0], -v[0]) for n, (s, _) in enumerate(best(q), 1))
 
 
 # --- 3 --------------------------------------------------------------------------------------------------------------------
