@@ -17,12 +17,15 @@ def build_session(name: str = "noctua", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a fresh one of our own only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, the context's checkpoint
+    folder or, on a local master only, a fresh one of our own."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if place:
         return place
     context = spark.sparkContext._jsc.sc()
     if not context.getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return context.getCheckpointDir().get()
 
