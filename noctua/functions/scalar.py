@@ -158,10 +158,10 @@ def user_and_equipment(relative: Column, filter_name: Column) -> tuple[Column, C
     return F.when(user == "", "unknown").otherwise(user), F.when((F.size(parts) <= 2) | is_filter, "default").otherwise(folder)
 
 
-def burst_set(path: Column, start: int, size: int = 21) -> tuple[Column, Column]:
-    """(set, place in it) of a numbered file; files before the start have neither."""
+def burst_set(path: Column, start: int, end: Column | int, size: int = 21) -> tuple[Column, Column]:
+    """(set, place in it) of a file numbered start to end; files outside, or after the last whole set, have neither."""
     n = F.regexp_extract(path, r"(\d+)\.[^.]*$", 1).try_cast("int")
-    ok = n >= start
+    ok = (n >= start) & (n < start + F.floor((F.lit(end) - start + 1) / size) * size)
     return F.when(ok, F.floor((n - start) / size)), F.when(ok, F.pmod(n - start, F.lit(size)))
 
 
@@ -305,6 +305,11 @@ def clip_unit(pixels: Column, scale: float = 65535.0) -> Column:
     return F.transform(pixels, lambda v: F.least(F.greatest(v.cast("double") / scale, F.lit(0.0)), F.lit(1.0)))
 
 
+def to_uint16(pixels: Column) -> Column:
+    """Pixel values from [0, 1] to whole numbers from 0 to 65535, half to even; not finite: 0."""
+    return F.transform(pixels, lambda v: F.coalesce(F.bround(F.least(F.greatest(finite(v), F.lit(0.0)), F.lit(1.0)) * 65535), F.lit(0.0)).cast("int"))
+
+
 def unit_range(pixels: Column, low: Column, high: Column) -> Column:
     """Pixel values from [low, high] to [0, 1]; 0 where they are equal."""
     return F.transform(pixels, lambda v: F.when(high > low, (v.cast("double") - low) / (high - low)).otherwise(0.0))

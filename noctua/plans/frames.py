@@ -184,6 +184,12 @@ def _(t: Tables):
     return t.lineitem.select("l_orderkey", "l_linenumber", r(F.when(F.round(big, 9).between(0.2, 0.99), x)).alias("x"))
 
 
+@query("p26_uint16", "SELECT vec_id, CAST(list_sum(px) AS BIGINT) AS total, list_max(px) AS most FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(round_even(least(greatest(CAST(x AS DOUBLE), 0), 1) * 65535, 0) AS INTEGER)) AS px FROM embeddings)")
+def _(t: Tables):
+    px = S.to_uint16(F.transform("embedding", lambda v: v.cast("double")))
+    return t.embeddings.select("vec_id", px.alias("px")).select("vec_id", F.aggregate("px", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"), F.array_max("px").alias("most"))
+
+
 @query("p36_stretch_and_mask", """
 WITH m AS (SELECT min(value) AS lo, max(value) AS hi FROM events) SELECT event_id, round(ln(1 + 1000 * (value - lo)) / ln(1 + 1000 * (hi - lo)), 6) AS stretched, round(greatest(0, least(1, ((value - lo) / (hi - lo)) / 0.01, (1 - (value - lo) / (hi - lo)) / 0.1)), 6) AS mask FROM events, m
 """)
@@ -193,10 +199,11 @@ def _(t: Tables):
     return x.select("event_id", r(S.log_stretch(F.col("value"), F.col("lo"), F.col("hi"))).alias("stretched"), r(S.clip_mask((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")))).alias("mask"))
 
 
-@query("p37_burst_sets", "SELECT o_orderkey, CASE WHEN o_orderkey >= 100 THEN (o_orderkey - 100) // 21 END AS burst, CAST(CASE WHEN o_orderkey >= 100 THEN (o_orderkey - 100) % 21 END AS INTEGER) AS place FROM orders")
+@query("p37_burst_sets", "WITH e AS (SELECT 100 + (max(o_orderkey) - 99) // 21 * 21 AS past FROM orders) SELECT o_orderkey, CASE WHEN o_orderkey >= 100 AND o_orderkey < past THEN (o_orderkey - 100) // 21 END AS burst, CAST(CASE WHEN o_orderkey >= 100 AND o_orderkey < past THEN (o_orderkey - 100) % 21 END AS INTEGER) AS place FROM orders, e")
 def _(t: Tables):
-    s, p = S.burst_set(F.concat(F.lit("/l/IMG_"), F.col("o_orderkey").cast("string"), F.lit(".fit")), 100)
-    return t.orders.select("o_orderkey", s.alias("burst"), p.alias("place"))
+    s, p = S.burst_set(F.concat(F.lit("/l/IMG_"), F.col("o_orderkey").cast("string"), F.lit(".fit")), 100, F.col("last"))
+    last = t.orders.agg(F.max("o_orderkey").alias("last"))  # one row
+    return t.orders.crossJoin(F.broadcast(last)).select("o_orderkey", s.alias("burst"), p.alias("place"))
 
 
 @query("p40_time_texts", "SELECT l_orderkey, l_linenumber, printf('%02d:%02d:%02d', CAST(s // 3600 AS INTEGER), CAST((s % 3600) // 60 AS INTEGER), CAST(s % 60 AS INTEGER)) AS hms FROM (SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice) AS BIGINT) AS s FROM lineitem)")
