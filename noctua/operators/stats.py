@@ -118,7 +118,7 @@ def clipped_line_fit(df: DataFrame, keys: list[str], x: str, y: str, sigma: floa
 
     Each round fits the inliers, takes the population standard deviation of their residuals and keeps, of all points,
     those with |residual| < sigma std.  A mask follows from the fit before it, so a round is one aggregate over the rows
-    joined with the last round's few coefficients, and a repeated mask repeats its fit.  A group with a std of 0 keeps
+    joined with the last round's few coefficients, and a repeated mask repeats its fit, so rounds end when no fit moves.  A group with a std of 0 keeps
     its fit.  The coefficients are those of the mask before the last update.
     """
     rows = df.withColumn("_x", finite(F.col(x))).withColumn("_y", finite(F.col(y))).where("_x is not null and _y is not null")
@@ -135,8 +135,15 @@ def clipped_line_fit(df: DataFrame, keys: list[str], x: str, y: str, sigma: floa
         std = F.sqrt(rest / F.col("c"))
         std = F.when(std <= 1e-9 * F.sqrt(F.col("yy") / F.col("c")), 0.0).otherwise(std)
         pick = lambda c, old: F.when(F.col("on"), c).otherwise(F.col(old)) if kept else c  # noqa: B023, E731
-        fit = new.select(*keys, pick(F.col("a"), "_slope").alias("slope"), pick(F.col("b"), "_intercept").alias("intercept"), pick(std, "_std").alias("std"), pick(F.col("c"), "_n").alias("n"))
-        fit = written(fit, "clipped-line")
+        before = [f"_{c}" for c in ("slope", "intercept", "std", "n")] if kept else []
+        fit = new.select(*keys, *before, pick(F.col("a"), "_slope").alias("slope"), pick(F.col("b"), "_intercept").alias("intercept"), pick(std, "_std").alias("std"), pick(F.col("c"), "_n").alias("n"))
+        close = lambda c: F.abs(F.col(c) - F.col(f"_{c}")) <= 1e-12 * F.abs(F.col(f"_{c}"))
+        same = (F.col("n") == F.col("_n")) & close("slope") & close("intercept") & close("std") if kept else F.lit(False)
+        fit = written(fit.withColumn("moved", ~F.coalesce(same, F.lit(False))), "clipped-line")
+        settled = fit.where("moved and std > 0").isEmpty()
+        fit = fit.drop("moved", *before)
+        if settled:  # each mask would repeat itself
+            break
     return fit, _join(rows, fit, keys).withColumn("inlier", F.when(F.col("std") > 0, off < sigma * F.col("std")).otherwise(off <= 1e-9 * F.abs(F.col("_y")))).drop("_x", "_y", "slope", "intercept", "std", "n")
 
 
