@@ -300,6 +300,17 @@ def is_normalized(p999: Column, median: Column, least: Column) -> Column:
     return (p999 <= 1.5) & (median <= 1) & (least >= -0.25)
 
 
+def agreed_scale(a: Column, b: Column) -> Column:
+    """P25: the scale (adu or normalized) of a pair's images, from is_normalized of each; NULL where they differ."""
+    return F.when(a == b, F.when(a, "normalized").otherwise("adu"))
+
+
+def to_counts(pixels: Column, least: Column, greatest: Column, scale: float = 65535.0) -> Column:
+    """P25: values of an image that lies between -0.1 and 1.1, times `scale`; others as they are."""
+    small = (least >= -0.1) & (greatest <= 1.1)
+    return F.transform(pixels, lambda v: F.when(small, v.cast("double") * scale).otherwise(v.cast("double")))
+
+
 def clip_unit(pixels: Column, scale: float = 65535.0) -> Column:
     """Pixel values over a scale, clipped to [0, 1]."""
     return F.transform(pixels, lambda v: F.least(F.greatest(v.cast("double") / scale, F.lit(0.0)), F.lit(1.0)))
@@ -311,8 +322,10 @@ def to_uint16(pixels: Column) -> Column:
 
 
 def unit_range(pixels: Column, low: Column, high: Column) -> Column:
-    """Pixel values from [low, high] to [0, 1]; 0 where they are equal."""
-    return F.transform(pixels, lambda v: F.when(high > low, (v.cast("double") - low) / (high - low)).otherwise(0.0))
+    """Pixel values from [low, high] (an image's finite ends, kept with it) to [0, 1], clipped where the ends are
+    equal; infinite: 1 and 0, no number: 0."""
+    inside = lambda v: F.when(high > low, (v - low) / (high - low)).otherwise(F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)))
+    return F.transform(F.transform(pixels, lambda v: v.cast("double")), lambda v: F.when(v == float("inf"), 1.0).otherwise(F.coalesce(inside(finite(v)), F.lit(0.0))))
 
 
 def chromaticity(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
@@ -360,6 +373,16 @@ def weather_values(states: Column) -> Column:
     return F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(good, lambda s: F.lower(s["Name"]) == n), 1)["Value"]))
 
 
+#: The weather conditions that count.
+CONDITIONS = ["DewPoint", "Humidity", "SkyTemperature", "Temperature", "WindSpeed"]
+
+
+def condition_count(states: Column) -> Column:
+    """How many of the conditions an array of {Name, Value} has, whatever their case; other names do not count."""
+    names = F.transform(F.filter(states, lambda s: s["Name"].isNotNull()), lambda s: F.lower(s["Name"]))
+    return F.coalesce(F.size(F.array_intersect(names, F.array(*[F.lit(c.lower()) for c in CONDITIONS]))), F.lit(0))
+
+
 def site_state(roof_ok: Column, roof_safe: Column, weather_count: Column) -> Column:
     """An unknown roof comes before an unsafe one, that before missing weather, else SAFE."""
     return F.when(~F.coalesce(roof_ok, F.lit(False)), "ROOF_UNKNOWN").when(~F.coalesce(roof_safe, F.lit(False)), "ROOF_UNSAFE").when(weather_count == 0, "WEATHER_UNAVAILABLE").otherwise("SAFE")

@@ -110,7 +110,7 @@ def fit_nodes(samples: DataFrame, model: str = "affine", estimator: str = "media
     return additive_offset(fit, gain) if model == "additive" else fit
 
 
-def patch_medians(samples: DataFrame, patch: int, k: float = 3.0) -> DataFrame:
+def patch_medians(samples: DataFrame, patch: int, k: float = 2.5) -> DataFrame:
     """Samples replaced by medians of patches; patches above median + k MAD on either side are left out.  Each row
     has `accepted`, the share of the node's patches that stay."""
     n = ["pair_id", "gy", "gx"]
@@ -118,10 +118,43 @@ def patch_medians(samples: DataFrame, patch: int, k: float = 3.0) -> DataFrame:
     m = p.groupBy(*n).agg(F.median("ref").alias("_mr"), F.median("target").alias("_mt"), F.count("*").alias("_n"))
     d = _join(p, m, n)
     s = d.groupBy(*n).agg(F.median(F.abs(F.col("ref") - F.col("_mr"))).alias("_sr"), F.median(F.abs(F.col("target") - F.col("_mt"))).alias("_st"))
-    d = _join(d, s, n).where((F.col("ref") <= F.col("_mr") + k * MAD_SIGMA * F.col("_sr")) & (F.col("target") <= F.col("_mt") + k * MAD_SIGMA * F.col("_st")))
+    d = _join(d, s, n).where((F.col("ref") <= F.col("_mr") + k * F.col("_sr")) & (F.col("target") <= F.col("_mt") + k * F.col("_st")))
     return d.withColumn("accepted", F.count("*").over(Window.partitionBy(*n)) / F.col("_n")).drop("_mr", "_mt", "_n", "_sr", "_st")
 
 
+def sample_median_nodes(patches: DataFrame, least: int = 8, trim: float = 0.10, low: float = 0.5, high: float = 2.0) -> DataFrame:
+    """The fit of every node over its patch medians: pair_id, gy, gx, scale, offset, ref_bg, target_bg, used, clamped,
+    accepted.  At least `least` patches have to stay before and after the trim, else the node is left out; a scale outside
+    [low, high] gives 1 and the difference of the means; the backgrounds are medians of all accepted patches."""
+    n = ["pair_id", "gy", "gx"]
+    fit = trimmed_affine(patches, n, "ref", "target", ["y", "x"], trim, low, high, least, "mean", least).drop("ref_bg", "target_bg")
+    level = patches.groupBy(*n).agg(F.median("ref").alias("ref_bg"), F.median("target").alias("target_bg"), F.first("accepted").alias("accepted"))
+    return _join(fit, level, n).select(*n, *FIELDS, "used", "clamped", "accepted")
+
+
+def candidate_transforms(reference: Column, target: Column) -> dict[str, Column]:
+    """Target to reference under the two readings of a registration's matrices; NULL where one cannot be inverted."""
+    return {"image_to_internal_reference": relative_transform(reference, target), "internal_reference_to_image": F.when(F.abs(determinant(target)) > 1e-12, product(reference, inverse(target)))}
+
+
+def choose_transform(pairs: DataFrame, targets: DataFrame, references: DataFrame, keys: list[str], candidates: dict[str, Column], radius: float, most: int = 500) -> DataFrame:
+    """The candidate whose transform brings the first `most` target stars (by id) nearest to reference stars: keys,
+    convention, median_distance, m; ties by name.
+
+    pairs: keys and what the candidates are made of; stars: keys, id, x, y.  Distances count up to `radius`, a farther star
+    as farther; a candidate whose median is beyond it is not chosen, so the choice is exact for medians within it."""
+    from noctua.operators.joins import near_points
+
+    first = targets.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).where(F.col("_n") <= most).select(*keys, "id", "x", "y")
+    named = F.array(*[F.struct(F.lit(k).alias("convention"), m.alias("m")) for k, m in candidates.items()])
+    named = _join(first, pairs.select(*keys, F.explode(named).alias("c")), keys)
+    x, y = apply_transform(F.col("c.m"), F.col("x"), F.col("y"))
+    moved = named.select(*keys, F.struct("c.convention", "id").alias("id"), finite(x).alias("x"), finite(y).alias("y"), F.col("c.m").alias("m")).where("x is not null and y is not null")
+    near = near_points(moved, references.select(*keys, "id", "x", "y"), keys, radius).groupBy(*keys, F.col("a_id").alias("id")).agg(F.min("distance").alias("_d"))
+    d = moved.join(near, [*keys, "id"], "left").groupBy(*keys, "id.convention").agg(F.median(F.coalesce("_d", F.lit(1e300))).alias("_m"), F.first("m").alias("m")).where(F.col("_m") <= radius)
+    return d.groupBy(*keys).agg(F.min(F.struct("_m", "convention", "m")).alias("b")).select(*keys, "b.convention", F.col("b._m").alias("median_distance"), "b.m")
+
+
 def complete_grid(nodes: DataFrame, fits: DataFrame) -> DataFrame:
     """All nodes, valid where there is a finite fit."""
     f = fits.select("pair_id", "gy", "gx", *[finite(F.col(c)).alias(c) for c in FIELDS])

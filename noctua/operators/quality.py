@@ -140,23 +140,35 @@ def select_roles(df: DataFrame, keys: list[str], path: str, score: str, noise: s
     return x.withColumn("roles", ordered).where(F.size("roles") > 0).select(*keys, F.col("_path").alias(path), "roles", S.primary_role(F.col("roles")).alias("primary_role"))
 
 
-def blended_roles(df: DataFrame, keys: list[str], path: str, pct: dict[str, str], valid: str, refs: int = 2) -> DataFrame:
-    """Keys, path, role, strength: `refs` references for each group of 3 or more rows, and the best other row for each
-    target role.
+def usable_illumination(status: Column, valid: Column, score: Column, least: float = 0.45) -> Column:
+    """Whether a frame was measured, over enough of its tiles, and has a score."""
+    return (F.coalesce(status, F.lit("")) == "success") & (F.coalesce(S.finite(valid), F.lit(0.0)) >= least) & S.finite(score).isNotNull()
+
+
+def target_strength(pct: dict[str, str]) -> Column:
+    """How strong a frame's gradient is, from the percentile columns range, gradient, patchiness and background."""
+    c = {k: F.coalesce(S.finite(F.col(v)), F.lit(0.0)) for k, v in pct.items()}
+    return F.greatest(c["range"], c["gradient"], c["patchiness"], 0.5 * c["background"] + 0.5 * c["gradient"])
+
+
+def blended_roles(df: DataFrame, keys: list[str], path: str, pct: dict[str, str], valid: str, refs: int = 2, usable: Column | None = None) -> DataFrame:
+    """Keys, path, role, strength: `refs` references for each group of 3 or more usable rows, and the best other row
+    for each target role.
 
     pct names the percentile columns score, stars, flux, background, gradient, r2, patchiness, range; a missing
-    percentile counts as 0.5 where a low one is wanted, and as 0 for score, stars and valid."""
-    c = {k: F.col(v) for k, v in pct.items()}
-    mid, none = lambda x: F.coalesce(x, F.lit(0.5)), lambda x: F.coalesce(x, F.lit(0.0))
+    percentile, and one of 0, counts as 0.5 where a low one is wanted; a missing one as 0 for score, stars and valid."""
+    c = {k: S.finite(F.col(v)) for k, v in pct.items()}
+    mid, none = lambda x: F.when(x != 0, x).otherwise(0.5), lambda x: F.coalesce(x, F.lit(0.0))
+    df = df if usable is None else df.where(usable)
     flat = 1 - F.greatest(mid(c["range"]), mid(c["gradient"]), mid(c["patchiness"]))
-    x = df.withColumn("_ref", 0.55 * none(c["score"]) + 0.30 * flat + 0.10 * none(F.col(valid)) + 0.05 * none(c["stars"]))
+    x = df.withColumn("_ref", 0.55 * none(c["score"]) + 0.30 * flat + 0.10 * none(S.finite(F.col(valid))) + 0.05 * none(c["stars"]))
     x = x.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).where("_n >= 3")
     x = x.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_ref"), F.desc(path))))
     targets = {
-        "gradient_high": (c["gradient"] + c["r2"]) / 2, "patchy_high": c["patchiness"], "range_high": c["range"], "bright_gradient": 0.5 * c["background"] + 0.5 * c["gradient"],
+        "illum_gradient_high": (c["gradient"] + c["r2"]) / 2, "illum_patchy_high": c["patchiness"], "illum_range_high": c["range"], "bright_gradient": 0.5 * c["background"] + 0.5 * c["gradient"],
         "cloud_suspect": 0.55 * c["patchiness"] + 0.225 * (1 - mid(c["stars"])) + 0.225 * (1 - mid(c["flux"])),
     }
-    first = x.where(F.col("_k") <= refs).select(*keys, path, F.concat(F.lit("reference_rank_"), F.col("_k").cast("string")).alias("role"), F.col("_ref").alias("strength"))
+    first = x.where(F.col("_k") <= refs).select(*keys, path, F.concat(F.lit("illum_reference_rank_"), F.col("_k").cast("string")).alias("role"), F.col("_ref").alias("strength"))
     roles = F.array(*[F.struct(F.lit(r).alias("role"), v.alias("strength")) for r, v in targets.items()])
     rest = x.where(F.col("_k") > refs).select(*keys, path, F.explode(roles).alias("r")).where("r.strength is not null")
     rest = rest.groupBy(*keys, "r.role").agg(F.max(F.struct("r.strength", path)).alias("m")).select(*keys, f"m.{path}", "role", "m.strength")

@@ -241,12 +241,13 @@ def plane_fit(df: DataFrame, keys: list[str], x: str, y: str, z: str) -> DataFra
 
 
 def clipped_ratio(df: DataFrame, keys: list[str], a: str, b: str, sigma: float = 3.0, least: int = 3, rounds: int = 6) -> DataFrame:
-    """The robust ratio b / a: ratio, mad of log ratios, log_sigma, used.
+    """The robust ratio b / a: ratio (median), ratio_mad, mad of log ratios, log_sigma, used, and low and high, the
+    bounds of the log ratios in use.
 
-    Log ratios are clipped about their median, inclusively, by sigma times 1.4826 MAD (the standard deviation where the
-    MAD is 0); a group stops, without applying the clip, if fewer than `least` would stay, and where sigma is 0."""
+    All log ratios within sigma times 1.4826 MAD (the standard deviation where the MAD is 0) of the median of those in use
+    are in use next; a group stops, without applying the clip, if fewer than `least` would stay, and where sigma is 0."""
     x, y = finite(F.col(a)), finite(F.col(b))
-    rows = df.select(*keys, F.when((x > 0) & (y > 0), F.log(y / x)).alias("_l")).where("_l is not null")
+    rows = df.select(*keys, F.when((x > 0) & (y > 0), F.log(y / x)).alias("_l"), F.try_divide(y, x).alias("_q")).where("_l is not null")
     state = rows.groupBy(*keys).agg(F.min("_l").alias("lo"), F.max("_l").alias("hi"))  # what is kept lies between bounds
     inside = F.when(F.col("_l").between(F.col("lo"), F.col("hi")), F.col("_l"))
     for _ in range(rounds):
@@ -255,14 +256,14 @@ def clipped_ratio(df: DataFrame, keys: list[str], a: str, b: str, sigma: float =
         centre = written(centre, "clipped-ratio")
         spread = _join(rows, centre, keys).groupBy(*keys, "lo", "hi", "m", "sd").agg(F.median(F.abs(inside - F.col("m"))).alias("mad"))
         scale = F.when(F.col("mad") > 0, MAD_SIGMA * F.col("mad")).otherwise(F.col("sd"))
-        bound = lambda f, old, side: F.when(scale > 0, f(F.col(old), F.col("m") + side * sigma * scale)).otherwise(F.col(old))  # noqa: B023, E731
-        wide = written(spread.select(*keys, "lo", "hi", bound(F.greatest, "lo", -1).alias("nlo"), bound(F.least, "hi", 1).alias("nhi")), "clipped-ratio")
+        bound = lambda old, side: F.when(scale > 0, F.col("m") + side * sigma * scale).otherwise(F.col(old))  # noqa: B023, E731
+        wide = written(spread.select(*keys, "lo", "hi", bound("lo", -1).alias("nlo"), bound("hi", 1).alias("nhi")), "clipped-ratio")
         left = _join(rows, wide, keys).groupBy(*keys, "lo", "hi", "nlo", "nhi").agg(F.count_if(F.col("_l").between(F.col("nlo"), F.col("nhi"))).alias("c"))
         state = left.select(*keys, *[F.when(F.col("c") >= least, F.col(f"n{c}")).otherwise(F.col(c)).alias(c) for c in ("lo", "hi")])
     on = _join(rows, written(state, "clipped-ratio"), keys).where(F.col("_l").between(F.col("lo"), F.col("hi")))
-    centre = on.groupBy(*keys).agg(F.median("_l").alias("_m"), F.count("*").alias("used"))
-    spread = _join(on, centre, keys).groupBy(*keys).agg(F.median(F.abs(F.col("_l") - F.col("_m"))).alias("mad"))
-    return _join(centre, spread, keys).where(F.col("used") >= least).select(*keys, F.exp("_m").alias("ratio"), "mad", (MAD_SIGMA * F.col("mad")).alias("log_sigma"), "used")
+    centre = on.groupBy(*keys).agg(F.median("_l").alias("_m"), F.median("_q").alias("ratio"), F.count("*").alias("used"), F.first("lo").alias("low"), F.first("hi").alias("high"))
+    spread = _join(on, centre, keys).groupBy(*keys).agg(F.median(F.abs(F.col("_l") - F.col("_m"))).alias("mad"), F.median(F.abs(F.col("_q") - F.col("ratio"))).alias("ratio_mad"))
+    return _join(centre, spread, keys).where(F.col("used") >= least).select(*keys, "ratio", "ratio_mad", "mad", (MAD_SIGMA * F.col("mad")).alias("log_sigma"), "used", "low", "high")
 
 
 def trimmed_affine(df: DataFrame, keys: list[str], ref: str, target: str, tie: list[str], trim: float = 0.10, low: float = 0.5, high: float = 2.0, least: int = 16, background: str = "median", min_samples: int = 2000) -> DataFrame:
@@ -292,3 +293,24 @@ def r_squared(df: DataFrame, keys: list[str], observed: str, predicted: str) ->
     o, p = finite(F.col(observed)), finite(F.col(predicted))
     total = F.count(o) * F.var_pop(o)
     return df.where(o.isNotNull() & p.isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.when(total > 0, 1 - F.sum((o - p) * (o - p)) / total).alias("r2"))
+
+
+def star_scale_report(matches: DataFrame, keys: list[str], a: str, b: str, flags: str, sigma: float = 3.0, least: int = 8, rounds: int = 6, min_r2: float = 0.90) -> DataFrame:
+    """The flux ratio of matched stars, a row for each pair (keys): ok, message, scale_b_over_a,
+    target_to_reference_scale (its reciprocal), r_squared, matched, candidates (without flags), used, rejected.
+
+    Messages: too_few_points (fewer than `least` candidates with positive fluxes), low_r_squared (below min_r2, of b
+    against the ratio times a over the stars in use; without spread it is NULL and passes).  Only an ok pair has a
+    target_to_reference_scale."""
+    clean = matches.where((F.size(flags) == 0) & finite(F.col(a)).isNotNull() & finite(F.col(b)).isNotNull())
+    counts = matches.groupBy(*keys).agg(F.count("*").alias("matched"), F.count_if((F.size(flags) == 0) & finite(F.col(a)).isNotNull() & finite(F.col(b)).isNotNull()).alias("candidates"))
+    fit = written(clipped_ratio(clean, keys, a, b, sigma, least, rounds), "star-scale")
+    ratio = F.log(F.col(b) / F.col(a))
+    positive = clean.where((F.col(a) > 0) & (F.col(b) > 0))
+    used = _join(positive, fit.select(*keys, "ratio", "low", "high"), keys).where(ratio.between(F.col("low"), F.col("high")))
+    r2 = r_squared(used.withColumn("_fitted", F.col("ratio") * F.col(a)), keys, b, "_fitted").select(*keys, "r2")
+    got = _join(_join(counts, fit, keys, "left"), r2, keys, "left")
+    message = F.when(F.col("ratio").isNull(), "too_few_points").when(F.col("r2") < min_r2, "low_r_squared")
+    got = got.withColumn("message", message).withColumn("ok", F.col("message").isNull())
+    n = F.when(F.col("ok"), F.col("used")).otherwise(F.lit(0)).cast("long")
+    return got.select(*keys, "ok", "message", F.col("ratio").alias("scale_b_over_a"), F.when(F.col("ok"), 1 / F.col("ratio")).alias("target_to_reference_scale"), F.col("r2").alias("r_squared"), "matched", "candidates", n.alias("used"), (F.col("matched") - n).alias("rejected"))

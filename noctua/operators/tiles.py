@@ -239,6 +239,18 @@ def hot_pixels(dark: DataFrame, sigma: float = 5.0) -> DataFrame:
     return _join(d, s, ["frame_id"]).where(F.col("v") > F.col("m") + sigma * MAD_SIGMA * F.col("s")).select("frame_id", "y", "x", "v")
 
 
+def repair_hot(px: DataFrame, hot: DataFrame, keys: list[str], reach: int = 2) -> DataFrame:
+    """Pixels (keys, y, x, v) where those in `hot` (y, x) hold the median of the image's other pixels at most `reach`
+    rows and columns away that are not hot (NULL without any).  Only the neighbourhoods of hot pixels are shuffled."""
+    bad = hot.select("y", "x").distinct()
+    near = F.sequence(F.lit(-reach), F.lit(reach))
+    around = bad.select(F.col("y").alias("_hy"), F.col("x").alias("_hx"), F.explode(near).alias("_dy")).withColumn("_dx", F.explode(near))
+    around = around.select("_hy", "_hx", (F.col("_hy") + F.col("_dy")).alias("y"), (F.col("_hx") + F.col("_dx")).alias("x")).join(bad, ["y", "x"], "left_anti")
+    level = px.join(around, ["y", "x"]).groupBy(*keys, F.col("_hy").alias("y"), F.col("_hx").alias("x")).agg(F.median("v").alias("_new"))
+    marked = px.join(bad.withColumn("_hot", F.lit(True)), ["y", "x"], "left").join(level, [*keys, "y", "x"], "left")
+    return marked.withColumn("v", F.when(F.col("_hot"), F.col("_new")).otherwise(F.col("v"))).select(*px.columns)
+
+
 def mask_shares(a: DataFrame, b: DataFrame, keys: list[str], hot: float, cold: float) -> DataFrame:
     """Of the differences a - b: share of hot and cold pixels, mean and deviation of the rest."""
     d = a.select(*keys, F.col("v").alias("_a")).join(b.select(*keys, F.col("v").alias("_b")), keys).select((F.col("_a") - F.col("_b")).alias("d"))
@@ -261,6 +273,30 @@ def sensor_gain(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return g.select(*keys, F.try_divide(F.lit(1.0), F.col("s")).alias("gain"), F.when(F.col("i") >= 0, F.sqrt("i")).alias("read_noise"), "n")
 
 
+def gain_over_bias(pairs: DataFrame, keys: list[str], bias: float) -> DataFrame:
+    """Gain as the slope through the bias level: sum((signal - bias)^2) / sum(variance (signal - bias))."""
+    s = F.col("signal") - bias
+    return pairs.groupBy(*keys).agg(F.try_divide(F.sum(s * s), F.sum(F.col("variance") * s)).alias("gain"), F.count("*").alias("n"))
+
+
+def bias_noise(bias: DataFrame, group: list[str], frame: str, pixel: list[str], value: str, gain: float = 1.0) -> DataFrame:
+    """Read noise from bias frames: each frame's deviation from the master (the mean of its group at every pixel):
+    read_noise (mean over frames) and spread (deviation over frames), in electrons by `gain`, and frames."""
+    master = bias.groupBy(*group, *pixel).agg(F.avg(finite(F.col(value))).alias("_m"))
+    f = _join(bias, master, [*group, *pixel]).groupBy(*group, frame).agg(F.stddev_samp(finite(F.col(value)) - F.col("_m")).alias("_s"))
+    return f.groupBy(*group).agg((F.avg("_s") * gain).alias("read_noise"), (F.stddev_samp("_s") * gain).alias("spread"), F.count("_s").alias("frames"))
+
+
+def dark_current(dark: DataFrame, master: DataFrame, group: list[str], pixel: list[str], value: str, seconds: Column, gain: float = 1.0, clip: float = 4.0) -> DataFrame:
+    """For each dark (group) the variance of dark - master bias, without differences of `clip` deviations or more, by
+    its seconds, in electrons by `gain`.  master: pixel and value; seconds: a column of dark, one value a group."""
+    m = master.select(*pixel, F.col(value).alias("_m"))
+    d = dark.withColumn("_t", seconds).join(m, pixel).select(*group, "_t", finite(F.col(value) - F.col("_m")).alias("_d"))
+    wide = d.groupBy(*group).agg(F.stddev_samp("_d").alias("_s"))
+    kept = _join(d, wide, group).where(F.abs("_d") < clip * F.col("_s"))
+    return kept.groupBy(*group).agg((F.var_samp("_d") / F.first("_t") * gain).alias("current"), F.count("*").alias("used"))
+
+
 def channel_medians(px: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
     """Median of the positive values of each frame and channel."""
     v = finite(F.col(value))

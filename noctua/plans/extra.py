@@ -81,7 +81,7 @@ def _(t: Tables):
 WITH s AS (SELECT label AS p, vec_id % 2 AS gy, CAST((i - 1) // 8 AS INTEGER) // 4 AS y, CAST((i - 1) % 8 AS INTEGER) // 4 AS x, vec_id, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(generate_series(1, 64)) AS i)),
 m AS (SELECT p, gy, y, x, median(v) AS ref, median(v * 2 + 1) AS target FROM s GROUP BY 1, 2, 3, 4), c AS (SELECT p, gy, median(ref) AS mr, median(target) AS mt, count(*) AS n FROM m GROUP BY 1, 2),
 d AS (SELECT p, gy, median(abs(ref - mr)) AS sr, median(abs(target - mt)) AS st FROM m JOIN c USING (p, gy) GROUP BY 1, 2)
-SELECT CAST(p AS VARCHAR) AS pair_id, CAST(gy AS INTEGER) AS gy, round(sum(ref), 6) AS ref, round(count(*) / any_value(n), 6) AS accepted FROM m JOIN c USING (p, gy) JOIN d USING (p, gy) WHERE ref <= mr + 1.4826 * sr AND target <= mt + 1.4826 * st GROUP BY p, gy
+SELECT CAST(p AS VARCHAR) AS pair_id, CAST(gy AS INTEGER) AS gy, round(sum(ref), 6) AS ref, round(count(*) / any_value(n), 6) AS accepted FROM m JOIN c USING (p, gy) JOIN d USING (p, gy) WHERE ref <= mr + sr AND target <= mt + st GROUP BY p, gy
 """)
 def _(t: Tables):
     s = _px(t).select(F.col("label").cast("string").alias("pair_id"), (F.col("vec_id") % 2).cast("int").alias("gy"), F.lit(0).alias("gx"), "y", "x", F.col("v").alias("ref"), (F.col("v") * 2 + 1).alias("target"))

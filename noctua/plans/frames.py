@@ -152,12 +152,12 @@ def _(t: Tables):
 
 
 @query("p31_site_state", """
-SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'ROOF_UNKNOWN' WHEN user_id % 3 = 0 THEN 'ROOF_UNSAFE' WHEN value < 10 THEN 'WEATHER_UNAVAILABLE' ELSE 'SAFE' END AS state, CASE WHEN value >= 10 THEN round(value, 6) END AS humidity FROM events
+SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'ROOF_UNKNOWN' WHEN user_id % 3 = 0 THEN 'ROOF_UNSAFE' WHEN event_id % 4 = 0 THEN 'WEATHER_UNAVAILABLE' ELSE 'SAFE' END AS state, CASE WHEN value >= 10 AND event_id % 4 <> 0 THEN round(value, 6) END AS humidity FROM events
 """)
 def _(t: Tables):
-    states = F.array(F.struct(F.lit("Humidity").alias("Name"), F.when(F.col("value") >= 10, F.col("value")).alias("Value")))
+    states = F.array(F.struct(F.when(F.col("event_id") % 4 == 0, "Pressure").otherwise("HUMIDITY").alias("Name"), F.when(F.col("value") >= 10, F.col("value")).alias("Value")))
     w = S.weather_values(states)
-    return t.events.select("event_id", S.site_state(F.col("event_id") % 5 != 0, F.col("user_id") % 3 != 0, F.size(w)).alias("state"), r(w["humidity"]).alias("humidity"))
+    return t.events.select("event_id", S.site_state(F.col("event_id") % 5 != 0, F.col("user_id") % 3 != 0, S.condition_count(states)).alias("state"), r(w["humidity"]).alias("humidity"))
 
 
 @query("p33_refocus_due", """

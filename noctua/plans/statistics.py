@@ -171,10 +171,10 @@ def _ratio_sql(rounds: int) -> str:
     for i in range(rounds):
         q.append(f"a{i} AS MATERIALIZED (SELECT g, median(l) FILTER (inl) AS m, stddev_pop(l) FILTER (inl) AS sd FROM r{i} GROUP BY g)")
         q.append(f"b{i} AS MATERIALIZED (SELECT g, median(abs(l - m)) FILTER (inl) AS mad FROM r{i} JOIN a{i} USING (g) GROUP BY g)")
-        q.append(f"c{i} AS MATERIALIZED (SELECT r{i}.*, CASE WHEN CASE WHEN mad > 0 THEN 1.4826 * mad ELSE sd END > 0 THEN inl AND abs(l - m) <= 2.0 * CASE WHEN mad > 0 THEN 1.4826 * mad ELSE sd END ELSE inl END AS nw FROM r{i} JOIN a{i} USING (g) JOIN b{i} USING (g))")
+        q.append(f"c{i} AS MATERIALIZED (SELECT r{i}.*, CASE WHEN CASE WHEN mad > 0 THEN 1.4826 * mad ELSE sd END > 0 THEN abs(l - m) <= 2.0 * CASE WHEN mad > 0 THEN 1.4826 * mad ELSE sd END ELSE inl END AS nw FROM r{i} JOIN a{i} USING (g) JOIN b{i} USING (g))")
         q.append(f"r{i + 1} AS MATERIALIZED (SELECT g, l, CASE WHEN count(*) FILTER (nw) OVER (PARTITION BY g) >= 3 THEN nw ELSE inl END AS inl FROM c{i})")
     q.append(f"z AS (SELECT g, median(l) AS m, count(*) AS used FROM r{rounds} WHERE inl GROUP BY g)")
-    return ", ".join(q) + f" SELECT g AS l_returnflag, round(exp(any_value(m)), 4) AS ratio, round(median(abs(l - m)), 6) AS mad, any_value(used) AS used FROM r{rounds} JOIN z USING (g) WHERE inl GROUP BY g"
+    return ", ".join(q) + f" SELECT g AS l_returnflag, round(median(exp(l)), 4) AS ratio, round(median(abs(l - m)), 6) AS mad, any_value(used) AS used FROM r{rounds} JOIN z USING (g) WHERE inl GROUP BY g"
 
 
 @query("g27_clipped_ratio", _ratio_sql(3))
@@ -334,15 +334,15 @@ PCT = {"score": "a", "stars": "b", "flux": "c", "background": "d", "gradient": "
 
 
 @query("w7_blended_roles", """
-WITH x AS (SELECT l_suppkey AS g, l_orderkey * 10 + l_linenumber AS path, l_quantity / 50 AS a, (l_partkey % 101) / 100 AS b, (l_orderkey % 53) / 52 AS c, l_discount * 10 AS d, l_tax * 12 AS e, (l_partkey % 37) / 36 AS f, (l_orderkey % 71) / 70 AS g2, (l_suppkey + l_orderkey) % 29 / 28 AS h, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem),
-y AS (SELECT *, 0.55 * a + 0.30 * (1 - greatest(h, e, g2)) + 0.10 * a + 0.05 * b AS rs FROM x WHERE n >= 3), k AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY round(rs, 9) DESC, path DESC) AS k FROM y),
-t AS (SELECT g, path, unnest(['gradient_high', 'patchy_high', 'range_high', 'bright_gradient', 'cloud_suspect']) AS role, unnest([(e + f) / 2, g2, h, 0.5 * d + 0.5 * e, 0.55 * g2 + 0.225 * (1 - b) + 0.225 * (1 - c)]) AS s FROM k WHERE k > 2),
+WITH x AS (SELECT l_suppkey AS g, l_orderkey * 10 + l_linenumber AS path, l_quantity / 50 AS a, (l_partkey % 101) / 100 AS b, (l_orderkey % 53) / 52 AS c, l_discount * 10 AS d, l_tax * 12 AS e, (l_partkey % 37) / 36 AS f, (l_orderkey % 71) / 70 AS g2, (l_suppkey + l_orderkey) % 29 / 28 AS h FROM lineitem),
+z AS (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM x WHERE a >= 0.45 AND path % 11 <> 0), y AS (SELECT *, 0.55 * a + 0.30 * (1 - greatest(coalesce(nullif(h, 0), 0.5), coalesce(nullif(e, 0), 0.5), coalesce(nullif(g2, 0), 0.5))) + 0.10 * a + 0.05 * b AS rs FROM z WHERE n >= 3), k AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY round(rs, 9) DESC, path DESC) AS k FROM y),
+t AS (SELECT g, path, unnest(['illum_gradient_high', 'illum_patchy_high', 'illum_range_high', 'bright_gradient', 'cloud_suspect']) AS role, unnest([(e + f) / 2, g2, h, 0.5 * d + 0.5 * e, 0.55 * g2 + 0.225 * (1 - coalesce(nullif(b, 0), 0.5)) + 0.225 * (1 - coalesce(nullif(c, 0), 0.5))]) AS s FROM k WHERE k > 2),
 m AS (SELECT g, role, path, s, row_number() OVER (PARTITION BY g, role ORDER BY round(s, 9) DESC, path DESC) AS k FROM t)
-SELECT g AS l_suppkey, path, 'reference_rank_' || k AS role, round(rs, 6) AS strength FROM k WHERE k <= 2 UNION ALL SELECT g, path, role, round(s, 6) FROM m WHERE k = 1
+SELECT g AS l_suppkey, path, 'illum_reference_rank_' || k AS role, round(rs, 6) AS strength FROM k WHERE k <= 2 UNION ALL SELECT g, path, role, round(s, 6) FROM m WHERE k = 1
 """)
 def _(t: Tables):
     x = t.lineitem.select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("path"), (F.col("l_quantity") / 50).alias("a"), ((F.col("l_partkey") % 101) / 100).alias("b"), ((F.col("l_orderkey") % 53) / 52).alias("c"), (F.col("l_discount") * 10).alias("d"), (F.col("l_tax") * 12).alias("e"), ((F.col("l_partkey") % 37) / 36).alias("f"), ((F.col("l_orderkey") % 71) / 70).alias("g"), ((F.col("l_suppkey") + F.col("l_orderkey")) % 29 / 28).alias("h"))
-    return quality.blended_roles(x, ["l_suppkey"], "path", PCT, "a").withColumn("strength", r("strength"))
+    return quality.blended_roles(x, ["l_suppkey"], "path", PCT, "a", usable=quality.usable_illumination(F.when(F.col("path") % 11 != 0, "success"), F.col("a"), F.col("a"))).withColumn("strength", r("strength"))
 
 
 @query("g47_runtime_rollup", f"""

@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -232,3 +233,46 @@ def test_degree_two_surface(spark):
     rows = [("f", x / 7, y / 7, 5 + x / 7 + 2 * y / 7 + 3 * (x / 7) ** 2) for x in range(8) for y in range(8)]
     got = lnc.subtract_surface(spark.createDataFrame(rows, "k string, x double, y double, background double"), ["k"])
     assert got.agg(F.max(F.abs("residual"))).first()[0] < 1e-8
+
+
+def test_masks_cover_what_a_loop_over_pixels_covers(spark):
+    from noctua.operators import masks
+
+    rows = [("a", 3.0, 4.0, 1.0), ("a", 11.5, 0.25, None), ("a", 11.0, 8.0, -1.0), ("b", -2.0, 5.0, 1.5), ("b", None, 5.0, 1.5)]
+    stars = spark.createDataFrame(rows, "k string, x double, y double, fwhm double")
+    got = masks.star_runs(stars, ["k"], masks.star_radius(F.col("fwhm"), 2.0, 2.0, 5.0), 9, 12).collect()
+    radius = lambda w: min(5.0, max(2.0, 2.0 * w)) if w and w > 0 else 2.0
+    want = {(k, y, x) for k, sx, sy, w in rows if sx is not None for y in range(9) for x in range(12) if (x - sx) ** 2 + (y - (8 - sy)) ** 2 <= radius(w) ** 2}
+    cells = [(r.k, r.y, x) for r in got for x in range(r.x0, r.x1 + 1)]
+    assert len(cells) == len(set(cells)) and set(cells) == want
+    wide = masks.dilated(spark.createDataFrame([("a", 0, 2, 3)], "k string, y int, x0 int, x1 int"), ["k"], 2, 9, 12).collect()
+    assert {(r.y, x) for r in wide for x in range(r.x0, r.x1 + 1)} == {(y, x) for y in range(9) for x in range(12) if min(y * y + (x - c) ** 2 for c in (2, 3)) <= 4}
+    assert masks.merged(stars.limit(0).selectExpr("k", "1 as y", "1 as x0", "1 as x1"), ["k"], 9, 12).count() == 0
+
+
+def test_blur_passes_tile_edges(spark):
+    from noctua.operators import masks, tiles
+
+    image = np.random.default_rng(5).random((7, 9))
+    rows = [("f", t["ty"], t["tx"], t["y0"], t["x0"], t["h"], t["w"], t["px"].tolist()) for t in tiles.cut_tiles(image, 4)]
+    got = tiles.pixels(masks.blurred(spark.createDataFrame(rows, tiles.TILE), 4, 1.5, 4), ["frame_id"]).collect()
+    line = np.exp(-(np.arange(-4, 5) ** 2) / (2 * 1.5**2))
+    kernel, padded = np.outer(line, line) / line.sum() ** 2, np.pad(image, 4)
+    want = {(y, x): (padded[y : y + 9, x : x + 9] * kernel).sum() for y in range(7) for x in range(9)}
+    assert len(got) == 63 and all(abs(r.v - want[r.y, r.x]) < 1e-6 for r in got)
+
+
+def test_ratio_clip_takes_back_rows_and_reports(spark):
+    a = np.full(12, 100.0)
+    b = np.array([200, 201, 199, 202, 198, 200, 203, 197, 200.5, 199.5, 900, 20.0])
+    d = spark.createDataFrame([("p", float(x), float(y), []) for x, y in zip(a, b)] + [("p", 1.0, None, ["b_edge"]), ("q", 1.0, 2.0, [])], "k string, a double, b double, flags array<string>")
+    got = {r.k: r for r in stats.star_scale_report(d, ["k"], "a", "b", "flags", least=8, min_r2=-1e9).collect()}
+    assert got["p"].ok and got["p"].used == 10 and abs(got["p"].target_to_reference_scale - 0.5) < 1e-3 and got["p"].rejected == 3
+    assert not got["q"].ok and got["q"].message == "too_few_points" and got["q"].used == 0 and got["q"].rejected == 1
+    kept = np.arange(12) >= 0
+    ratios = np.log(b / a)
+    for _ in range(6):
+        m = np.median(ratios[kept])
+        s = 1.4826 * np.median(np.abs(ratios[kept] - m))
+        kept = np.abs(ratios - m) <= 3 * s
+    assert got["p"].used == kept.sum() and abs(got["p"].scale_b_over_a - np.median((b / a)[kept])) < 1e-12
