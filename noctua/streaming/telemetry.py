@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -30,6 +31,27 @@ def windowed_rms(events: DataFrame, keys: list[str], t: str, ra: str, dec: str,
     return g.select(*keys, F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n", F.sqrt("_a").alias("rms_ra"), F.sqrt("_d").alias("rms_dec"), F.sqrt(F.col("_a") + F.col("_d")).alias("rms_total"))
 
 
+def rms_stream(events: DataFrame, key: str, t: str, ra: str, dec: str, seconds: int = 60, delay: str = "30 seconds") -> DataFrame:
+    """T1, exact, as a stream: key, at, rms_ra, rms_dec, rms_total of every event; the state of a key is its events of the
+    last `seconds`."""
+    kind = dict(events.dtypes)[key]
+
+    def fold(key_: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(frames)).sort_values(t, kind="stable")
+        us = (pdf[t].astype("int64") * 1e6 / _unit(pdf[t])).round().astype("int64").to_numpy()
+        old = held.get if held.exists else ([], [], [])
+        at, a, d = (np.concatenate([np.asarray(o, k), v]) for o, v, k in zip(old, (us, pdf[ra].to_numpy(float), pdf[dec].to_numpy(float)), ("int64", float, float), strict=True))
+        begin, end = np.searchsorted(at, us - seconds * 1_000_000, "left"), np.searchsorted(at, us, "right")
+        sums = [np.concatenate([[0.0], np.cumsum(np.nan_to_num(v) ** 2)]) for v in (a, d)]
+        means = [np.maximum(s[end] - s[begin], 0) / (end - begin) for s in sums]
+        keep = at >= us[-1] - seconds * 1_000_000
+        held.update((at[keep].tolist(), a[keep].tolist(), d[keep].tolist()))
+        yield pd.DataFrame({key: key_[0], "at": pdf[t].to_numpy(), "rms_ra": np.sqrt(means[0]), "rms_dec": np.sqrt(means[1]), "rms_total": np.sqrt(means[0] + means[1])})
+
+    out = f"{key} {kind}, at timestamp, rms_ra double, rms_dec double, rms_total double"
+    return events.withWatermark(t, delay).groupBy(key).applyInPandasWithState(fold, out, "at array<long>, ra array<double>, dec array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
 # --- T2: sustained drift -------------------------------------------------------------------------------------------------------
 
 
@@ -152,12 +174,13 @@ def unknown_warnings(events: DataFrame, key: str, t: str, tie: str, state: str,
     return late.groupBy(key, "island", "since").agg(F.min(t).alias("warned_at")).drop("island")
 
 
-def unknown_stream(events: DataFrame, key: str, t: str, state: str, timeout_ms: int, delay: str = "30 seconds") -> DataFrame:
-    """T6 as a stream: an event-time timer is set when a state becomes UNKNOWN and cleared when it is known again."""
+def unknown_stream(events: DataFrame, key: str, t: str, state: str, timeout_ms: int, delay: str = "30 seconds", from_start: bool = False) -> DataFrame:
+    """T6 as a stream: an event-time timer is set when a state becomes UNKNOWN and cleared when it is known again; it also
+    warns where no later sample of the run follows.  A key that was never known before warns only with from_start."""
     kind = dict(events.dtypes)[key]
 
     def fold(key_: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        since, warned = held.get if held.exists else (None, False)
+        since, warned, seen = held.get if held.exists else (None, False, from_start)
         out: list = []
         if held.hasTimedOut:
             if since is not None and not warned:
@@ -168,18 +191,20 @@ def unknown_stream(events: DataFrame, key: str, t: str, state: str, timeout_ms:
             for at, now in zip(_numbers(pdf, t), pdf[state], strict=True):
                 ms = int(at * 1000)
                 if now != "UNKNOWN":
-                    since, warned = None, False
+                    since, warned, seen = None, False, True
+                elif not seen:
+                    continue
                 elif since is None:
                     since = ms
                 elif not warned and ms - since >= timeout_ms:
                     out.append((key_[0], pd.Timestamp(since, unit="ms")))
                     warned = True
-        held.update((since, warned))
+        held.update((since, warned, seen))
         if since is not None and not warned and since + timeout_ms > held.getCurrentWatermarkMs():
             held.setTimeoutTimestamp(since + timeout_ms)
         yield pd.DataFrame(out, columns=[key, "since"])
 
-    return events.withWatermark(t, delay).groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, since timestamp", "since long, warned boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    return events.withWatermark(t, delay).groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, since timestamp", "since long, warned boolean, seen boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # --- T8, T15 -------------------------------------------------------------------------------------------------------------------------
@@ -220,6 +245,23 @@ def failure_limits(events: DataFrame, key: str, order: list[str], failed: Column
     return runs.withColumn("failures", n).where(F.col("failures") == limit)
 
 
+def failure_stream(events: DataFrame, key: str, t: str, failed: str, limit: int, delay: str = "30 seconds") -> DataFrame:
+    """T15 as a stream: key, at of every `limit`-th failure in a row; failed: a boolean column."""
+    kind = dict(events.dtypes)[key]
+
+    def fold(key_: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        n, out = held.get[0] if held.exists else 0, []
+        pdf = pd.concat(list(frames)).sort_values(t, kind="stable")
+        for at, bad in zip(pdf[t], pdf[failed], strict=True):
+            n = n + 1 if bad else 0
+            if n == limit:
+                out.append((key_[0], at))
+        held.update((n,))
+        yield pd.DataFrame(out, columns=[key, "at"])
+
+    return events.withWatermark(t, delay).groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, at timestamp", "n long", "append", GroupStateTimeout.NoTimeout)
+
+
 # --- T7, T9-T14 ----------------------------------------------------------------------------------------------------------------------
 
 
@@ -261,6 +303,33 @@ def run_available(stream: DataFrame, write, checkpoint: str):
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class LatestTable:
+    """The newest value of each key, kept up by batches of a stream.  `upsert` is for foreachBatch: the newest rows of
+    the batch and of the table become the table's next version, a folder with the batch's number, so a batch that is run
+    again gives the same version and readers of the last one are not disturbed."""
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], order: list[str], value: str):
+        self.spark, self.path, self.keys, self.order, self.value = spark, path, keys, order, value
+
+    def _versions(self) -> list[int]:
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        done = [s.getPath() for s in fs.listStatus(root)] if fs.exists(root) else []
+        return sorted(int(p.getName()) for p in done if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+    def read(self, below: int | None = None) -> DataFrame | None:
+        """The newest version, or the newest before a batch; None without one."""
+        found = [v for v in self._versions() if below is None or v < below]
+        return self.spark.read.parquet(f"{self.path}/{found[-1]}") if found else None
+
+    def upsert(self, batch: DataFrame, number: int) -> None:
+        rows = batch.select(*self.keys, *self.order, self.value)
+        before = self.read(number)
+        rows = rows if before is None else before.unionByName(rows)
+        newest = rows.groupBy(*self.keys).agg(F.max(F.struct(*self.order, self.value)).alias("_m"))
+        newest.select(*self.keys, *[f"_m.{c}" for c in (*self.order, self.value)]).write.mode("overwrite").parquet(f"{self.path}/{number}")
+
+
 def snapshot(updates: DataFrame, key: str, source: str, t: str, tie: str, value: str, sources: list[str]) -> DataFrame:
     """The latest value of every source for each key, as columns."""
     return updates.groupBy(key).pivot(source, sources).agg(F.max_by(value, F.struct(t, tie)))

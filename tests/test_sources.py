@@ -131,6 +131,10 @@ def test_streams_agree_with_their_batch_forms(spark, tmp_path):
     assert sorted(map(tuple, batch.collect())) == run(telemetry.drift_stream(stream(), "k", "t", "v", 5, 50), "drift")
     batch = telemetry.transitions(e, "k", ["t", "i"], "s").select("k", "t")
     assert sorted(map(tuple, batch.collect())) == run(telemetry.transition_stream(stream(), "k", "t", "s"), "roof")
+    for from_start in (False, True):
+        batch = telemetry.unknown_warnings(e.withColumn("s", F.when(F.col("v") > 8, "UNKNOWN").otherwise("OPEN")).where("i > 0"), "k", "t", "i", "s", 40, from_start).select("k", "since")
+        s = stream().withColumn("s", F.when(F.col("v") > 8, "UNKNOWN").otherwise("OPEN")).where("i > 0")
+        assert sorted(map(tuple, batch.collect())) == run(telemetry.unknown_stream(s, "k", "t", "s", 40_000, from_start=from_start), f"unknown_{from_start}")
     batch = telemetry.latched_levels(e, "k", "t", "v", 5, 2)
     assert sorted(map(tuple, batch.collect())) == run(telemetry.latch_stream(stream(), "k", "t", "v", 5, 2), "latch")
 
