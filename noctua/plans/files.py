@@ -146,6 +146,52 @@ def _(t: Tables):
     return rounded(files.scan_previous_results(t.spark, path).select("file", "stars", "fwhm"))
 
 
+def _images(t: Tables) -> str:
+    """The path of one image for each supplier: FITS of 3 rows and 4 columns of bytes, XISF where the key is a multiple of
+    five, and broken ones where it is a multiple of seven."""
+    key = F.col("s_suppkey")
+    card = lambda k, v: F.rpad(F.concat(F.rpad(F.lit(k), 8, " "), F.lit("= "), v), 80, " ")
+    fixed = {"SIMPLE": "T", "BITPIX": "8", "NAXIS": "2", "NAXIS1": "4", "NAXIS2": "3"}
+    cards = [card(k, F.lit(v)) for k, v in fixed.items()] + [card("FILTER", F.lit("'L''s'  / band")), card("GAIN", F.col("s_nationkey").cast("string"))]
+    end = F.when(key % 7 == 0, "").otherwise("END")
+    data = F.concat(*[F.chr((key + i) % 100 + 20) for i in range(12)])
+    fits = F.concat(F.rpad(F.concat(*cards, end), 2880, " "), data)
+    xml = F.concat(F.lit('<xisf><Property id="Instrument:Filter:Name" value="R"/><FITSKeyword name="GAIN" value="'), F.lpad((F.col("s_nationkey")).cast("string"), 2, "0"), F.lit('"/></xisf>'))
+    xisf = F.concat(F.lit("XISF0100"), F.chr(F.length(xml)), F.lit("\0" * 7), xml)
+    path = _path(t, "images")
+    x = t.supplier.select(F.col("s_suppkey").alias("image"), F.when(key % 5 == 0, xisf).otherwise(fits).alias("value"))
+    x.write.partitionBy("image").text(path)
+    return path
+
+
+def _image(column: str):
+    return F.regexp_extract(column, r"image=(\d+)/", 1).cast("long").alias("image")
+
+
+@query("s1_discovered_images", "SELECT s_suppkey::BIGINT AS image, s_suppkey % 5 = 0 AS small FROM supplier")
+def _(t: Tables):
+    return files.discover_images(t.spark, _images(t), r"\.txt$").select(_image("path"), (F.col("length") < 2880).alias("small"))
+
+
+@query("s2_s3_image_headers", """
+SELECT s_suppkey::BIGINT AS image, CASE WHEN s_suppkey % 5 = 0 THEN 'R' WHEN s_suppkey % 7 <> 0 THEN 'L''s' END AS filter, CASE WHEN s_suppkey % 5 = 0 OR s_suppkey % 7 <> 0 THEN CAST(s_nationkey AS INTEGER) END AS gain, s_suppkey % 5 <> 0 AND s_suppkey % 7 = 0 AS broken FROM supplier
+""")
+def _(t: Tables):
+    h = files.scan_headers(t.spark, _images(t), r"\.txt$")
+    frames = files.typed_frames(h).select("path", F.col("filter"), "gain")
+    return h.select("path", F.col("err").isNotNull().alias("broken")).join(frames, "path", "left").select(_image("path"), "filter", "gain", "broken")
+
+
+@query("s4_image_tiles", """
+SELECT s_suppkey::BIGINT AS image, ty, tx, CAST(sum((s_suppkey + i) % 100 + 20) AS BIGINT) AS total FROM supplier, (SELECT unnest(generate_series(0, 11)) AS i), (SELECT unnest([0, 0, 1, 1]) AS ty, unnest([0, 1, 0, 1]) AS tx)
+WHERE s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0 AND (i // 4) // 2 = ty AND (i % 4) // 2 = tx GROUP BY 1, 2, 3 UNION ALL SELECT s_suppkey, NULL, NULL, NULL FROM supplier WHERE s_suppkey % 5 = 0 OR s_suppkey % 7 = 0
+""")
+def _(t: Tables):
+    content = t.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(_images(t)).where("path like '%.txt'")
+    total = F.aggregate("px", F.lit(0.0), lambda a, v: a + v).cast("long")
+    return files.scan_tiles(content, 2).select(_image("frame_id"), "ty", "tx", total.alias("total"))
+
+
 # --- sinks ----------------------------------------------------------------------------------------------------------------
 
 

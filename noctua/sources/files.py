@@ -72,22 +72,26 @@ def xisf_header(data: bytes) -> dict[str, str]:
     return header
 
 
-def scan_headers(spark: SparkSession, root: str) -> DataFrame:
-    """Path, hdr (map), err of each image; a file that cannot be read is a row with err."""
+IMAGES = r"(?i)\.(fits?|xisf)$"
+
+
+def scan_headers(spark: SparkSession, root: str, pattern: str = IMAGES) -> DataFrame:
+    """Path, hdr (map), err of each image; a file that cannot be read is a row with err.  XISF files are known by
+    their first bytes."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for path, content in zip(pdf.path, pdf.content, strict=True):
                 try:
-                    rows.append((path, xisf_header(content) if path.lower().endswith(".xisf") else fits_header(content)[0], None))
+                    rows.append((path, xisf_header(content) if path.lower().endswith(".xisf") or content[:4] == b"XISF" else fits_header(content)[0], None))
                 except (ValueError, ET.ParseError, struct.error) as e:
                     rows.append((path, {}, str(e)))
             yield pd.DataFrame(rows, columns=["path", "hdr", "err"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     inside = F.substring_index(F.col("path"), root.rstrip("/"), -1)
-    files = files.where(F.col("path").rlike(r"(?i)\.(fits?|xisf)$") & ~inside.rlike(r"/\."))
+    files = files.where(F.col("path").rlike(pattern) & ~inside.rlike(r"/\."))
     got = files.select("path", "content").mapInPandas(read, "path string, hdr map<string,string>, err string")
     return got.withColumn("hdr", F.transform_values("hdr", lambda k, v: unquote(v)))
 
@@ -120,14 +124,19 @@ def fits_pixels(data: bytes) -> np.ndarray:
 
 
 def scan_tiles(files: DataFrame, size: int = 256) -> DataFrame:
-    """Tiles of FITS images (path, content): one row for each block of size x size pixels; cubes become their median."""
+    """Tiles of FITS images (path, content): one row for each block of size x size pixels; cubes become their median.  A
+    file that cannot be read is one row with the error as err and nothing else."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf.path, pdf.content, strict=True):
-                yield pd.DataFrame([{"frame_id": path} | t for t in cut_tiles(fits_pixels(content), size)])
+                try:
+                    rows = [{"frame_id": path, "err": None} | t for t in cut_tiles(fits_pixels(content), size)]
+                except (ValueError, KeyError) as e:
+                    rows = [{"frame_id": path, "err": f"{type(e).__name__}: {e}"} | dict.fromkeys(("ty", "tx", "y0", "x0", "h", "w", "px"))]
+                yield pd.DataFrame(rows)
 
-    return files.select("path", "content").mapInPandas(read, TILE)
+    return files.select("path", "content").mapInPandas(read, TILE + ", err string")
 
 
 # --- texts ----------------------------------------------------------------------------------------------------------------

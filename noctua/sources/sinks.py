@@ -27,7 +27,8 @@ def write_jsonl(df: DataFrame, path: str, columns: list[str]) -> None:
 
 
 def rewrite_table(df: DataFrame, path: str) -> None:
-    """K3: the new table is written beside the old one, then takes its name, so a reader sees one or the other."""
+    """K3: the new table is written whole beside the old one, then takes its name by two renames; between them, for the
+    time of one rename, no table has the name, and the old one stays as `path`.old until the end."""
     spark = df.sparkSession
     df.write.mode("overwrite").parquet(f"{path}.new")
     jvm = spark._jvm
@@ -65,7 +66,7 @@ def masters_index(manifest: DataFrame) -> DataFrame:
 
 def require_provenance(tiles: DataFrame, fields: tuple[str, ...] = ("exposure", "mode")) -> DataFrame:
     """K9: the tiles, or an error that says how many lack a required field."""
-    missing = tiles.where(" or ".join(f"{f} is null" for f in fields)).limit(1).count()
+    missing = tiles.where(" or ".join(f"{f} is null" for f in fields)).count()
     if missing:
-        raise ValueError(f"tiles without {', '.join(fields)}")
+        raise ValueError(f"{missing} tiles without {', '.join(fields)}")
     return tiles
