@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noctua.functions import scalar as S
-from noctua.operators.stats import _join, nearest_rank
+from noctua.operators.stats import _join, nearest_rank, quantiles
 
 # --- X1: metrics ---------------------------------------------------------------------------------------------------------
 
@@ -100,7 +100,8 @@ def score_block(df: DataFrame, keys: list[str], score: str, path: str, least: in
     """N, best_path, best_score, median, p10 and below_p10 for each group of at least `least` scored rows; groups
     without scores are kept with n = 0."""
     x = df.withColumn("_s", S.finite(F.col(score)))
-    got = x.groupBy(*keys).agg(F.count("_s").alias("n"), F.min_by(path, F.when(F.col("_s").isNotNull(), F.struct(-F.col("_s"), F.col(path)))).alias("best_path"), F.max("_s").alias("best_score"), F.median("_s").alias("median"), F.percentile("_s", 0.1).alias("p10"))
+    got = x.groupBy(*keys).agg(F.min_by(path, F.when(F.col("_s").isNotNull(), F.struct(-F.col("_s"), F.col(path)))).alias("best_path"), F.max("_s").alias("best_score"))
+    got = _join(got, quantiles(x, keys, "_s", [0.5, 0.1], ["median", "p10"]), keys)
     below = _join(x, got.select(*keys, "p10"), keys).groupBy(*keys).agg(F.count_if(F.col("_s") < F.col("p10")).alias("below_p10"))
     return _join(got, below, keys).where((F.col("n") >= least) | (F.col("n") == 0))
 

@@ -31,30 +31,60 @@ def _join(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner")
 # --- G8, G9, G12, G13 ----------------------------------------------------------------------------------------------------
 
 
+def counted(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, x, c: each finite value with the number of its rows; counted before the shuffle, so a hot value is one row."""
+    return df.select(*keys, finite(F.col(value)).alias("x")).where("x is not null").groupBy(*keys, "x").agg(F.count("*").alias("c"))
+
+
+def ranked(values: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, x, c, upto (rows of the group up to this value, with it) and n (rows of the group), of counted values.
+
+    Values are dealt over partitions by ranges of (keys, x) and summed there; a group's running sum goes on from one
+    partition to the next by a table of one row for each group and partition.  So a group of any size, and any number of
+    distinct values, is spread over the tasks.  The dealt table is written, since ranges are drawn anew whenever a plan runs."""
+    x = written(values.repartitionByRange(*keys, "x").withColumn("_p", F.spark_partition_id()), "ranked")
+    parts = x.groupBy(*keys, "_p").agg(F.sum("c").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_p")) - F.col("_c")
+    parts = parts.select(*keys, "_p", before.alias("_before"), F.sum("_c").over(Window.partitionBy(*keys)).alias("n"))
+    inside = F.sum("c").over(Window.partitionBy(*keys, "_p").orderBy("x"))
+    return _join(x, parts, [*keys, "_p"]).withColumn("upto", F.col("_before") + inside).drop("_p", "_before")
+
+
+def _linear(ranks: DataFrame, keys: list[str], qs: list[float], names: list[str]) -> DataFrame:
+    """keys, n and linear quantiles from ranked values."""
+    at = lambda i: F.min(F.when(F.col("upto") > i, F.col("x")))
+    cols = []
+    for q, name in zip(qs, names, strict=True):
+        place = F.lit(q) * (F.col("n") - 1)
+        cols += [at(F.floor(place)).alias(f"_l_{name}"), at(F.ceil(place)).alias(f"_h_{name}")]
+    got = ranks.groupBy(*keys).agg(F.first("n").alias("n"), *cols)
+    share = lambda q: F.lit(q) * (F.col("n") - 1) - F.floor(F.lit(q) * (F.col("n") - 1))
+    return got.select(*keys, "n", *[(F.col(f"_l_{m}") + (F.col(f"_h_{m}") - F.col(f"_l_{m}")) * share(q)).alias(m) for q, m in zip(qs, names, strict=True)])
+
+
 def median_mad(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """N, median, mad and sigma = 1.4826 mad of the finite values."""
-    x = df.select(*keys, finite(F.col(value)).alias("x")).where("x is not null")
-    centre = x.groupBy(*keys).agg(F.count("*").alias("n"), F.median("x").alias("median"))
-    spread = _join(x, centre.select(*keys, "median"), keys).groupBy(*keys).agg(F.median(F.abs(F.col("x") - F.col("median"))).alias("mad"))
+    x = counted(df, keys, value)
+    centre = _linear(ranked(x, keys), keys, [0.5], ["median"])
+    off = _join(x, centre.select(*keys, "median"), keys).groupBy(*keys, F.abs(F.col("x") - F.col("median")).alias("x")).agg(F.sum("c").alias("c"))
+    spread = _linear(ranked(off, keys), keys, [0.5], ["mad"]).drop("n")
     return _join(centre, spread, keys).withColumn("sigma", MAD_SIGMA * F.col("mad"))
 
 
 def nearest_rank(df: DataFrame, keys: list[str], value: str, quantiles: list[float], names: list[str] | None = None) -> DataFrame:
-    """Values at index round(q (n - 1)), halves to even, of the sorted finite values.
-
-    A window ranks distinct values by their running counts, so one key of any number of rows is sorted, not collected."""
+    """Values at index round(q (n - 1)), halves to even, of the sorted finite values."""
     names = names or [f"q{round(q * 100):02d}" for q in quantiles]
-    x = df.select(*keys, finite(F.col(value)).alias("x")).where("x is not null").groupBy(*keys, "x").agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*keys).orderBy("x")
-    x = x.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(*keys)))
+    x = ranked(counted(df, keys, value), keys)
     at = [half_even(F.lit(q) * (F.col("n") - 1)) for q in quantiles]
     return x.groupBy(*keys).agg(F.first("n").alias("n"), *[F.min(F.when(F.col("upto") > i, F.col("x"))).alias(name) for i, name in zip(at, names, strict=True)])
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float], names: list[str]) -> DataFrame:
-    """Linear interpolation between order statistics."""
-    x = finite(F.col(value))
-    return df.groupBy(*keys).agg(F.count(x).alias("n"), *[F.percentile(x, q).alias(n) for q, n in zip(qs, names, strict=True)])
+    """Linear interpolation between order statistics of the finite values; a group without any has n = 0 and NULLs."""
+    got = _linear(ranked(counted(df, keys, value), keys), keys, qs, names)
+    if not keys:
+        return got
+    return _join(df.select(*keys).distinct(), got, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def cdf(df: DataFrame, keys: list[str], value: str, tie: list[str]) -> DataFrame:
@@ -89,18 +119,15 @@ def sub_index(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def normalize_by_median(df: DataFrame, keys: list[str], value: str, least: int = 2) -> DataFrame:
     """quality_norm = value / median of the group's positive finite values; NULL in groups with fewer than `least`."""
     x = finite(F.col(value))
-    good = F.when(x > 0, x)
-    centre = df.groupBy(*keys).agg(F.median(good).alias("_median"), F.count(good).alias("_n"))
+    centre = _linear(ranked(counted(df.where(x > 0), keys, value), keys), keys, [0.5], ["_median"]).withColumnRenamed("n", "_n")
     return _join(df, centre, keys, "left").withColumn("quality_norm", F.when((F.col("_n") >= least) & (F.col("_median") > 0), x / F.col("_median"))).drop("_median", "_n")
 
 
 def percentile_rank(df: DataFrame, keys: list[str], value: str, name: str = "pct") -> DataFrame:
     """(count of values up to this one - 1) / (n - 1) over finite values, so ties take the high rank; 1 for a single
     value; NULL stays NULL."""
-    x = finite(F.col(value))
-    upto = F.count("_x").over(Window.partitionBy(*keys).orderBy(F.col("_x").asc_nulls_last()).rangeBetween(Window.unboundedPreceding, 0))
-    n = F.count("_x").over(Window.partitionBy(*keys))
-    return df.withColumn("_x", x).withColumn(name, F.when(F.col("_x").isNotNull(), F.when(n == 1, 1.0).otherwise((upto - 1) / (n - 1)))).drop("_x")
+    ranks = ranked(counted(df, keys, value), keys).select(*keys, F.col("x").alias("_x"), F.when(F.col("n") == 1, 1.0).otherwise((F.col("upto") - 1) / (F.col("n") - 1)).alias(name))
+    return _join(df.withColumn("_x", finite(F.col(value))), ranks, [*keys, "_x"], "left").drop("_x")
 
 
 # --- fits ------------------------------------------------------------------------------------------------------------------
