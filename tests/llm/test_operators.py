@@ -468,6 +468,40 @@ def test_weak_parts_are_reported_only_together(spark, nothing):
     assert secrets.find_secrets(nothing).count() == 0
 
 
+def _linked(text, reach):
+    """All weak spans that stand near their complements, by comparing every pair of parts."""
+    found = [(m.start(), k, m.end()) for k, p in enumerate((secrets.WEAK_ID, secrets.WEAK_SECRET, secrets.ENDPOINT), 3) for m in re.finditer(p, text)]
+    for s in _secret_base(text):
+        kind, start, end = s.split(":")
+        found.append((int(start), secrets.KINDS.index(kind), int(end)))
+    breaks = [m.start() for m in re.finditer(r"\n[\x20\t\r]*\n", text)]
+    role = lambda k: "id" if k in (1, 3) else "secret" if k in (0, 2, 4) else "endpoint"
+    scope = lambda at: sum(b < at for b in breaks)
+    out = set()
+    for start, kind, end in found:
+        near = {role(k) for a, k, b in found if a <= end + reach and b >= start - reach and scope(a) == scope(start)} - {role(kind)}
+        wanted = {"id": {"secret"}, "secret": {"id"}, "endpoint": {"id", "secret"}}[role(kind)]
+        if kind >= 3 and wanted <= near:
+            out.add((start, kind, end))
+    return out
+
+
+def test_links_are_those_of_comparing_all_parts(spark):
+    rng = np.random.default_rng(12)
+    pieces = ["user: alice", "client_id=app77", "host = db.local", "https://a.example.com:80/x", "aB3dE5fG7hI9jK1lM3nO5pQ7rS9tU1vW", "AKIA" + "ABCDEFGHIJ234567", "password = hunter22", "0123456789abcdef01234567", "\n\n", "\n \t\n", "some words here", "é" * 40, "x" * 90, "more, and more"]
+    rows = [(i, " ".join(pieces[j] for j in rng.integers(0, len(pieces), rng.integers(1, 40)))) for i in range(150)]
+    rows.append((150, " ".join(["user: bob and aB3dE5fG7hI9jK1lM3nO5pQ7rS9tU1vW at https://x.example.com"] * 300)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for reach in (200, 60):
+        got = {r.doc_id: {(int(a), secrets.KINDS.index(k), int(b)) for k, a, b in (s.split(":") for s in r.spans.split(",") if s)} for r in secrets.find_secrets(d, reach).collect()}
+        links = 0
+        for i, text in rows:
+            want = _linked(text, reach)
+            assert {s for s in got[i] if s[1] >= 3} == want, (i, reach)
+            links += len(want)
+        assert links > 500
+
+
 # --- 8 --------------------------------------------------------------------------------------------------------------------
 
 
@@ -498,6 +532,52 @@ def test_license_passages_with_changed_words(spark, nothing):
     assert len(got[4].found) == 2 and got[5].score == 0 and licenses.scan_licenses(nothing).count() == 0
 
 
+def _passages(words, k=5, slack=3, least=0.6):
+    """found and the best cover, by comparing every place of the document with every place of every template."""
+    found, best = [], 0.0
+    for label, texts_ in licenses.TEMPLATES.items():
+        for text in texts_:
+            t = WORDS.findall(text.translate(LOWER))
+            hits = [(i, j) for i in range(len(words) - k + 1) for j in range(len(t) - k + 1) if words[i] == t[j] and words[i : i + k] == t[j : j + k]]
+            runs: list[list] = []
+            for off in sorted({i - j for i, j in hits}):
+                if runs and off - runs[-1][-1] <= slack:
+                    runs[-1].append(off)
+                else:
+                    runs.append([off])
+            for run in runs:
+                mine = [(i, j) for i, j in hits if i - j in run]
+                cover = len({j + n for _, j in mine for n in range(k)}) / len(t)
+                lo, hi = min(i for i, _ in mine), max(i for i, _ in mine) + k
+                best = max(best, cover)
+                if cover >= least and hi - lo <= 2 * len(t):
+                    found.append((label, lo, hi, round(cover, 9)))
+    return sorted(found), best
+
+
+def test_license_passages_are_those_of_all_diagonals(spark):
+    rng = np.random.default_rng(8)
+    parts = [WORDS.findall(t.translate(LOWER)) for ts in licenses.TEMPLATES.values() for t in ts]
+    rows = []
+    for i in range(80):
+        words = []
+        for _ in range(rng.integers(1, 4)):
+            t = list(parts[rng.integers(len(parts))])
+            for _ in range(rng.integers(0, 6)):  # edits: a word changed, left out, put in, or the passage cut
+                at = int(rng.integers(len(t)))
+                t = [t[:at] + ["changed"] + t[at + 1 :], t[:at] + t[at + 1 :], t[:at] + ["inserted"] * 2 + t[at:], t[at // 3 :]][rng.integers(4)] or ["none"]
+            words += ["filler"] * int(rng.integers(0, 9)) + t
+        rows.append((i, " ".join(words)))
+    total = 0
+    for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        words = rows[r.doc_id][1].split()
+        found, best = _passages(words)
+        assert sorted((f.label, f.first_word, f.end_word, round(f.cover, 9)) for f in r.found) == found
+        assert r.n_base > 0 and r.score == 1.0 or abs(r.score - best) < 1e-9
+        total += len(found)
+    assert total > 80
+
+
 # --- 9 --------------------------------------------------------------------------------------------------------------------
 
 
