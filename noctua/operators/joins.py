@@ -55,8 +55,11 @@ def match_nearest(left: DataFrame, right: DataFrame, left_id: str, left_value: s
     """For each left row the right row with equal `keys`, `known` columns equal or unknown on the left, and the nearest
     value; ties to the smaller id; at most `within` away.  left_id, match_id, distance; rows without a match keep NULLs.
 
-    The right side is reduced to distinct values first and joined on the keys; for a numeric value with `within` the join is
-    on buckets of that width, so a wide key does not meet itself."""
+    The right side is reduced to distinct values first.  With `within` the join is on buckets of that width; without it, and
+    with no `known`, each left row takes the values next to its own, below and above, from one ordered pass over both
+    sides, so no key is compared with itself.  Only unknown columns need the join on the keys alone."""
+    if within is None and not known:
+        return _match_next(left, right, left_id, left_value, right_id, right_value, keys)
     r = right.select(*keys, *(known or []), F.col(right_id).alias("_rid"), F.col(right_value).cast("double").alias("_rv"))
     r = r.groupBy(*keys, *(known or []), "_rv").agg(F.min("_rid").alias("_rid")).withColumnsRenamed({k: f"_r_{k}" for k in [*keys, *(known or [])]})
     x = left.withColumn("_lv", F.col(left_value).cast("double"))
@@ -74,6 +77,21 @@ def match_nearest(left: DataFrame, right: DataFrame, left_id: str, left_value: s
     return left.join(best, F.col(left_id) == F.col("_id"), "left").drop("_id")
 
 
+def _match_next(left: DataFrame, right: DataFrame, left_id: str, left_value: str, right_id: str, right_value: str, keys: list[str]) -> DataFrame:
+    names = [f"_k{i}" for i in range(len(keys))]
+    whole = lambda df: df.dropna(subset=keys) if keys else df
+    r = whole(right).select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(right_value).cast("double").alias("_v"), F.col(right_id).alias("_rid")).where("_v is not null")
+    r = r.groupBy(*names, "_v").agg(F.min("_rid").alias("_rid")).withColumn("_near", F.struct("_v", "_rid"))
+    x = whole(left).select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(left_value).cast("double").alias("_v"), F.col(left_id).alias("_id")).where("_v is not null")
+    both = x.withColumn("_left", F.lit(1)).unionByName(r.drop("_rid").withColumn("_left", F.lit(0)), allowMissingColumns=True)
+    near = lambda order: F.last("_near", ignorenulls=True).over(Window.partitionBy(*names).orderBy(order, "_left").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    both = both.withColumn("_below", near(F.asc("_v"))).withColumn("_above", near(F.desc("_v"))).where("_left = 1")
+    offer = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("_v") - F.col(f"{c}._v")).alias("d"), F.col(f"{c}._rid").alias("i")))
+    best = both.groupBy("_id").agg(F.min(F.array_min(F.array_compact(F.array(offer("_below"), offer("_above"))))).alias("m"))
+    best = best.select("_id", F.col("m.i").alias("match_id"), F.col("m.d").alias("distance"))
+    return left.join(best, F.col(left_id) == F.col("_id"), "left").drop("_id")
+
+
 def match_flat(frames: DataFrame, flats: DataFrame, name: str = "filter") -> DataFrame:
     """Frames with the first flat (by path) of their filter."""
     best = flats.groupBy(F.col(name).alias("_f")).agg(F.min("path").alias("flat_path"))

@@ -325,6 +325,15 @@ def _(t: Tables):
     return telemetry.throttled(t.events, ["user_id"], "ts", "event_id", 3600).select("event_id")
 
 
+@query("t4_exact_throttle", """
+WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+c AS (SELECT user_id, event_id, n, t AS given, true AS hit FROM o WHERE n = 1 UNION ALL SELECT o.user_id, o.event_id, o.n, CASE WHEN o.t - c.given >= 36000000000 THEN o.t ELSE c.given END, o.t - c.given >= 36000000000 FROM c JOIN o ON o.user_id = c.user_id AND o.n = c.n + 1)
+SELECT event_id FROM c WHERE hit
+""")
+def _(t: Tables):
+    return telemetry.throttled_exactly(t.events, "user_id", "ts", "event_id", 36000).select("event_id")
+
+
 STATE = "CASE WHEN event_id % 5 = 0 THEN 'UNKNOWN' WHEN value > 50 THEN 'OPEN' ELSE 'CLOSED' END"
 
 

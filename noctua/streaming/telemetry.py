@@ -126,11 +126,31 @@ def event_alerts(events: DataFrame, event: str, mapping: dict[str, str]) -> Data
 
 
 def throttled(events: DataFrame, keys: list[str], t: str, tie: str, seconds: int = 10) -> DataFrame:
-    """T4: the first row of every `seconds` of the clock for each key."""
+    """T4, coarse: the first row of every `seconds` of the clock for each key."""
     w = Window.partitionBy(*keys, F.floor(F.unix_micros(F.col(t).cast("timestamp")) / (seconds * 1_000_000))).orderBy(t, tie)
     return events.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def throttled_exactly(events: DataFrame, key: str, t: str, tie: str, seconds: float = 10) -> DataFrame:
+    """T4: key, t, tie of each key's first row and of every row `seconds` or more after the last one given.  What is given
+    depends on what was given before, so a key's rows are folded in order, of which a task holds one time and one batch."""
+    kind = dict(events.dtypes)
+    rows = events.select(key, t, tie).repartition(key).sortWithinPartitions(key, t, tie)
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, given = object(), None
+        for pdf in frames:
+            hits = []
+            for k, at in zip(pdf[key].tolist(), _numbers(pdf, t), strict=True):
+                if k != last:
+                    last, given = k, None
+                hits.append(given is None or at - given >= seconds)
+                given = at if hits[-1] else given
+            yield pdf.loc[hits]
+
+    return rows.mapInPandas(fold, f"{key} {kind[key]}, {t} {kind[t]}, {tie} {kind[tie]}")
+
+
 # --- T5, T6, W16: states -----------------------------------------------------------------------------------------------------------
 
 

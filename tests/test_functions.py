@@ -276,3 +276,34 @@ def test_ratio_clip_takes_back_rows_and_reports(spark):
         s = 1.4826 * np.median(np.abs(ratios[kept] - m))
         kept = np.abs(ratios - m) <= 3 * s
     assert got["p"].used == kept.sum() and abs(got["p"].scale_b_over_a - np.median((b / a)[kept])) < 1e-12
+
+
+def test_ranks_of_one_group_over_many_tasks(spark):
+    rng = np.random.default_rng(3)
+    v = np.concatenate([rng.normal(size=3000), np.zeros(1500), [np.nan, np.inf]])
+    rows = [("hot", float(x)) for x in v] + [("one", 4.0), ("none", None), (None, 1.0), (None, 3.0)]
+    d = spark.createDataFrame(rows, "k string, v double").repartition(16)
+    good = np.sort(v[np.isfinite(v)])
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        q = {r.k: r for r in stats.quantiles(d, ["k"], "v", [0.1, 0.5], ["a", "b"]).collect()}
+        m = {r.k: r for r in stats.median_mad(d, ["k"], "v").collect()}
+        p = stats.percentile_rank(d, ["k"], "v").collect()
+        whole = stats.quantiles(d, [], "v", [0.5], ["b"]).first()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert q["hot"].n == 4500 and abs(q["hot"].a - np.quantile(good, 0.1)) < 1e-12 and q["hot"].b == np.median(good)
+    assert q["one"].a == 4.0 and q["none"].n == 0 and q["none"].a is None and q[None].b == 2.0 and whole.n == 4503
+    assert m["hot"].median == np.median(good) and abs(m["hot"].mad - np.median(np.abs(good - np.median(good)))) < 1e-12 and m["one"].mad == 0
+    assert len(p) == len(rows) and all(r.pct is None or r.k != "hot" or abs(r.pct - (np.searchsorted(good, r.v, "right") - 1) / 4499) < 1e-12 for r in p)
+
+
+def test_nearest_without_a_bound(spark):
+    left = spark.createDataFrame([(1, "a", 5.0), (2, "a", 7.0), (3, "b", 0.0), (4, None, 5.0), (5, "a", None), (6, "c", 1.0), (7, "a", 100.0)], "i int, k string, v double")
+    right = spark.createDataFrame([(10, "a", 4.0), (11, "a", 6.0), (12, "a", 4.0), (13, "b", None), (14, None, 5.0), (9, "a", 8.0), (20, "b", -3.0)], "r long, k string, w double")
+    got = {r.i: (r.match_id, r.distance) for r in joins.match_nearest(left, right, "i", "v", "r", "w", ["k"]).collect()}
+    assert got == {1: (10, 1.0), 2: (9, 1.0), 3: (20, 3.0), 4: (None, None), 5: (None, None), 6: (None, None), 7: (9, 92.0)}
+    loose = {r.i: (r.match_id, r.distance) for r in joins.match_nearest(left, right, "i", "v", "r", "w", ["k"], within=1000.0).collect()}
+    assert got == loose
+    assert {r.i: r.match_id for r in joins.match_nearest(left, right, "i", "v", "r", "w", []).collect()}[6] == 10
