@@ -50,6 +50,18 @@ def ranked(values: DataFrame, keys: list[str]) -> DataFrame:
     return _join(x, parts, [*keys, "_p"]).withColumn("upto", F.col("_before") + inside).drop("_p", "_before")
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, total: str | None = None) -> DataFrame:
+    """df with the row's place in its group by `order`, from 1, and if asked the group's number of rows; spread over tasks
+    as in ranked, so only rows alike in keys and order have to meet in one."""
+    x = written(df.repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id()), "numbered")
+    parts = x.groupBy(*keys, "_p").agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_p")) - F.col("_c")
+    parts = parts.select(*keys, "_p", before.alias("_before"), F.sum("_c").over(Window.partitionBy(*keys)).alias("_all"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_p").orderBy(*order))
+    got = _join(x, parts, [*keys, "_p"]).withColumn(name, F.col("_before") + inside)
+    return (got.withColumn(total, F.col("_all")) if total else got).drop("_p", "_before", "_all")
+
+
 def _linear(ranks: DataFrame, keys: list[str], qs: list[float], names: list[str]) -> DataFrame:
     """keys, n and linear quantiles from ranked values."""
     at = lambda i: F.min(F.when(F.col("upto") > i, F.col("x")))
@@ -89,10 +101,9 @@ def quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float], names
 
 def cdf(df: DataFrame, keys: list[str], value: str, tie: list[str]) -> DataFrame:
     """Sorted finite values with y from 0 to 1 in equal steps (0 for a single one)."""
-    x = df.withColumn("x", finite(F.col(value))).where("x is not null")
-    n = F.count("*").over(Window.partitionBy(*keys))
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy("x", *tie))
-    return x.select(*keys, *tie, "x", F.when(n > 1, (at - 1) / (n - 1)).otherwise(0.0).alias("y"))
+    x = df.select(*keys, *tie, finite(F.col(value)).alias("x")).where("x is not null")
+    x = numbered(x, keys, ["x", *tie], "_at", "_n")
+    return x.select(*keys, *tie, "x", F.when(F.col("_n") > 1, (F.col("_at") - 1) / (F.col("_n") - 1)).otherwise(0.0).alias("y"))
 
 
 def histogram(df: DataFrame, keys: list[str], value: str, low: float, high: float, bins: int, density: bool = False) -> DataFrame:
@@ -113,7 +124,7 @@ def histogram(df: DataFrame, keys: list[str], value: str, low: float, high: floa
 
 def sub_index(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """sub_index from 1 by the order inside each group."""
-    return df.withColumn("sub_index", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return numbered(df, keys, order, "sub_index").withColumn("sub_index", F.col("sub_index").cast("int"))
 
 
 def normalize_by_median(df: DataFrame, keys: list[str], value: str, least: int = 2) -> DataFrame:

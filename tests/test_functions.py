@@ -307,3 +307,12 @@ def test_nearest_without_a_bound(spark):
     loose = {r.i: (r.match_id, r.distance) for r in joins.match_nearest(left, right, "i", "v", "r", "w", ["k"], within=1000.0).collect()}
     assert got == loose
     assert {r.i: r.match_id for r in joins.match_nearest(left, right, "i", "v", "r", "w", []).collect()}[6] == 10
+
+
+def test_places_of_one_group_over_many_tasks(spark):
+    d = spark.range(500).selectExpr("if(id < 400, 'a', null) as k", "cast((id * 37) % 101 as int) as v", "id").repartition(9)
+    got = stats.sub_index(d, ["k"], ["v", "id"]).collect()
+    for k in ("a", None):
+        rows = sorted((r.v, r.id, r.sub_index) for r in got if r.k == k)
+        assert [i for _, _, i in rows] == list(range(1, len(rows) + 1)) and len(rows) == (400 if k else 100)
+    assert stats.sub_index(d.where("false"), ["k"], ["v", "id"]).count() == 0
