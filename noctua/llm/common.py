@@ -41,6 +41,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """For each name one that df has no column of, in any case of letters; for columns that come and go inside an operator."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while (name := f"_{name}").lower() in taken:
+            pass
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """The doc_id, and for rows without one a hash of the text from 2^62 up, so that different texts are told apart."""
     hashed = F.xxhash64(F.col(text).cast("string")).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))

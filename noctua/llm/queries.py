@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noctua.llm import decontaminate, licenses, lm, minhash, mixing, secrets, token_store, topk, toxicity, url_filter
+from noctua.llm import decontaminate, licenses, line_dedup, lm, minhash, mixing, secrets, token_store, topk, toxicity, url_filter
 from noctua.llm.common import table
 
 #: Allow and block rules of op9_url_filter.
@@ -75,9 +75,14 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_digests(spark, path)
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontamination, op2_topk, op3_mixing, op4_minhash, op5_toxicity, op6_language_model, op7_secrets, op8_licenses, op9_url_filter, op10_token_files)
+    for f in (op1_decontamination, op2_topk, op3_mixing, op4_minhash, op5_toxicity, op6_language_model, op7_secrets, op8_licenses, op9_url_filter, op10_token_files, op12_line_dedup)
 }
 
 ORACLE_SQL = {
@@ -103,5 +108,16 @@ m AS (
   SELECT n, h || p AS rule, a, row_number() OVER (PARTITION BY n ORDER BY length(h || p.p) DESC) AS k
   FROM (SELECT p.n, p.host, p.path AS pth, r.h, r.p, r.a FROM p JOIN rules r ON (p.host = r.h OR ends_with(p.host, '.' || r.h)) AND starts_with(p.path, r.p)) p)
 SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.a, 'allow') AS verdict FROM p LEFT JOIN m ON m.n = p.n AND m.k = 1
+""",
+    "op12_line_dedup": """
+WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM cut),
+k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+often AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+judged AS (SELECT k.*, often.key IS NOT NULL AND doc_id <> top AS gone FROM k LEFT JOIN often USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
 """,
 }
