@@ -70,8 +70,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_LOWER_CODE = _BYTE_CODE[_LOWER]
+BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+_LOWER_CODE = BYTE_CODE[_LOWER]
 
 
 def _powers() -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +142,7 @@ class Words:
             starts.append(lo + np.flatnonzero(here & (~inside[:-2] | edge[:-1])))
             ends.append(lo + 1 + np.flatnonzero(here & (~inside[2:] | edge[1:])))
         self.start, self.end = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, ends))
-        self.hash = run_hashes(self.data, self.start, self.end, _LOWER_CODE if lower else _BYTE_CODE)
+        self.hash = run_hashes(self.data, self.start, self.end, _LOWER_CODE if lower else BYTE_CODE)
         self.first = np.searchsorted(self.start, self.offsets)
 
     def __len__(self) -> int:
@@ -160,7 +160,7 @@ class Words:
 
 def word_hash(word: str) -> int:
     """The hash that Words gives to this (lower-case) word."""
-    code = _BYTE_CODE[np.frombuffer(word.encode(), np.uint8)]
+    code = BYTE_CODE[np.frombuffer(word.encode(), np.uint8)]
     return int(run_hashes(code, np.array([0]), np.array([len(code)]))[0])
 
 

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noctua.llm import decontaminate, licenses, line_dedup, lm, minhash, mixing, secrets, token_store, topk, toxicity, url_filter
+from noctua.llm import align, decontaminate, licenses, line_dedup, lm, minhash, mixing, prefix_trie, secrets, token_store, topk, toxicity, url_filter
 from noctua.llm.common import table
 
 #: Allow and block rules of op9_url_filter.
@@ -15,9 +15,13 @@ URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.exam
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    """A file of $NOCTUA_TOKENIZERS, or else of the installed public tokenizers."""
+    folder = os.environ.get("NOCTUA_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
     import public_tokenizers
 
-    return os.environ.get("NOCTUA_TOKENIZER") or public_tokenizers.path(name)
+    return public_tokenizers.path(name)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,14 +79,23 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_digests(spark, path)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return align.align_tokenizers(docs, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")).select("doc_id", *align.COLUMNS)
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontamination, op2_topk, op3_mixing, op4_minhash, op5_toxicity, op6_language_model, op7_secrets, op8_licenses, op9_url_filter, op10_token_files, op12_line_dedup)
+    for f in (op1_decontamination, op2_topk, op3_mixing, op4_minhash, op5_toxicity, op6_language_model, op7_secrets, op8_licenses, op9_url_filter, op10_token_files, op11_alignment, op12_line_dedup, op13_prefix_trie)
 }
 
 ORACLE_SQL = {
@@ -119,5 +132,43 @@ judged AS (SELECT k.*, often.key IS NOT NULL AND doc_id <> top AS gone FROM k LE
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
+""",
+    "op13_prefix_trie": """
+WITH raw AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p FROM conversations WHERE conv_id IS NOT NULL),
+crc AS (  -- crc32 of the decimal form, a byte at a time
+  SELECT c, c - c % 100 AS base, s, 4294967295::BIGINT AS x, 1 AS i FROM (SELECT DISTINCT c, CAST(c AS VARCHAR) AS s FROM raw)),
+bits AS (
+  WITH RECURSIVE go(c, base, s, x, i, k) AS (
+    SELECT c, base, s, xor(x, CAST(ord(substr(s, 1, 1)) AS BIGINT)), 1, 0 FROM crc
+    UNION ALL
+    SELECT c, base, s,
+           CASE WHEN k < 8 THEN CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END
+                ELSE xor(x, CAST(ord(substr(s, i + 1, 1)) AS BIGINT)) END,
+           CASE WHEN k < 8 THEN i ELSE i + 1 END, CASE WHEN k < 8 THEN k + 1 ELSE 0 END
+    FROM go WHERE k < 8 OR i < length(s))
+  SELECT c, base, xor(x, 4294967295::BIGINT) % 6 AS h FROM go WHERE k = 8 AND i = length(s)),
+lent AS (SELECT b.c, r.p AS d, r.role, r.text FROM bits b JOIN raw r ON r.c = b.base AND r.p <= b.h),
+both_ AS (
+  SELECT c, 0 AS own, d, role, text FROM lent
+  UNION ALL SELECT r.c, 1, r.p, r.role, r.text FROM raw r JOIN bits b ON b.c = r.c WHERE r.p > b.h),
+turns AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, d) AS d, role, text FROM both_),
+paths AS (
+  SELECT c, d, length(text) AS size, md5(string_agg(length(role) || ':' || length(text) || ':' || role || text, '' ORDER BY d) OVER (PARTITION BY c ORDER BY d)) AS key FROM turns
+  UNION ALL SELECT c, 0, 0, '' FROM bits),
+steps AS (SELECT *, lag(key) OVER (PARTITION BY c ORDER BY d) AS before, max(d) OVER (PARTITION BY c) = d AS ends FROM paths),
+nodes AS (
+  SELECT d, key, min(c) AS conv, any_value(before) AS before, count(*) AS n, any_value(size) AS size,
+         coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '') AS done
+  FROM steps GROUP BY d, key),
+kids AS (SELECT before AS key, count(*) AS kids FROM nodes WHERE d > 0 GROUP BY before),
+full_ AS (SELECT nodes.*, coalesce(kids, 0) AS kids FROM nodes LEFT JOIN kids USING (key)),
+below AS (
+  SELECT a.key, count(*) FILTER (WHERE f.kids = 0) AS leaves, sum((f.n - 1) * f.size) AS saved
+  FROM full_ f JOIN steps a ON a.c = f.conv AND a.d <= f.d GROUP BY a.key)
+SELECT f.conv AS conv_id, CAST(f.d AS BIGINT) AS depth, up.conv AS parent_conv_id, f.n AS n_convs, f.kids AS n_children, leaves AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, sha256(f.done) AS ends_sha256
+FROM full_ f JOIN below USING (key) LEFT JOIN nodes up ON up.key = f.before AND f.d > 0
 """,
 }
