@@ -91,8 +91,10 @@ def _tokenizers(a: str, b: str) -> tuple[ByteLevel, Pieces]:
 def cut_texts(texts: pa.Array, cuts: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The bytes of the texts, each after a space, and where their pieces start; first piece of each text, with the end.
 
-    A piece starts with each text and at each space whose character before is not white space."""
-    spaced = pc.binary_join_element_wise("", pc.cast(texts, pa.large_string()), " ")
+    A piece starts with each text and at each space whose character before is not white space; a space that ends a text
+    stays with what is before it, since no tokenizer can be asked for it alone."""
+    empty, space = (pa.scalar(x, pa.large_string()) for x in ("", " "))
+    spaced = pc.binary_join_element_wise(empty, texts.cast(pa.large_string()), space)
     offsets = np.frombuffer(spaced.buffers()[1], np.int64)[spaced.offset : spaced.offset + len(spaced) + 1]
     data = np.frombuffer(spaced.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
@@ -101,6 +103,7 @@ def cut_texts(texts: pa.Array, cuts: bool = True) -> tuple[np.ndarray, np.ndarra
     b1, b2, b3 = data[inner - 1], data[np.maximum(inner - 2, 0)], data[np.maximum(inner - 3, 0)]
     blank = _SPACE[b1] | ((b2 == 0xC2) & ((b1 == 0x85) | (b1 == 0xA0))) | ((b3 == 0xE1) & (b2 == 0x9A) & (b1 == 0x80)) | ((b3 == 0xE3) & (b2 == 0x80) & (b1 == 0x80))
     blank |= (b3 == 0xE2) & (((b2 == 0x80) & ((b1 <= 0x8A) | (b1 == 0xA8) | (b1 == 0xA9) | (b1 == 0xAF))) | ((b2 == 0x81) & (b1 == 0x9F)))
+    blank |= np.isin(inner + 1, offsets)
     starts = np.union1d(inner[~blank], offsets[:-1])
     return data, starts, np.searchsorted(starts, offsets)
 
@@ -317,7 +320,7 @@ class PairHash:
 
     def __init__(self, seeds: np.ndarray, sizes: np.ndarray):
         self.seeds, self.sizes = seeds, sizes.astype(np.uint8)
-        self.starts = np.append(0, np.cumsum(sizes))
+        self.starts = np.append(0, np.cumsum(sizes, dtype=np.int64))
 
     def slots(self, codes: np.ndarray) -> np.ndarray:
         k = bucket_of(codes, len(self.seeds))
