@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noctua.functions.scalar import finite
-from noctua.operators.stats import MAD_SIGMA, _join, additive_offset, trimmed_affine
+from noctua.operators.stats import _join, trimmed_affine
+from noctua.session import written
 
 FIELDS = ["scale", "offset", "ref_bg", "target_bg"]
 GRID = "pair_id string, gy int, gx int, scale double, offset double, ref_bg double, target_bg double, valid boolean"
@@ -77,37 +78,143 @@ def grid_nodes(images: DataFrame, width: str, height: str, step: int) -> DataFra
     return x.withColumn("y", F.col("gy") * step).withColumn("x", F.col("gx") * step)
 
 
-def paired_samples(reference: DataFrame, target: DataFrame, pairs: DataFrame, step: int, window: int, shape: tuple[int, int], stride: int = 1) -> DataFrame:
-    """For each node the reference pixels of its window, a disc of diameter `window`, with the target's value at the
-    same place of the sky.  shape: height and width of the reference, which bound the nodes.
-
-    reference, target: frame_id, y, x, v (NULL: masked); pairs: pair_id, reference_id, target_id, m (reference to target).
-    Reference pixels (each `stride`-th) go to the nodes whose window holds them; the target is read by bilinear
-    interpolation, of which all four pixels have to be there.  Everything meets by equi-joins on pixels."""
-    half = window / 2
-    r = pairs.join(reference.withColumnRenamed("frame_id", "reference_id"), "reference_id").where(F.col("v").isNotNull() & (F.col("y") % stride == 0) & (F.col("x") % stride == 0))
-    tx, ty = apply_transform(F.col("m"), F.col("x").cast("double"), F.col("y").cast("double"))
-    r = r.withColumn("_tx", tx).withColumn("_ty", ty).where("_tx is not null")
-    r = r.withColumn("_ix", F.floor("_tx").cast("int")).withColumn("_iy", F.floor("_ty").cast("int"))
-    corners = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(i).alias("i")) for j in (0, 1) for i in (0, 1)])
-    fx, fy = F.col("_tx") - F.col("_ix"), F.col("_ty") - F.col("_iy")
-    c = r.withColumn("c", F.explode(corners)).withColumn("_w", F.when(F.col("c.i") == 1, fx).otherwise(1 - fx) * F.when(F.col("c.j") == 1, fy).otherwise(1 - fy)).where("_w > 0")
-    c = c.withColumn("_py", F.col("_iy") + F.col("c.j")).withColumn("_px", F.col("_ix") + F.col("c.i"))
-    t = target.select(F.col("frame_id").alias("target_id"), F.col("y").alias("_py"), F.col("x").alias("_px"), F.col("v").alias("_tv")).where("_tv is not null")
-    s = c.join(t, ["target_id", "_py", "_px"]).groupBy("pair_id", "y", "x").agg(F.first("v").alias("ref"), F.sum(F.col("_w") * F.col("_tv")).alias("target"), F.sum("_w").alias("_w")).where("_w > 1 - 1e-6")
-    near = lambda v, size: F.filter(
-        F.sequence(F.ceil((F.col(v) - half) / step).cast("int"), F.floor((F.col(v) + half) / step).cast("int")), lambda i: (i >= 0) & (i <= (size - 1) // step)
-    )
-    s = s.drop("_w").withColumn("gy", F.explode(near("y", shape[0]))).withColumn("gx", F.explode(near("x", shape[1])))
-    dy, dx = F.col("y") - F.col("gy") * step, F.col("x") - F.col("gx") * step
-    return s.where(dy * dy + dx * dx <= half * half)
+def frame_shapes(tiles: DataFrame, frame: str) -> DataFrame:
+    """frame (the frame_id under that name), height, width; only the tiles' places are read."""
+    return tiles.groupBy(F.col("frame_id").alias(frame)).agg(F.max(F.col("y0") + F.col("h")).alias("height"), F.max(F.col("x0") + F.col("w")).alias("width"))
+
+
+def _overlaps(placed: DataFrame, tile: int) -> DataFrame:
+    """Placed reference tiles (y0, x0, h, w, m, t_height, t_width) with each target tile (t_ty, t_tx) that their pixels can
+    read: those that meet the box around the transformed corners, or all where the tile crosses the transform's horizon."""
+    ends = [(F.col(y).cast("double"), F.col(x).cast("double")) for y in ("y0", "_y1") for x in ("x0", "_x1")]
+    rows = placed.withColumns({"_y1": F.col("y0") + F.col("h") - 1, "_x1": F.col("x0") + F.col("w") - 1})
+    corners = [apply_transform(F.col("m"), x, y) for y, x in ends]
+    weights = [F.col("m")[6] * x + F.col("m")[7] * y + F.col("m")[8] for y, x in ends]
+    one_side = (F.least(*weights) > 1e-12) | (F.greatest(*weights) < -1e-12)
+    for axis, size, name in ((1, "t_height", "t_ty"), (0, "t_width", "t_tx")):
+        low, high = (f(*[c[axis] for c in corners]) for f in (F.least, F.greatest))
+        last = F.floor((F.col(size) - 1) / tile)
+        # one pixel more on either side: the second corner of a bilinear read, and rounding at the box's edge
+        first = F.when(one_side, F.greatest(F.floor((low - 1) / tile), F.lit(0))).otherwise(0)
+        to = F.when(one_side, F.least(F.floor((high + 1) / tile), last)).otherwise(last)
+        rows = rows.withColumns({f"_{name}": first.cast("int"), f"_{name}2": to.cast("int")})
+    rows = rows.where("_t_ty <= _t_ty2 and _t_tx <= _t_tx2")
+    return rows.withColumn("t_ty", F.explode(F.sequence("_t_ty", "_t_ty2"))).withColumn("t_tx", F.explode(F.sequence("_t_tx", "_t_tx2"))).drop("_y1", "_x1", "_t_ty", "_t_ty2", "_t_tx", "_t_tx2")
+
+
+def _assembled(tiles: pd.DataFrame, y0: int, x0: int, shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Values (NaN where no tile is) and masks of target tiles on the window from (y0, x0)."""
+    value, mask = np.full(shape, np.nan), np.zeros(shape, bool)
+    for t in tiles.itertuples():
+        v = np.asarray(t.px, float).reshape(t.h, t.w)
+        m = np.zeros(v.shape, bool) if t.mask is None else np.asarray(t.mask, bool).reshape(v.shape)
+        a, b = max(t.y0, y0), min(t.y0 + t.h, y0 + shape[0])
+        c, d = max(t.x0, x0), min(t.x0 + t.w, x0 + shape[1])
+        if a < b and c < d:
+            value[a - y0 : b - y0, c - x0 : d - x0] = v[a - t.y0 : b - t.y0, c - t.x0 : d - t.x0]
+            mask[a - y0 : b - y0, c - x0 : d - x0] = m[a - t.y0 : b - t.y0, c - t.x0 : d - t.x0]
+    return value, mask
+
+
+def _read_target(x: np.ndarray, y: np.ndarray, height: int, width: int, tiles: pd.DataFrame) -> np.ndarray:
+    """Bilinear values of the target at points inside it; NaN where one of the four pixels is not finite or the nearest is masked."""
+    ix, iy = np.floor(x).astype(int), np.floor(y).astype(int)
+    jx, jy = np.minimum(ix + 1, width - 1), np.minimum(iy + 1, height - 1)
+    y0, x0 = int(iy.min()), int(ix.min())
+    value, mask = _assembled(tiles, y0, x0, (int(jy.max()) - y0 + 1, int(jx.max()) - x0 + 1))
+    fx, fy = x - ix, y - iy
+    top = (1 - fx) * value[iy - y0, ix - x0] + fx * value[iy - y0, jx - x0]
+    low = (1 - fx) * value[jy - y0, ix - x0] + fx * value[jy - y0, jx - x0]
+    near = mask[np.floor(y + 0.5).astype(int) - y0, np.floor(x + 0.5).astype(int) - x0]
+    return np.where(near, np.nan, (1 - fy) * top + fy * low)
+
+
+def paired_samples(reference: DataFrame, target: DataFrame, pairs: DataFrame, step: int, window: int, tile: int) -> DataFrame:
+    """For each node and reference tile the samples (ref, target: arrays of equal length) whose reference pixel lies in
+    the node's disc of radius window // 2: pair_id, gy, gx, ref, target.
+
+    reference, target: tiles (frame_id, ty, tx, y0, x0, h, w, px; and if wanted mask, an array of booleans), the target's on a
+    grid of `tile` pixels; pairs: pair_id, reference_id, target_id, m (reference to target).  A reference pixel counts if it is
+    finite, not masked, and comes to a point inside the target whose nearest pixel is not masked and whose four pixels are
+    all finite; the target's value there is bilinear.
+
+    Tiles meet by a join on the target tiles that each reference tile's transformed box covers, and one task reads one
+    reference tile and those few target tiles, so pixels never become rows."""
+    reference, target = (x if "mask" in x.columns else x.withColumn("mask", F.lit(None).cast("array<boolean>")) for x in (reference, target))
+    placed = pairs.join(frame_shapes(reference, "reference_id"), "reference_id").join(frame_shapes(target, "target_id").withColumnsRenamed({"height": "t_height", "width": "t_width"}), "target_id")
+    keys = ["pair_id", "ty", "tx"]
+    where = reference.select(F.col("frame_id").alias("reference_id"), "ty", "tx", "y0", "x0", "h", "w").join(placed, "reference_id")
+    wanted = _overlaps(where, tile).select(*keys, F.col("target_id").alias("frame_id"), F.col("t_ty"), F.col("t_tx"))
+    source = target.select("frame_id", F.col("ty").alias("t_ty"), F.col("tx").alias("t_tx"), "y0", "x0", "h", "w", "px", "mask")
+    # columns of their own, since both sides may come from one table
+    right = wanted.join(source, ["frame_id", "t_ty", "t_tx"]).select(*[F.col(k).alias(f"_{k}") for k in keys], "y0", "x0", "h", "w", "px", "mask")
+    left = reference.select(F.col("frame_id").alias("reference_id"), "ty", "tx", "y0", "x0", "h", "w", "px", "mask").join(placed, "reference_id").drop("reference_id", "target_id")
+    radius = window // 2
+
+    def kernel(own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for r in own.itertuples() if len(other) else ():
+            y, x = np.divmod(np.arange(r.h * r.w), r.w)
+            y, x, v, m = y + r.y0, x + r.x0, np.asarray(r.px, float), np.asarray(r.m, float)
+            weight = m[6] * x + m[7] * y + m[8]
+            good = np.isfinite(v) & (np.abs(weight) > 1e-12)
+            if r.mask is not None:
+                good &= ~np.asarray(r.mask, bool)
+            safe = np.where(good, weight, 1.0)
+            tx, ty = (m[0] * x + m[1] * y + m[2]) / safe, (m[3] * x + m[4] * y + m[5]) / safe
+            good &= (tx >= 0) & (ty >= 0) & (tx <= r.t_width - 1) & (ty <= r.t_height - 1)
+            if not good.any():
+                continue
+            y, x, v = y[good], x[good], v[good]
+            t = _read_target(tx[good], ty[good], r.t_height, r.t_width, other)
+            seen = np.isfinite(t)
+            y, x, v, t = y[seen], x[seen], v[seen], t[seen]
+            span = lambda low, size, most: range(max(0, -((radius - low) // step)), min((most - 1) // step, (low + size - 1 + radius) // step) + 1)
+            for gy in span(r.y0, r.h, r.height):
+                for gx in span(r.x0, r.w, r.width):
+                    inside = (y - gy * step) ** 2 + (x - gx * step) ** 2 <= radius * radius
+                    if inside.any():
+                        rows.append((r.pair_id, gy, gx, v[inside], t[inside]))
+        return pd.DataFrame(rows, columns=["pair_id", "gy", "gx", "ref", "target"])
+
+    kind = dict(pairs.dtypes)["pair_id"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*[f"_{k}" for k in keys])).applyInPandas(kernel, f"pair_id {kind}, gy int, gx int, ref array<double>, target array<double>")
+
+
+def _trimmed_fit(ref: np.ndarray, target: np.ndarray, trim: float, low: float, high: float, least: int, min_samples: int, mean: bool, gain: float | None) -> tuple | None:
+    cut = int(np.floor(len(ref) * trim))
+    order = np.lexsort((ref, target))[cut : len(ref) - cut]
+    if len(ref) < min_samples or len(order) < max(least, min_samples // 2):
+        return None
+    r, t = ref[order], target[order]
+    mr, mt = r.mean(), t.mean()
+    level = (mr, mt) if mean else (float(np.median(r)), float(np.median(t)))
+    if gain is not None:
+        return gain, level[0] - gain * level[1], *level, len(r), False
+    spread = ((t - mt) ** 2).sum()
+    scale = ((t - mt) * (r - mr)).sum() / spread if spread > 0 else np.nan
+    if low <= scale <= high:
+        return scale, mr - scale * mt, *level, len(r), False
+    return 1.0, level[0] - level[1], *level, len(r), True
 
 
 def fit_nodes(samples: DataFrame, model: str = "affine", estimator: str = "median", gain: float = 1.0, trim: float = 0.10, low: float = 0.5, high: float = 2.0, least: int = 16, min_samples: int = 2000) -> DataFrame:
-    """The fit of every node from samples (pair_id, gy, gx, y, x, ref, target).  model: affine or additive
-    (given gain); estimator of the backgrounds: median or mean."""
-    fit = trimmed_affine(samples, ["pair_id", "gy", "gx"], "ref", "target", ["y", "x"], trim, low, high, least, estimator, min_samples)
-    return additive_offset(fit, gain) if model == "additive" else fit
+    """The fit reference = scale target + offset of every node from packed samples (paired_samples): pair_id, gy,
+    gx, scale, offset, ref_bg, target_bg, used, clamped.
+
+    model: affine, or additive, where the scale is `gain`.  estimator of the backgrounds: median or mean.  Samples are ordered by target,
+    then ref; floor(trim n) go at each end.  A node with fewer than `min_samples`, or fewer than max(least, min_samples // 2)
+    after the trim, is left out; a scale outside [low, high] gives 1 and the difference of the backgrounds.  A node holds at
+    most the pixels of its window, which one task reads."""
+    if model not in ("affine", "additive") or estimator not in ("median", "mean"):
+        raise ValueError(f"no such model or estimator: {model}, {estimator}")
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = _trimmed_fit(np.concatenate(pdf["ref"].tolist()), np.concatenate(pdf["target"].tolist()), trim, low, high, least, min_samples, estimator == "mean", gain if model == "additive" else None)
+        return pdf.head(1 if got else 0)[["pair_id", "gy", "gx"]].assign(**dict(zip([*FIELDS, "used", "clamped"], got or [None] * 6, strict=True)))
+
+    kind = dict(samples.dtypes)["pair_id"]
+    return samples.groupBy("pair_id", "gy", "gx").applyInPandas(fit, f"pair_id {kind}, gy int, gx int, scale double, offset double, ref_bg double, target_bg double, used long, clamped boolean")
 
 
 def patch_medians(samples: DataFrame, patch: int, k: float = 2.5) -> DataFrame:
@@ -210,55 +317,106 @@ def fill_and_smooth(grid: DataFrame, passes: int = 2) -> DataFrame:
         out = pdf[["pair_id", "gy", "gx"]].assign(**{c: fields[i][at] for i, c in enumerate(FIELDS)}, valid=valid[at])
         return out.astype(object).where(out.notna(), None)
 
-    return grid.select("pair_id", "gy", "gx", *FIELDS, "valid").groupBy("pair_id").applyInPandas(run, GRID)
+    kind = dict(grid.dtypes)["pair_id"]
+    return grid.select("pair_id", "gy", "gx", *FIELDS, "valid").groupBy("pair_id").applyInPandas(run, GRID.replace("pair_id string", f"pair_id {kind}"))
 
 
-def grid_at(scale: np.ndarray, offset: np.ndarray, valid: np.ndarray, y: np.ndarray, x: np.ndarray, step: float) -> tuple[np.ndarray, np.ndarray]:
-    """Scale and offset at pixels: bilinear of four valid nodes; else by inverse distance 1 / (d^2 + .25) over the valid
-    ones of the 5x5 nodes around; else the identity."""
+def _nearby(fields: list[np.ndarray], valid: np.ndarray, gy: np.ndarray, gx: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Means of the fields over the valid ones of the 5x5 nodes around each place, weighted by 1 / (d^2 + .25); and where
+    there is any."""
     ny, nx = valid.shape
-    gy, gx = np.clip(y / step, 0, ny - 1), np.clip(x / step, 0, nx - 1)
-    iy, ix = np.minimum(gy.astype(int), max(ny - 2, 0)), np.minimum(gx.astype(int), max(nx - 2, 0))
-    fy, fx = gy - iy, gx - ix
+    cy, cx = (np.clip(np.floor(g + 0.5), 0, n - 1).astype(int) for g, n in ((gy, ny), (gx, nx)))
+    sums, total = [np.zeros(len(gy)) for _ in fields], np.zeros(len(gy))
+    for dy in range(-2, 3):
+        for dx in range(-2, 3):
+            y, x = cy + dy, cx + dx
+            inside = (y >= 0) & (y < ny) & (x >= 0) & (x < nx)
+            y, x = np.clip(y, 0, ny - 1), np.clip(x, 0, nx - 1)
+            w = np.where(inside & valid[y, x], 1 / ((gy - y) ** 2 + (gx - x) ** 2 + 0.25), 0.0)
+            total += w
+            for s, f in zip(sums, fields, strict=True):
+                s += w * f[y, x]
+    return [s / np.where(total > 0, total, 1) for s in sums], total > 0
+
+
+def grid_at(scale: np.ndarray, offset: np.ndarray, valid: np.ndarray, y: np.ndarray, x: np.ndarray, step: float, shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Scale and offset at points of a frame of this shape: inside it bilinear of four valid nodes; outside it, or
+    where one of the four is not valid, by inverse distance 1 / (d^2 + .25) over the valid ones of the 5x5 nodes around; else
+    the identity."""
+    ny, nx = valid.shape
+    fields = [np.where(valid, f, 0.0) for f in (scale, offset)]
+    gy, gx = y / step, x / step
+    inside = (y >= 0) & (x >= 0) & (y <= shape[0] - 1) & (x <= shape[1] - 1)
+    iy, ix = (np.clip(np.floor(g), 0, n - 1).astype(int) for g, n in ((gy, ny), (gx, nx)))
     jy, jx = np.minimum(iy + 1, ny - 1), np.minimum(ix + 1, nx - 1)
-    corner = [(iy, ix, (1 - fy) * (1 - fx)), (iy, jx, (1 - fy) * fx), (jy, ix, fy * (1 - fx)), (jy, jx, fy * fx)]
-    whole = np.all([valid[a, b] for a, b, _ in corner], 0)
-    s, o = (np.where(whole, sum(np.where(valid[a, b], f[a, b], 0) * w for a, b, w in corner), d) for f, d in ((scale, 1.0), (offset, 0.0)))
+    fy, fx = np.where(jy > iy, gy - iy, 0.0), np.where(jx > ix, gx - ix, 0.0)
+    whole = inside & valid[iy, ix] & valid[iy, jx] & valid[jy, ix] & valid[jy, jx]
+    got = [(1 - fy) * ((1 - fx) * f[iy, ix] + fx * f[iy, jx]) + fy * ((1 - fx) * f[jy, ix] + fx * f[jy, jx]) for f in fields]
     rest = np.flatnonzero(~whole)
-    for i in rest:
-        cy, cx = int(round(gy[i])), int(round(gx[i]))
-        ys, xs = slice(max(cy - 2, 0), cy + 3), slice(max(cx - 2, 0), cx + 3)
-        v = valid[ys, xs]
-        if v.any():
-            yy, xx = np.mgrid[ys.start : min(ys.stop, ny), xs.start : min(xs.stop, nx)]
-            w = np.where(v, 1 / ((yy - gy[i]) ** 2 + (xx - gx[i]) ** 2 + 0.25), 0)
-            s[i], o[i] = ((np.where(v, f[ys, xs], 0) * w).sum() / w.sum() for f in (scale, offset))
-    return s, o
+    if len(rest):
+        near, some = _nearby(fields, valid, gy[rest], gx[rest])
+        for g, n, none in zip(got, near, (1.0, 0.0), strict=True):
+            g[rest] = np.where(some, n, none)
+    return got[0], got[1]
+
+
+def packed_grids(grid: DataFrame) -> DataFrame:
+    """A row for each pair: its nodes as flat arrays _gy, _gx, _scale, _offset; nodes that are not valid are left out, and _ny, _nx
+    count all."""
+    good = F.when(F.col("valid") & F.col("scale").isNotNull() & F.col("offset").isNotNull(), F.struct("gy", "gx", "scale", "offset"))
+    nodes = grid.groupBy("pair_id").agg(F.collect_list(good).alias("g"), (F.max("gy") + 1).alias("_ny"), (F.max("gx") + 1).alias("_nx"))
+    return nodes.select("pair_id", "_ny", "_nx", *[F.col(f"g.{c}").alias(f"_{c}") for c in ("gy", "gx", "scale", "offset")])
 
 
-def correct_tiles(tiles: DataFrame, grid: DataFrame, step: int) -> DataFrame:
-    """Target tiles (with pair_id) times scale plus offset, pixel by pixel; values that are not finite stay.
+def correct_tiles(tiles: DataFrame, grid: DataFrame, step: int, pairs: DataFrame) -> DataFrame:
+    """Target tiles (with pair_id) times scale plus offset, pixel by pixel; values that are not finite stay, and so do
+    tiles of pairs without a grid.
 
-    A pair's grid is packed into one row and joined to each of its tiles, so a task holds one tile and one grid."""
-    packed = grid.groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct("gy", "gx", "scale", "offset", "valid"))).alias("grid"))
+    pairs: pair_id, m (target to reference; NULL: the same place), height, width (of the reference).  Fields are looked up where the pixel
+    falls in the reference; where it has no place there, the identity holds.  A task holds one tile and one grid."""
+    own = tiles.columns
+    about = pairs.select("pair_id", F.col("m").alias("_m"), F.col("height").alias("_height"), F.col("width").alias("_width")).join(packed_grids(grid), "pair_id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             out = []
-            for r in pdf.itertuples():
-                g = r.grid
-                ny, nx = max(n["gy"] for n in g) + 1, max(n["gx"] for n in g) + 1
-                scale, offset, valid = np.ones((ny, nx)), np.zeros((ny, nx)), np.zeros((ny, nx), bool)
-                for n in g:
-                    if n["valid"]:
-                        scale[n["gy"], n["gx"]], offset[n["gy"], n["gx"]], valid[n["gy"], n["gx"]] = n["scale"], n["offset"], True
-                y, x = np.divmod(np.arange(r.h * r.w), r.w)
-                s, o = grid_at(scale, offset, valid, (y + r.y0).astype(float), (x + r.x0).astype(float), step)
-                v = np.asarray(r.px, float)
-                out.append(np.where(np.isfinite(v), s * v + o, v).astype(np.float32))
-            yield pdf.assign(px=out).drop(columns="grid")
-
-    return tiles.join(packed, "pair_id").mapInPandas(run, tiles.schema)
+            for p in range(len(pdf)):
+                r = pdf.iloc[p]
+                v = np.asarray(r["px"], float)
+                if r["_gy"] is None or not len(r["_gy"]):
+                    out.append(v.astype(np.float32))
+                    continue
+                shape = int(r["_ny"]), int(r["_nx"])
+                scale, offset, valid = np.ones(shape), np.zeros(shape), np.zeros(shape, bool)
+                at = np.asarray(r["_gy"], int), np.asarray(r["_gx"], int)
+                scale[at], offset[at], valid[at] = r["_scale"], r["_offset"], True
+                y, x = (a.astype(float) for a in np.divmod(np.arange(r["h"] * r["w"]), r["w"]))
+                y, x = y + r["y0"], x + r["x0"]
+                placed = np.ones(len(v), bool)
+                if r["_m"] is not None:
+                    m = np.asarray(r["_m"], float)
+                    weight = m[6] * x + m[7] * y + m[8]
+                    placed = np.abs(weight) > 1e-12
+                    safe = np.where(placed, weight, 1.0)
+                    x, y = (m[0] * x + m[1] * y + m[2]) / safe, (m[3] * x + m[4] * y + m[5]) / safe
+                s, o = grid_at(scale, offset, valid, y, x, step, (int(r["_height"]), int(r["_width"])))
+                out.append(np.where(np.isfinite(v) & placed, s * v + o, v).astype(np.float32))
+            yield pdf[own].assign(px=out)
+
+    return tiles.join(about, "pair_id", "left").select(*own, *[c for c in about.columns if c != "pair_id"]).mapInPandas(run, tiles.schema)
+
+
+def normalized(reference: DataFrame, target: DataFrame, pairs: DataFrame, step: int, window: int, tile: int, passes: int = 2, **fit) -> DataFrame:
+    """J20, G30, L4-L8 as one job: the target tiles of each pair (pair_id added) brought to the level of their reference.
+
+    pairs: pair_id, reference_id, target_id, m (reference to target).  fit: options of fit_nodes."""
+    shapes = frame_shapes(reference, "reference_id")
+    placed = pairs.join(shapes, "reference_id")
+    nodes = grid_nodes(placed.select("pair_id", "width", "height"), "width", "height", step)
+    found = written(fit_nodes(paired_samples(reference, target, pairs, step, window, tile), **fit), "node-fits")
+    grid = fill_and_smooth(complete_grid(nodes, found), passes)
+    own = target.join(pairs.select("pair_id", F.col("target_id").alias("frame_id")), "frame_id").select("pair_id", *target.columns)
+    return correct_tiles(own, grid, step, placed.withColumn("m", inverse(F.col("m"))))
 
 
 def validity(grid: DataFrame, least: float = 0.30) -> DataFrame:
