@@ -16,6 +16,7 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,9 @@ from noctua.session import written
 #: Pairs of a part, keys of a small hash bucket, buckets of a building task, slots of a block of counts.
 PART, KEYS, TASK, BLOCK = 1 << 23, 3, 1 << 14, 1 << 16
 #: Bytes that a worker keeps of aligned pieces; pairs that a task sums before it hands them on.
-KEPT_BYTES, HELD = 1 << 26, 1 << 21
+KEPT_BYTES, HELD = 160 << 20, 1 << 21
+#: Bytes of pieces that are given to a tokenizer as one text.
+JOINED = 1 << 15
 COLUMNS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -44,6 +47,12 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
 
 
+def _laid_out(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens' bytes one after the other, where each starts, and their lengths."""
+    lengths = np.array([len(t) for t in tokens], np.int64)
+    return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(lengths) - lengths, lengths
+
+
 class ByteLevel:
     """Ids of a byte-level file of the tokenizers library; special tokens in texts are plain text."""
 
@@ -59,13 +68,14 @@ class ByteLevel:
         for token, i in vocab.items():
             self.bytes[i] = bytes(letters[c] for c in token)
         self.cuts = True
+        self.flat, self.starts, self.lengths = _laid_out(self.bytes)
 
-    def encode(self, pieces: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 class Pieces:
-    """Ids of a sentencepiece model that puts a space before a text; a piece's own first space is left to it."""
+    """Ids of a sentencepiece model that puts a space before a text; a text's own first space is left to it."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -75,9 +85,10 @@ class Pieces:
         self.bytes = [bytes([int(n[3:5], 16)]) if self.model.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
         #: Without pieces that hold a space after something else, merges never reach over a space.
         self.cuts = not any(re.search("[^▁]▁", n) for n in names)
+        self.flat, self.starts, self.lengths = _laid_out(self.bytes)
 
-    def encode(self, pieces: list[str]) -> list[list[int]]:
-        return self.model.encode([p[1:] for p in pieces], num_threads=1)
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return self.model.encode([t[1:] for t in texts], num_threads=1)
 
 
 @cache
@@ -88,6 +99,13 @@ def _tokenizers(a: str, b: str) -> tuple[ByteLevel, Pieces]:
 # --- pieces and their alignment ------------------------------------------------------------------------------------------------
 
 
+def _blank_before(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character that ends before each place is white space."""
+    b1, b2, b3 = data[at - 1], data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
+    blank = _SPACE[b1] | ((b2 == 0xC2) & ((b1 == 0x85) | (b1 == 0xA0))) | ((b3 == 0xE1) & (b2 == 0x9A) & (b1 == 0x80)) | ((b3 == 0xE3) & (b2 == 0x80) & (b1 == 0x80))
+    return blank | ((b3 == 0xE2) & (((b2 == 0x80) & ((b1 <= 0x8A) | (b1 == 0xA8) | (b1 == 0xA9) | (b1 == 0xAF))) | ((b2 == 0x81) & (b1 == 0x9F))))
+
+
 def cut_texts(texts: pa.Array, cuts: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The bytes of the texts, each after a space, and where their pieces start; first piece of each text, with the end.
 
@@ -100,32 +118,85 @@ def cut_texts(texts: pa.Array, cuts: bool = True) -> tuple[np.ndarray, np.ndarra
     offsets = offsets - offsets[0]
     at = np.flatnonzero(data == 32)
     inner = at[at > 0] if cuts else at[:0]
-    b1, b2, b3 = data[inner - 1], data[np.maximum(inner - 2, 0)], data[np.maximum(inner - 3, 0)]
-    blank = _SPACE[b1] | ((b2 == 0xC2) & ((b1 == 0x85) | (b1 == 0xA0))) | ((b3 == 0xE1) & (b2 == 0x9A) & (b1 == 0x80)) | ((b3 == 0xE3) & (b2 == 0x80) & (b1 == 0x80))
-    blank |= (b3 == 0xE2) & (((b2 == 0x80) & ((b1 <= 0x8A) | (b1 == 0xA8) | (b1 == 0xA9) | (b1 == 0xAF))) | ((b2 == 0x81) & (b1 == 0x9F)))
-    blank |= np.isin(inner + 1, offsets)
-    starts = np.union1d(inner[~blank], offsets[:-1])
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    inner = inner[~(_blank_before(data, inner) | edge[inner + 1])]
+    edge[inner] = True
+    starts = np.flatnonzero(edge[:-1])
     return data, starts, np.searchsorted(starts, offsets)
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of x, sorted, and how often each stands there."""
+    x = np.sort(x)
+    lead = np.flatnonzero(np.append(True, x[1:] != x[:-1])[: len(x)])
+    return x[lead], np.diff(np.append(lead, len(x)))
+
+
+def _ranges(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of n each, one after the other."""
+    return np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def _encoded(kind: ByteLevel | Pieces, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of the texts whose tokens have the texts' bytes, one after the other; the number of ids of each text; which texts these are."""
+    found = kind.encode([t.decode() for t in texts])
+    n = np.array([len(x) for x in found], np.int64)
+    ids = np.fromiter(chain.from_iterable(found), np.int64, int(n.sum()))
+    text = np.repeat(np.arange(len(texts)), n)
+    size = np.array([len(t) for t in texts], np.int64)
+    good = np.bincount(text, weights=kind.lengths[ids], minlength=len(texts)).astype(np.int64) == size
+    ids, text = ids[good[text]], text[good[text]]
+    whole = np.frombuffer(b"".join([t for t, g in zip(texts, good.tolist(), strict=True) if g]), np.uint8)
+    differs = whole != kind.flat[_ranges(kind.starts[ids], kind.lengths[ids])]
+    good[np.repeat(np.flatnonzero(good), size[good])[differs]] = False
+    return ids[good[text]], np.where(good, n, 0), good
+
+
+class Tokens:
+    """Ids of some pieces by one tokenizer: ids, and count of each piece; good: the tokens' bytes are the piece's.
+
+    Pieces that end in no white space can stand one after the other in one text, whose places to cut are theirs; a text whose
+    bytes differ is taken again piece by piece."""
+
+    def __init__(self, kind: ByteLevel | Pieces, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        raw, n = data.tobytes(), len(starts)
+        pieces = [raw[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+        alone = _blank_before(data, ends) if kind.cuts else np.ones(n, bool)
+        rest = np.flatnonzero(~alone)
+        groups = np.split(rest, np.flatnonzero(np.diff(np.cumsum((ends - starts)[rest]) // JOINED)) + 1) if len(rest) else []
+        ids, _, fine = _encoded(kind, [b"".join([pieces[k] for k in g.tolist()]) for g in groups])
+        joined = np.concatenate([g for g, ok in zip(groups, fine.tolist(), strict=True) if ok] or [rest[:0]])
+        single = np.concatenate([np.flatnonzero(alone), *[g for g, ok in zip(groups, fine.tolist(), strict=True) if not ok]])
+        # ids of joined texts go to their pieces by where they end
+        piece = joined[np.searchsorted(np.cumsum((ends - starts)[joined]), np.cumsum(kind.lengths[ids]))]
+        more, counts, good = _encoded(kind, [pieces[k] for k in single.tolist()])
+        piece = np.append(piece, np.repeat(single, counts))
+        order = np.argsort(piece, kind="stable")
+        self.ids = np.append(ids, more)[order]
+        self.count = np.bincount(piece, minlength=n)
+        self.good = np.zeros(n, bool)
+        self.good[joined] = True
+        self.good[single[good]] = True
+
+
 class Aligned:
-    """Aligned pieces of a worker, by number: n (n_a, n_b, n_groups, n_links), text (of the groups; None where the bytes
-    differ), and codes a * size_b + b with the times each is linked, from first[i] on."""
+    """Aligned pieces of a worker, by number: n (n_a, n_b, n_groups, n_links), text (of the groups, each with ; after it), bad
+    (where the bytes differ), and codes a * size_b + b with the times each is linked, from first[i] on."""
 
     def __init__(self, a: str, b: str):
         self.a, self.b = _tokenizers(a, b)
         self.size_b = len(self.b.bytes)
-        self.a_len, self.b_len = (np.array([len(x) for x in t.bytes]) for t in (self.a, self.b))
         self.age = 0
         self.clear()
 
     def clear(self) -> None:
         self.age += 1
+        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.text: list[bytes] = []
         self.bad = np.zeros(0, bool)
-        self.number: dict[int, int] = {}
-        self.text: list[bytes | None] = []
         self.n = np.zeros((0, 4), np.int64)
-        self.codes, self.times, self.first = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.codes, self.times, self.first = np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(1, np.int64)
         self.kept = 0
 
     def find(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -135,76 +206,85 @@ class Aligned:
         ends = np.append(starts[1:], len(data))
         hashes = run_hashes(data, starts, ends, BYTE_CODE)
         unique, at, back = np.unique(hashes, return_index=True, return_inverse=True)
-        known = [self.number.get(h, -1) for h in unique.tolist()]
-        new = [i for i, k in enumerate(known) if k < 0]
-        if new:
-            raw = data.tobytes()
-            base = len(self.text)
-            for group in _grouped(new, ends[at] - starts[at]):
-                self._add([raw[starts[at[i]] : ends[at[i]]] for i in group])
-            for j, i in enumerate(new):
-                known[i] = self.number[int(unique[i])] = base + j
-        return np.array(known, np.int64)[back]
-
-    def _add(self, pieces: list[bytes]) -> None:
-        words = [p.decode() for p in pieces]
-        ids_a, ids_b = self.a.encode(words), self.b.encode(words)
-        same = [b"".join([self.a.bytes[i] for i in x]) == p and b"".join([self.b.bytes[i] for i in y]) == p for p, x, y in zip(pieces, ids_a, ids_b, strict=True)]
-        none: list[int] = []
-        ids_a, ids_b = ([x if ok else none for x, ok in zip(ids, same, strict=True)] for ids in (ids_a, ids_b))
-        count_a, count_b = (np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b))
-        a, b = (np.array([i for x in ids for i in x], np.int64) for ids in (ids_a, ids_b))
-        end_a, end_b = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
-        common = np.intersect1d(end_a, end_b)
+        place = np.searchsorted(self.hashes, unique)
+        known = np.full(len(unique), -1)
+        there = np.flatnonzero(place < len(self.hashes))
+        there = there[self.hashes[place[there]] == unique[there]]
+        known[there] = self.numbers[place[there]]
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            known[new] = len(self.text) + np.arange(len(new))
+            size = np.cumsum(ends[at[new]] - starts[at[new]])
+            for run in np.split(new, np.flatnonzero(np.diff(size // CHUNK_BYTES)) + 1):
+                self._add(data, starts[at[run]], ends[at[run]])
+            every = np.append(self.hashes, unique[new])
+            order = np.argsort(every, kind="stable")
+            self.hashes, self.numbers = every[order], np.append(self.numbers, known[new])[order]
+        return known[back]
+
+    def _add(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        n = len(starts)
+        a, b = (Tokens(kind, data, starts, ends) for kind in (self.a, self.b))
+        good = a.good & b.good
+        for t in (a, b):
+            t.ids = t.ids[np.repeat(good, t.count)]
+            t.count = np.where(good, t.count, 0)
+        end_a, end_b = np.cumsum(self.a.lengths[a.ids]), np.cumsum(self.b.lengths[b.ids])
+        common = np.intersect1d(end_a, end_b, assume_unique=True)
         group_a, group_b = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
         from_a, from_b = (np.searchsorted(g, np.arange(len(common) + 1)) for g in (group_a, group_b))
-        of_group = np.repeat(np.arange(len(pieces)), count_a)[from_a[:-1]] if len(common) else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(n), a.count)[from_a[:-1]]
         each_a, each_b = np.diff(from_a), np.diff(from_b)
-        n_groups = np.bincount(of_group, minlength=len(pieces))
-        n_links = np.bincount(of_group, weights=each_a * each_b, minlength=len(pieces)).astype(np.int64)
-        codes, times, owner = self._links(a, b, from_a, from_b, of_group)
-        order = np.lexsort((codes, owner))
-        codes, times, owner = codes[order], times[order], owner[order]
-        lead = np.flatnonzero(np.append(True, (codes[1:] != codes[:-1]) | (owner[1:] != owner[:-1]))[: len(codes)])
-        self.codes = np.concatenate([self.codes, codes[lead]])
-        self.times = np.concatenate([self.times, np.add.reduceat(times, lead) if len(lead) else times[:0]])
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.bincount(owner[lead], minlength=len(pieces)))])
-        self.n = np.concatenate([self.n, np.stack([count_a, count_b, n_groups, n_links], 1)])
-        texts = [",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in ((a[from_a[g] : from_a[g + 1]].tolist(), b[from_b[g] : from_b[g + 1]].tolist()) for g in range(len(common)))]
-        place = np.append(0, np.cumsum(n_groups)).tolist()
-        self.text += [";".join(texts[place[i] : place[i + 1]]).encode() if ok else None for i, ok in enumerate(same)]
-        self.bad = np.concatenate([self.bad, ~np.array(same, bool)])
-        self.kept += 16 * len(lead) + 150 * len(pieces) + sum(map(len, texts))
+        n_groups = np.bincount(owner, minlength=n)
+        n_links = np.bincount(owner, weights=each_a * each_b, minlength=n).astype(np.int64)
+        owners, codes, times = self._links(a.ids, b.ids, from_a, from_b, owner)
+        self.codes = np.concatenate([self.codes, codes.astype(np.uint32)])
+        self.times = np.concatenate([self.times, times.astype(np.int32)])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.bincount(owners, minlength=n))])
+        self.n = np.concatenate([self.n, np.stack([a.count, b.count, n_groups, n_links], 1)])
+        self.bad = np.concatenate([self.bad, ~good])
+        self.text += _written_groups(a.ids, b.ids, group_a, group_b, from_a, from_b, owner, n)
+        self.kept += 8 * len(codes) + 140 * n + sum(map(len, self.text[-n:]))
 
     def _links(self, a: np.ndarray, b: np.ndarray, from_a: np.ndarray, from_b: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Codes, times and pieces of the links: all of a group one by one, of a very large one by distinct ids."""
+        """Pieces, codes and times of the links, by piece: all of a group one by one, of a very large one by distinct ids."""
         each_a, each_b = np.diff(from_a), np.diff(from_b)
         large = each_a * each_b > 1 << 12
         group = np.repeat(np.arange(len(each_a)), each_a)
-        group, left = group[~large[group]], np.flatnonzero(~large[group])
-        reps = each_b[group]
-        inner = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-        codes = [np.repeat(a[left], reps) * self.size_b + b[np.repeat(from_b[group], reps) + inner]]
-        times, owners = [np.ones(len(codes[0]), np.int64)], [np.repeat(owner[group], reps)]
+        left = np.flatnonzero(~large[group])
+        group = group[left]
+        codes = np.repeat(a[left] * self.size_b, each_b[group]) + b[_ranges(from_b[group], each_b[group])]
+        key, times = _distinct(np.repeat(owner[group] << 32, each_b[group]) | codes)
+        owners, codes = key >> 32, key & 0xFFFFFFFF
         for g in np.flatnonzero(large):
-            (ua, ca), (ub, cb) = (np.unique(x[f[g] : f[g + 1]], return_counts=True) for x, f in ((a, from_a), (b, from_b)))
-            codes.append((ua[:, None] * self.size_b + ub).ravel())
-            times.append((ca[:, None] * cb).ravel())
-            owners.append(np.full(len(codes[-1]), owner[g]))
-        return np.concatenate(codes).astype(np.uint64), np.concatenate(times), np.concatenate(owners)
-
-
-def _grouped(items: list[int], lengths: np.ndarray) -> Iterator[list[int]]:
-    """Items in runs of about a megabyte."""
-    group, size = [], 0
-    for i in items:
-        group.append(i)
-        size += int(lengths[i])
-        if size > CHUNK_BYTES:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
+            (ua, ca), (ub, cb) = (_distinct(x[f[g] : f[g + 1]]) for x, f in ((a, from_a), (b, from_b)))
+            codes = np.append(codes, (ua[:, None] * self.size_b + ub).ravel())
+            times = np.append(times, (ca[:, None] * cb).ravel())
+            owners = np.append(owners, np.full(len(ua) * len(ub), owner[g]))
+        if large.any():
+            order = np.argsort(owners, kind="stable")
+            owners, codes, times = owners[order], codes[order], times[order]
+        return owners, codes, times
+
+
+def _written_groups(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, from_a: np.ndarray, from_b: np.ndarray, owner: np.ndarray, n: int) -> list[bytes]:
+    """For each of n pieces its groups as `a1,a2|b1;`: every id's digits and what stands after it, laid out in one array."""
+    ids = np.concatenate([a, b])
+    group = np.concatenate([group_a, group_b])
+    mark = np.full(len(ids), ord(","), np.uint8)
+    mark[from_a[1:] - 1] = ord("|")
+    mark[len(a) + from_b[1:] - 1] = ord(";")
+    order = np.argsort(group, kind="stable")
+    ids, group, mark = ids[order], group[order], mark[order]
+    wide = max(1, len(str(int(ids.max(initial=0)))))
+    digits = ids[:, None] // 10 ** np.arange(wide - 1, -1, -1)
+    shown = digits > 0
+    shown[:, -1] = True
+    letters = np.concatenate([(digits % 10 + ord("0")).astype(np.uint8), mark[:, None]], 1)
+    shown = np.concatenate([shown, np.ones((len(ids), 1), bool)], 1)
+    text = letters[shown].tobytes()
+    ends = np.append(0, np.cumsum(np.bincount(owner[group], weights=shown.sum(1), minlength=n).astype(np.int64))).tolist()
+    return [text[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
 
 class Slice:
@@ -244,8 +324,10 @@ def _forget() -> None:
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     codes, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    unique, back = np.unique(codes, return_inverse=True)
-    return unique, np.bincount(back, weights=n, minlength=len(unique)).astype(np.int64)
+    order = np.argsort(codes, kind="stable")
+    codes, n = codes[order], n[order]
+    lead = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])[: len(codes)])
+    return codes[lead], np.add.reduceat(n, lead) if len(lead) else n
 
 
 def _gather(a: str, b: str, text: str) -> Callable:
@@ -256,12 +338,12 @@ def _gather(a: str, b: str, text: str) -> Callable:
         for batch in chunks(batches, text, forget=_forget):
             s = Slice(known, batch.column(text))
             own = s.good[s.document]
-            pairs = np.unique(s.document[own].astype(np.uint64) << np.uint64(32) | s.piece[own].astype(np.uint64))
-            document, piece = pairs >> np.uint64(32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            pairs, _ = _distinct(s.document[own] << 32 | s.piece[own])
+            piece = pairs & 0xFFFFFFFF
             n = known.first[piece + 1] - known.first[piece]
-            code = known.codes[np.repeat(known.first[piece], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            once = np.unique(np.repeat(document, n) << np.uint64(48) | code)  # a slice has few documents, a code 48 bits
-            codes, times = np.unique(once & np.uint64((1 << 48) - 1), return_counts=True)
+            code = known.codes[_ranges(known.first[piece], n)].astype(np.int64)
+            once, _ = _distinct(np.repeat(pairs >> 32, n) << 32 | code)
+            codes, times = _distinct(once & 0xFFFFFFFF)
             parts.append((codes, times))
             held += len(codes)
             if held > HELD:
@@ -429,7 +511,7 @@ def _look_up(a: str, b: str, text: str, counts, first: bool) -> Callable:
                 done, best, summed, age = 0, best[:0], summed[:0], known.age
             if done < len(known.text):
                 at = known.first[done]
-                n, top = counts.value.look_up(known.codes[at:])
+                n, top = counts.value.look_up(known.codes[at:].astype(np.uint64))
                 new = known.first[done:] - at
                 sums = [np.append(0, np.cumsum(v * known.times[at:])) for v in (top, n)]
                 best, summed = (np.concatenate([old, x[new[1:]] - x[new[:-1]]]) for old, x in zip((best, summed), sums, strict=True))
@@ -440,7 +522,7 @@ def _look_up(a: str, b: str, text: str, counts, first: bool) -> Callable:
                     columns[name] = pa.array(np.where(s.good, s.sums(values), 0))
                 columns["n_best"] = columns["count_sum"] = pa.array(np.zeros(len(s.good), np.int64))
                 words = s.piece.tolist()
-                columns["groups_sha256"] = pa.array([hashlib.sha256(b";".join([known.text[i] for i in words[p:q]])).hexdigest() if ok else "" for p, q, ok in zip(s.first[:-1], s.first[1:], s.good.tolist(), strict=True)])
+                columns["groups_sha256"] = pa.array([hashlib.sha256(b"".join([known.text[i] for i in words[p:q]])[:-1]).hexdigest() if ok else "" for p, q, ok in zip(s.first[:-1], s.first[1:], s.good.tolist(), strict=True)])
             for name, values in (("n_best", best), ("count_sum", summed)):
                 columns[name] = pa.array(columns[name].to_numpy() + np.where(s.good, s.sums(values[s.piece]), 0))
             yield pa.RecordBatch.from_pydict(columns)
