@@ -1,18 +1,19 @@
 """Live telemetry: guide error, drift, roof, safety and file streams.
 
-Each rule has a batch form over stored events (windows and islands) and, where it needs state, a stream form; both give
-the same rows for the same events.  Event time counts; streams declare a watermark, and rows behind it are dropped.
+Each rule has a batch form over stored events (windows and islands) and, where it needs state, a stream form (ordered.py)
+that reads a key's rows by event time when the watermark has passed them; both give the same rows for the same events.  Rows
+behind the watermark are dropped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from noctua.streaming.ordered import Drift, Failures, Latch, SlidingRms, StableFile, Transition, Unknown, in_order, late_rows  # noqa: F401
 
 # --- T1: guide error ---------------------------------------------------------------------------------------------------------
 
@@ -32,24 +33,9 @@ def windowed_rms(events: DataFrame, keys: list[str], t: str, ra: str, dec: str,
 
 
 def rms_stream(events: DataFrame, key: str, t: str, ra: str, dec: str, seconds: int = 60, delay: str = "30 seconds") -> DataFrame:
-    """T1, exact, as a stream: key, at, rms_ra, rms_dec, rms_total of every event; the state of a key is its events of the
-    last `seconds`."""
-    kind = dict(events.dtypes)[key]
-
-    def fold(key_: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(frames)).sort_values(t, kind="stable")
-        us = (pdf[t].astype("int64") * 1e6 / _unit(pdf[t])).round().astype("int64").to_numpy()
-        old = held.get if held.exists else ([], [], [])
-        at, a, d = (np.concatenate([np.asarray(o, k), v]) for o, v, k in zip(old, (us, pdf[ra].to_numpy(float), pdf[dec].to_numpy(float)), ("int64", float, float), strict=True))
-        begin, end = np.searchsorted(at, us - seconds * 1_000_000, "left"), np.searchsorted(at, us, "right")
-        sums = [np.concatenate([[0.0], np.cumsum(np.nan_to_num(v) ** 2)]) for v in (a, d)]
-        means = [np.maximum(s[end] - s[begin], 0) / (end - begin) for s in sums]
-        keep = at >= us[-1] - seconds * 1_000_000
-        held.update((at[keep].tolist(), a[keep].tolist(), d[keep].tolist()))
-        yield pd.DataFrame({key: key_[0], "at": pdf[t].to_numpy(), "rms_ra": np.sqrt(means[0]), "rms_dec": np.sqrt(means[1]), "rms_total": np.sqrt(means[0] + means[1])})
-
-    out = f"{key} {kind}, at timestamp, rms_ra double, rms_dec double, rms_total double"
-    return events.withWatermark(t, delay).groupBy(key).applyInPandasWithState(fold, out, "at array<long>, ra array<double>, dec array<double>", "append", GroupStateTimeout.NoTimeout)
+    """T1, exact, as a stream: key, at, rms_ra, rms_dec, rms_total of every event, when the watermark has passed it; the
+    state of a key is its events of the last `seconds`, and goes when they are over."""
+    return in_order(events, SlidingRms(seconds * 1_000_000), key, t, [ra, dec], [], delay)
 
 
 # --- T2: sustained drift -------------------------------------------------------------------------------------------------------
@@ -102,18 +88,9 @@ def drift_alerts(events: DataFrame, key: str, t: str, value: str, threshold: flo
     return rows.mapInPandas(fold, f"{key} {kind[key]}, alert_at {kind[t]}")
 
 
-def drift_stream(events: DataFrame, key: str, t: str, value: str, threshold: float, timeout: float, delay: str = "30 seconds") -> DataFrame:
-    """T2 as a stream: the clock of each key is state; a batch's rows of a key are folded in order of time."""
-    kind = dict(events.dtypes)[key]
-
-    def fold(key_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        clock = DriftClock(threshold, timeout, state.get[0] if state.exists else None)
-        pdf = pd.concat(list(frames)).sort_values(t, kind="stable")
-        hits = [clock.add(a, b) for a, b in zip(_numbers(pdf, t), pdf[value], strict=True)]
-        state.update((clock.since,))
-        yield pdf.loc[hits, [t]].rename(columns={t: "alert_at"}).assign(**{key: key_[0]})[[key, "alert_at"]]
-
-    return events.withWatermark(t, delay).groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, alert_at timestamp", "since double", "append", GroupStateTimeout.NoTimeout)
+def drift_stream(events: DataFrame, key: str, t: str, value: str, threshold: float, timeout: float, delay: str = "30 seconds", tie: str | None = None) -> DataFrame:
+    """T2 as a stream: key, alert_at; the state of a key is the start of its clock, if it runs."""
+    return in_order(events, Drift(threshold, timeout * 1e6), key, t, [value], [tie] if tie else [], delay)
 
 
 # --- T3, T4 ----------------------------------------------------------------------------------------------------------------------
@@ -163,22 +140,9 @@ def transitions(events: DataFrame, key: str, order: list[str], state: str, befor
     return events.withColumn("previous_state", last).where((F.col("previous_state") == before) & (F.col(state) == after))
 
 
-def transition_stream(events: DataFrame, key: str, t: str, state: str, before: str = "OPEN", after: str = "CLOSED", ignore_unknown: bool = True, delay: str = "30 seconds") -> DataFrame:
-    """T5 as a stream: key, at."""
-    kind = dict(events.dtypes)[key]
-
-    def fold(key_: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        last, out = held.get[0] if held.exists else None, []
-        pdf = pd.concat(list(frames)).sort_values(t, kind="stable")
-        for at, now in zip(pdf[t], pdf[state], strict=True):
-            if last == before and now == after:
-                out.append((key_[0], at))
-            if now != "UNKNOWN" or not ignore_unknown:
-                last = now
-        held.update((last,))
-        yield pd.DataFrame(out, columns=[key, "at"])
-
-    return events.withWatermark(t, delay).groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, at timestamp", "last string", "append", GroupStateTimeout.NoTimeout)
+def transition_stream(events: DataFrame, key: str, t: str, state: str, before: str = "OPEN", after: str = "CLOSED", ignore_unknown: bool = True, delay: str = "30 seconds", tie: str | None = None) -> DataFrame:
+    """T5 as a stream: key, at; the state of a key is its last state."""
+    return in_order(events, Transition(before, after, ignore_unknown), key, t, [state], [tie] if tie else [], delay)
 
 
 def unknown_warnings(events: DataFrame, key: str, t: str, tie: str, state: str, timeout: float, from_start: bool = False) -> DataFrame:
@@ -194,37 +158,11 @@ def unknown_warnings(events: DataFrame, key: str, t: str, tie: str, state: str,
     return late.groupBy(key, "island", "since").agg(F.min(t).alias("warned_at")).drop("island")
 
 
-def unknown_stream(events: DataFrame, key: str, t: str, state: str, timeout_ms: int, delay: str = "30 seconds", from_start: bool = False) -> DataFrame:
-    """T6 as a stream: an event-time timer is set when a state becomes UNKNOWN and cleared when it is known again; it also
-    warns where no later sample of the run follows.  A key that was never known before warns only with from_start."""
-    kind = dict(events.dtypes)[key]
-
-    def fold(key_: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        since, warned, seen = held.get if held.exists else (None, False, from_start)
-        out: list = []
-        if held.hasTimedOut:
-            if since is not None and not warned:
-                out.append((key_[0], pd.Timestamp(since, unit="ms")))
-                warned = True
-        else:
-            pdf = pd.concat(list(frames)).sort_values(t, kind="stable")
-            for at, now in zip(_numbers(pdf, t), pdf[state], strict=True):
-                ms = int(at * 1000)
-                if now != "UNKNOWN":
-                    since, warned, seen = None, False, True
-                elif not seen:
-                    continue
-                elif since is None:
-                    since = ms
-                elif not warned and ms - since >= timeout_ms:
-                    out.append((key_[0], pd.Timestamp(since, unit="ms")))
-                    warned = True
-        held.update((since, warned, seen))
-        if since is not None and not warned and since + timeout_ms > held.getCurrentWatermarkMs():
-            held.setTimeoutTimestamp(since + timeout_ms)
-        yield pd.DataFrame(out, columns=[key, "since"])
-
-    return events.withWatermark(t, delay).groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, since timestamp", "since long, warned boolean, seen boolean", "append", GroupStateTimeout.EventTimeTimeout)
+def unknown_stream(events: DataFrame, key: str, t: str, state: str, timeout: float, delay: str = "30 seconds", from_start: bool = False, tie: str | None = None) -> DataFrame:
+    """T6 as a stream: key, since, warned_at: one warning for each run of UNKNOWN (or NULL) in which no known state comes for
+    `timeout` seconds.  An event-time timer gives it, at since + timeout, so it also comes where no later row does.  A
+    key that was never known before warns only with from_start."""
+    return in_order(events, Unknown(int(timeout * 1e6), from_start), key, t, [state], [tie] if tie else [], delay)
 
 
 # --- T8, T15 -------------------------------------------------------------------------------------------------------------------------
@@ -239,21 +177,8 @@ def latched_levels(events: DataFrame, key: str, t: str, value: str, warning: flo
 
 
 def latch_stream(events: DataFrame, key: str, t: str, value: str, warning: float, critical: float, delay: str = "30 seconds") -> DataFrame:
-    """T8 as a stream."""
-    kind = dict(events.dtypes)[key]
-
-    def fold(key_: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        level, out = held.get[0] if held.exists else 0, []
-        pdf = pd.concat(list(frames)).sort_values(t, kind="stable")
-        for at, v in zip(pdf[t], pdf[value], strict=True):
-            now = 2 if v < critical else 1 if v < warning else 0
-            if now > level:
-                out.append((key_[0], ("", "WARNING", "CRITICAL")[now], at))
-                level = now
-        held.update((level,))
-        yield pd.DataFrame(out, columns=[key, "level", "at"])
-
-    return events.withWatermark(t, delay).groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, level string, at timestamp", "level int", "append", GroupStateTimeout.NoTimeout)
+    """T8 as a stream: key, level, at; the state of a key is its level, which never falls."""
+    return in_order(events, Latch(warning, critical), key, t, [value], [], delay)
 
 
 def failure_limits(events: DataFrame, key: str, order: list[str], failed: Column, limit: int) -> DataFrame:
@@ -265,21 +190,10 @@ def failure_limits(events: DataFrame, key: str, order: list[str], failed: Column
     return runs.withColumn("failures", n).where(F.col("failures") == limit)
 
 
-def failure_stream(events: DataFrame, key: str, t: str, failed: str, limit: int, delay: str = "30 seconds") -> DataFrame:
-    """T15 as a stream: key, at of every `limit`-th failure in a row; failed: a boolean column."""
-    kind = dict(events.dtypes)[key]
-
-    def fold(key_: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        n, out = held.get[0] if held.exists else 0, []
-        pdf = pd.concat(list(frames)).sort_values(t, kind="stable")
-        for at, bad in zip(pdf[t], pdf[failed], strict=True):
-            n = n + 1 if bad else 0
-            if n == limit:
-                out.append((key_[0], at))
-        held.update((n,))
-        yield pd.DataFrame(out, columns=[key, "at"])
-
-    return events.withWatermark(t, delay).groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, at timestamp", "n long", "append", GroupStateTimeout.NoTimeout)
+def failure_stream(events: DataFrame, key: str, t: str, failed: str, limit: int, delay: str = "30 seconds", tie: str | None = None) -> DataFrame:
+    """T15 as a stream: key, at of every `limit`-th failure in a row; failed: a boolean column.  The state of a key is its
+    number of failures in a row, if any."""
+    return in_order(events, Failures(limit), key, t, [failed], [tie] if tie else [], delay)
 
 
 # --- T7, T9-T14 ----------------------------------------------------------------------------------------------------------------------
@@ -313,9 +227,19 @@ def stable_files(sightings: DataFrame, path: str, length: str, mtime: str, t: st
     return sightings.withColumn("_age", age).where(F.col("_age") >= seconds).groupBy(path, length, mtime).agg(F.min(t).alias("ready_at"))
 
 
-def new_files(stream: DataFrame, keys: list[str], t: str, delay: str = "10 minutes") -> DataFrame:
-    """T11 as a stream: each file once within the watermark."""
-    return stream.withWatermark(t, delay).dropDuplicatesWithinWatermark(keys)
+def stable_file_stream(sightings: DataFrame, path: str, length: str, mtime: str, t: str, seconds: float = 2.0, delay: str = "2 seconds", tie: str | None = None) -> DataFrame:
+    """T11 as a stream: path, length, mtime, ready_at of every (path, length, mtime) that was seen and then not replaced by
+    another one for `seconds`; each once, by a timer, so a file that rests needs no second sighting."""
+    return in_order(sightings, StableFile(int(seconds * 1e6)), path, t, [length, mtime], [tie] if tie else [], delay)
+
+
+def record_sightings(spark: SparkSession, root: str, store: str, at: Column | None = None) -> None:
+    """Append a listing of the image files under root to a Parquet folder, as path, length, modificationTime, seen_at: what
+    stable_file_stream reads.  Spark's own file stream lists a path once, so it would not see a file grow."""
+    from noctua.sources.files import discover_images
+
+    listing = discover_images(spark, root).select("path", "length", "modificationTime", (F.current_timestamp() if at is None else at).alias("seen_at"))
+    listing.write.mode("append").parquet(store)
 
 
 def run_available(stream: DataFrame, write, checkpoint: str):

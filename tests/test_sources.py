@@ -117,26 +117,85 @@ def _events():
     return [(k, i, t0 + dt.timedelta(seconds=20 * i + (5 if k == "b" else 0)), float(v), "OPEN" if v > 8 else "CLOSED" if v > 1 else "UNKNOWN") for k in ("a", "b") for i, v in enumerate(values)]
 
 
-def test_streams_agree_with_their_batch_forms(spark, tmp_path):
-    e = spark.createDataFrame(_events(), "k string, i int, t timestamp, v double, s string")
-    e.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = lambda: spark.readStream.schema(e.schema).parquet(str(tmp_path / "in"))
+class Parts:
+    """A stream whose rows come in parts; `run` processes each part with a rule of its own state and gives all rows it gave."""
+
+    def __init__(self, spark, folder, parts):
+        self.spark, self.folder, self.parts = spark, folder, parts
+
+    def run(self, rule, name):
+        late = 0
+        for i, part in enumerate(self.parts):
+            part.coalesce(1).write.mode("append").parquet(f"{self.folder}/{name}/in")
+            df = rule(self.spark.readStream.schema(part.schema).parquet(f"{self.folder}/{name}/in"))
+            q = df.writeStream.format("parquet").option("path", f"{self.folder}/{name}/out").option("checkpointLocation", f"{self.folder}/{name}/state").trigger(availableNow=True).start()
+            assert q.awaitTermination(120), i
+            late += telemetry.late_rows(q)
+        return sorted(map(tuple, self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}/out").collect())), late
 
-    def run(df, name):
-        q = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
-        assert q.awaitTermination(120)
-        return sorted(map(tuple, spark.table(name).collect()))
 
+def test_streams_agree_with_their_batch_forms(spark, tmp_path):
+    """Rows out of order within the delay count as if they had come in order; rows behind the watermark are dropped."""
+    rows = _events()
+    kinds = "k string, i int, t timestamp, v double, s string"
+    e = spark.createDataFrame(rows, kinds)
+    late = [("a", 99, rows[0][2] - dt.timedelta(seconds=500), 9.0, "CLOSED")]
+    end = [("end", 0, rows[-1][2] + dt.timedelta(hours=2), 0.0, "OPEN")]
+    order = sorted(rows, key=lambda r: (r[1] * 7) % 15)  # disordered by less than the delay of 400 seconds
+    parts = Parts(spark, tmp_path, [spark.createDataFrame(p, kinds) for p in (order[:14], order[14:], end, late, end)])
     batch = telemetry.drift_alerts(e, "k", "t", "v", 5, 50, "i")
-    assert sorted(map(tuple, batch.collect())) == run(telemetry.drift_stream(stream(), "k", "t", "v", 5, 50), "drift")
+    got, dropped = parts.run(lambda s: telemetry.drift_stream(s, "k", "t", "v", 5, 50, "400 seconds", "i"), "drift")
+    assert got == sorted(map(tuple, batch.collect())) and dropped == 1
+    parts = Parts(spark, tmp_path, parts.parts[:3])
     batch = telemetry.transitions(e, "k", ["t", "i"], "s").select("k", "t")
-    assert sorted(map(tuple, batch.collect())) == run(telemetry.transition_stream(stream(), "k", "t", "s"), "roof")
-    for from_start in (False, True):
-        batch = telemetry.unknown_warnings(e.withColumn("s", F.when(F.col("v") > 8, "UNKNOWN").otherwise("OPEN")).where("i > 0"), "k", "t", "i", "s", 40, from_start).select("k", "since")
-        s = stream().withColumn("s", F.when(F.col("v") > 8, "UNKNOWN").otherwise("OPEN")).where("i > 0")
-        assert sorted(map(tuple, batch.collect())) == run(telemetry.unknown_stream(s, "k", "t", "s", 40_000, from_start=from_start), f"unknown_{from_start}")
+    assert parts.run(lambda s: telemetry.transition_stream(s, "k", "t", "s", delay="400 seconds"), "roof")[0] == sorted(map(tuple, batch.collect()))
     batch = telemetry.latched_levels(e, "k", "t", "v", 5, 2)
-    assert sorted(map(tuple, batch.collect())) == run(telemetry.latch_stream(stream(), "k", "t", "v", 5, 2), "latch")
+    assert parts.run(lambda s: telemetry.latch_stream(s, "k", "t", "v", 5, 2, "400 seconds"), "latch")[0] == sorted(map(tuple, batch.collect()))
+    batch = telemetry.sliding_rms(e.withColumn("d", F.col("v") - 5), ["k"], "t", "v", "d", 60).select("k", "t", "rms_ra", "rms_dec", "rms_total")
+    got, _ = parts.run(lambda s: telemetry.rms_stream(s.withColumn("d", F.col("v") - 5), "k", "t", "v", "d", 60, "400 seconds"), "rms")
+    want = sorted(map(tuple, batch.collect()))
+    assert [r[:2] for r in got] == [r[:2] for r in want] and [r[2:] for r in got] == [pytest.approx(r[2:]) for r in want]
+    bad = F.col("v") > 8
+    batch = telemetry.failure_limits(e, "k", ["t", "i"], bad, 3).select("k", "t")
+    assert parts.run(lambda s: telemetry.failure_stream(s.withColumn("f", bad), "k", "t", "f", 3, "400 seconds", "i"), "failures")[0] == sorted(map(tuple, batch.collect()))
+
+
+@pytest.mark.parametrize("from_start", [False, True])
+def test_unknown_states_warn_by_time_alone(spark, tmp_path, from_start):
+    t0 = dt.datetime(2026, 1, 1)
+    states = {"a": ["UNKNOWN", None, "OPEN", "UNKNOWN", "UNKNOWN", "OPEN", "UNKNOWN", "UNKNOWN", "UNKNOWN", "UNKNOWN"], "b": ["OPEN", "UNKNOWN"]}
+    rows = [(k, t0 + dt.timedelta(seconds=30 * i), v) for k, vs in states.items() for i, v in enumerate(vs)]
+    kinds = "k string, t timestamp, s string"
+    order = [rows[i] for i in (3, 0, 5, 1, 11, 4, 2, 9, 8, 10, 6, 7)]
+    parts = Parts(spark, tmp_path, [spark.createDataFrame(p, kinds) for p in (order[:5], order[5:], [("end", t0 + dt.timedelta(hours=1), "OPEN")])])
+    got, _ = parts.run(lambda s: telemetry.unknown_stream(s, "k", "t", "s", 59.5, "10 minutes", from_start), "unknown")
+    at = lambda s: t0 + dt.timedelta(seconds=s)
+    want = [("a", at(90), at(149.5)), ("a", at(180), at(239.5)), ("b", at(30), at(89.5))]
+    assert got == sorted(want + ([("a", at(0), at(59.5))] if from_start else []))
+
+
+def test_files_are_ready_once_they_rest(spark, tmp_path):
+    frames, store = tmp_path / "frames", str(tmp_path / "sightings")
+    frames.mkdir()
+    at = lambda s: F.lit(dt.datetime(2026, 1, 1) + dt.timedelta(seconds=s)).cast("timestamp")
+
+    def step(second):
+        telemetry.record_sightings(spark, str(frames), store, at(second))
+        s = spark.readStream.schema("path string, length long, modificationTime timestamp, seen_at timestamp").parquet(store)
+        q = telemetry.stable_file_stream(s, "path", "length", "modificationTime", "seen_at", 2.0, "1 second").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+        return sorted((r.path.rpartition("/")[2], r.length) for r in spark.read.schema("path string, length long, mtime timestamp, ready_at timestamp").parquet(str(tmp_path / "out")).collect())
+
+    (frames / "a.fit").write_bytes(b"1")
+    (frames / "note.txt").write_bytes(b"1")
+    step(0)
+    (frames / "a.fit").write_bytes(b"12345")  # it grows between two listings
+    (frames / "b.fits").write_bytes(b"12")
+    step(1)
+    assert step(2) == []
+    step(4)
+    assert step(8) == [("a.fit", 5), ("b.fits", 2)]
+    assert step(20) == [("a.fit", 5), ("b.fits", 2)]
 
 
 def test_incremental_run_sees_only_new_files(spark, tmp_path):
