@@ -10,7 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noctua.llm.common import written
+from noctua.llm.common import fresh_names, written
+
+
+#: Numbers of equal rows that are dealt at once.
+RUN = 1 << 14
 
 
 def water_fill(size: np.ndarray, weight: np.ndarray, most: float) -> np.ndarray:
@@ -54,6 +58,19 @@ def apportion(votes: np.ndarray, seats: int, most: np.ndarray) -> np.ndarray:
     return held
 
 
+def apportion_words(votes: np.ndarray, words: int, most: np.ndarray, block: int) -> np.ndarray:
+    """Numbers of words in proportion to votes, none above its `most`: whole blocks by Sainte-Laguë, as far as they stay within
+    a party's share, then by the same quotients single words for what each share still lacks."""
+    votes, most = np.asarray(votes, float), np.asarray(most, np.int64)
+    total = votes.sum()
+    if not words or total <= 0:
+        return np.zeros(len(votes), np.int64)
+    share = np.minimum(votes * (words / total), most)
+    got = block * apportion(votes, words // block, np.floor(share / block + 1e-9).astype(np.int64))
+    got += apportion(np.maximum(share - got, 0), words - int(got.sum()), most - got)
+    return got + apportion(np.maximum(most - got, 0), words - int(got.sum()), most - got)
+
+
 def word_count(text: Column) -> Column:
     """Number of words between ASCII white space; 0 for a null text."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
@@ -70,9 +87,9 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int
 
     Sources in order of code point, null last, weigh `weights` in turn and share the words of the whole table; a target
     stops at `most` times its source, and the excess goes to the others.  Whole blocks of `block` words are apportioned
-    to sources and then to the source's shards by Sainte-Laguë; a shard gives all its words once for every full pass
-    that its quota of words holds and the rest in blocks by seeded rank, so no document is taken more than `most` times.
-    The last block of a shard may be short.  The plan depends on rows and seed only, not on partitions; a row is known by
+    to sources and then to the source's shards by Sainte-Laguë, and what a share lacks after them in single words, so a source
+    gives its target to a word or two however small it is.  A shard gives all its words once for every full pass that its quota
+    holds and the rest in blocks by seeded rank, the last of them in part, so no document is taken more than `most` times.  The plan depends on rows and seed only, not on partitions; a row is known by
     all its columns, and the n-th of equal rows by its number.
     Documents without words take part with size 0 and taken 0; an empty table gives an empty plan.
 
@@ -82,7 +99,8 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int
     # equal rows are one row with a count until they are dealt to shards, each by its number
     keyed = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _draw(docs, seed).alias("row"))
     counted = keyed.groupBy("doc_id", "source", "size", "row").agg(F.count("*").alias("n"))
-    rows = counted.select("doc_id", "source", "size", "row", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("nth"))
+    runs = counted.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN))))  # so no array grows with n
+    rows = runs.select("doc_id", "source", "size", "row", F.explode(F.sequence(F.col("run") * RUN + 1, F.least("n", (F.col("run") + 1) * RUN))).alias("nth"))
     rows = written(rows.withColumn("draw", F.xxhash64("row", "nth")), "mix-sizes")
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
 
@@ -91,7 +109,7 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int
         pdf = pdf.iloc[order].reset_index(drop=True)
         size = pdf.source_size.to_numpy(float)
         pdf["target"] = water_fill(size, np.resize(np.asarray(weights, float), len(pdf)), most)
-        pdf["quota"] = apportion(pdf.target, int(round(pdf.target.sum() / block)), most * np.ceil(size / block).astype(np.int64))
+        pdf["quota"] = apportion_words(pdf.target, int(round(pdf.target.sum())), most * pdf.source_size.to_numpy(np.int64), block)
         pdf["shards"] = np.maximum(1, np.ceil(np.maximum(size / shard_words, pdf.n / shard_docs))).astype(np.int64)
         return pdf[["source", "source_size", "target", "quota", "shards"]]
 
@@ -103,32 +121,37 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int
 
     def shares(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("party").reset_index(drop=True)
-        pdf["blocks"] = apportion(pdf.words.to_numpy(float), int(pdf.quota[0]), pdf.limit.to_numpy(np.int64))
-        return pdf[["source", "party", "blocks"]]
+        pdf["share"] = apportion_words(pdf.words, int(pdf.quota[0]), most * pdf.words.to_numpy(np.int64), block)
+        return pdf[["source", "party", "share"]]
 
-    # a source's blocks go to about sqrt(shards) groups of shards, and each group's to its shards
+    # a source's quota goes to about sqrt(shards) groups of shards, and each group's to its shards
     shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("quota").alias("quota"), F.first("groups").alias("groups"))
-    shards = shards.withColumns({"group": F.pmod("shard", F.col("groups")), "limit": most * F.ceil(F.col("words") / block)})
-    above = shards.groupBy("source", "group").agg(F.sum("words").alias("words"), F.sum("limit").alias("limit"), F.first("quota").alias("quota"))
-    above = above.withColumnRenamed("group", "party").groupBy("source").applyInPandas(shares, "source string, party long, blocks long")
-    above = above.select(F.col("source").alias("_s"), F.col("party").alias("_g"), "blocks")
+    shards = shards.withColumn("group", F.pmod("shard", F.col("groups")))
+    above = shards.groupBy("source", "group").agg(F.sum("words").alias("words"), F.first("quota").alias("quota"))
+    above = above.withColumnRenamed("group", "party").groupBy("source").applyInPandas(shares, "source string, party long, share long")
+    above = above.select(F.col("source").alias("_s"), F.col("party").alias("_g"), "share")
     inside = shards.drop("quota").join(above, F.col("_s").eqNullSafe(F.col("source")) & (F.col("_g") == F.col("group")))
-    inside = inside.select("source", "group", F.col("shard").alias("party"), "words", "limit", F.col("blocks").alias("quota"))
-    quotas = inside.groupBy("source", "group").applyInPandas(shares, "source string, party long, blocks long").select(F.col("source").alias("_s"), F.col("party").alias("_h"), "blocks")
+    inside = inside.select("source", "group", F.col("shard").alias("party"), "words", F.col("share").alias("quota"))
+    quotas = inside.groupBy("source", "group").applyInPandas(shares, "source string, party long, share long").select(F.col("source").alias("_s"), F.col("party").alias("_h"), "share")
 
     def take(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["draw", "row", "nth"], kind="stable").reset_index(drop=True)
         size = pdf["size"].to_numpy(np.int64)
         end = np.cumsum(size)
-        n = int(-(-end[-1] // block))
-        quota, name = int(pdf.blocks[0]), f"{seed}/{pdf.source[0]}/{pdf.shard[0]}"
-        passes = min(quota * block // int(end[-1]), most) if n else 0
-        rest = min(n, round((quota * block - passes * int(end[-1])) / block)) if n and passes < most else 0
-        chosen = np.zeros(n, bool)
-        chosen[np.random.default_rng(zlib.crc32(name.encode())).permutation(n)[:rest]] = True
-        edges = np.minimum(np.arange(n + 1) * block, end[-1]) if n else np.zeros(1, np.int64)
-        runs = np.flatnonzero(np.diff(np.concatenate(([0], chosen.astype(np.int8), [0]))))
-        run_from, run_to = edges[runs[::2]], edges[runs[1::2]]
+        n, whole = int(-(-end[-1] // block)), int(end[-1])
+        quota, name = int(pdf.share[0]), f"{seed}/{pdf.source[0]}/{pdf.shard[0]}"
+        passes = min(quota // whole, most) if n else 0
+        rest = min(quota - passes * whole, whole) if n and passes < most else 0
+        edges = np.minimum(np.arange(n + 1) * block, whole)
+        order = np.random.default_rng(zlib.crc32(name.encode())).permutation(n)
+        reach = np.cumsum(np.diff(edges)[order])
+        full = int(np.searchsorted(reach, rest, side="right"))  # blocks taken whole; of the next one what the quota still holds
+        chosen = np.sort(order[: full + 1] if full < n and rest > (reach[full - 1] if full else 0) else order[:full])
+        run_from, run_to = edges[chosen], edges[chosen + 1].copy()
+        if len(chosen) > full:
+            run_to[chosen == order[full]] = edges[order[full]] + rest - (int(reach[full - 1]) if full else 0)
+        joined = np.flatnonzero(run_from[1:] == run_to[:-1])
+        run_from, run_to = np.delete(run_from, joined + 1), np.delete(run_to, joined)
         taken, pieces = [], []
         lo = np.searchsorted(run_to, end - size, side="right")
         hi = np.searchsorted(run_from, end, side="left")
@@ -149,15 +172,16 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
     A row that is taken in part keeps the taken words with what stands between them in the text; n_chars, where there
     is such a column, is set to the new length.  Documents of which nothing is taken are left out."""
-    plan = mix_plan(docs, **options).where("taken > 0").select(F.col("row").alias("_plan"), F.col("nth").alias("_at"), F.col("pieces").alias("_pieces"))
-    rows = docs.withColumn("_row", _draw(docs, options.get("seed", 0)))
-    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(0))))  # of equal rows
-    got = rows.join(plan, (F.col("_row") == F.col("_plan")) & (F.col("_nth") == F.col("_at")))
-    got = got.withColumn("_pass", F.explode(F.array_distinct(F.transform("_pieces", lambda p: p["copy"]))))
-    mine = F.filter("_pieces", lambda p: p["copy"] == F.col("_pass"))
+    row, nth, plan_row, plan_nth, pieces, turn, count, new = fresh_names(docs, "row", "nth", "plan", "at", "pieces", "pass", "words", "new")
+    plan = mix_plan(docs, **options).where("taken > 0").select(F.col("row").alias(plan_row), F.col("nth").alias(plan_nth), F.col("pieces").alias(pieces))
+    rows = docs.withColumn(row, _draw(docs, options.get("seed", 0)))
+    rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy(row).orderBy(F.lit(0))))  # of equal rows
+    got = rows.join(plan, (F.col(row) == F.col(plan_row)) & (F.col(nth) == F.col(plan_nth)))
+    got = got.withColumn(turn, F.explode(F.array_distinct(F.transform(pieces, lambda p: p["copy"]))))
+    mine = F.filter(pieces, lambda p: p["copy"] == F.col(turn))
     words = F.regexp_extract_all(F.col("text"), F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
     part = F.array_join(F.transform(mine, lambda p: F.array_join(F.slice(words, (p["from"] + 1).cast("int"), (p["to"] - p["from"]).cast("int")), "")), "")
-    whole = (F.size(mine) == 1) & (F.element_at(mine, 1)["from"] == 0) & (F.element_at(mine, 1)["to"] == F.col("_words"))
-    got = got.withColumn("_words", F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"))).withColumn("_new", F.when(whole, F.col("text")).otherwise(part))
-    new = {"text": F.col("_new"), "n_chars": F.length("_new").cast(dict(docs.dtypes).get("n_chars", "bigint"))}
-    return got.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    whole = (F.size(mine) == 1) & (F.element_at(mine, 1)["from"] == 0) & (F.element_at(mine, 1)["to"] == F.col(count))
+    got = got.withColumn(count, F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"))).withColumn(new, F.when(whole, F.col("text")).otherwise(part))
+    changed = {"text": F.col(new), "n_chars": F.length(new).cast(dict(docs.dtypes).get("n_chars", "bigint"))}
+    return got.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
