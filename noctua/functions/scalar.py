@@ -127,10 +127,30 @@ def session_filter_id(x: Column, ids: dict[str, int]) -> Column:
 
 
 def group_key(obj: Column, width: Column, height: Column, exposure: Column | None = None) -> Column:
-    """Object and WxH, made safe; a candidate key ends in the exposure with 8 significant digits."""
+    """Object and WxH, made safe; in a candidate key the exposure stands between them."""
     size = F.concat(width.cast("string"), F.lit("x"), height.cast("string"))
-    parts = [sanitize(obj), size] + ([F.format_string("%.8gs", exposure.cast("double"))] if exposure is not None else [])
-    return F.concat_ws("_", *parts)
+    return F.concat_ws("_", sanitize(obj), size) if exposure is None else F.concat_ws("_", sanitize(obj), general(exposure), size)
+
+
+def candidate_key(parent: Column, name: Column, exposure: Column, width: Column, height: Column) -> Column:
+    """Parent folder, filter, exposure (1 where it is not a positive number) and WxH of a frame, made safe as one label."""
+    t = finite(exposure)
+    size = F.concat(width.cast("string"), F.lit("x"), height.cast("string"))
+    return sanitize(F.concat_ws("_", parent, name, general(F.when(t > 0, t).otherwise(1.0)), size))
+
+
+def general(x: Column, digits: int = 8) -> Column:
+    """A number with some significant digits and no zeros after the last of them: 300, 1500.5, 1e+10; NULL stays NULL."""
+    text = F.format_string(f"%.{digits - 1}e", F.abs(x.cast("double")))
+    e = F.substring_index(text, "e", -1).cast("int")
+    all_digits = F.replace(F.substring_index(text, "e", 1), F.lit("."), F.lit(""))
+    shown = F.when(all_digits.rlike("^0*$"), "0").otherwise(F.regexp_replace(all_digits, "0+$", ""))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), shown)
+    whole = F.rpad(shown, F.greatest(e + 1, F.length(shown)), "0")
+    large = F.concat_ws(".", F.substring(whole, F.lit(1), e + 1), F.when(F.length(whole) > e + 1, F.substring(whole, e + 2, F.length(whole))))
+    power = F.concat(F.concat_ws(".", F.substring(shown, 1, 1), F.when(F.length(shown) > 1, F.substring(shown, F.lit(2), F.length(shown)))), F.when(e < 0, "e-").otherwise("e+"), F.lpad(F.abs(e).cast("string"), F.greatest(F.lit(2), F.length(F.abs(e).cast("string"))), "0"))
+    plain = F.when((e < -4) | (e >= digits), power).when(e < 0, small).otherwise(large)
+    return F.when(x.isNotNull(), F.concat(F.when(x < 0, "-").otherwise(""), plain))
 
 
 def content_name(*parts: Column, method: str = "sha1", digits: int = 16) -> Column:

@@ -61,8 +61,9 @@ def drop_policy(df: DataFrame, keys: list[str], score: str, path: str, min_frame
 
     Valid rows have a finite score.  In a group with fewer than min_frames of them all are too_few_valid_scores.  The first
     by (score desc, path) is the reference.  Threshold: Q1 - 1.5 IQR by nearest rank; rows below it are dropped, worst
-    first, at most floor(valid * fraction) of them and never the reference; if fewer than min_frames would stay, the best
-    of the dropped are restored.  Ranks count kept rows.  Others: skipped_invalid_score.
+    first and of equal scores by path, at most floor(valid * fraction) of them and never the reference; if fewer than
+    min_frames would stay, the best of the dropped, of equal scores by path, are restored.  quality_rank is the place of a valid
+    row by (score desc, path); sequence_index counts kept rows in that order.  Others: skipped_invalid_score.
     """
     rows = df.withColumn("_s", S.finite(F.col(score)))
     q = nearest_rank(rows, keys, "_s", [0.25, 0.75], ["_q1", "_q3"]).withColumn("threshold", F.col("_q1") - 1.5 * (F.col("_q3") - F.col("_q1"))).select(*keys, F.col("n").alias("_n"), "threshold")
@@ -72,25 +73,27 @@ def drop_policy(df: DataFrame, keys: list[str], score: str, path: str, min_frame
     rows = rows.withColumn("_rank", F.when(valid, best))
     out = valid & (F.col("_rank") > 1) & (F.col("_s") < F.col("threshold"))
     rows = rows.withColumn("_out", F.coalesce(out, F.lit(False)))
-    worst = F.row_number().over(Window.partitionBy(*keys, "_out").orderBy(F.asc("_s"), F.desc(path)))
-    cap = F.least(F.floor(F.col("_n") * fraction), F.greatest(F.col("_n") - min_frames, F.lit(0)))
-    rows = rows.withColumn("_dropped", F.col("_out") & (worst <= cap))
+    worst = F.row_number().over(Window.partitionBy(*keys, "_out").orderBy(F.asc("_s"), path))
+    rows = rows.withColumn("_bad", F.col("_out") & (worst <= F.floor(F.col("_n") * fraction)))
+    group = Window.partitionBy(*keys, "_bad")
+    restored = F.greatest(F.lit(min_frames) - (F.col("_n") - F.count("*").over(group)), F.lit(0))
+    rows = rows.withColumn("_dropped", F.col("_bad") & (F.row_number().over(group.orderBy(F.desc("_s"), path)) > restored))
     few = F.coalesce(F.col("_n") < min_frames, F.lit(True))
     status = (
         F.when(~valid, "skipped_invalid_score").when(few, "too_few_valid_scores").when(F.col("_rank") == 1, "reference")
-        .when(F.col("_dropped"), "dropped_low_outlier").otherwise("kept")
+        .when(F.col("_dropped"), "dropped_quality_outlier").otherwise("kept")
     )
     rows = rows.withColumn("drop_status", status)
     kept = F.col("drop_status").isin("reference", "kept")
     index = F.row_number().over(Window.partitionBy(*keys, kept).orderBy(F.desc("_s"), path))
-    return rows.withColumn("sequence_index", F.when(kept, index)).drop("_s", "_n", "_rank", "_out", "_dropped")
+    return rows.withColumns({"sequence_index": F.when(kept, index), "quality_rank": F.col("_rank")}).drop("_s", "_n", "_rank", "_out", "_bad", "_dropped")
 
 
 def group_plan(status: DataFrame, keys: list[str]) -> DataFrame:
     """For each group frames, kept, dropped and the reason why it is not run (NULL: it is)."""
     kept = F.count_if(F.col("drop_status").isin("reference", "kept"))
     few = F.count_if(F.col("drop_status") == "too_few_valid_scores")
-    return status.groupBy(*keys).agg(F.count("*").alias("frames"), kept.alias("kept"), F.count_if(F.col("drop_status") == "dropped_low_outlier").alias("dropped"), F.when(kept == 0, F.when(few > 0, "too_few_valid_scores").otherwise("no_valid_scores")).alias("reason"))
+    return status.groupBy(*keys).agg(F.count("*").alias("frames"), kept.alias("kept"), F.count_if(F.col("drop_status") == "dropped_quality_outlier").alias("dropped"), F.when(kept == 0, F.when(few > 0, "too_few_valid_scores").otherwise("no_valid_scores")).alias("reason"))
 
 
 # --- G10, O1 ---------------------------------------------------------------------------------------------------------------

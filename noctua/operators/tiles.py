@@ -230,6 +230,38 @@ def calibrate(light: DataFrame, dark: DataFrame, flat: DataFrame, flat_median: f
     return joined.withColumn("px", F.transform(done, lambda v: v.cast("float"))).drop("_d", "_f")
 
 
+def calibrate_keyed(lights: DataFrame, darks: DataFrame, dark_keys: list[str], flats: DataFrame, flat_keys: list[str]) -> DataFrame:
+    """Light tiles less the dark tile of their dark_keys, over the flat tile of their flat_keys (a master flat of
+    level 1), pixel by pixel; a light without a master of a kind goes without it, and a flat of 0 gives NULL.
+
+    darks, flats: one tile (keys, ty, tx, px) for each key and place."""
+    place = ["ty", "tx"]
+    d = darks.select(*[F.col(k).alias(f"_{k}") for k in [*dark_keys, *place]], F.col("px").alias("_d"))
+    f = flats.select(*[F.col(k).alias(f"__{k}") for k in [*flat_keys, *place]], F.col("px").alias("_f"))
+    on = lambda keys, mark: [F.col(k).eqNullSafe(F.col(f"{mark}{k}")) for k in [*keys, *place]]
+    x = lights.join(d, on(dark_keys, "_"), "left").join(f, on(flat_keys, "__"), "left")
+    less = F.when(F.col("_d").isNull(), F.col("px")).otherwise(F.zip_with("px", "_d", lambda a, b: a - b))
+    done = F.when(F.col("_f").isNull(), less).otherwise(F.zip_with(less, "_f", lambda a, b: F.when(b != 0, a / b)))
+    return x.withColumn("px", done).select(*lights.columns)
+
+
+def masters(frames: DataFrame, keys: list[str], size: int, low: float = 3.0, high: float = 3.0, level: bool = False, weight: str | None = None) -> DataFrame:
+    """Master tiles (keys, ty, tx, y0, x0, h, w, px, kept, rejected) of frames' tiles (keys, frame_id, ..., px): a rejection
+    stack of each pixel over the frames with equal keys (mode, gain, offset, exposure, temperature, filter).
+
+    level: each frame is first brought to a median of 1, as flats are; less their dark is for calibrate_keyed.  A master
+    of many frames is an aggregate over pixels; only one of its tiles is brought together."""
+    px = pixels(frames, [*keys, "frame_id"] + ([weight] if weight else []))
+    if level:
+        middle = px.groupBy(*keys, "frame_id").agg(F.median("v").alias("_level"))
+        px = _join(px, middle, [*keys, "frame_id"]).withColumn("v", F.try_divide(F.col("v"), F.col("_level"))).drop("_level")
+    stack = rejection_stack(px, [*keys, "y", "x"], "v", low, high, weight=weight)
+    place = F.floor(F.col("y") / size).cast("int").alias("ty"), F.floor(F.col("x") / size).cast("int").alias("tx")
+    sorted_px = F.array_sort(F.collect_list(F.struct("y", "x", "value")))
+    t = stack.groupBy(*keys, *place).agg(sorted_px.alias("_p"), F.sum("kept").alias("kept"), F.sum("rejected").alias("rejected"), F.min("y").alias("y0"), F.min("x").alias("x0"), (F.max("y") - F.min("y") + 1).alias("h"), (F.max("x") - F.min("x") + 1).alias("w"))
+    return t.select(*keys, "ty", "tx", "y0", "x0", "h", "w", F.transform("_p", lambda p: p["value"]).alias("px"), "kept", "rejected")
+
+
 def hot_pixels(dark: DataFrame, sigma: float = 5.0) -> DataFrame:
     """(y, x) of a dark's pixels more than sigma 1.4826 MADs above its median."""
     p = pixels(dark, ["frame_id"]).where("v is not null")
@@ -317,18 +349,3 @@ def moving_stacks(frames: DataFrame, keys: list[str], order: list[str], n: int,
     last = F.col("_n") - n + (1 if with_last else 0)
     lo, hi = F.greatest(F.lit(1), F.col("_k") - n + 1), F.least(F.col("_k"), last.cast("int"))
     return x.where(hi >= lo).withColumn("stack", F.explode(F.sequence(lo, hi))).drop("_k", "_n")
-
-
-def local_noise(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A per-tile measure for mapInPandas: median and noise of each tile, errors as rows."""
-    for pdf in frames:
-        rows = []
-        for r in pdf.itertuples():
-            try:
-                v = np.asarray(r.px, float)
-                v = v[np.isfinite(v)]
-                m = float(np.median(v))
-                rows.append((r.frame_id, r.ty, r.tx, m, MAD_SIGMA * float(np.median(np.abs(v - m))), None))
-            except (TypeError, ValueError) as e:
-                rows.append((r.frame_id, r.ty, r.tx, None, None, str(e)))
-        yield pd.DataFrame(rows, columns=["frame_id", "ty", "tx", "median", "noise", "error"])

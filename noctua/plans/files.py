@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from noctua.operators import logs
 from noctua.plans.base import Tables, query, r, rounded
 from noctua.session import shared_dir
-from noctua.sources import files, sinks
+from noctua.sources import files, headers, sinks
 
 
 def _path(t: Tables, name: str) -> str:
@@ -177,7 +177,7 @@ def _(t: Tables):
 SELECT s_suppkey::BIGINT AS image, CASE WHEN s_suppkey % 5 = 0 THEN 'R' WHEN s_suppkey % 7 <> 0 THEN 'L''s' END AS filter, CASE WHEN s_suppkey % 5 = 0 OR s_suppkey % 7 <> 0 THEN CAST(s_nationkey AS INTEGER) END AS gain, s_suppkey % 5 <> 0 AND s_suppkey % 7 = 0 AS broken FROM supplier
 """)
 def _(t: Tables):
-    h = files.scan_headers(t.spark, _images(t), r"\.txt$")
+    h = headers.scan_headers(t.spark, _images(t), r"\.txt$")
     frames = files.typed_frames(h).select("path", F.col("filter"), "gain")
     return h.select("path", F.col("err").isNotNull().alias("broken")).join(frames, "path", "left").select(_image("path"), "filter", "gain", "broken")
 

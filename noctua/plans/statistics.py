@@ -15,8 +15,9 @@ WITH e AS (SELECT event_type, event_id, -value AS x FROM events WHERE isfinite(v
 q AS (SELECT event_type, count(*) AS n, {NEAREST.format(q=0.25)} AS q1, {NEAREST.format(q=0.75)} AS q3 FROM e GROUP BY 1),
 a AS (SELECT e.*, q.n, q1 - 1.5 * (q3 - q1) AS threshold, row_number() OVER (PARTITION BY e.event_type ORDER BY x DESC, event_id) AS rk FROM e JOIN q USING (event_type)),
 b AS (SELECT *, (rk > 1 AND x < threshold) AS out FROM a),
-c AS (SELECT *, out AND row_number() OVER (PARTITION BY event_type, out ORDER BY x, event_id DESC) <= least(floor(n * 0.15), greatest(n - 3, 0)) AS dropped FROM b),
-d AS (SELECT *, CASE WHEN n < 3 THEN 'too_few_valid_scores' WHEN rk = 1 THEN 'reference' WHEN dropped THEN 'dropped_low_outlier' ELSE 'kept' END AS drop_status FROM c)
+w AS (SELECT *, out AND row_number() OVER (PARTITION BY event_type, out ORDER BY x, event_id) <= floor(n * 0.15) AS bad FROM b),
+c AS (SELECT *, bad AND row_number() OVER (PARTITION BY event_type, bad ORDER BY x DESC, event_id) > greatest(3 - (n - count(*) OVER (PARTITION BY event_type, bad)), 0) AS dropped FROM w),
+d AS (SELECT *, CASE WHEN n < 3 THEN 'too_few_valid_scores' WHEN rk = 1 THEN 'reference' WHEN dropped THEN 'dropped_quality_outlier' ELSE 'kept' END AS drop_status FROM c)
 SELECT event_type, event_id, round(threshold, 6) AS threshold, drop_status,
   CASE WHEN drop_status IN ('reference', 'kept') THEN row_number() OVER (PARTITION BY event_type, drop_status IN ('reference', 'kept') ORDER BY x DESC, event_id) END AS sequence_index FROM d
 """)

@@ -75,31 +75,15 @@ def xisf_header(data: bytes) -> dict[str, str]:
 IMAGES = r"(?i)\.(fits?|xisf)$"
 
 
-def scan_headers(spark: SparkSession, root: str, pattern: str = IMAGES) -> DataFrame:
-    """Path, hdr (map), err of each image; a file that cannot be read is a row with err.  XISF files are known by
-    their first bytes."""
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for path, content in zip(pdf.path, pdf.content, strict=True):
-                try:
-                    rows.append((path, xisf_header(content) if path.lower().endswith(".xisf") or content[:4] == b"XISF" else fits_header(content)[0], None))
-                except (ValueError, ET.ParseError, struct.error) as e:
-                    rows.append((path, {}, str(e)))
-            yield pd.DataFrame(rows, columns=["path", "hdr", "err"])
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    inside = F.substring_index(F.col("path"), root.rstrip("/"), -1)
-    files = files.where(F.col("path").rlike(pattern) & ~inside.rlike(r"/\."))
-    got = files.select("path", "content").mapInPandas(read, "path string, hdr map<string,string>, err string")
-    return got.withColumn("hdr", F.transform_values("hdr", lambda k, v: unquote(v)))
-
-
-#: Header key -> property names of XISF files.
+#: Header key -> the other names under which images carry it.
 XISF_ALIASES = {
-    "DATE-OBS": ("Observation:Time:Start",), "FILTER": ("Instrument:Filter:Name",), "EXPTIME": ("EXPOSURE", "Instrument:ExposureTime", "Observation:ExposureTime"),
-    "GAIN": ("Instrument:Camera:Gain", "CCD:Gain"), "CCD-TEMP": ("Instrument:Sensor:Temperature", "CCD:Temperature"), "FOCUSTEM": ("FOCTEMP", "Focus:Temperature"), "OBJECT": ("Observation:Object:Name",),
+    "DATE-OBS": ("DATEOBS", "OBSERVATION:TIME:START", "OBSERVATION:STARTTIME"),
+    "FILTER": ("INSTRUMENT:FILTER:NAME", "OBSERVATION:FILTER", "OBSERVATION:FILTER:NAME"),
+    "EXPTIME": ("EXPOSURE", "EXPOSURETIME", "OBSERVATION:EXPOSURETIME", "INSTRUMENT:EXPOSURETIME"),
+    "GAIN": ("CCD:GAIN", "INSTRUMENT:CAMERA:GAIN"),
+    "CCD-TEMP": ("CCD:TEMPERATURE", "INSTRUMENT:SENSOR:TEMPERATURE"),
+    "FOCUSTEM": ("FOCUS:TEMPERATURE", "TEMPERATURE:FOCUS", "FOCTEMP"),
+    "OBJECT": ("OBSERVATION:OBJECT:NAME",),
 }
 
 

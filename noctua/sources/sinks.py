@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noctua.functions.scalar import finite
+from noctua.functions.scalar import finite, general
 
 
 def significant(df: DataFrame, digits: int = 8, fixed: int | None = None) -> DataFrame:
     """K1, K4: doubles as text of some significant (or, fixed, decimal) digits; not finite: empty."""
-    form = f"%.{fixed}f" if fixed is not None else f"%.{digits}g"
-    text = lambda c: F.when(finite(F.col(c)).isNotNull(), F.format_string(form, F.col(c)))
+    write = lambda x: general(x, digits) if fixed is None else F.format_string(f"%.{fixed}f", x)
+    text = lambda c: F.when(finite(F.col(c)).isNotNull(), write(finite(F.col(c))))
     return df.select(*[text(c).alias(c) if k in ("double", "float") else F.col(c) for c, k in df.dtypes])
 
 
@@ -42,7 +42,7 @@ def rewrite_table(df: DataFrame, path: str) -> None:
 
 
 def append_rows(df: DataFrame, path: str) -> None:
-    """Add rows."""
+    """K3: add rows."""
     df.write.mode("append").parquet(path)
 
 
@@ -64,9 +64,13 @@ def masters_index(manifest: DataFrame) -> DataFrame:
     return manifest.where("state = 'master_written'").orderBy(filter_rank(F.col("filter")), F.lower("user"), F.lower("equipment"))
 
 
-def require_provenance(tiles: DataFrame, fields: tuple[str, ...] = ("exposure", "mode")) -> DataFrame:
-    """K9: the tiles, or an error that says how many lack a required field."""
-    missing = tiles.where(" or ".join(f"{f} is null" for f in fields)).count()
-    if missing:
-        raise ValueError(f"{missing} tiles without {', '.join(fields)}")
-    return tiles
+def collected_frames(status: DataFrame, root: str, source: str = "path", keys: tuple[str, ...] = ("filter", "user", "equipment")) -> DataFrame:
+    """K7: where each kept frame is to stand: root/keys/name, made safe; names that meet in one folder get a part of a hash
+    of the source.  The layout is a table (source, target) for write_manifests, not links."""
+    from noctua.functions.scalar import sanitize
+    from noctua.operators.sessions import unique_names
+
+    kept = status.where(F.col("drop_status").isin("reference", "kept"))
+    folder = F.concat_ws("/", F.lit(root.rstrip("/")), *[sanitize(F.col(k).cast("string")) for k in keys])
+    named = kept.withColumns({"folder": folder, "name": F.element_at(F.split(F.col(source).cast("string"), "/"), -1)})
+    return unique_names(named, ["folder"], "name", source).withColumn("target", F.concat_ws("/", "folder", "link_name"))

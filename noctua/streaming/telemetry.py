@@ -247,6 +247,33 @@ def run_available(stream: DataFrame, write, checkpoint: str):
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class Calibration:
+    """Lights calibrated as they come, each tile once.  `add` is for foreachBatch (run_available): tiles that no other
+    batch has calibrated are calibrated with the masters and written as the batch's own folder, so a batch that is run again
+    writes the same rows in the same place, and a light that comes again is left out."""
+
+    def __init__(self, spark: SparkSession, path: str, darks: DataFrame, dark_keys: list[str], flats: DataFrame, flat_keys: list[str]):
+        self.spark, self.path = spark, path
+        self.darks, self.dark_keys, self.flats, self.flat_keys = darks, dark_keys, flats, flat_keys
+
+    def read(self, but: int | None = None) -> DataFrame | None:
+        """All calibrated tiles, or those of all batches but one; None without any."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = [s.getPath().getName() for s in fs.listStatus(path(self.path))] if fs.exists(path(self.path)) else []
+        done = sorted(n for n in found if n != f"batch={but}" and fs.exists(path(f"{self.path}/{n}/_SUCCESS")))
+        return self.spark.read.parquet(*[f"{self.path}/{n}" for n in done]) if done else None
+
+    def add(self, batch: DataFrame, number: int) -> None:
+        from noctua.operators.tiles import calibrate_keyed
+
+        tile = ["frame_id", "ty", "tx"]
+        new, done = batch.dropDuplicates(tile), self.read(but=number)
+        if done is not None:
+            new = new.join(done.select(*tile), tile, "left_anti").select(*batch.columns)
+        calibrate_keyed(new, self.darks, self.dark_keys, self.flats, self.flat_keys).write.mode("overwrite").parquet(f"{self.path}/batch={number}")
+
+
 class LatestTable:
     """The newest value of each key, kept up by batches of a stream.  `upsert` is for foreachBatch: the newest rows of
     the batch and of the table become the table's next version, a folder with the batch's number, so a batch that is run

@@ -9,7 +9,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from noctua.functions import scalar as S
-from noctua.operators import joins, lnc, planning, quality, sessions, stats, tiles
+from noctua.operators import joins, lnc, measures, planning, quality, sessions, stats, tiles
 
 
 def one(spark, **cols):
@@ -111,7 +111,7 @@ def test_drop_policy_restores_and_never_drops_the_reference(spark):
     d = spark.createDataFrame([("g", f"p{i}", s) for i, s in enumerate([10.0, 9.5, 9.0, 1.0, 0.5])] + [("few", "a", 1.0), ("few", "b", None)], "g string, path string, score double")
     got = {(r.g, r.path): r for r in quality.drop_policy(d, ["g"], "score", "path", 3, 0.15).collect()}
     assert got["g", "p0"].drop_status == "reference" and got["g", "p0"].sequence_index == 1
-    assert sum(r.drop_status == "dropped_low_outlier" for r in got.values()) <= 1
+    assert sum(r.drop_status == "dropped_quality_outlier" for r in got.values()) <= 1
     assert got["few", "a"].drop_status == "too_few_valid_scores" and got["few", "b"].drop_status == "skipped_invalid_score"
 
 
@@ -367,3 +367,35 @@ def test_places_of_one_group_over_many_tasks(spark):
         rows = sorted((r.v, r.id, r.sub_index) for r in got if r.k == k)
         assert [i for _, _, i in rows] == list(range(1, len(rows) + 1)) and len(rows) == (400 if k else 100)
     assert stats.sub_index(d.where("false"), ["k"], ["v", "id"]).count() == 0
+
+
+def test_numbers_with_eight_digits_have_no_idle_zeros(spark):
+    values = [300.0, 1500.5, 1e10, 123456789.0, 12345678.0, 0.0, -0.0, -2.5, 1.23456789012, 0.0001, 0.00001234, 99999999.6, 1e-300, 1e300, 0.1, None]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", S.general(F.col("v")).alias("t")).orderBy("i").collect()
+    assert [r.t for r in got] == [None if v is None else f"{abs(v) or 0:.8g}" if v == 0 else f"{v:.8g}" for v in values]
+    key = spark.range(1).select(S.group_key(F.lit("M 31"), F.lit(10), F.lit(20), F.lit(300.0)).alias("k"), S.candidate_key(F.lit("a/b"), F.lit("Ha"), F.lit(None).cast("double"), F.lit(4), F.lit(3)).alias("c")).first()
+    assert (key.k, key.c) == ("M_31_300_10x20", "a_b_Ha_1_4x3")
+
+
+def test_equal_outliers_are_dropped_by_path(spark):
+    """20 good frames and five equal outliers with a cap of three: the first three by path go."""
+    rows = [("g", f"a{i:02}", 100.0 + i % 3) for i in range(20)] + [("g", f"z{c}", 1.0) for c in "abcde"]
+    got = quality.drop_policy(spark.createDataFrame(rows, "g string, p string, s double"), ["g"], "s", "p", fraction=0.13).collect()
+    assert sorted(r.p for r in got if r.drop_status == "dropped_quality_outlier") == ["za", "zb", "zc"]
+    assert [r.p for r in sorted(got, key=lambda r: r.quality_rank)][:3] == ["a02", "a05", "a08"]
+    # dropped first, then the best of them, by path, come back
+    rows = [("g", "a", 9.0), ("g", "b", 9.0), ("g", "c", 9.0), ("g", "x", 1.0), ("g", "y", 1.0)]
+    got = quality.drop_policy(spark.createDataFrame(rows, "g string, p string, s double"), ["g"], "s", "p", min_frames=4, fraction=0.5).collect()
+    assert {r.p: r.drop_status for r in got} == {"a": "reference", "b": "kept", "c": "kept", "x": "kept", "y": "dropped_quality_outlier"}
+
+
+def test_measures_give_errors_as_rows(spark):
+    kinds = "frame_id string, ty int, tx int, h int, w int, px array<float>"
+    rows = [("a", 0, 0, 2, 2, [1.0, 2.0, 3.0, 4.0]), ("b", 0, 0, 1, 2, [1.0, None]), ("c", 0, 0, 2, 2, None), ("d", 0, 0, 2, 2, [1.0])]
+    got = {(r.frame_id, r.measure): r for r in measures.measured(spark.createDataFrame(rows, kinds), ["gradient", "extremes"]).collect()}
+    assert len(got) == 8 and got["a", "gradient"].result == {"rows": 2.0, "columns": 1.0} and got["b", "extremes"].result == {"low": 1.0, "high": 1.0}
+    assert {k for k, r in got.items() if r.error} == {("b", "gradient"), ("c", "gradient"), ("c", "extremes"), ("d", "gradient"), ("d", "extremes")}
+    with pytest.raises(ValueError, match="no such measure: other"):
+        measures.measured(spark.createDataFrame(rows, kinds), ["other"])
+    with pytest.raises(ValueError, match="exists"):
+        measures.register("gradient", "x")(lambda image: (0.0,))
