@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noctua.llm.common import WORDY, Lookup, Words, chunks, row_key, run_hashes, written
+from noctua.llm.common import WORDY, Lookup, Words, chunks, fresh_names, row_key, run_hashes, written
 
 SCHEMA = "doc_id long, item_id long, distance int, budget int, first_word long, end_word long, item_words int"
 
@@ -114,7 +114,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, min_wor
 
     Items of fewer than `min_words` words are no evidence of a leak and match nothing, as do null texts.  A repeated
     document or item row gives its own rows.  Items go out in blocks of about `block_words` words, one pass over the
-    documents for each, so what a task is sent is bounded however many items there are.
+    documents for each: a block's matches are written before the next block is read, so driver and tasks hold one block
+    at a time, however many items there are.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     words = items.agg(F.sum(F.regexp_count("text", F.lit(r"\S+")))).first()[0] or 0
@@ -123,7 +124,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, min_wor
     found = []
     for b in range(blocks):
         block = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()]
-        found.append(docs.mapInArrow(lambda batches, block=block: _search(batches, block, rate, min_words), SCHEMA))
+        part = docs.mapInArrow(lambda batches, block=block: _search(batches, block, rate, min_words), SCHEMA)
+        found.append(written(part, "leaks-of-a-block") if blocks > 1 else part)
     return reduce(DataFrame.unionAll, found) if found else docs.sparkSession.createDataFrame([], SCHEMA)
 
 
@@ -132,6 +134,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     those go whose text leaks.
 
     The leaking keys are written first; they are few next to the documents."""
-    keyed = docs.withColumn("_key", row_key())
-    leaks = written(find_leaks(keyed.select(F.col("_key").alias("doc_id"), "text"), benchmark, **options).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
-    return keyed.join(leaks, keyed["_key"] == leaks["_leak"], "left_anti").drop("_key")
+    key, leak = fresh_names(docs, "key", "leak")
+    keyed = docs.withColumn(key, row_key())
+    leaks = written(find_leaks(keyed.select(F.col(key).alias("doc_id"), "text"), benchmark, **options).select(F.col("doc_id").alias(leak)).distinct(), "leaks")
+    return keyed.join(leaks, F.col(key) == F.col(leak), "left_anti").drop(key)

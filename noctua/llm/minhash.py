@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noctua.llm.common import WORDY, Words, chunks, mix, run_hashes, written
+from noctua.llm.common import WORDY, Words, chunks, fresh_names, mix, run_hashes, written
 
 #: Lowest rank cell is [0, FLOOR), each next one as wide as all before it.
 FLOOR = 0.125
@@ -346,8 +346,8 @@ def without_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float
     """docs with one row of each class: that with the smallest doc_id, rows without one last, then by a hash of the text.
     Of rows that are equal in both, any one stays."""
     classes = _classes(docs, shingle, similarity, bands, rows)
-    best = classes.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("text_hash").alias("_hash"))).alias("k"))
+    keys = fresh_names(docs, "null", "id", "hash")
+    best = classes.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias(keys[0]), F.coalesce("doc_id", F.lit(0)).alias(keys[1]), F.col("text_hash").alias(keys[2]))).alias("k"))
     kept = written(best.select("k.*"), "kept")
-    keyed = docs.withColumns({"_null": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_hash": F.xxhash64(F.col("text").cast("string"))})
-    keys = ["_null", "_id", "_hash"]
+    keyed = docs.withColumns(dict(zip(keys, (F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.xxhash64(F.col("text").cast("string"))), strict=True)))
     return keyed.join(kept, keys, "left_semi").dropDuplicates(keys).drop(*keys)

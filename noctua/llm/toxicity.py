@@ -163,15 +163,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled:
     """Learn from labelled documents: docs (doc_id, text), labels (doc_id, label 0 or 1; null and others are ignored, a
     doc_id that is labelled both ways counts as 1).
 
-    Fitting uses a sample of at most `max_labelled` labelled rows, those first in order of a hash of doc_id.  The terms are
+    Fitting uses a sample of at most `max_labelled` labelled ids, those first in order of a hash of doc_id; of the texts of one
+    id the one with the smallest hash counts.  The terms are
     the words, at most `max_terms`, whose document counts under the two labels differ by a chi-squared of `chi2` or
     more (about 1 in 2 million by chance); cosine is exact over them, with tf 1 + ln(count) and idf of all docs.  Two thirds
-    of the sample go into the index and one third calibrates, so what is collected and broadcast is bounded."""
+    of the sample go into the index and one third calibrates, so what is collected and broadcast is bounded; a sample of fewer
+    than 64 texts that hold a term does both with all of them."""
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("toxic")).where("_id is not null and toxic in (0, 1)")
     known = known.groupBy("_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = source.join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("doc_id", "toxic", "text")
-    rows = written(sample.mapInArrow(_terms, "doc_id long, toxic int, terms array<struct<term:long,count:int>>").dropDuplicates(["doc_id"]), "toxic-terms")
+    one = sample.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("m")).select("doc_id", "toxic", "m.text")
+    rows = written(one.mapInArrow(_terms, "doc_id long, toxic int, terms array<struct<term:long,count:int>>"), "toxic-terms")
     n, pos = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     a, df = F.col("a").cast("double"), F.col("df").cast("double")
     gap = a * F.lit(float(n)) - df * F.lit(float(pos))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from noctua.llm.common import fresh_names
 from pyspark.sql import types as T
 
 #: Copies of each verdict, and so tasks that share the pages of one URL.
@@ -57,11 +59,12 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, url: str = "url", default:
         .groupBy("_url").agg(F.min(F.struct(-F.length("_rule"), F.col("_rule"), F.col("_action").alias("_verdict"))).alias("_best"))
         .select("_url", F.col("_best._rule").alias("_won"), F.col("_best._verdict").alias("_verdict"))
     )
-    best = best.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).repartition("_url", "_copy")
-    salted = pages.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    salt, own, copy, won, verdict = fresh_names(pages, "salt", "url", "copy", "won", "verdict")
+    best = best.withColumnsRenamed({"_url": own, "_won": won, "_verdict": verdict}).withColumn(copy, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).repartition(own, copy)
+    salted = pages.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
     host, path = url_parts(F.col(url))
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     return (
-        salted.join(best, (salted[url] == best["_url"]) & (salted["_salt"] == best["_copy"]), "left")
-        .select(*[salted[c] for c in kept], host.alias("host"), path.alias("path"), F.col("_won").alias("rule"), F.coalesce("_verdict", F.lit(default)).alias("verdict"))
+        salted.join(best, (salted[url] == best[own]) & (salted[salt] == best[copy]), "left")
+        .select(*[salted[c] for c in kept], host.alias("host"), path.alias("path"), F.col(won).alias("rule"), F.coalesce(verdict, F.lit(default)).alias("verdict"))
     )

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
-from noctua.llm import align, line_dedup, prefix_trie, queries
+from noctua.llm import align, decontaminate, line_dedup, minhash, prefix_trie, queries, toxicity, url_filter
 
 DATA = "/root/testdata/sf0.001"
 FILES = queries.tokenizer_file("byte_bpe_50k.json"), queries.tokenizer_file("piece_bpe_32k.model")
@@ -190,3 +190,39 @@ def test_perfect_hash(spark, n):
     codes = np.unique(np.random.default_rng(n).integers(0, 1 << 31, n)).astype(np.int64)
     of = align.build_hash(spark.createDataFrame([(int(c),) for c in codes], "code long"), len(codes))
     assert sorted(of.slots(codes.astype(np.uint64)).tolist()) == list(range(len(codes)))
+
+
+# --- names and repeats in the pipeline's operators ---------------------------------------------------------------------------------
+
+
+def test_operators_keep_columns_that_are_named_like_their_own(spark):
+    names = ["_key", "_leak", "_null", "_id", "_hash", "_salt", "_copy", "_won", "_url", "_verdict"]
+    kinds = f"doc_id long, text string, url string, {', '.join(f'{n} string' for n in names)}"
+    rows = [(i, f"text number {i} of some more words here", f"https://a.com/{i}", *names) for i in range(6)]
+    d = spark.createDataFrame(rows, kinds)
+    bench = spark.createDataFrame([(1, "text number 3 of some more words here")], "item_id long, text string")
+    rules = spark.createDataFrame([("com", "/", "block")], url_filter.RULES)
+    for got, n in ((decontaminate.without_leaks(d, bench, rate=0.0), 5), (minhash.without_near_duplicates(d), 6)):
+        assert got.columns == d.columns and got.count() == n and all(r[c] == c for r in got.collect() for c in names)
+    got = url_filter.url_verdicts(d, rules).collect()
+    assert all(r[c] == c for r in got for c in names) and {r.verdict for r in got} == {"block"}
+
+
+def test_texts_of_one_labelled_id_count_in_any_order(spark):
+    rows = [(i, f"you are a worthless idiot {i % 7}" if side else f"have a pleasant quiet day {i % 7}") for i in range(20) for side in (0, 1)]
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(20)], "doc_id long, toxic int")
+    fits = [toxicity.fit(spark.createDataFrame(r, "doc_id long, text string").coalesce(1), labels) for r in (rows, rows[::-1])]
+    asked = spark.createDataFrame([(1, "pleasant day"), (2, "worthless idiot"), (3, "")], "doc_id long, text string")
+    one, two = (sorted((r.doc_id, r.score) for r in toxicity.score_toxicity(asked, m).collect()) for m in fits)
+    assert one == two
+
+
+def test_pipeline_of_no_documents(spark):
+    import corpus_pipeline
+
+    docs = queries.table(spark, "/root/testdata/sf0.001", "documents").where("false")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.written(stage(spark, docs, "/root/testdata/sf0.001"), name)
+        assert docs.columns == columns and docs.isEmpty()
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001").count() == 0
