@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noctua.functions.scalar import canonical_filter
+from noctua.operators.stats import carried
 
 
 def with_measurements(report: DataFrame, measurements: DataFrame, path: str, order: list[str]) -> DataFrame:
@@ -84,8 +85,8 @@ def _match_next(left: DataFrame, right: DataFrame, left_id: str, left_value: str
     r = r.groupBy(*names, "_v").agg(F.min("_rid").alias("_rid")).withColumn("_near", F.struct("_v", "_rid"))
     x = whole(left).select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(left_value).cast("double").alias("_v"), F.col(left_id).alias("_id")).where("_v is not null")
     both = x.withColumn("_left", F.lit(1)).unionByName(r.drop("_rid").withColumn("_left", F.lit(0)), allowMissingColumns=True)
-    near = lambda order: F.last("_near", ignorenulls=True).over(Window.partitionBy(*names).orderBy(order, "_left").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    both = both.withColumn("_below", near(F.asc("_v"))).withColumn("_above", near(F.desc("_v"))).where("_left = 1")
+    both = carried(both, names, ["_v", "_left"], "_near", "_below")
+    both = carried(both.withColumn("_down", -F.col("_v")), names, ["_down", "_left"], "_near", "_above").where("_left = 1")
     offer = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("_v") - F.col(f"{c}._v")).alias("d"), F.col(f"{c}._rid").alias("i")))
     best = both.groupBy("_id").agg(F.min(F.array_min(F.array_compact(F.array(offer("_below"), offer("_above"))))).alias("m"))
     best = best.select("_id", F.col("m.i").alias("match_id"), F.col("m.d").alias("distance"))

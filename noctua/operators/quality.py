@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noctua.functions import scalar as S
-from noctua.operators.stats import _join, nearest_rank, quantiles
+from noctua.operators.stats import _join, medians, nearest_rank, numbered, quantiles
+from noctua.session import written
 
 # --- X1: metrics ---------------------------------------------------------------------------------------------------------
 
@@ -36,15 +37,15 @@ def metric_scores(features: DataFrame, stars: str, flux: str, background: str, n
     return features.withColumns({n: S.finite(METRICS[n](*cols)) for n in names or METRICS})
 
 
-#: Star terms (NULL: log1p) and exponents of the formula sweep.
-SWEEP = (("star_count^0", 0.0), ("star_count^0.25", 0.25), ("star_count^0.5", 0.5), ("star_count^0.75", 0.75), ("log1p(star_count)", None)), (0.75, 1.0, 1.25), (0.5, 1.0, 1.5), (0.25, 0.5, 1.0)
+#: Fixed values of P24: exponents of the star count (None: log1p instead), the flux, the noise and the background.
+SWEEP = (0.0, 0.25, 0.5, 0.75, None), (0.75, 1.0, 1.25), (0.5, 1.0, 1.5), (0.25, 0.5, 1.0)
 
 
 def formula_sweep(features: DataFrame, key: str, stars: str, flux: str, background: str, noise: str) -> DataFrame:
     """The score of every row under each of the 135 formulas: key, formula, score.
 
     The formulas are literals beside each row, exploded, so features are read once and nothing is shuffled."""
-    grid = [F.struct(F.lit(i).alias("formula"), F.lit(s[1]).cast("double").alias("s"), F.lit(f).alias("f"), F.lit(n).alias("n"), F.lit(b).alias("b")) for i, (s, f, n, b) in enumerate(product(*SWEEP))]
+    grid = [F.struct(F.lit(i).alias("formula"), F.lit(s).cast("double").alias("s"), F.lit(f).alias("f"), F.lit(n).alias("n"), F.lit(b).alias("b")) for i, (s, f, n, b) in enumerate(product(*SWEEP))]
     rows = features.select(key, *[S.finite(F.col(c)).alias(a) for c, a in ((stars, "_s"), (flux, "_f"), (background, "_b"), (noise, "_n"))], F.explode(F.array(*grid)).alias("p"))
     count = F.greatest(F.col("_s"), F.lit(0.0))
     term = F.when(F.col("p.s").isNull(), F.log1p(count)).otherwise(F.pow(count, F.col("p.s")))
@@ -128,17 +129,17 @@ def select_roles(df: DataFrame, keys: list[str], path: str, score: str, noise: s
     frame may have several roles."""
     cols = {"score": score, "bgnoise": noise, "background": background, "star_count": stars}
     x = df.select(*keys, F.col(path).alias("_path"), *[S.finite(F.col(c)).alias(n) for n, c in cols.items()])
-    n = F.count("score").over(Window.partitionBy(*keys))
-    down = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("score").desc_nulls_last(), F.desc("_path")))
-    up = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("score").asc_nulls_last(), "_path"))
-    x = x.withColumn("_n", n).withColumn("_down", down).withColumn("_up", up)
-    marks = [F.when(F.col("score").isNotNull() & (F.col("_down") == i), f"reference_rank_{i}") for i in (1, 2, 3)]
+    extremes = {"max_bgnoise": ("bgnoise", F.max), "max_background": ("background", F.max), "min_star_count": ("star_count", F.min), "max_star_count": ("star_count", F.max)}
+    best = x.groupBy(*keys).agg(*[of(F.when(F.col(c).isNotNull(), F.struct(c, "_path"))).alias(f"_{role}") for role, (c, of) in extremes.items()])
+    # the scored rows in rising order of (score, path); from the other end the same order falls
+    up = numbered(x.where("score is not null"), keys, ["score", "_path"], "_up", "_n").select(*keys, "_path", *cols, "_up", "_n")
+    rest = x.where("score is null").withColumns({"_up": F.lit(None).cast("long"), "_n": F.lit(None).cast("long")})
+    x = _join(up.unionByName(rest.select(*up.columns)), best, keys)
+    marks = [F.when(F.col("_n") - F.col("_up") + 1 == i, f"reference_rank_{i}") for i in (1, 2, 3)]
     for q, role in ((0.5, "score_median"), (0.1, "score_p10"), (0.25, "score_p25"), (0.75, "score_p75")):
-        marks.append(F.when(F.col("score").isNotNull() & (F.col("_up") == S.half_even(q * (F.col("_n") - 1)) + 1), role))
-    for metric, role, sign in (("bgnoise", "max_bgnoise", -1), ("background", "max_background", -1), ("star_count", "min_star_count", 1), ("star_count", "max_star_count", -1)):
-        order = [F.col(metric).asc_nulls_last(), F.asc("_path")] if sign > 0 else [F.col(metric).desc_nulls_last(), F.desc("_path")]
-        x = x.withColumn(f"_{role}", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-        marks.append(F.when(F.col(metric).isNotNull() & (F.col(f"_{role}") == 1), role))
+        marks.append(F.when(F.col("_up") == S.half_even(q * (F.col("_n") - 1)) + 1, role))
+    for role, (c, _) in extremes.items():
+        marks.append(F.when((F.col(f"_{role}.{c}") == F.col(c)) & (F.col(f"_{role}._path") == F.col("_path")), role))
     roles = F.array_compact(F.array(*marks))
     ordered = F.transform(F.array_sort(F.transform(roles, lambda r: F.struct(S.lookup(S.ROLE_PRIORITY, r).alias("p"), r.alias("r")))), lambda s: s["r"])
     return x.withColumn("roles", ordered).where(F.size("roles") > 0).select(*keys, F.col("_path").alias(path), "roles", S.primary_role(F.col("roles")).alias("primary_role"))
@@ -283,7 +284,8 @@ def ab_summary(runs: DataFrame, keys: list[str], model: str, value: str, models:
     full = side.where(F.coalesce(*[F.when(c.isNull(), F.lit(False)) for c in cols], F.lit(True)))
     best = F.least(*cols)
     wins = [F.count_if((c == best) & (sum((o == best).cast("int") for o in cols) == 1)).alias(f"wins_{m}") for c, m in zip(cols, models, strict=True)]
-    return full.agg(F.count("*").alias("pairs"), *wins, *[F.median(c).alias(f"median_{m}") for c, m in zip(cols, models, strict=True)])
+    full = written(full, "pairs")
+    return full.agg(F.count("*").alias("pairs"), *wins).crossJoin(F.broadcast(medians(full, [], {f"median_{m}": m for m in models})))  # one row each
 
 
 def before_after(pairs: DataFrame, metrics: DataFrame, before: str, after: str, key: str, value: str) -> DataFrame:
@@ -297,5 +299,5 @@ def before_after(pairs: DataFrame, metrics: DataFrame, before: str, after: str,
 def runtime_rollup(runs: DataFrame, keys: list[str], seconds: str, total_frames: int) -> DataFrame:
     """Count, median and nearest-rank p90 of run times, and hours for `total_frames` at the median."""
     p90 = nearest_rank(runs, keys, seconds, [0.9], ["p90"])
-    mid = runs.groupBy(*keys).agg(F.median(S.finite(F.col(seconds))).alias("median"))
+    mid = medians(runs, keys, {"median": seconds})
     return _join(p90, mid, keys).withColumn("projected_hours", F.col("median") * total_frames / 3600)

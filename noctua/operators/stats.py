@@ -1,12 +1,14 @@
 """Grouped robust statistics and fits over any table and any key columns.
 
 Every function takes a DataFrame, key column names and value column names, and returns a DataFrame.  Non-finite values
-count as missing.  Groups are never collected: medians and ranks come from percentile aggregates or windows, fits from sums.
+count as missing.  Groups are never collected: medians and ranks come from counts of equal values, ranked in a task where they are few and over
+ranges where they are many; fits come from sums.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from functools import reduce, wraps
 
 import numpy as np
 import pandas as pd
@@ -28,6 +30,23 @@ def _join(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner")
     return df.join(other, reduce(Column.__and__, [df[k].eqNullSafe(other[n]) for k, n in names.items()]), how).drop(*names.values())
 
 
+def _own_names(rule: Callable) -> Callable:
+    """Keys may be named like the columns that ranking makes (x, c, upto); a key named n would stand beside the count n."""
+
+    @wraps(rule)
+    def run(df: DataFrame, keys: list[str], value: str, *args, **options) -> DataFrame:
+        taken = {k: f"_key{i}" for i, k in enumerate(keys) if k in ("x", "c", "upto", "n")}
+        if "n" in taken:
+            raise ValueError("a key named n would stand beside the count n: rename it")
+        if not taken:
+            return rule(df, keys, value, *args, **options)
+        df = df.withColumnsRenamed(taken)
+        df = df.withColumn(value, F.col(taken[value])) if value in taken else df
+        return rule(df, [taken.get(k, k) for k in keys], value, *args, **options).withColumnsRenamed({v: k for k, v in taken.items()})
+
+    return run
+
+
 # --- G8, G9, G12, G13 ----------------------------------------------------------------------------------------------------
 
 
@@ -36,12 +55,21 @@ def counted(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.select(*keys, finite(F.col(value)).alias("x")).where("x is not null").groupBy(*keys, "x").agg(F.count("*").alias("c"))
 
 
-def ranked(values: DataFrame, keys: list[str]) -> DataFrame:
+#: Distinct values of a group that one task ranks.
+TASK_VALUES = 1 << 16
+
+
+def ranked(values: DataFrame, keys: list[str], most: int | None = None) -> DataFrame:
     """keys, x, c, upto (rows of the group up to this value, with it) and n (rows of the group), of counted values.
 
-    Values are dealt over partitions by ranges of (keys, x) and summed there; a group's running sum goes on from one
-    partition to the next by a table of one row for each group and partition.  So a group of any size, and any number of
-    distinct values, is spread over the tasks.  The dealt table is written, since ranges are drawn anew whenever a plan runs."""
+    Where no group has more than `most` (TASK_VALUES) distinct values a task ranks each group.  Else values are dealt over partitions by
+    ranges of (keys, x) and summed there; a group's running sum goes on from one partition to the next by a table of one row
+    for each group and partition.  So a group of any size, and any number of distinct values, is spread over the tasks.  The
+    counted values and the dealt ones are written, since ranges are drawn anew whenever a plan runs."""
+    values = written(values, "counted")
+    if (values.groupBy(*keys).agg(F.count("*").alias("_v")).agg(F.max("_v")).first()[0] or 0) <= (TASK_VALUES if most is None else most):
+        group = Window.partitionBy(*keys)
+        return values.withColumns({"upto": F.sum("c").over(group.orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)), "n": F.sum("c").over(group)})
     x = written(values.repartitionByRange(*keys, "x").withColumn("_p", F.spark_partition_id()), "ranked")
     parts = x.groupBy(*keys, "_p").agg(F.sum("c").alias("_c"))
     before = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_p")) - F.col("_c")
@@ -62,6 +90,18 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, total:
     return (got.withColumn(total, F.col("_all")) if total else got).drop("_p", "_before", "_all")
 
 
+def carried(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """df with the last `value` that is not NULL up to each row, in its group by `order`; spread over tasks by ranges of (keys,
+    order), of which each hands its last value on to the next by a table of one row for each group and range."""
+    x = written(df.repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id()), "carried")
+    last = F.max(F.when(F.col(value).isNotNull(), F.struct(*order, F.col(value).alias("_value"))))
+    ends = x.groupBy(*keys, "_p").agg(last.alias("_end"))
+    before = F.last("_end", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(*keys, "_p", before.alias("_before"))
+    inside = F.last(value, ignorenulls=True).over(Window.partitionBy(*keys, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return _join(x.withColumn(name, inside), ends, [*keys, "_p"]).withColumn(name, F.coalesce(name, "_before._value")).drop("_p", "_before")
+
+
 def _linear(ranks: DataFrame, keys: list[str], qs: list[float], names: list[str]) -> DataFrame:
     """keys, n and linear quantiles from ranked values."""
     at = lambda i: F.min(F.when(F.col("upto") > i, F.col("x")))
@@ -74,6 +114,7 @@ def _linear(ranks: DataFrame, keys: list[str], qs: list[float], names: list[str]
     return got.select(*keys, "n", *[(F.col(f"_l_{m}") + (F.col(f"_h_{m}") - F.col(f"_l_{m}")) * share(q)).alias(m) for q, m in zip(qs, names, strict=True)])
 
 
+@_own_names
 def median_mad(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """N, median, mad and sigma = 1.4826 mad of the finite values."""
     x = counted(df, keys, value)
@@ -83,6 +124,7 @@ def median_mad(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return _join(centre, spread, keys).withColumn("sigma", MAD_SIGMA * F.col("mad"))
 
 
+@_own_names
 def nearest_rank(df: DataFrame, keys: list[str], value: str, quantiles: list[float], names: list[str] | None = None) -> DataFrame:
     """Values at index round(q (n - 1)), halves to even, of the sorted finite values."""
     names = names or [f"q{round(q * 100):02d}" for q in quantiles]
@@ -91,6 +133,16 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, quantiles: list[flo
     return x.groupBy(*keys).agg(F.first("n").alias("n"), *[F.min(F.when(F.col("upto") > i, F.col("x"))).alias(name) for i, name in zip(at, names, strict=True)])
 
 
+def medians(df: DataFrame, keys: list[str], values: dict[str, str]) -> DataFrame:
+    """keys and for each name the median of a column's finite values (NULL without any), of groups of any size."""
+    out = None
+    for name, column in values.items():
+        got = quantiles(df, keys, column, [0.5], [name]).drop("n")
+        out = got if out is None else _join(out, got, keys)
+    return out
+
+
+@_own_names
 def quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float], names: list[str]) -> DataFrame:
     """Linear interpolation between order statistics of the finite values; a group without any has n = 0 and NULLs."""
     got = _linear(ranked(counted(df, keys, value), keys), keys, qs, names)
@@ -268,7 +320,8 @@ def plane_fit(df: DataFrame, keys: list[str], x: str, y: str, z: str) -> DataFra
     """z = a x + b y + c by normal equations on centred sums: a, b, c, n, median, gradient_frac (corner range of the
     plane over the unit square, over the median), r2 clamped to [0, 1].  Fewer than three points or a degenerate layout: NULL."""
     rows = df.select(*keys, finite(F.col(x)).alias("_x"), finite(F.col(y)).alias("_y"), finite(F.col(z)).alias("_z")).where("_x is not null and _y is not null and _z is not null")
-    s = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_x").alias("mx"), F.avg("_y").alias("my"), F.avg("_z").alias("mz"), F.regr_sxx("_z", "_x").alias("xx"), F.regr_sxx("_z", "_y").alias("yy"), F.regr_sxy("_y", "_x").alias("xy"), F.regr_sxy("_z", "_x").alias("xz"), F.regr_sxy("_z", "_y").alias("yz"), F.regr_syy("_z", "_x").alias("zz"), F.median("_z").alias("median"))
+    s = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_x").alias("mx"), F.avg("_y").alias("my"), F.avg("_z").alias("mz"), F.regr_sxx("_z", "_x").alias("xx"), F.regr_sxx("_z", "_y").alias("yy"), F.regr_sxy("_y", "_x").alias("xy"), F.regr_sxy("_z", "_x").alias("xz"), F.regr_sxy("_z", "_y").alias("yz"), F.regr_syy("_z", "_x").alias("zz"))
+    s = _join(s, medians(rows, keys, {"median": "_z"}), keys)
     c = F.col
     det = c("xx") * c("yy") - c("xy") * c("xy")
     ok = (c("n") >= 3) & (det > 1e-12 * c("xx") * c("yy"))
@@ -283,9 +336,10 @@ def clipped_ratio(df: DataFrame, keys: list[str], a: str, b: str, sigma: float =
     bounds of the log ratios in use.
 
     All log ratios within sigma times 1.4826 MAD (the standard deviation where the MAD is 0) of the median of those in use
-    are in use next; a group stops, without applying the clip, if fewer than `least` would stay, and where sigma is 0."""
+    are in use next; a group stops, without applying the clip, if fewer than `least` would stay, and where sigma is 0.  Rounds end
+    when no group's bounds move.  The log ratios are written once, and each round scans them."""
     x, y = finite(F.col(a)), finite(F.col(b))
-    rows = df.select(*keys, F.when((x > 0) & (y > 0), F.log(y / x)).alias("_l"), F.try_divide(y, x).alias("_q")).where("_l is not null")
+    rows = written(df.select(*keys, F.when((x > 0) & (y > 0), F.log(y / x)).alias("_l"), F.try_divide(y, x).alias("_q")).where("_l is not null"), "log-ratios")
     state = rows.groupBy(*keys).agg(F.min("_l").alias("lo"), F.max("_l").alias("hi"))  # what is kept lies between bounds
     inside = F.when(F.col("_l").between(F.col("lo"), F.col("hi")), F.col("_l"))
     for _ in range(rounds):
@@ -297,7 +351,11 @@ def clipped_ratio(df: DataFrame, keys: list[str], a: str, b: str, sigma: float =
         bound = lambda old, side: F.when(scale > 0, F.col("m") + side * sigma * scale).otherwise(F.col(old))  # noqa: B023, E731
         wide = written(spread.select(*keys, "lo", "hi", bound("lo", -1).alias("nlo"), bound("hi", 1).alias("nhi")), "clipped-ratio")
         left = _join(rows, wide, keys).groupBy(*keys, "lo", "hi", "nlo", "nhi").agg(F.count_if(F.col("_l").between(F.col("nlo"), F.col("nhi"))).alias("c"))
+        moved = (F.col("c") >= least) & ((F.col("nlo") != F.col("lo")) | (F.col("nhi") != F.col("hi")))
+        left = written(left.withColumn("moved", moved), "clipped-ratio")
         state = left.select(*keys, *[F.when(F.col("c") >= least, F.col(f"n{c}")).otherwise(F.col(c)).alias(c) for c in ("lo", "hi")])
+        if left.where("moved").isEmpty():
+            break
     on = _join(rows, written(state, "clipped-ratio"), keys).where(F.col("_l").between(F.col("lo"), F.col("hi")))
     centre = on.groupBy(*keys).agg(F.median("_l").alias("_m"), F.median("_q").alias("ratio"), F.count("*").alias("used"), F.first("lo").alias("low"), F.first("hi").alias("high"))
     spread = _join(on, centre, keys).groupBy(*keys).agg(F.median(F.abs(F.col("_l") - F.col("_m"))).alias("mad"), F.median(F.abs(F.col("_q") - F.col("ratio"))).alias("ratio_mad"))
@@ -311,7 +369,7 @@ def trimmed_affine(df: DataFrame, keys: list[str], ref: str, target: str, tie: l
     least max(least, min_samples // 2) have to be left, else the group is left out.  A scale outside [low, high] gives scale 1 and the difference of the backgrounds.  Sums are
     taken about the group's means by one aggregate over the ranked rows."""
     rows = df.withColumn("_r", finite(F.col(ref))).withColumn("_t", finite(F.col(target))).where("_r is not null and _t is not null")
-    rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("_t", *tie)))
+    rows = numbered(rows, keys, ["_t", *tie], "_k", "_n")
     cut = F.floor(F.col("_n") * trim)
     kept = rows.where((F.col("_k") > cut) & (F.col("_k") <= F.col("_n") - cut))
     level = F.median if background == "median" else F.avg

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from noctua.operators.stats import carried
 from noctua.streaming.ordered import Drift, Failures, Latch, SlidingRms, StableFile, Transition, Unknown, in_order, late_rows  # noqa: F401
 
 # --- T1: guide error ---------------------------------------------------------------------------------------------------------
@@ -277,7 +278,7 @@ class Calibration:
 class LatestTable:
     """The newest value of each key, kept up by batches of a stream.  `upsert` is for foreachBatch: the newest rows of
     the batch and of the table become the table's next version, a folder with the batch's number, so a batch that is run
-    again gives the same version and readers of the last one are not disturbed."""
+    again gives the same version and readers of the last one are not disturbed; older ones go."""
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], order: list[str], value: str):
         self.spark, self.path, self.keys, self.order, self.value = spark, path, keys, order, value
@@ -299,6 +300,9 @@ class LatestTable:
         rows = rows if before is None else before.unionByName(rows)
         newest = rows.groupBy(*self.keys).agg(F.max(F.struct(*self.order, self.value)).alias("_m"))
         newest.select(*self.keys, *[f"_m.{c}" for c in (*self.order, self.value)]).write.mode("overwrite").parquet(f"{self.path}/{number}")
+        for old in [v for v in self._versions() if v <= number][:-2]:
+            root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{old}")
+            root.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(root, True)
 
 
 def snapshot(updates: DataFrame, key: str, source: str, t: str, tie: str, value: str, sources: list[str]) -> DataFrame:
@@ -308,7 +312,7 @@ def snapshot(updates: DataFrame, key: str, source: str, t: str, tie: str, value:
 
 def with_stale(status: DataFrame, key: str, order: list[str], t: str, value: str, seconds: float) -> DataFrame:
     """last_good, the newest value so far, and stale, if that is older than `seconds`."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at = F.last(F.when(F.col(value).isNotNull(), F.col(t)), ignorenulls=True).over(w)
-    age = (F.unix_micros(F.col(t).cast("timestamp")) - F.unix_micros(at.cast("timestamp"))) / 1e6
-    return status.withColumn("last_good", F.last(value, ignorenulls=True).over(w)).withColumn("stale", F.coalesce(age > seconds, F.lit(True)))
+    good = F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"), F.unix_micros(F.col(t).cast("timestamp")).alias("us")))
+    x = carried(status.withColumn("_good", good), [key], order, "_good", "_last")
+    age = (F.unix_micros(F.col(t).cast("timestamp")) - F.col("_last.us")) / 1e6
+    return x.withColumns({"last_good": F.col("_last.v"), "stale": F.coalesce(age > seconds, F.lit(True))}).drop("_good", "_last")

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import os
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from noctua.functions import scalar as S
 from noctua.operators import joins, lnc, measures, planning, quality, sessions, stats, tiles
+from noctua.session import written
 
 
 def one(spark, **cols):
@@ -329,7 +331,10 @@ def test_ratio_clip_takes_back_rows_and_reports(spark):
     assert got["p"].used == kept.sum() and abs(got["p"].scale_b_over_a - np.median((b / a)[kept])) < 1e-12
 
 
-def test_ranks_of_one_group_over_many_tasks(spark):
+@pytest.mark.parametrize("few", [stats.TASK_VALUES, 10])
+def test_ranks_of_one_group_over_many_tasks(spark, few, monkeypatch):
+    """The same in a task for each group, and over ranges where a group has more than `few` values."""
+    monkeypatch.setattr(stats, "TASK_VALUES", few)
     rng = np.random.default_rng(3)
     v = np.concatenate([rng.normal(size=3000), np.zeros(1500), [np.nan, np.inf]])
     rows = [("hot", float(x)) for x in v] + [("one", 4.0), ("none", None), (None, 1.0), (None, 3.0)]
@@ -350,6 +355,60 @@ def test_ranks_of_one_group_over_many_tasks(spark):
     assert len(p) == len(rows) and all(r.pct is None or r.k != "hot" or abs(r.pct - (np.searchsorted(good, r.v, "right") - 1) / 4499) < 1e-12 for r in p)
 
 
+def test_keys_named_like_columns_of_ranks(spark):
+    d = spark.createDataFrame([("a", 1, 2.0), ("a", 1, 4.0), ("b", 2, 1.0)], "x string, c int, v double")
+    assert {tuple(r) for r in stats.median_mad(d, ["x", "c"], "v").select("x", "c", "median").collect()} == {("a", 1, 3.0), ("b", 2, 1.0)}
+    assert {tuple(r) for r in stats.quantiles(d, ["c"], "c", [0.5], ["m"]).select("c", "m").collect()} == {(1, 1.0), (2, 2.0)}
+    with pytest.raises(ValueError, match="named n"):
+        stats.nearest_rank(d.withColumnRenamed("x", "n"), ["n"], "v", [0.5])
+
+
+def test_a_scope_deletes_its_tables(spark):
+    from noctua.session import scope, shared_dir
+
+    before = set(os.listdir(shared_dir(spark)))
+    with scope(spark):
+        kept = written(spark.range(3), "outer")
+        with scope(spark):
+            inner = written(spark.range(4), "inner")
+            assert inner.count() == 4
+        assert kept.count() == 3 and len(set(os.listdir(shared_dir(spark))) - before) == 1
+    assert set(os.listdir(shared_dir(spark))) == before
+
+
+def test_last_values_are_carried_over_many_tasks(spark):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "17")
+    rng = np.random.default_rng(9)
+    rows = [("hot" if i % 5 else None, int(t), i, float(i) if rng.random() < 0.02 else None) for i, t in enumerate(rng.permutation(3000))]
+    try:
+        got = stats.carried(spark.createDataFrame(rows, "k string, t int, i int, v double"), ["k"], ["t"], "v", "last").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    for k in ("hot", None):
+        last = None
+        for r in sorted((r for r in got if r.k == k), key=lambda r: r.t):
+            last = r.v if r.v is not None else last
+            assert r["last"] == last
+    assert len(got) == 3000
+
+
+def test_roles_of_one_group_by_hand(spark):
+    rng = np.random.default_rng(1)
+    rows = [("g", f"p{i:03}", [None, 5.0, float(rng.integers(9))][min(i, 2)], float(rng.integers(5)), float(rng.integers(5)), None if i == 7 else float(rng.integers(5))) for i in range(60)]
+    got = {r.p: set(r.roles) for r in quality.select_roles(spark.createDataFrame(rows, "g string, p string, s double, n double, b double, c double"), ["g"], "p", "s", "n", "b", "c").collect()}
+    want = {}
+    put = lambda p, role: want.setdefault(p, set()).add(role)
+    up = sorted((r[2], r[1]) for r in rows if r[2] is not None)
+    for i in (1, 2, 3):
+        put(up[-i][1], f"reference_rank_{i}")
+    for q, role in ((0.5, "score_median"), (0.1, "score_p10"), (0.25, "score_p25"), (0.75, "score_p75")):
+        put(up[round(q * (len(up) - 1))][1], role)
+    for at, role, of in ((3, "max_bgnoise", max), (4, "max_background", max), (5, "min_star_count", min), (5, "max_star_count", max)):
+        put(of((r[at], r[1]) for r in rows if r[at] is not None)[1], role)
+    assert got == want
+
+
 def test_nearest_without_a_bound(spark):
     left = spark.createDataFrame([(1, "a", 5.0), (2, "a", 7.0), (3, "b", 0.0), (4, None, 5.0), (5, "a", None), (6, "c", 1.0), (7, "a", 100.0)], "i int, k string, v double")
     right = spark.createDataFrame([(10, "a", 4.0), (11, "a", 6.0), (12, "a", 4.0), (13, "b", None), (14, None, 5.0), (9, "a", 8.0), (20, "b", -3.0)], "r long, k string, w double")
@@ -384,9 +443,9 @@ def test_equal_outliers_are_dropped_by_path(spark):
     assert sorted(r.p for r in got if r.drop_status == "dropped_quality_outlier") == ["za", "zb", "zc"]
     assert [r.p for r in sorted(got, key=lambda r: r.quality_rank)][:3] == ["a02", "a05", "a08"]
     # dropped first, then the best of them, by path, come back
-    rows = [("g", "a", 9.0), ("g", "b", 9.0), ("g", "c", 9.0), ("g", "x", 1.0), ("g", "y", 1.0)]
-    got = quality.drop_policy(spark.createDataFrame(rows, "g string, p string, s double"), ["g"], "s", "p", min_frames=4, fraction=0.5).collect()
-    assert {r.p: r.drop_status for r in got} == {"a": "reference", "b": "kept", "c": "kept", "x": "kept", "y": "dropped_quality_outlier"}
+    rows = [("g", p, 9.0) for p in "abcdefgh"] + [("g", "x", 1.0), ("g", "y", 1.0)]
+    got = quality.drop_policy(spark.createDataFrame(rows, "g string, p string, s double"), ["g"], "s", "p", min_frames=9, fraction=0.5).collect()
+    assert {r.p: r.drop_status for r in got} == {"a": "reference", **dict.fromkeys("bcdefghx", "kept"), "y": "dropped_quality_outlier"}
 
 
 def test_measures_give_errors_as_rows(spark):
