@@ -32,4 +32,4 @@ def test_stages_take_odd_rows(spark, odd):
 
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
-    assert [sum(k.startswith(f"op{n}_") for k in names) for n in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(k.startswith(f"op{n}_") for k in names) for n in range(1, 14)] == [1] * 13 and "pipeline" in names
