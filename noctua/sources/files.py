@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noctua.functions.scalar import finite, parse_date_obs, sexagesimal, unquote
+from noctua.functions.scalar import finite, parse_date_obs, sexagesimal
 from noctua.operators.tiles import TILE, cut_tiles
 
 # --- images ---------------------------------------------------------------------------------------------------------------
