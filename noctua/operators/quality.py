@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noctua.functions import scalar as S
-from noctua.operators.stats import _join, medians, nearest_rank, numbered, quantiles
+from noctua.operators.stats import _join, counted, medians, nearest_rank, numbered, quantiles, ranked
 from noctua.session import written
 
 # --- X1: metrics ---------------------------------------------------------------------------------------------------------
@@ -67,27 +67,30 @@ def drop_policy(df: DataFrame, keys: list[str], score: str, path: str, min_frame
     row by (score desc, path); sequence_index counts kept rows in that order.  Others: skipped_invalid_score.
     """
     rows = df.withColumn("_s", S.finite(F.col(score)))
-    q = nearest_rank(rows, keys, "_s", [0.25, 0.75], ["_q1", "_q3"]).withColumn("threshold", F.col("_q1") - 1.5 * (F.col("_q3") - F.col("_q1"))).select(*keys, F.col("n").alias("_n"), "threshold")
-    rows = _join(rows, q, keys, "left")
-    valid = F.col("_s").isNotNull()
-    best = F.row_number().over(Window.partitionBy(*keys, valid).orderBy(F.desc("_s"), path))
-    rows = rows.withColumn("_rank", F.when(valid, best))
-    out = valid & (F.col("_rank") > 1) & (F.col("_s") < F.col("threshold"))
-    rows = rows.withColumn("_out", F.coalesce(out, F.lit(False)))
-    worst = F.row_number().over(Window.partitionBy(*keys, "_out").orderBy(F.asc("_s"), path))
-    rows = rows.withColumn("_bad", F.col("_out") & (worst <= F.floor(F.col("_n") * fraction)))
-    group = Window.partitionBy(*keys, "_bad")
-    restored = F.greatest(F.lit(min_frames) - (F.col("_n") - F.count("*").over(group)), F.lit(0))
-    rows = rows.withColumn("_dropped", F.col("_bad") & (F.row_number().over(group.orderBy(F.desc("_s"), path)) > restored))
-    few = F.coalesce(F.col("_n") < min_frames, F.lit(True))
+    # of each score: _less rows are worse, _same are equal; of each group: quartiles and the number of rows that go at first
+    values = written(ranked(counted(rows, keys, "_s"), keys).select(*keys, F.col("x").alias("_s"), F.col("c").alias("_same"), (F.col("upto") - F.col("c")).alias("_less"), F.col("n").alias("_n")), "score-ranks")
+    at = lambda q: F.min(F.when(F.col("_less") + F.col("_same") > S.half_even(q * (F.col("_n") - 1)), F.col("_s")))
+    q = values.groupBy(*keys).agg(at(0.25).alias("_q1"), at(0.75).alias("_q3")).withColumn("threshold", F.col("_q1") - 1.5 * (F.col("_q3") - F.col("_q1")))
+    out = _join(values, q, keys).groupBy(*keys).agg(F.first("threshold").alias("threshold"), F.first("_n").alias("_valid"), F.coalesce(F.sum(F.when(F.col("_s") < F.col("threshold"), F.col("_same"))), F.lit(0)).alias("_out"))
+    out = out.withColumn("_bad", F.least("_out", F.floor(F.col("_valid") * fraction))).withColumn("_back", F.greatest(F.lit(min_frames) - (F.col("_valid") - F.col("_bad")), F.lit(0)))
+    valid = numbered(rows.where("_s is not null"), keys, [F.desc("_s"), F.asc(path)], "_rank")
+    rows = valid.unionByName(rows.where("_s is null").withColumn("_rank", F.lit(None).cast("long")))
+    rows = _join(_join(rows, values.drop("_n"), [*keys, "_s"], "left"), out, keys, "left")
+    # the place among equals by path, the place from the worst, and the place from the best of those that go
+    rank, n, bad = F.col("_rank"), F.col("_valid"), F.col("_bad")
+    among = rank - (n - F.col("_less") - F.col("_same"))
+    edge = (F.col("_less") < bad) & (F.col("_less") + F.col("_same") >= bad)  # the score at which the dropped end
+    goes = F.col("_less") + among <= bad
+    gone = goes & (F.when(edge, among).otherwise(rank - (n - bad)) > F.col("_back"))
+    few = F.coalesce(n < min_frames, F.lit(True))
     status = (
-        F.when(~valid, "skipped_invalid_score").when(few, "too_few_valid_scores").when(F.col("_rank") == 1, "reference")
-        .when(F.col("_dropped"), "dropped_quality_outlier").otherwise("kept")
+        F.when(rank.isNull(), "skipped_invalid_score").when(few, "too_few_valid_scores").when(rank == 1, "reference")
+        .when(gone, "dropped_quality_outlier").otherwise("kept")
     )
-    rows = rows.withColumn("drop_status", status)
+    before = F.when(edge & ~goes, F.greatest(bad - F.col("_less") - F.col("_back"), F.lit(0))).otherwise(0)  # equals that went, which come first by path
     kept = F.col("drop_status").isin("reference", "kept")
-    index = F.row_number().over(Window.partitionBy(*keys, kept).orderBy(F.desc("_s"), path))
-    return rows.withColumns({"sequence_index": F.when(kept, index), "quality_rank": F.col("_rank")}).drop("_s", "_n", "_rank", "_out", "_bad", "_dropped")
+    rows = rows.withColumn("drop_status", status).withColumns({"sequence_index": F.when(kept, rank - before), "quality_rank": rank})
+    return rows.select(*df.columns, "threshold", "drop_status", "sequence_index", "quality_rank")
 
 
 def group_plan(status: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noctua.functions.scalar import FILTER_ORDER, content_name
+from noctua.operators.stats import numbered
 
 
 def sessions(frames: DataFrame, keys: list[str], order: str, others: dict[str, Column]) -> DataFrame:
@@ -79,8 +80,7 @@ def plan_totals(plan: DataFrame, keys: list[str], exposure: str, count: str) ->
 
 def renumber(files: DataFrame, keys: list[str], order: list[str], width: int = 5) -> DataFrame:
     """Consecutive numbers from 1 over all directories of a key, as text of a fixed width."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return files.withColumn("number", n).withColumn("number_text", F.format_string(f"%0{width}d", n))
+    return numbered(files, keys, order, "number").withColumn("number", F.col("number").cast("int")).withColumn("number_text", F.format_string(f"%0{width}d", "number"))
 
 
 def unique_names(files: DataFrame, keys: list[str], base: str, path: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noctua.functions.scalar import finite
-from noctua.operators.stats import MAD_SIGMA, _join, plane_fit
+from noctua.operators.stats import MAD_SIGMA, _join, numbered, plane_fit
 from noctua.session import written
 
 TILE = "frame_id string, ty int, tx int, y0 int, x0 int, h int, w int, px array<float>"
@@ -336,7 +336,7 @@ def channel_medians(px: DataFrame, keys: list[str], value: str = "v") -> DataFra
 
 def prefix_stacks(frames: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Rows (stack_size, frame) for the stacks of the first 2, 4, 8, ... frames, and of all of them."""
-    x = frames.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+    x = numbered(frames, keys, order, "_k", "_n").withColumns({"_k": F.col("_k").cast("int"), "_n": F.col("_n").cast("int")})
     powers = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.log2("_n")).cast("int"))), lambda i: F.pow(F.lit(2.0), i).cast("int"))
     sizes = F.array_distinct(F.concat(F.filter(powers, lambda s: s <= F.col("_n")), F.array(F.col("_n").cast("int"))))
     return x.withColumn("stack_size", F.explode(F.filter(sizes, lambda s: (s >= F.col("_k")) & (s >= 2)))).drop("_k", "_n")
@@ -344,7 +344,7 @@ def prefix_stacks(frames: DataFrame, keys: list[str], order: list[str]) -> DataF
 
 def moving_stacks(frames: DataFrame, keys: list[str], order: list[str], n: int, with_last: bool = True) -> DataFrame:
     """Rows (stack, frame) of every run of n consecutive frames; stack is the place of its first frame, from 1."""
-    x = frames.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+    x = numbered(frames, keys, order, "_k", "_n").withColumns({"_k": F.col("_k").cast("int"), "_n": F.col("_n").cast("int")})
     last = F.col("_n") - n + (1 if with_last else 0)
     lo, hi = F.greatest(F.lit(1), F.col("_k") - n + 1), F.least(F.col("_k"), last.cast("int"))
     return x.where(hi >= lo).withColumn("stack", F.explode(F.sequence(lo, hi))).drop("_k", "_n")

@@ -448,6 +448,29 @@ def test_equal_outliers_are_dropped_by_path(spark):
     assert {r.p: r.drop_status for r in got} == {"a": "reference", **dict.fromkeys("bcdefghx", "kept"), "y": "dropped_quality_outlier"}
 
 
+@pytest.mark.parametrize("few", [stats.TASK_VALUES, 2])
+def test_drop_policy_as_row_by_row(spark, few, monkeypatch):
+    monkeypatch.setattr(stats, "TASK_VALUES", few)
+    rng = np.random.default_rng(6)
+    rows = [(g, f"p{i:02}", None if rng.random() < 0.05 else float(rng.choice([1, 2, 50, 51, 52, 53], p=[0.1, 0.1, 0.2, 0.2, 0.2, 0.2]))) for g, n in (("a", 40), ("b", 25), ("c", 2), (None, 30)) for i in range(n)]
+    d = spark.createDataFrame(rows, "g string, p string, s double")
+    for min_frames, fraction in ((3, 0.15), (20, 0.3), (28, 0.5), (39, 0.9)):
+        got = {(r.g, r.p): r for r in quality.drop_policy(d, ["g"], "s", "p", min_frames, fraction).collect()}
+        for g in ("a", "b", "c", None):
+            own = sorted(((s, p) for k, p, s in rows if k == g and s is not None), key=lambda x: (-x[0], x[1]))
+            if len(own) < min_frames:
+                assert all(got[g, p].drop_status == "too_few_valid_scores" for _, p in own)
+                continue
+            up = sorted(s for s, _ in own)
+            q1, q3 = up[round(0.25 * (len(up) - 1))], up[round(0.75 * (len(up) - 1))]
+            out = sorted((x for x in own[1:] if x[0] < q1 - 1.5 * (q3 - q1)), key=lambda x: (x[0], x[1]))[: int(len(own) * fraction)]
+            back = sorted(out, key=lambda x: (-x[0], x[1]))[: max(0, min_frames - (len(own) - len(out)))]
+            gone = {p for _, p in out} - {p for _, p in back}
+            assert {p for _, p in own if got[g, p].drop_status == "dropped_quality_outlier"} == gone
+            assert [p for _, p in own if p not in gone] == [p for i, p in sorted((got[g, p].sequence_index, p) for _, p in own if p not in gone)]
+            assert [got[g, p].quality_rank for _, p in own] == list(range(1, len(own) + 1))
+
+
 def test_measures_give_errors_as_rows(spark):
     kinds = "frame_id string, ty int, tx int, h int, w int, px array<float>"
     rows = [("a", 0, 0, 2, 2, [1.0, 2.0, 3.0, 4.0]), ("b", 0, 0, 1, 2, [1.0, None]), ("c", 0, 0, 2, 2, None), ("d", 0, 0, 2, 2, [1.0])]
