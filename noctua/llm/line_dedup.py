@@ -54,15 +54,16 @@ def dedup_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, doc
     hashed = F.transform(long, lambda x: F.struct(F.xxhash64(x["key"]).alias("h"), F.xxhash64(F.lit(1), x["key"]).alias("g"), x["at"].alias("at")))
     lines = base.select(F.col(own).alias("id"), F.col(first).alias("t"), F.col(second).alias("u"), F.explode(hashed).alias("x")).select("id", "t", "u", "x.*")
 
-    # keys on so many rows at least; the rows that hold them, with exact numbers of documents
-    often = lines.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs).select("h")
+    # Keys on so many rows at least; the rows that hold them, with exact numbers of documents.  What a join has on its right is
+    # written: dealt out by its own grouping, it would keep Spark from splitting the rows of a hot key on the left.
+    often = written(lines.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs).select("h"), "frequent-lines")
     shared = written(lines.join(often, "h", "left_semi"), "shared-lines")
     in_docs = shared.groupBy("h", "g", "id").agg(F.lit(1).alias("one"))
     counts = in_docs.groupBy("h", "g").agg(F.count("*").alias("n"), F.max("id").alias("top")).where(F.col("n") >= least_docs).select("h", "g", "top")
-    drop = shared.join(counts, ["h", "g"]).where(~F.col("id").eqNullSafe(F.col("top")))
+    drop = shared.join(written(counts, "repeated-lines"), ["h", "g"]).where(~F.col("id").eqNullSafe(F.col("top")))
     places = drop.groupBy("id", "t", "u").agg(F.sort_array(F.collect_set("at")).alias(gone)).withColumnsRenamed(dict(zip(("id", "t", "u"), other, strict=True)))
 
-    met = base.join(places, F.col(own).eqNullSafe(F.col(other[0])) & (F.col(first) == F.col(other[1])) & (F.col(second) == F.col(other[2])), "left")
+    met = base.join(written(places, "dropped-lines"), F.col(own).eqNullSafe(F.col(other[0])) & (F.col(first) == F.col(other[1])) & (F.col(second) == F.col(other[2])), "left")
     at = F.coalesce(F.col(gone), F.array().cast("array<int>"))
     once = F.transform(F.array(F.split(whole, "\n", -1)), lambda x: F.struct(F.size(x).cast("long").alias("n"), F.array_join(_without(x, at), "\n").alias("text")))[0]
     new = {"n_lines": F.col(f"`{kept}`.n"), "n_dropped": F.size(at).cast("long"), "kept_text": F.col(f"`{kept}`.text")}
