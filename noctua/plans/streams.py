@@ -4,6 +4,7 @@ those of the rule's SQL over all events that were not late."""
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -17,14 +18,15 @@ from noctua.streaming import telemetry
 
 HOUR = 3_600_000_000
 #: Events that come after the watermark has passed them: those of every eleventh id from before two days before the middle.
-MIDDLE = "(SELECT (min(epoch_us(ts)) + max(epoch_us(ts))) // 2 FROM main.events)"
-ON_TIME = f"events AS (SELECT * FROM main.events WHERE NOT (event_id % 11 = 0 AND epoch_us(ts) < {MIDDLE} - 48 * {HOUR}))"
+MIDDLE = "(SELECT (min(epoch_us(ts)) + max(epoch_us(ts))) // 2 FROM events)"
+ON_TIME = f"timely AS (SELECT * FROM events WHERE NOT (event_id % 11 = 0 AND epoch_us(ts) < {MIDDLE} - 48 * {HOUR}))"
 
 
 def on_time(sql: str) -> str:
     """The SQL over the events that are not late."""
-    head, rest = ("WITH RECURSIVE", sql.replace("WITH RECURSIVE", ",", 1)) if "WITH RECURSIVE" in sql else ("WITH", sql.replace("WITH", ",", 1) if sql.lstrip().startswith("WITH") else sql)
-    return f"{head} {ON_TIME} {rest.lstrip()}"
+    sql = re.sub(r"\bFROM events\b", "FROM timely", sql).strip()
+    head, rest = next(((h, "," + sql.removeprefix(h)) for h in ("WITH RECURSIVE", "WITH") if sql.startswith(h)), ("WITH", sql))
+    return f"{head} {ON_TIME} {rest}"
 
 
 def _streamed(t: Tables, events: DataFrame, rule: Callable[[DataFrame], DataFrame]) -> DataFrame:
