@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,11 +59,16 @@ def match_nearest(left: DataFrame, right: DataFrame, left_id: str, left_value: s
     """For each left row the right row with equal `keys`, `known` columns equal or unknown on the left, and the nearest
     value; ties to the smaller id; at most `within` away.  left_id, match_id, distance; rows without a match keep NULLs.
 
-    The right side is reduced to distinct values first.  With `within` the join is on buckets of that width; without it, and
-    with no `known`, each left row takes the values next to its own, below and above, from one ordered pass over both
-    sides, so no key is compared with itself.  Only unknown columns need the join on the keys alone."""
-    if within is None and not known:
-        return _match_next(left, right, left_id, left_value, right_id, right_value, keys)
+    The right side is reduced to distinct values first.  With `within` the join is on buckets of that width; without it each left
+    row takes the values next to its own, below and above, from one ordered pass over both sides, so no key is compared with
+    itself.  Of `known` columns, which are few, each pattern of unknown ones makes a pass of its own."""
+    if within is None:
+        parts = []
+        for pattern in product((True, False), repeat=len(known or [])):
+            has = [k for k, on in zip(known or [], pattern, strict=True) if on]
+            own = [F.col(k).isNotNull() if k in has else F.col(k).isNull() for k in known or []]
+            parts.append(_match_next(left.where(reduce(Column.__and__, own)) if own else left, right, left_id, left_value, right_id, right_value, [*keys, *has]))
+        return reduce(DataFrame.unionByName, parts)
     r = right.select(*keys, *(known or []), F.col(right_id).alias("_rid"), F.col(right_value).cast("double").alias("_rv"))
     r = r.groupBy(*keys, *(known or []), "_rv").agg(F.min("_rid").alias("_rid")).withColumnsRenamed({k: f"_r_{k}" for k in [*keys, *(known or [])]})
     x = left.withColumn("_lv", F.col(left_value).cast("double"))

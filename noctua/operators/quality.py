@@ -93,6 +93,11 @@ def drop_policy(df: DataFrame, keys: list[str], score: str, path: str, min_frame
     return rows.select(*df.columns, "threshold", "drop_status", "sequence_index", "quality_rank")
 
 
+def kept_frames(status: DataFrame) -> DataFrame:
+    """U4: of the rows of drop_policy those that stay: the valid ones less the dropped."""
+    return status.where(F.col("drop_status").isin("reference", "kept"))
+
+
 def group_plan(status: DataFrame, keys: list[str]) -> DataFrame:
     """For each group frames, kept, dropped and the reason why it is not run (NULL: it is)."""
     kept = F.count_if(F.col("drop_status").isin("reference", "kept"))

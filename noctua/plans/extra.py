@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from noctua.functions import scalar as S
 from noctua.operators import lnc, quality, sessions, tiles
-from noctua.plans.base import Tables, query, r, rounded
+from noctua.plans import statistics  # noqa: F401  whose SQL is used here
+from noctua.plans.base import ORACLE_SQL, Tables, query, r, rounded
 from noctua.plans.sky import NODES, PX, _px, _tiles
 
 
@@ -59,9 +60,10 @@ def _(t: Tables):
     return t.part.select("p_partkey", S.primary_role(F.array(F.lit("other"), first)).alias("role"))
 
 
-@query("u4_kept_frames", "SELECT p_partkey FROM part WHERE p_size >= 10")
+@query("u4_kept_frames", f"SELECT event_type, event_id, sequence_index FROM ({ORACLE_SQL['w5_drop_policy']}) WHERE drop_status IN ('reference', 'kept')")
 def _(t: Tables):
-    return t.part.withColumn("dropped", F.col("p_size") < 10).where("not dropped").select("p_partkey")
+    status = quality.drop_policy(t.events.withColumn("score", -F.col("value")), ["event_type"], "score", "event_id")
+    return quality.kept_frames(status).select("event_type", "event_id", F.col("sequence_index").cast("long").alias("sequence_index"))
 
 
 @query("t10_log_tail", "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 500")

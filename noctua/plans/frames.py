@@ -389,6 +389,19 @@ def _(t: Tables):
     return got.select("p_partkey", "match_id", r("distance").alias("distance"))
 
 
+@query("j10_nearest_known", """
+WITH l AS (SELECT *, CASE WHEN p_partkey % 3 <> 0 THEN p_partkey % 2 END AS a, CASE WHEN p_partkey % 5 <> 0 THEN p_size % 3 END AS b FROM part),
+x AS (SELECT l.p_partkey, s.s_suppkey, abs(p_retailprice - s_acctbal) AS d, row_number() OVER (PARTITION BY l.p_partkey ORDER BY abs(p_retailprice - s_acctbal), s_suppkey) AS k FROM l JOIN supplier s ON s_nationkey % 5 = p_size % 5 AND (a IS NULL OR a = s_suppkey % 2) AND (b IS NULL OR b = s_suppkey % 3))
+SELECT l.p_partkey, s_suppkey AS match_id, round(d, 6) AS distance FROM l LEFT JOIN x ON x.p_partkey = l.p_partkey AND k = 1
+""")
+def _(t: Tables):
+    n = F.col("p_partkey")
+    left = t.part.withColumns({"g": F.col("p_size") % 5, "a": F.when(n % 3 != 0, n % 2), "b": F.when(n % 5 != 0, F.col("p_size") % 3)})
+    right = t.supplier.withColumns({"g": F.col("s_nationkey") % 5, "a": F.col("s_suppkey") % 2, "b": F.col("s_suppkey") % 3})
+    got = joins.match_nearest(left, right, "p_partkey", "p_retailprice", "s_suppkey", "s_acctbal", ["g"], ["a", "b"])
+    return got.select("p_partkey", "match_id", r("distance").alias("distance"))
+
+
 @query("j10_nearest_within", """
 WITH x AS (SELECT p.p_partkey, s.s_suppkey, abs(p.p_retailprice - s.s_acctbal) AS d, row_number() OVER (PARTITION BY p.p_partkey ORDER BY abs(p.p_retailprice - s.s_acctbal), s.s_suppkey) AS k FROM part p JOIN supplier s ON abs(p.p_retailprice - s.s_acctbal) <= 5)
 SELECT p.p_partkey, s_suppkey AS match_id, round(d, 6) AS distance FROM part p LEFT JOIN x ON x.p_partkey = p.p_partkey AND k = 1
