@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -30,7 +31,7 @@ from noctua.session import written
 #: Pairs of a part, keys of a small hash bucket, buckets of a building task, slots of a block of counts.
 PART, KEYS, TASK, BLOCK = 1 << 23, 3, 1 << 14, 1 << 16
 #: Bytes that a worker keeps of aligned pieces; pairs that a task sums before it hands them on.
-KEPT_BYTES, HELD = 160 << 20, 1 << 21
+KEPT_BYTES, HELD = 112 << 20, 1 << 21
 #: Bytes of pieces that are given to a tokenizer as one text.
 JOINED = 1 << 15
 COLUMNS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
@@ -57,6 +58,7 @@ class ByteLevel:
     """Ids of a byte-level file of the tokenizers library; special tokens in texts are plain text."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
