@@ -14,6 +14,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,9 @@ LONGEST = 18
 BLOCK_IDS = 1 << 16
 #: How the pieces of a word-level BPE are found; Tokenizer finds the same ones.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+#: The byte-level alphabet: bytes that Latin-1 does not show, in order, are the characters from 256 up.
+VISIBLE = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 BLOCK = "file int, block int, before long, n_ids long, doc_ids array<long>, sizes array<int>, bits binary, marks binary"
 
 
@@ -94,6 +98,24 @@ class Code:
         out[word[first] + 1] += np.add.reduceat(window & np.uint64(0xFFFFFFFF), first)
         return out.astype(">u4").tobytes()[: int(end[-1] + 7 >> 3)], start[::MARK]
 
+    def encode_each(self, ids: np.ndarray, cut: np.ndarray) -> list[tuple[bytes, np.ndarray]]:
+        """What encode gives for each ids[cut[i] : cut[i + 1]], none of them empty, at once."""
+        size = self.lengths[ids]
+        end = np.cumsum(size)
+        first = end[cut[:-1]] - size[cut[:-1]]
+        bits = end[cut[1:] - 1] - first
+        words = np.concatenate(([0], np.cumsum(bits + 31 >> 5)))
+        shift = np.repeat(32 * words[:-1] - first, np.diff(cut))
+        start = end - size + shift
+        window = self.codes[ids] << (64 - (start & 31) - size).astype(np.uint64)
+        word = start >> 5
+        at = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+        out = np.zeros(int(words[-1]) + 1, np.uint64)
+        out[word[at]] += np.add.reduceat(window >> np.uint64(32), at)
+        out[word[at] + 1] += np.add.reduceat(window & np.uint64(0xFFFFFFFF), at)
+        data = out.astype(">u4").tobytes()
+        return [(data[4 * w : 4 * w + (b + 7 >> 3)], start[i:j:MARK] - 32 * w) for w, b, i, j in zip(words.tolist(), bits.tolist(), cut.tolist(), cut[1:].tolist(), strict=False)]
+
     def decode(self, bits: list[bytes], marks: list[np.ndarray], counts: list[int]) -> np.ndarray:
         """The ids of several blocks, one after the other; all stretches between marks advance together."""
         base = np.cumsum([0] + [len(b) for b in bits])
@@ -141,10 +163,11 @@ class Tokenizer:
     """Ids of whole texts from a tokenizer file of the tokenizers library.
 
     For a BPE whose pieces are runs of letters, single numbers or runs of other marks, and end in an end-of-word mark,
-    each distinct piece is encoded by the library once and remembered by its hash, up to `keep` pieces; a text with
-    characters that this might treat differently, with special tokens, or not in NFC, goes to the library whole."""
+    pieces are encoded by the library and remembered by their hashes in a table, where a piece gives way to another of
+    its slot, and all do after `keep` pieces; a text with characters that this might treat differently, with special
+    tokens, or not in NFC, goes to the library whole."""
 
-    def __init__(self, path: str, keep: int = 500_000, table_bits: int = 21):
+    def __init__(self, path: str, keep: int = 400_000, table_bits: int = 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer as Library
 
@@ -155,32 +178,23 @@ class Tokenizer:
         vocabulary = self.library.get_vocab()
         self.size = max(vocabulary.values()) + 1
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-        self.by_piece = bool(mark) and (steps[0].get("pattern") or {}).get("Regex") == PIECES and (spec.get("normalizer") or {}).get("type") == "Sequence"
-        self.ends = np.zeros(self.size, bool)
+        self.by_piece = bool(mark) and (steps[0].get("pattern") or {}).get("Regex") == PIECES and steps[1:] == [BYTES] and (spec.get("normalizer") or {}).get("type") == "Sequence"
         if self.by_piece:
-            for word, i in vocabulary.items():
-                self.ends[i] = word.endswith(mark)
             self.kind, self.lower = _characters()
+            self.code = mix(np.arange(1, len(self.kind) + 1, dtype=np.uint64))
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
         self.flat, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
         self.slot_key, self.slot_place = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
 
-    def _learn(self, hashes: list[int], pieces: list[str]) -> None:
-        flat, bounds = [self.flat], [self.bounds]
-        for at in range(0, len(pieces), 4096):
-            some = pieces[at : at + 4096]
-            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) != len(some):
-                each = [np.array(e.ids, np.uint32) for e in self.library.encode_batch(some, add_special_tokens=False)]
-                ids, cut = np.concatenate(each), np.cumsum([len(e) for e in each])
-            flat.append(ids)
-            bounds.append(bounds[-1][-1] + cut)
-        self.place.update(zip(hashes, range(len(self.place), len(self.place) + len(pieces)), strict=True))
-        self.flat, self.bounds = np.concatenate(flat), np.concatenate(bounds)
+    def _learn(self, pieces: list[str]) -> None:
+        """Ids of more pieces, which the library's model takes as visible characters, one for each byte."""
+        model = self.library.model
+        each = [[t.id for t in model.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(VISIBLE))] for p in pieces]
+        more = np.cumsum(np.fromiter(map(len, each), np.int64, len(each)))
+        self.bounds = np.concatenate((self.bounds, self.bounds[-1] + more))
+        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(each), np.uint32, int(more[-1]))))
 
     def _pieces(self, codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begin and end of each piece; codes are lower case."""
@@ -212,27 +226,28 @@ class Tokenizer:
         whole = lambda t: np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32)
         if not self.by_piece:
             return [whole(t or "") for t in texts]
-        if len(self.place) > self.keep:
+        if len(self.bounds) > self.keep:
             self.clear()
         codes = [np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
         alone = [bool(len(c)) and ("<|" in t or (self.kind[c] == ODD).any() or not t.isascii() and not unicodedata.is_normalized("NFC", t)) for t, c in zip(texts, codes, strict=True)]
         plain = [c if not a else c[:0] for c, a in zip(codes, alone, strict=True)]
         offsets = np.concatenate(([0], np.cumsum([len(c) for c in plain]))).astype(np.int64)
         code = self.lower[np.concatenate(plain)] if len(plain) else np.zeros(0, np.uint32)
+        del codes, plain
         begin, end = self._pieces(code, offsets)
-        h = run_hashes(mix(code.astype(np.uint64) + np.uint64(1)), begin, end)
+        h = run_hashes(code, begin, end, self.code)
         slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
         place = np.where(self.slot_key[slot] == h, self.slot_place[slot], -1).astype(np.int64)
         miss = np.flatnonzero(place < 0)
         if len(miss):
             keys, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            known = [k in self.place for k in keys.tolist()]
-            new = np.flatnonzero(~np.array(known, bool))
-            self._learn(keys[new].tolist(), [code[begin[i] : end[i]].tobytes().decode("utf-32-le") for i in miss[first[new]]])
-            at = np.fromiter(map(self.place.__getitem__, keys.tolist()), np.int64, len(keys))
+            at = len(self.bounds) - 1 + np.arange(len(keys))
+            text = code.tobytes().decode("utf-32-le")
+            self._learn([text[i:j] for i, j in zip(begin[miss[first]].tolist(), end[miss[first]].tolist(), strict=True)])
             place[miss] = at[back]
             where = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
-            self.slot_key[where], self.slot_place[where] = keys, at
+            self.slot_place[where] = at  # of keys with one slot the last stays, here and there
+            self.slot_key[where] = keys
         start = self.bounds[place]
         n = self.bounds[place + 1] - start
         total = np.concatenate(([0], np.cumsum(n)))
@@ -255,10 +270,10 @@ def _tokenize(batches: Iterator[pa.RecordBatch], path: str, end: int, spool: Cod
     counts = np.zeros(max(tok.size, end + 1), np.int64)
     kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
     names = ["doc_id", "n", "bits", "marks", "counts"]
-    for batch in chunks(batches, size=1 << 21, forget=tokenizer.cache_clear):
+    for batch in chunks(batches, forget=tokenizer.cache_clear):
         ids = [np.append(x, np.uint32(end)) for x in tok.encode(batch.column("text").to_pylist())]
         counts += np.bincount(np.concatenate(ids), minlength=len(counts))
-        coded = [spool.encode(x) for x in ids]
+        coded = spool.encode_each(np.concatenate(ids), np.cumsum([0, *map(len, ids)]))
         columns = [batch.column("doc_id"), [len(x) for x in ids], [c[0] for c in coded], [c[1].astype(np.int32).tobytes() for c in coded], [None] * len(ids)]
         yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
     yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((None, 0, None, None, counts.tobytes()), kinds, strict=True)], names)

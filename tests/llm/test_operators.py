@@ -674,6 +674,34 @@ def test_tokenizer_gives_the_library_s_ids():
     assert [g.tolist() for g in got] == want
 
 
+def test_a_tokenizer_keeps_little_for_a_piece():
+    """Pieces beyond what it keeps, in a table with fewer slots, and how much it holds for each."""
+    import tracemalloc
+
+    words = [f"{a}{b}{c}é" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz" for c in "abcdefghijklmnopqrstuvwxyz"]
+    small = token_store.Tokenizer(tokenizer_file(), keep=300, table_bits=5)
+    some = [" ".join(words[i : i + 60]) for i in range(0, 1200, 20)]
+    want = [e.ids for e in small.library.encode_batch(some, add_special_tokens=False)]
+    assert [x.tolist() for at in range(0, len(some), 4) for x in small.encode(some[at : at + 4])] == want
+    t = token_store.Tokenizer(tokenizer_file())
+    t.encode(["a"])
+    tracemalloc.start()
+    t.encode([" ".join(words)])
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 50 * len(words)
+
+
+def test_documents_are_coded_at_once_as_one_by_one():
+    rng = np.random.default_rng(3)
+    code = token_store.Code(token_store.code_lengths(rng.integers(1, 5000, 700)))
+    docs = [rng.integers(0, 700, n) for n in (1, 2, 127, 128, 129, 1, 5000, 1)]
+    got = code.encode_each(np.concatenate(docs), np.cumsum([0, *map(len, docs)]))
+    for d, (bits, marks) in zip(docs, got, strict=True):
+        one = code.encode(d)
+        assert bits == one[0] and marks.tolist() == one[1].tolist()
+
+
 def _stored(spark, df, **options):
     path = token_store.write_tokens(df, token_store.fresh_path(spark), tokenizer_file(), **options)
     return token_store.read_tokens(spark, path).collect(), token_store.token_digests(spark, path).collect()
