@@ -449,6 +449,21 @@ def test_language_model_of_odd_rows(spark, odd_rows, nothing):
     assert lm.score_texts(nothing.select("doc_id", "text", F.lit(False).alias("held_out"))).count() == 0
 
 
+def test_a_hot_context_is_one_restaurant(spark, documents):
+    """Scores are the same whether frequent contexts stay in their parts or are dealt over pieces."""
+    d = documents.select("doc_id", "text", (F.col("doc_id") % 7 == 2).alias("held_out")).limit(300)
+    more = spark.createDataFrame([(10_000 + i, " ".join(f"the w{i * j % 97}" for j in range(1, 120)), i % 5 == 0) for i in range(200)], d.schema)
+    d = d.union(more)
+    whole = {r.doc_id: r for r in lm.score_texts(d).collect()}
+    tokens = next(iter(whole.values())).train_tokens
+    for part_tokens in (tokens // 4 + 1, tokens // 9):  # as many parts as above; more parts, of whose words the root's discount is
+        got = {r.doc_id: r for r in lm.score_texts(d, part_tokens=part_tokens).collect()}
+        assert got.keys() == whole.keys()
+        for i, r in got.items():
+            assert r[:5] == whole[i][:5] and r.base_score == pytest.approx(whole[i].base_score)
+            assert r.score == pytest.approx(whole[i].score, rel=1e-9 if part_tokens > tokens // 4 else 5e-3)
+
+
 def test_weights_of_small_seatings():
     """Three customers: one table in (1 - d)(2 - d) ways, two in 3 (1 - d), three in one."""
     got = np.exp(lm.log_seatings(0.5)[3, 1:4])
