@@ -141,11 +141,12 @@ def near_points(a: DataFrame, b: DataFrame, keys: list[str], radius: float) -> D
     """Pairs (id of a, id of b, distance) at most `radius` apart; both have keys, id, x, y.
 
     Points meet by square cells as wide as the radius; those of a are repeated in the nine cells around, so only
-    neighbours are compared."""
+    neighbours are compared.  The join is asked to be a merge join: Spark guesses a side's size by its compressed files, and would send a million
+    points through the driver as a broadcast."""
     left = a.select(*keys, F.col("id").alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.explode(_cells(F.col("x"), F.col("y"), radius)).alias("c")).select("*", "c.cx", "c.cy").drop("c")
     right = b.select(*keys, F.col("id").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by"), F.floor(F.col("x") / radius).alias("cx"), F.floor(F.col("y") / radius).alias("cy"))
     d = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))
-    return left.join(right, [*keys, "cx", "cy"]).withColumn("distance", d).where(F.col("distance") <= radius).select(*keys, "a_id", "b_id", "distance")
+    return left.join(right.hint("merge"), [*keys, "cx", "cy"]).withColumn("distance", d).where(F.col("distance") <= radius).select(*keys, "a_id", "b_id", "distance")
 
 
 def cross_match(targets: DataFrame, references: DataFrame, keys: list[str], radius: float) -> DataFrame:
