@@ -161,7 +161,7 @@ def cross_match(targets: DataFrame, references: DataFrame, keys: list[str], radi
 def isolation(stars: DataFrame, keys: list[str], radius: float) -> DataFrame:
     """The nearest other star of the same frame within the radius; NULL means isolated."""
     near = near_points(stars, stars, keys, radius).where("a_id <> b_id").groupBy(*keys, F.col("a_id").alias("id")).agg(F.min("distance").alias("nearest"))
-    return stars.join(near, [*keys, "id"], "left")
+    return stars.join(near.hint("merge"), [*keys, "id"], "left")  # near has about as many rows as stars
 
 
 def choose_convention(matches: DataFrame, keys: list[str], convention: str, distance: str) -> DataFrame:

@@ -14,3 +14,10 @@ def test_near_points_never_sends_a_side_through_the_driver(spark):
     assert "BroadcastHashJoin" in plan(d.join(d.select("id", F.col("x").alias("z")), "id"))
     assert "BroadcastHashJoin" not in plan(joins.cross_match(d, d, ["f"], 1.5))
 
+
+
+def test_isolation_never_sends_a_side_through_the_driver(spark):
+    d = spark.range(100).select(F.lit("f").alias("f"), "id", F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"))
+    got = joins.isolation(d, ["f"], 1.5)
+    assert "BroadcastHashJoin" not in plan(got)
+    assert {r.nearest for r in got.collect()} == {1.0}
