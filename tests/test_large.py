@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from noctua.operators import joins
+from noctua.operators import joins, quality
 
 
 def plan(df):
@@ -21,3 +21,13 @@ def test_isolation_never_sends_a_side_through_the_driver(spark):
     got = joins.isolation(d, ["f"], 1.5)
     assert "BroadcastHashJoin" not in plan(got)
     assert {r.nearest for r in got.collect()} == {1.0}
+
+
+def test_blended_roles_of_strengths_that_differ_by_a_bit_take_the_larger_path(spark):
+    bit = 2.0**-50
+    shares = "score double, stars double, flux double, background double, gradient double, r2 double, patchiness double, rng double, valid double"
+    rows = [("g", p, 0.5 + (bit if p == 1 else 0), 0.5, 0.5, 0.5 + (bit if p == 3 else 0), 0.5, 0.5, 0.5, 0.5, 0.5) for p in range(1, 6)]
+    d = spark.createDataFrame(rows, f"g string, path int, {shares}")
+    pct = {c: c for c in ("score", "stars", "flux", "background", "gradient", "r2", "patchiness")} | {"range": "rng"}
+    got = {r.role: r.path for r in quality.blended_roles(d, ["g"], "path", pct, "valid").collect()}
+    assert (got["illum_reference_rank_1"], got["illum_reference_rank_2"], got["bright_gradient"]) == (5, 4, 3)
