@@ -11,11 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noctua.functions.scalar import finite, parse_date_obs, sexagesimal
 from noctua.operators.tiles import TILE, cut_tiles
+from noctua.session import written
 
 # --- images ---------------------------------------------------------------------------------------------------------------
 
@@ -127,10 +128,19 @@ def scan_tiles(files: DataFrame, size: int = 256) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line (from 0), value of text files; a file is one row on the way, so lines keep their order."""
-    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
+    """file, line (from 0), value of text files; a file of any size is read in splits, of which no task holds more than a line.
+
+    Lines come in order inside a split, and splits are known by where they begin, so a line's number is its place in the split and
+    the lines of the splits before, which a table of one row for each split tells.  Lines are written first, since splits may be
+    cut anew whenever a plan runs."""
+    lines = spark.read.text(path, lineSep="\n", recursiveFileLookup=True)
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"), F.regexp_replace("value", r"\r\z", "").alias("value"))
     inside = F.regexp_replace("file", "^.*?://", "")
-    return whole.where(~inside.rlike(r"/\.") & (F.col("value") != ""))
+    lines = written(lines.where(~inside.rlike(r"/\.")), "lines")
+    splits = lines.groupBy("file", "_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_start")) - F.col("_n")
+    splits = written(splits.select("file", "_start", (before - F.col("_first")).alias("_shift")), "splits")
+    return lines.where("value <> ''").join(splits, ["file", "_start"]).select("file", (F.col("_id") + F.col("_shift")).alias("line"), "value")
 
 
 def scan_focus_log(spark: SparkSession, path: str, r2_min: float | None = None) -> DataFrame:
@@ -184,8 +194,6 @@ def scan_star_lists(spark: SparkSession, path: str) -> DataFrame:
 def scan_sequences(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From numbered lines of sequence files: (sequences: file, name, start, number, reference; frames: file, place,
     index, included, width, height, m as nine numbers or NULL).  The k-th R line belongs to the k-th I line."""
-    from pyspark.sql import Window
-
     seq = lines.where(F.col("value").rlike("^S ")).select("file", F.regexp_extract("value", r"^S\s+'?([^']*?)'?\s+-?\d", 1).alias("name"), F.split(F.regexp_extract("value", r"^S\s+(?:'[^']*'|\S+)\s+(.*)$", 1), r"\s+").alias("n"))
     seq = seq.select("file", "name", F.get("n", F.lit(0)).try_cast("int").alias("start"), F.get("n", F.lit(1)).try_cast("int").alias("number"), F.get("n", F.lit(4)).try_cast("int").alias("reference"))
     w = Window.partitionBy("file").orderBy("line")

@@ -1,8 +1,10 @@
 """Plans and results that matter on large tables: no gathered groups, no broadcast of a large side, ties as in the SQL."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from noctua.operators import joins, quality
+from noctua.operators import joins, quality, stats
+from noctua.sources import files
 
 
 def plan(df):
@@ -31,3 +33,20 @@ def test_blended_roles_of_strengths_that_differ_by_a_bit_take_the_larger_path(sp
     pct = {c: c for c in ("score", "stars", "flux", "background", "gradient", "r2", "patchiness")} | {"range": "rng"}
     got = {r.role: r.path for r in quality.blended_roles(d, ["g"], "path", pct, "valid").collect()}
     assert (got["illum_reference_rank_1"], got["illum_reference_rank_2"], got["bright_gradient"]) == (5, 4, 3)
+
+
+def test_numbered_lines_of_files_cut_into_splits(spark, tmp_path):
+    """A file goes to several tasks, each of which holds a split only; lines keep their numbers, and CRLF and empty lines count."""
+    want = [("a.txt", i, f"line {i}") for i in range(5000) if i % 7] + [("b.txt", 0, "one"), ("b.txt", 2, "three")]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_bytes(b"".join(b"\r\n" if i % 7 == 0 else f"line {i}\r\n".encode() for i in range(5000)))
+    (tmp_path / "in/b.txt").write_bytes(b"one\n\nthree")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = files.numbered_lines(spark, str(tmp_path / "in"))
+        rows = got.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert "wholetext" not in plan(got) and not [n for n in plan(got).split() if "Generate" in n]
+    assert sorted((r.file.rpartition("/")[2], r.line, r.value) for r in rows) == want
