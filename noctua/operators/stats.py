@@ -78,6 +78,39 @@ def ranked(values: DataFrame, keys: list[str], most: int | None = None) -> DataF
     return _join(x, parts, [*keys, "_p"]).withColumn("upto", F.col("_before") + inside).drop("_p", "_before")
 
 
+def _few(values: DataFrame, keys: list[str]) -> bool:
+    """Whether no group has more rows than one task ranks."""
+    return (values.groupBy(*keys).agg(F.count("*").alias("_v")).agg(F.max("_v")).first()[0] or 0) <= TASK_VALUES
+
+
+#: Bins into which a pass of _middle deals the values of a group.
+BINS = 1 << 14
+
+
+def _middle(values: DataFrame, keys: list[str], value: str, span: DataFrame, names: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """keys, and for each name the exact median of a function that rises with `value`, by the counts _c.  span: keys, bounds of the
+    group's values (_from, _to) and its rows (_all).
+
+    Each pass counts the values of a group by bins of equal width and goes on inside the bin that holds the middle, until that is one
+    value or lies between two bins; so a group of any size is never gathered or sorted."""
+    x = values.select(*keys, F.col(value).alias("_x"), "_c")
+    state = span.select(*keys, "_from", "_to", F.floor((F.col("_all") - 1) / 2).alias("_a"), F.ceil((F.col("_all") - 1) / 2).alias("_b"))
+    found = []
+    while True:
+        at = F.least(F.floor(F.try_divide(F.col("_x") - F.col("_from"), F.col("_to") - F.col("_from")) * BINS), F.lit(BINS - 1))
+        inside = _join(x, state, keys).where(F.col("_x").between(F.col("_from"), F.col("_to")))
+        bins = inside.groupBy(*keys, "_a", "_b", F.coalesce(at, F.lit(0)).alias("_bin")).agg(F.sum("_c").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+        bins = bins.withColumn("_before", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bin")) - F.col("_n"))
+        hit = bins.where((F.col("_before") <= F.col("_b")) & (F.col("_before") + F.col("_n") > F.col("_a")))
+        hit = hit.groupBy(*keys, "_a", "_b").agg(F.count("*").alias("_k"), F.min("_lo").alias("_from"), F.max("_hi").alias("_to"), F.min("_hi").alias("_first"), F.max("_lo").alias("_last"), F.min("_before").alias("_before"))
+        hit = written(hit, "middle")
+        done = (F.col("_k") == 2) | (F.col("_from") == F.col("_to"))  # of two bins the middle lies between
+        found.append(hit.where(done).select(*keys, *[((of(F.col("_first")) + of(F.col("_last"))) / 2).alias(name) for name, of in names.items()]))
+        state = hit.where(~done).select(*keys, "_from", "_to", (F.col("_a") - F.col("_before")).alias("_a"), (F.col("_b") - F.col("_before")).alias("_b"))
+        if state.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, total: str | None = None) -> DataFrame:
     """df with the row's place in its group by `order`, from 1, and if asked the group's number of rows; spread over tasks
     as in ranked, so only rows alike in keys and order have to meet in one."""
@@ -238,7 +271,8 @@ def clipped_line_fit(df: DataFrame, keys: list[str], x: str, y: str, sigma: floa
 
 
 def clipped_line_fit_grouped(df: DataFrame, keys: list[str], x: str, y: str, sigma: float = 3.0, rounds: int = 10) -> DataFrame:
-    """G14 with the group in one task, for many small groups: keys, slope, intercept, std, n."""
+    """G14 with the group in one task, for many small groups: keys, slope, intercept, std, n.  Where a group has more rows than
+    a task ranks, all groups are fitted by sums."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf["_x"].to_numpy(float), pdf["_y"].to_numpy(float)
@@ -257,6 +291,9 @@ def clipped_line_fit_grouped(df: DataFrame, keys: list[str], x: str, y: str, sig
         return pdf.head(1)[keys].assign(slope=c[0], intercept=c[1], std=std, n=n)
 
     rows = df.select(*keys, finite(F.col(x)).alias("_x"), finite(F.col(y)).alias("_y")).where("_x is not null and _y is not null")
+    if not _few(rows, keys):
+        fits, _ = clipped_line_fit(rows, keys, "_x", "_y", sigma, rounds)
+        return fits.select(*keys, "slope", "intercept", F.when(F.col("slope").isNotNull(), F.col("std")).alias("std"), "n")
     kinds = ", ".join(f"`{k}` {t}" for k, t in df.dtypes if k in keys)
     return rows.groupBy(*keys).applyInPandas(fit, f"{kinds}, slope double, intercept double, std double, n long")
 
@@ -337,29 +374,46 @@ def clipped_ratio(df: DataFrame, keys: list[str], a: str, b: str, sigma: float =
 
     All log ratios within sigma times 1.4826 MAD (the standard deviation where the MAD is 0) of the median of those in use
     are in use next; a group stops, without applying the clip, if fewer than `least` would stay, and where sigma is 0.  Rounds end
-    when no group's bounds move.  The log ratios are written once, and each round scans them."""
+    when no group's bounds move.  Equal ratios are counted and written once, and each round scans them."""
     x, y = finite(F.col(a)), finite(F.col(b))
-    rows = written(df.select(*keys, F.when((x > 0) & (y > 0), F.log(y / x)).alias("_l"), F.try_divide(y, x).alias("_q")).where("_l is not null"), "log-ratios")
-    state = rows.groupBy(*keys).agg(F.min("_l").alias("lo"), F.max("_l").alias("hi"))  # what is kept lies between bounds
-    inside = F.when(F.col("_l").between(F.col("lo"), F.col("hi")), F.col("_l"))
+    rows = df.select(*keys, F.when((x > 0) & (y > 0), F.try_divide(y, x)).alias("_q")).where(finite(F.log("_q")).isNotNull())
+    rows = written(rows.groupBy(*keys, "_q").agg(F.count("*").alias("_c")).withColumn("_l", F.log("_q")), "log-ratios")
+    few = _few(rows, keys)
+    state = written(rows.groupBy(*keys).agg(F.min("_l").alias("lo"), F.max("_l").alias("hi"), F.sum("_c").alias("used")), "clipped-ratio")  # what is kept lies between bounds
+    kept = lambda of: _join(rows, of, keys).where(F.col("_l").between(F.col("lo"), F.col("hi")))
+    same = lambda c: c
+
+    def middles(of: DataFrame, *wanted: tuple[Column, Column, Column, dict[str, Callable[[Column], Column]]]) -> DataFrame:
+        """of with medians of rising functions of values, which lie between bounds."""
+        if few:
+            return written(_join(of, kept(of).groupBy(*keys).agg(*[F.percentile(f(v), 0.5, F.col("_c")).alias(name) for v, _, _, names in wanted for name, f in names.items()]), keys), "clipped-ratio")
+        got = of
+        for v, low, high, names in wanted:
+            got = _join(got, _middle(kept(of).withColumn("_v", v), keys, "_v", of.select(*keys, low.alias("_from"), high.alias("_to"), F.col("used").alias("_all")), names), keys)
+        return written(got, "clipped-ratio")
+
+    off = F.col("_l") - F.col("m")
+    mad = F.abs(off), F.lit(0.0), F.greatest(F.col("hi") - F.col("m"), F.col("m") - F.col("lo")), {"mad": same}
     for _ in range(rounds):
-        state = written(state, "clipped-ratio")
-        centre = _join(rows, state, keys).groupBy(*keys, "lo", "hi").agg(F.median(inside).alias("m"), F.stddev_pop(inside).alias("sd"))
-        centre = written(centre, "clipped-ratio")
-        spread = _join(rows, centre, keys).groupBy(*keys, "lo", "hi", "m", "sd").agg(F.median(F.abs(inside - F.col("m"))).alias("mad"))
+        spread = middles(middles(state, (F.col("_l"), F.col("lo"), F.col("hi"), {"m": same})), mad).withColumn("sd", F.lit(None).cast("double"))
+        if not spread.where("mad = 0").isEmpty():
+            mean, square = F.sum(F.col("_c") * off) / F.sum("_c"), F.sum(F.col("_c") * off * off) / F.sum("_c")
+            spread = _join(spread.drop("sd"), kept(spread).groupBy(*keys).agg(F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("sd")), keys)
         scale = F.when(F.col("mad") > 0, MAD_SIGMA * F.col("mad")).otherwise(F.col("sd"))
         bound = lambda old, side: F.when(scale > 0, F.col("m") + side * sigma * scale).otherwise(F.col(old))  # noqa: B023, E731
-        wide = written(spread.select(*keys, "lo", "hi", bound("lo", -1).alias("nlo"), bound("hi", 1).alias("nhi")), "clipped-ratio")
-        left = _join(rows, wide, keys).groupBy(*keys, "lo", "hi", "nlo", "nhi").agg(F.count_if(F.col("_l").between(F.col("nlo"), F.col("nhi"))).alias("c"))
+        wide = written(spread.select(*keys, "lo", "hi", "used", bound("lo", -1).alias("nlo"), bound("hi", 1).alias("nhi")), "clipped-ratio")
+        left = _join(rows, wide, keys).groupBy(*keys, "lo", "hi", "used", "nlo", "nhi").agg(F.sum(F.when(F.col("_l").between(F.col("nlo"), F.col("nhi")), F.col("_c")).otherwise(0)).alias("c"))
         moved = (F.col("c") >= least) & ((F.col("nlo") != F.col("lo")) | (F.col("nhi") != F.col("hi")))
         left = written(left.withColumn("moved", moved), "clipped-ratio")
-        state = left.select(*keys, *[F.when(F.col("c") >= least, F.col(f"n{c}")).otherwise(F.col(c)).alias(c) for c in ("lo", "hi")])
+        state = left.select(*keys, *[F.when(F.col("c") >= least, F.col(new)).otherwise(F.col(old)).alias(old) for new, old in (("nlo", "lo"), ("nhi", "hi"), ("c", "used"))])
         if left.where("moved").isEmpty():
             break
-    on = _join(rows, written(state, "clipped-ratio"), keys).where(F.col("_l").between(F.col("lo"), F.col("hi")))
-    centre = on.groupBy(*keys).agg(F.median("_l").alias("_m"), F.median("_q").alias("ratio"), F.count("*").alias("used"), F.first("lo").alias("low"), F.first("hi").alias("high"))
-    spread = _join(on, centre, keys).groupBy(*keys).agg(F.median(F.abs(F.col("_l") - F.col("_m"))).alias("mad"), F.median(F.abs(F.col("_q") - F.col("ratio"))).alias("ratio_mad"))
-    return _join(centre, spread, keys).where(F.col("used") >= least).select(*keys, "ratio", "ratio_mad", "mad", (MAD_SIGMA * F.col("mad")).alias("log_sigma"), "used", "low", "high")
+    state = written(state, "clipped-ratio")
+    state = written(_join(state, kept(state).groupBy(*keys).agg(F.min("_q").alias("_least"), F.max("_q").alias("_most")), keys), "clipped-ratio")
+    centre = middles(state, (F.col("_q"), F.col("_least"), F.col("_most"), {"m": F.log, "ratio": same}))
+    ratio_mad = F.abs(F.col("_q") - F.col("ratio")), F.lit(0.0), F.greatest(F.col("_most") - F.col("ratio"), F.col("ratio") - F.col("_least")), {"ratio_mad": same}
+    got = middles(centre, mad, ratio_mad)
+    return got.where(F.col("used") >= least).select(*keys, "ratio", "ratio_mad", "mad", (MAD_SIGMA * F.col("mad")).alias("log_sigma"), "used", F.col("lo").alias("low"), F.col("hi").alias("high"))
 
 
 def trimmed_affine(df: DataFrame, keys: list[str], ref: str, target: str, tie: list[str], trim: float = 0.10, low: float = 0.5, high: float = 2.0, least: int = 16, background: str = "median", min_samples: int = 2000) -> DataFrame:

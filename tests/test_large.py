@@ -50,3 +50,31 @@ def test_numbered_lines_of_files_cut_into_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert "wholetext" not in plan(got) and not [n for n in plan(got).split() if "Generate" in n]
     assert sorted((r.file.rpartition("/")[2], r.line, r.value) for r in rows) == want
+
+
+def test_clipped_ratio_of_large_groups_gathers_none(spark, monkeypatch):
+    d = spark.range(4000).select((F.col("id") % 2).alias("g"), (1 + F.col("id") % 97).cast("double").alias("a"), (3 + F.col("id") * 7919 % 1009).cast("double").alias("b"))
+    d = d.unionByName(d.where("g = 0 and a < 9"))
+    want = {r.g: r for r in stats.clipped_ratio(d, ["g"], "a", "b", 1.5, 3, 3).collect()}
+    monkeypatch.setattr(stats, "TASK_VALUES", 10)
+    monkeypatch.setattr(stats, "BINS", 8)
+    used, real = [], stats._middle
+    monkeypatch.setattr(stats, "_middle", lambda *a: used.append(1) or real(*a))
+    for r in stats.clipped_ratio(d, ["g"], "a", "b", 1.5, 3, 3).collect():
+        assert r.used == want[r.g].used < 2000 + 200
+        for name in ("ratio", "ratio_mad", "mad", "low", "high"):
+            assert r[name] == pytest.approx(want[r.g][name], rel=1e-12)
+    assert used
+
+
+def test_clipped_line_of_large_groups_gathers_none(spark, monkeypatch):
+    d = spark.range(3000).select((F.col("id") % 2).alias("g"), (F.col("id") % 50).cast("double").alias("x"), (F.col("id") * 7919 % 1009).cast("double").alias("y"))
+    d = d.unionByName(spark.createDataFrame([(2, 1.0, 1.0)], "g long, x double, y double"))
+    small = {r.g: r for r in stats.clipped_line_fit_grouped(d, ["g"], "x", "y", 1.5, 5).collect()}
+    monkeypatch.setattr(stats, "TASK_VALUES", 10)
+    got = stats.clipped_line_fit_grouped(d, ["g"], "x", "y", 1.5, 5)
+    assert "Pandas" not in plan(got)
+    for r in got.collect():
+        assert r.n == small[r.g].n
+        for name in ("slope", "intercept", "std"):
+            assert r[name] == (pytest.approx(small[r.g][name]) if small[r.g][name] is not None else None)
