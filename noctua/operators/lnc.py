@@ -206,15 +206,31 @@ def fit_nodes(samples: DataFrame, model: str = "affine", estimator: str = "media
     then ref; floor(trim n) go at each end.  A node with fewer than `min_samples`, or fewer than max(least, min_samples // 2)
     after the trim, is left out; a scale outside [low, high] gives 1 and the difference of the backgrounds.  A node holds at
     most the pixels of its window, which one task reads."""
-    if model not in ("affine", "additive") or estimator not in ("median", "mean"):
-        raise ValueError(f"no such model or estimator: {model}, {estimator}")
+    return fit_models(samples, [(model, estimator)], gain, trim, low, high, least, min_samples).drop("model", "estimator")
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = _trimmed_fit(np.concatenate(pdf["ref"].tolist()), np.concatenate(pdf["target"].tolist()), trim, low, high, least, min_samples, estimator == "mean", gain if model == "additive" else None)
-        return pdf.head(1 if got else 0)[["pair_id", "gy", "gx"]].assign(**dict(zip([*FIELDS, "used", "clamped"], got or [None] * 6, strict=True)))
+
+def fit_models(samples: DataFrame, models: list[tuple[str, str]], gain: float = 1.0, trim: float = 0.10, low: float = 0.5, high: float = 2.0, least: int = 16, min_samples: int = 2000) -> DataFrame:
+    """fit_nodes by several (model, estimator) in one pass: model, estimator, and the columns of fit_nodes.
+
+    The samples of a node are packed in one row, so tasks fit batches of nodes."""
+    for model, estimator in models:
+        if model not in ("affine", "additive") or estimator not in ("median", "mean"):
+            raise ValueError(f"no such model or estimator: {model}, {estimator}")
+    node = ["pair_id", "gy", "gx"]
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                ref, target = np.concatenate(list(r.ref)), np.concatenate(list(r.target))
+                for model, estimator in models:
+                    if got := _trimmed_fit(ref, target, trim, low, high, least, min_samples, estimator == "mean", gain if model == "additive" else None):
+                        rows.append((model, estimator, r.pair_id, r.gy, r.gx, *got))
+            yield pd.DataFrame(rows, columns=["model", "estimator", *node, *FIELDS, "used", "clamped"])
 
     kind = dict(samples.dtypes)["pair_id"]
-    return samples.groupBy("pair_id", "gy", "gx").applyInPandas(fit, f"pair_id {kind}, gy int, gx int, scale double, offset double, ref_bg double, target_bg double, used long, clamped boolean")
+    packed = samples.groupBy(*node).agg(F.collect_list(F.struct("ref", "target")).alias("s")).select(*node, F.col("s.ref").alias("ref"), F.col("s.target").alias("target"))
+    return packed.mapInPandas(fit, f"model string, estimator string, pair_id {kind}, gy int, gx int, scale double, offset double, ref_bg double, target_bg double, used long, clamped boolean")
 
 
 def patch_medians(samples: DataFrame, patch: int, k: float = 2.5) -> DataFrame:

@@ -57,13 +57,8 @@ SELECT * FROM (
 def _(t: Tables):
     ref, target = _masked(t)
     samples = lnc.written(lnc.paired_samples(ref, target, _pairs(t), 4, 7, 4), "samples")
-    found = None
-    for model in ("affine", "additive"):
-        for estimator in ("median", "mean"):
-            fit = lnc.fit_nodes(samples, model, estimator, 1.1, low=0.05, least=8, min_samples=12)
-            part = fit.select(F.lit(model).alias("model"), F.lit(estimator).alias("estimator"), "pair_id", "gy", "gx", r("scale", 5).alias("scale"), r("offset", 5).alias("offset"), r("ref_bg").alias("ref_bg"), "used")
-            found = part if found is None else found.unionByName(part)
-    return found
+    fit = lnc.fit_models(samples, [(m, e) for m in ("affine", "additive") for e in ("median", "mean")], 1.1, low=0.05, least=8, min_samples=12)
+    return fit.select("model", "estimator", "pair_id", "gy", "gx", r("scale", 5).alias("scale"), r("offset", 5).alias("offset"), r("ref_bg").alias("ref_bg"), "used")
 
 
 #: A grid of 4 x 4 nodes, two pixels apart, for each frame of 8 x 8 pixels; nodes above 0.1 are holes.

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from noctua.operators import joins, quality, stats
+from noctua.operators import joins, lnc, quality, stats
 from noctua.sources import files
 
 
@@ -78,3 +78,17 @@ def test_clipped_line_of_large_groups_gathers_none(spark, monkeypatch):
         assert r.n == small[r.g].n
         for name in ("slope", "intercept", "std"):
             assert r[name] == (pytest.approx(small[r.g][name]) if small[r.g][name] is not None else None)
+
+
+def test_models_of_a_node_are_fitted_in_one_pass(spark):
+    rows = [("p", 0, 0, [float(i + j) for i in range(20)], [float(2 * i + j) for i in range(20)]) for j in range(3)] + [("q", 0, 1, [1.0], [2.0])]
+    d = spark.createDataFrame(rows, "pair_id string, gy int, gx int, ref array<double>, target array<double>")
+    models = [(m, e) for m in ("affine", "additive") for e in ("median", "mean")]
+    options = {"gain": 1.1, "low": 0.05, "least": 8, "min_samples": 12}
+    fit = lnc.fit_models(d, models, **options)
+    assert plan(fit).count("MapInPandas") == 1 and "FlatMapGroupsInPandas" not in plan(fit)
+    got = {(r.model, r.estimator): r for r in fit.collect()}
+    assert set(got) == set(models)
+    for m, e in models:
+        one = lnc.fit_nodes(d, m, e, **options).first()
+        assert (one.scale, one.offset, one.ref_bg, one.used, one.clamped) == tuple(got[m, e][c] for c in ("scale", "offset", "ref_bg", "used", "clamped"))
