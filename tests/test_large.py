@@ -92,3 +92,10 @@ def test_models_of_a_node_are_fitted_in_one_pass(spark):
     for m, e in models:
         one = lnc.fit_nodes(d, m, e, **options).first()
         assert (one.scale, one.offset, one.ref_bg, one.used, one.clamped) == tuple(got[m, e][c] for c in ("scale", "offset", "ref_bg", "used", "clamped"))
+
+
+def test_role_pairs_of_one_group_go_to_many_tasks(spark):
+    d = spark.range(2000).select(F.lit("b").alias("g"), "id")
+    got = quality.role_pairs(d, ["g"], "id", F.col("id") % 100 == 0)
+    assert got.count() == got.distinct().count() == 20 * 1980
+    assert "_part" in plan(got) and got.columns == ["g", "reference_path", "target_path"]
