@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from noctua.operators import logs
 from noctua.plans.base import Tables, query, r, rounded
-from noctua.session import shared_dir
+from noctua.session import shared_dir, written
 from noctua.sources import files, headers, sinks
 
 
@@ -27,6 +27,19 @@ def _text(t: Tables, df: DataFrame, name: str) -> str:
     return path
 
 
+#: Files that one task writes, and folders over which the images' own folders are spread: more than Spark lists in the driver.
+FILES_A_TASK, FOLDERS = 512, 64
+
+
+def _by_image(df: DataFrame, path: str) -> None:
+    """A text file for each image, from columns image and value.  A few compressed rows make many files, so they are dealt out to
+    tasks first; each task moves its own files into place, which the driver would do one by one.  Folders of many images each make
+    listing a task for each of them, not one for each image."""
+    parts = max(1, -(-df.count() // FILES_A_TASK))
+    df = df.withColumn("folder", F.pmod(F.col("image"), F.lit(FOLDERS))).repartition(parts, "image")
+    df.write.partitionBy("folder", "image").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
+
+
 def _documents(t: Tables, df: DataFrame, name: str) -> str:
     """The path of JSON files, each an array of one partition's rows."""
 
@@ -160,7 +173,7 @@ def _images(t: Tables) -> str:
     xisf = F.concat(F.lit("XISF0100"), F.chr(F.length(xml)), F.lit("\0" * 7), xml)
     path = _path(t, "images")
     x = t.supplier.select(F.col("s_suppkey").alias("image"), F.when(key % 5 == 0, xisf).otherwise(fits).alias("value"))
-    x.write.partitionBy("image").text(path)
+    _by_image(x, path)
     return path
 
 
@@ -177,7 +190,7 @@ def _(t: Tables):
 SELECT s_suppkey::BIGINT AS image, CASE WHEN s_suppkey % 5 = 0 THEN 'R' WHEN s_suppkey % 7 <> 0 THEN 'L''s' END AS filter, CASE WHEN s_suppkey % 5 = 0 OR s_suppkey % 7 <> 0 THEN CAST(s_nationkey AS INTEGER) END AS gain, s_suppkey % 5 <> 0 AND s_suppkey % 7 = 0 AS broken FROM supplier
 """)
 def _(t: Tables):
-    h = headers.scan_headers(t.spark, _images(t), r"\.txt$")
+    h = written(headers.scan_headers(t.spark, _images(t), r"\.txt$"), "headers")
     frames = files.typed_frames(h).select("path", F.col("filter"), "gain")
     return h.select("path", F.col("err").isNotNull().alias("broken")).join(frames, "path", "left").select(_image("path"), "filter", "gain", "broken")
 
@@ -189,7 +202,7 @@ WHERE s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0 AND (i // 4) // 2 = ty AND (i %
 def _(t: Tables):
     content = t.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(_images(t)).where("path like '%.txt'")
     total = F.aggregate("px", F.lit(0.0), lambda a, v: a + v).cast("long")
-    return files.scan_tiles(content, 2).select(_image("frame_id"), "ty", "tx", total.alias("total"))
+    return files.scan_tiles(files.packed(content), 2).select(_image("frame_id"), "ty", "tx", total.alias("total"))
 
 
 # --- sinks ----------------------------------------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from noctua.functions import scalar as S
 from noctua.operators import measures, planning, quality, tiles
 from noctua.plans.base import Tables, query, r
-from noctua.plans.files import _image, _path
+from noctua.plans.files import _by_image, _image, _path
 from noctua.plans.sky import DAYS, PX, _px, _tiles
 from noctua.session import written
 from noctua.sources import files, headers, sinks, store
@@ -28,8 +28,8 @@ def _(t: Tables):
     cards = F.concat(card("SIMPLE", F.lit("T")), more, card("FILTER", F.concat(F.lit("'B"), F.col("s_nationkey").cast("string"), F.lit("'"))), card("EXPTIME", F.format_string("%.2f", "s_acctbal")), F.lit("END"))
     blocks = F.rpad(cards, F.when(F.col("s_suppkey") % 3 == 0, 5760).otherwise(2880), F.lit(" "))
     path = _path(t, "large-images")
-    t.supplier.select(F.col("s_suppkey").alias("image"), F.concat(blocks, F.repeat(F.lit("p"), 40_000)).alias("value")).write.partitionBy("image").text(path)
-    h = headers.scan_headers(t.spark, path, r"\.txt$", 64)
+    _by_image(t.supplier.select(F.col("s_suppkey").alias("image"), F.concat(blocks, F.repeat(F.lit("p"), 40_000)).alias("value")), path)
+    h = written(headers.scan_headers(t.spark, path, r"\.txt$", 64), "headers")
     frames = files.typed_frames(h).select("path", "filter", "exptime")
     return h.join(frames, "path").select(_image("path"), "filter", r("exptime", 2).alias("exptime"), "bytes_read")
 
@@ -43,7 +43,7 @@ def _(t: Tables):
     solved = F.when(F.col("s_suppkey") % 4 != 0, F.concat(F.lit("FWHMx: 2.5\nImage center: RA: "), F.format_string("%02dh30m00s", F.col("s_suppkey") % 24), F.lit(", Dec: +12 15 00\n"))).otherwise("not solved\n")
     text = F.concat(found(F.col("s_suppkey")), noise(F.lit(1.0)), found(F.col("s_nationkey") * 10), noise(F.col("s_acctbal") / 100), solved)
     path = _path(t, "tool-logs")
-    t.supplier.select(F.col("s_suppkey").alias("image"), text.alias("value")).write.partitionBy("image").text(path)
+    _by_image(t.supplier.select(F.col("s_suppkey").alias("image"), text.alias("value")), path)
     return files.scan_tool_logs(t.spark, path).select(_image("file"), "stars", r("bgnoise", 2).alias("bgnoise"), "fwhm", r("ra_hours").alias("ra_hours"), r("dec_degrees").alias("dec_degrees"))
 
 

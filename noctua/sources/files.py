@@ -21,13 +21,23 @@ from noctua.session import written
 # --- images ---------------------------------------------------------------------------------------------------------------
 
 
+#: Splits of small files that one task reads: Spark packs few files in a split, since it counts 4 MB for opening each.
+SPLITS_A_TASK = 64
+
+
+def packed(files: DataFrame) -> DataFrame:
+    """files, a scan of many small files, with up to SPLITS_A_TASK splits in a task, but no fewer tasks than two for each core."""
+    splits = files.rdd.getNumPartitions()
+    return files.coalesce(max(-(-splits // SPLITS_A_TASK), min(splits, 2 * files.sparkSession.sparkContext.defaultParallelism)))
+
+
 def discover_images(spark: SparkSession, root: str, pattern: str = r"(?i)\.(fits?|xisf)$") -> DataFrame:
     """Path, modificationTime, length of image files under root; hidden files and folders are skipped, each path once.
 
     The bytes are not read: only the columns of the listing are selected."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "modificationTime", "length")
     inside = F.substring_index(F.col("path"), root.rstrip("/"), -1)
-    return files.where(F.col("path").rlike(pattern) & ~inside.rlike(r"/\.")).dropDuplicates(["path"])
+    return packed(files).where(F.col("path").rlike(pattern) & ~inside.rlike(r"/\.")).dropDuplicates(["path"])
 
 
 def _card(card: str) -> tuple[str, str] | None:
@@ -206,7 +216,7 @@ def scan_sequences(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def scan_tool_logs(spark: SparkSession, path: str) -> DataFrame:
     """File, stars (most found), bgnoise, median, fwhm (last of each), ra, dec and angle of captured tool output."""
-    t = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    t = packed(spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), "value"))
     number = r"([-+]?\d+(?:\.\d*)?(?:[eE][-+]?\d+)?)"
     every = lambda p: F.transform(F.regexp_extract_all("value", F.lit(p), F.lit(1)), lambda v: v.try_cast("double"))
     last = lambda p: F.try_element_at(every(p), F.lit(-1))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noctua.functions.scalar import unquote
+from noctua.session import written
 from noctua.sources.files import IMAGES, discover_images, fits_header, xisf_header
 
 #: Bytes of a FITS block, and blocks that a header may have before it counts as broken.
@@ -84,7 +85,8 @@ def scan_headers(spark: SparkSession, root: str, pattern: str = IMAGES, files_a_
             yield _rows(lambda path, content: read_header(lambda at, n: content[at : at + n], path), pdf.path, pdf.content)
 
     if _reads_by_range(spark, root):
-        # a listing is a few large splits; dealing paths out lets many tasks wait for the store at once
+        # paths are listed once and dealt out, so that many tasks wait for the store at once
+        listing = written(listing.select("path"), "listing")
         parts = max(1, -(-listing.count() // files_a_task))
         got = listing.select("path").repartition(parts).mapInPandas(by_range, SCHEMA)
     else:

@@ -99,3 +99,17 @@ def test_role_pairs_of_one_group_go_to_many_tasks(spark):
     got = quality.role_pairs(d, ["g"], "id", F.col("id") % 100 == 0)
     assert got.count() == got.distinct().count() == 20 * 1980
     assert "_part" in plan(got) and got.columns == ["g", "reference_path", "target_path"]
+
+
+def test_scans_of_small_files_pack_their_splits(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"{i}.txt").write_text(f"found {i} stars\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        logs = files.scan_tool_logs(spark, str(tmp_path))
+        assert logs.rdd.getNumPartitions() <= 8
+        assert files.discover_images(spark, str(tmp_path), r"\.txt$").count() == 300
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted(r.stars for r in logs.collect()) == list(range(300))
